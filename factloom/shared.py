@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,23 +25,26 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a frame that reads it.
 
     Survives the loss of executors (nothing is kept only in their memory or on their disks)
-    and lets the next plan start from files with known sizes.
+    and lets the next plan start from files with known sizes. The shuffle files of the plan that
+    made it have no use any more; the driver's collectors run once, so that Spark deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
+    del df
     _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._settled = path
+    return out
 
 
-def settled_path(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
-def forget(path_prefix: str | None = None) -> None:
-    """Delete what :func:`settle` wrote; call when the results that depend on it are written."""
-    for path in [p for p in _made if path_prefix is None or p.startswith(path_prefix)]:
-        spark = _made.pop(path)
+def forget(*frames: DataFrame) -> None:
+    """Delete settled tables whose dependants are written; without arguments, all of them."""
+    for path in [f._settled for f in frames] if frames else list(_made):
+        spark = _made.pop(path, None)
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
