@@ -2,12 +2,14 @@
 
 1. Documents become sets of word shingles; equal sets collapse to their smallest id.
 2. MinHash signatures, banded; buckets of one document fall away.
-3. Each bucket links its members to its smallest id only (a star, never all pairs). Signatures
-   are compared in batches: a pair is pruned as soon as the posterior probability that its
-   similarity reaches the threshold falls below ``miss``. Survivors are verified on full sets.
+3. A bucket's hub is its smallest id. Each document is compared with one hub, the one that it
+   shares most buckets with (a star, never all pairs). Signatures are compared in batches: a
+   pair is pruned as soon as the posterior probability that its similarity reaches the
+   threshold falls below ``miss``. Survivors are verified on full sets.
 4. Components of the verified links. Only buckets that still hold several components can hide a
-   link the stars did not try; there, members of different components are compared (in blocks,
-   large buckets dealt as pairs of blocks), pruned the same way, and survivors verified.
+   link the stars did not try; there, members of different components are compared. A bucket's
+   largest component is dealt in blocks against the rest, the rest among itself in pairs of
+   blocks; pruning and verification are the same.
 5. Final components over all verified links.
 """
 
@@ -145,23 +147,18 @@ def _prune_pairs(threshold: float, miss: float):
 
 
 def _prune_blocks(threshold: float, miss: float):
-    """Rows sorted by (key, bi, bj): pairs of different components within (or across) blocks of one bucket."""
+    """Rows (key, kind, bi, bj, id, comp, n, side, sig) sorted by cell: pairs of different components, side 0 with side 1, or within side 0."""
 
     def solve(rows: list) -> list[tuple[int, int]]:
-        cross = rows[0][1] != rows[0][2]
-        ids = np.array([r[3] for r in rows])
-        comp = np.array([r[4] for r in rows])
-        n = np.array([r[5] for r in rows], np.int64)
-        side = np.array([r[6] for r in rows])
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
+        ids = np.array([r[4] for r in rows])
+        comp = np.array([r[5] for r in rows])
+        n = np.array([r[6] for r in rows], np.int64)
+        side = np.array([r[7] for r in rows])
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
+        across = np.flatnonzero(side == 1)
         found = []
-        for i in range(len(rows) - 1 if not cross else len(rows)):
-            if cross:
-                if side[i] != rows[0][1]:
-                    continue
-                js = np.flatnonzero(side == rows[0][2])
-            else:
-                js = np.arange(i + 1, len(rows))
+        for i in np.flatnonzero(side == 0).tolist():
+            js = across if rows[0][1] or rows[0][2] != rows[0][3] else np.arange(i + 1, len(rows))
             js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
             if len(js):
                 ok = js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], threshold, miss)]
@@ -179,7 +176,7 @@ def _prune_blocks(threshold: float, miss: float):
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and rows[0][:3] != row[:3]:
+                if rows and rows[0][:4] != row[:4]:
                     done.update(solve(rows))
                     rows = []
                     if len(done) > 20_000:
@@ -192,6 +189,24 @@ def _prune_blocks(threshold: float, miss: float):
     return run
 
 
+def _deal(members: DataFrame) -> DataFrame:
+    """members (key, id, n, comp) -> the cells of buckets with several components, each a bounded number of rows."""
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("nm"), (F.col("size") - F.col("top.c")).alias("rest"))
+    rows = members.join(mixed, "key").withColumns({"is_main": F.col("comp") == F.col("main"), "nr": F.ceil(F.col("rest") / BLOCK).cast("int")})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("nm")).otherwise(F.col("nr"))).cast("int"))
+    to = lambda count, f: F.transform(F.sequence(F.lit(0), count - 1), f)
+    cell = lambda kind, bi, bj, side: F.struct(F.lit(kind).alias("kind"), bi.alias("bi"), bj.alias("bj"), side.alias("side"))
+    own = F.col("own")
+    main = to(F.col("nr"), lambda j: cell(True, own, j, F.lit(0)))
+    rest = to(F.col("nm"), lambda i: cell(True, i, own, F.lit(1)))
+    among = to(F.col("nr"), lambda o: cell(False, F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1)))
+    rest = F.when(F.col("rest") > 1, F.concat(rest, among)).otherwise(rest)
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), main).otherwise(rest)))
+    return rows.select("key", "cell.kind", "cell.bi", "cell.bj", "id", "comp", "n", "cell.side")
+
+
 def _verify(percent: int, shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,7 +250,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = settle(rows.join(hubs, "key").select("key", "id", "n", "hub"), "buckets")
 
     sigs = reps.select("id", "sig")
-    stars = shared.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    votes = shared.filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
+    stars = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("hub")).alias("low"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.low")).alias("b"))
     stars = stars.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
     likely = settle(stars.mapInArrow(_prune_pairs(t, miss), "a long, b long"), "stars")
     texts = settle(source.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -248,13 +264,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = settle(components(links), "components")
     members = shared.select("key", "id", "n").join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     members = settle(members.select("key", "id", "n", "comp"), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.join(mixed, "key").withColumns({"nb": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "id", "comp", "n", "own")
-    dealt = dealt.join(sigs, "id").select("key", "bi", "bj", "id", "comp", "n", "own", "sig")
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
+    dealt = _deal(members).join(sigs, "id").select("key", "kind", "bi", "bj", "id", "comp", "n", "side", "sig")
+    dealt = dealt.repartition("key", "kind", "bi", "bj").sortWithinPartitions("key", "kind", "bi", "bj", "id")
     late = settle(dealt.mapInArrow(_prune_blocks(t, miss), "a long, b long").distinct(), "late")
     more = verified(late)
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
