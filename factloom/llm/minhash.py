@@ -9,7 +9,9 @@
 4. Components of the verified links. Only buckets that still hold several components can hide a
    link the stars did not try; there, members of different components are compared. A bucket's
    largest component is dealt in blocks against the rest, the rest among itself in pairs of
-   blocks; pruning and verification are the same.
+   blocks. A cell prunes the same way, looks at a pair only in the first band it shares, verifies
+   it there on full sets and skips what is connected by then, so it returns fewer links than it
+   has members, however many pairs it looks at.
 5. Final components over all verified links.
 """
 
@@ -146,23 +148,41 @@ def _prune_pairs(threshold: float, miss: float):
     return run
 
 
-def _prune_blocks(threshold: float, miss: float):
-    """Rows (key, kind, bi, bj, id, comp, n, side, sig) sorted by cell: pairs of different components, side 0 with side 1, or within side 0."""
+def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
+    """Rows (key, kind, bi, bj, band, id, comp, n, side, sig, text) sorted by cell -> verified links between different components.
+
+    Pairs are of side 0 with side 1, or within side 0 where a cell has one block.
+    """
 
     def solve(rows: list) -> list[tuple[int, int]]:
-        ids = np.array([r[4] for r in rows])
-        comp = np.array([r[5] for r in rows])
-        n = np.array([r[6] for r in rows], np.int64)
-        side = np.array([r[7] for r in rows])
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(len(rows), -1)
-        across = np.flatnonzero(side == 1)
+        across_only, band = rows[0][1] or rows[0][2] != rows[0][3], rows[0][4]
+        n = np.array([r[7] for r in rows], np.int64)
+        side = np.array([r[8] for r in rows])
+        sig = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
+        by_band = sig.reshape(len(rows), BANDS, ROWS)
+        values, bounds = shingle_sets(*T.string_bytes(pa.array([r[10] for r in rows], pa.large_string())), shingle)
+        names = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in rows))}
+        root = np.array([names[r[6]] for r in rows])  # relabelled as components merge
+        other = np.flatnonzero(side == 1)
         found = []
         for i in np.flatnonzero(side == 0).tolist():
-            js = across if rows[0][1] or rows[0][2] != rows[0][3] else np.arange(i + 1, len(rows))
-            js = js[(comp[js] != comp[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
+            js = other if across_only else np.arange(i + 1, len(rows))
+            js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
             if len(js):
-                ok = js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], threshold, miss)]
-                found += [(int(ids[i]), int(ids[j])) for j in ok]
+                js = js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], threshold, miss)]
+            if len(js):
+                js = js[(by_band[js] == by_band[i]).all(2).argmax(1) == band]
+            if not len(js):
+                continue
+            size = bounds[js + 1] - bounds[js]
+            own = values[bounds[i] : bounds[i + 1]]
+            at = np.repeat(bounds[js] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            place = np.minimum(np.searchsorted(own, values[at]), len(own) - 1)
+            both = np.add.reduceat((own[place] == values[at]).astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+            for j in js[100 * both >= percent * (size + len(own) - both)].tolist():
+                if root[j] != root[i]:
+                    found.append((rows[i][5], rows[j][5]))
+                    root[root == root[j]] = root[i]
         return found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +195,14 @@ def _prune_blocks(threshold: float, miss: float):
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and rows[0][:4] != row[:4]:
-                    done.update(solve(rows))
-                    rows = []
-                    if len(done) > 20_000:
-                        yield out()
-                rows.append(row)
+            for at in range(0, b.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                    if rows and rows[0][:4] != row[:4]:
+                        done.update(solve(rows))
+                        rows = []
+                        if len(done) > 20_000:
+                            yield out()
+                    rows.append(row)
         if rows:
             done.update(solve(rows))
         yield out()
@@ -190,7 +211,7 @@ def _prune_blocks(threshold: float, miss: float):
 
 
 def _deal(members: DataFrame) -> DataFrame:
-    """members (key, id, n, comp) -> the cells of buckets with several components, each a bounded number of rows."""
+    """members (key, band, id, n, comp) -> the cells of buckets with several components, each a bounded number of rows."""
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("kinds")).filter("kinds > 1")
     mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("nm"), (F.col("size") - F.col("top.c")).alias("rest"))
@@ -204,7 +225,7 @@ def _deal(members: DataFrame) -> DataFrame:
     among = to(F.col("nr"), lambda o: cell(False, F.least(own, o), F.greatest(own, o), F.when(own <= o, 0).otherwise(1)))
     rest = F.when(F.col("rest") > 1, F.concat(rest, among)).otherwise(rest)
     rows = rows.withColumn("cell", F.explode(F.when(F.col("is_main"), main).otherwise(rest)))
-    return rows.select("key", "cell.kind", "cell.bi", "cell.bj", "id", "comp", "n", "cell.side")
+    return rows.select("key", "cell.kind", "cell.bi", "cell.bj", "band", "id", "comp", "n", "cell.side")
 
 
 def _verify(percent: int, shingle: int):
@@ -244,10 +265,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = settle(signed.join(classes.select("rep"), signed["id"] == F.col("rep"), "left_semi").select("id", "n", "sig").dropDuplicates(["id"]), "reps")
 
     width = 2 * ROWS
-    key = F.explode(F.array(*[F.xxhash64(F.substring("sig", width * j + 1, width), F.lit(j)) for j in range(BANDS)])).alias("key")
-    rows = reps.select(key, "id", "n")
+    keys = F.array(*[F.xxhash64(F.substring("sig", width * j + 1, width), F.lit(j)) for j in range(BANDS)])
+    rows = reps.select("id", "n", F.posexplode(keys).alias("band", "key"))
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("key", "hub")
-    shared = settle(rows.join(hubs, "key").select("key", "id", "n", "hub"), "buckets")
+    shared = settle(rows.join(hubs, "key").select("key", "band", "id", "n", "hub"), "buckets")
 
     sigs = reps.select("id", "sig")
     votes = shared.filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
@@ -256,18 +277,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     likely = settle(stars.mapInArrow(_prune_pairs(t, miss), "a long, b long"), "stars")
     texts = settle(source.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return settle(both.mapInArrow(_verify(percent, shingle), "a long, b long"), "links")
-
-    links = verified(likely)
+    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    links = settle(both.mapInArrow(_verify(percent, shingle), "a long, b long"), "links")
     first = settle(components(links), "components")
-    members = shared.select("key", "id", "n").join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    members = settle(members.select("key", "id", "n", "comp"), "members")
-    dealt = _deal(members).join(sigs, "id").select("key", "kind", "bi", "bj", "id", "comp", "n", "side", "sig")
+    members = shared.select("key", "band", "id", "n").join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    members = settle(members.select("key", "band", "id", "n", "comp"), "members")
+    dealt = _deal(members).join(sigs, "id").join(texts, "id").select("key", "kind", "bi", "bj", "band", "id", "comp", "n", "side", "sig", "text")
     dealt = dealt.repartition("key", "kind", "bi", "bj").sortWithinPartitions("key", "kind", "bi", "bj", "id")
-    late = settle(dealt.mapInArrow(_prune_blocks(t, miss), "a long, b long").distinct(), "late")
-    more = verified(late)
+    more = settle(dealt.mapInArrow(_link_cells(t, miss, percent, shingle), "a long, b long").distinct(), "links")
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     forget(texts, shared, members)
 
