@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,7 @@ def _h(sha: bytes) -> int:
 
 
 def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns id, text and others; the text (and the others) of a batch's copies go with one of them only."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -109,6 +111,7 @@ def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 shas.append(sha)
             rep = np.asarray(best, np.int64)[entry] if entry else np.zeros(0, np.int64)
             mine = rep == np.arange(j - i)
+            others = [pc.if_else(pa.array(mine), c.slice(i, j - i), pa.scalar(None, c.type)) for c in batch.columns[2:]]
             yield pa.record_batch(
                 [
                     pa.array(ids[i:j], pa.int64()),
@@ -117,8 +120,9 @@ def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array(shas, pa.binary()),
                     pa.array([counts[e] if m else None for e, m in zip(entry, mine, strict=True)], pa.int64()),
                     pa.array([table.contents[e] if m else None for e, m in zip(entry, mine, strict=True)], pa.binary()),
+                    *others,
                 ],
-                names=["id", "uid", "rep", "sha", "n", "text"],
+                names=["id", "uid", "rep", "sha", "n", "text", *batch.schema.names[2:]],
             )
             uid += j - i
 
@@ -221,7 +225,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Ids must be unique."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, raw, off in T.parts(b.column("text")):
+            text, cut = squeeze(raw, off)
+            part = b.slice(i, j - i)
+            yield pa.record_batch([*part.columns[:-1], pa.array([text[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=part.schema.names)
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
+    """The rows that stay, with all their columns: of equal texts the smallest id, of repeated rows one."""
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole).filter("id is not null")
+    kind = rows.schema["whole"].dataType.simpleString()
+    local = settle(rows.mapInArrow(_preaggregate, f"{_SCHEMA}, whole {kind}").filter("n is not null").drop("text", "rep"), "exact")
+    text = F.col(f"whole.c{docs.columns.index(text_col)}").cast("string").alias("text")
+    reps = local.select("id", "uid", "sha", "n", text).mapInArrow(_squeezed, "id long, uid long, sha binary, n long, text binary").repartition("sha")
+    winners = reps.mapInArrow(_resolve(budget), "rep long, keep_id long, winner long, group_size long").select("winner").distinct()
+    kept = local.join(winners, local["uid"] == winners["winner"], "left_semi")
+    return kept.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])

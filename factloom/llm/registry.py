@@ -12,6 +12,7 @@ from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.html_text import extract_text
 from factloom.llm.minhash import near_dedup
 from factloom.llm.phrase_dedup import repeated_bytes
+from factloom.llm.pieces import round_trip
 from factloom.llm.quality import quality
 from factloom.llm.toxicity import toxicity
 from factloom.llm.url_filter import url_filter
@@ -42,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -65,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op7_url_filter, op8_decontamination, op9_exact_dedup, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op6_sentencepiece, op7_url_filter, op8_decontamination, op9_exact_dedup, op10_html_text, pipeline)}
 
 _HOST = "CASE WHEN strpos(u, '://') > 0 THEN translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN strpos(u, '://') > 0 THEN regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"

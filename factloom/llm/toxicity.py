@@ -181,6 +181,20 @@ def scored_by(model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, score double")
 
 
+def keep_scored(model, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows with a score of at least ``threshold``, with all their columns; nothing is shuffled."""
+    known = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries and weights: a fixed size
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield part.filter(pa.array(known.value.score(part.column(at_text).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted.
 
