@@ -285,7 +285,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             keys = _row_keys(T.id_array(b.column(0)))
             _, off = T.string_bytes(b.column(1))
-            for i, j in T.chunks(off, 2 * T.CHUNK):
+            for i, j in T.chunks(off, T.CHUNK // 2):
                 part = b.slice(i, j - i)
                 ids, cut = encode_texts(vocab.value, part.column(1).to_pylist(), keys[i:j], alpha, seed)
                 pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
