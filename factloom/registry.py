@@ -1,10 +1,5 @@
 """Queries of the library by name, and the SQL that DuckDB runs for the same rows."""
 
-from __future__ import annotations
+from factloom.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
