@@ -53,6 +53,15 @@ def stretches(h: np.ndarray, width: int) -> Stretch:
     return Stretch(first, np.diff(np.append(first, len(at))), marks[at[first]])
 
 
+def _span_hashes(w: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hash of w[first:first+count] for each stretch."""
+    n = len(w)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, T.U)
+        np.cumsum(w * T.powers(int(T._P), n)[:n], out=sums[1:])
+        return T.mix((sums[first + count] - sums[first]) * T.powers(T.inverse(int(T._P)), n)[first] ^ count.astype(T.U))
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     off = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=off[1:])
@@ -88,27 +97,32 @@ def _contexts(width: int):
                 words = T.Words(raw, off)
                 h = words.hashes(1)
                 h0 = words.hashes()
-                out: tuple[list, ...] = ([], [], [], [], [])
-                windows: list[np.ndarray] = []
+                ids_out, firsts, counts, marks, contents, flat = [], [], [], [], [], []
                 for k in range(j - i):
                     a, z = words.off[k], words.off[k + 1]
                     s = stretches(h0[a:z], width)
                     want = hits[i + k].values.to_numpy(zero_copy_only=False).view(T.U)
-                    ok = np.flatnonzero(np.isin(s.mark, want))
-                    if not len(ok):
+                    ok = np.isin(s.mark, want)
+                    if not ok.any():
                         continue
+                    first, count = s.first[ok], s.count[ok]
                     w = T.grams(h[a:z], width)
-                    out[0].append(np.full(len(ok), ids[i + k]))
-                    out[1].append(s.first[ok])
-                    out[2].append(s.count[ok])
-                    out[3].append(s.mark[ok])
-                    for f, n in zip(s.first[ok], s.count[ok], strict=True):
-                        windows.append(w[f : f + n])
-                if not windows:
+                    inside = np.zeros(len(w) + 1, np.int64)
+                    np.add.at(inside, first, 1)
+                    np.add.at(inside, first + count, -1)
+                    ids_out.append(np.full(len(first), ids[i + k]))
+                    firsts.append(first)
+                    counts.append(count)
+                    marks.append(s.mark[ok])
+                    contents.append(_span_hashes(w, first, count))
+                    flat.append(w[np.cumsum(inside[:-1]) > 0])
+                if not flat:
                     continue
-                first, count, mark = (np.concatenate(x) for x in out[1:4])
-                content = np.array([T.grams(w, len(w), int(T._P))[0] ^ T.U(len(w)) for w in windows], T.U)
-                yield pa.record_batch([pa.array(np.concatenate(out[0])), pa.array(first), pa.array(count), T.long_array(mark), T.long_array(content), _lists(windows)], names=["id", "first", "count", "h", "ck", "windows"])
+                count = np.concatenate(counts)
+                at = np.zeros(len(count) + 1, np.int32)
+                np.cumsum(count, out=at[1:])
+                windows = pa.ListArray.from_arrays(pa.array(at), T.long_array(np.concatenate(flat)))
+                yield pa.record_batch([pa.array(np.concatenate(ids_out)), pa.array(np.concatenate(firsts)), pa.array(count), T.long_array(np.concatenate(marks)), T.long_array(np.concatenate(contents)), windows], names=["id", "first", "count", "h", "ck", "windows"])
 
     return run
 
@@ -206,7 +220,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shared = hits if shared is None else shared.union(hits)
     if shared is None:
         shared = spark.createDataFrame([], "h long")
-    shared = shared.distinct()
+    shared = settle(shared.distinct(), "shared")
     index.close()
 
     per_doc = marks.select("id", F.explode("prints").alias("h")).join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("hits"))
@@ -218,6 +232,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = exploded.groupBy("h", "w").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).filter("least < most").select("h", "w", "least")
     seen = exploded.join(least, ["h", "w"]).filter("least < first_id").groupBy("h", "ck").agg(F.collect_set("at").alias("at"))
     verdicts = kinds.select("h", "ck", "first_id", "last_id").join(seen, ["h", "ck"], "left").filter("last_id > first_id or at is not null").drop("last_id")
+    verdicts = settle(verdicts, "verdicts")  # so that the join below is one that AQE can split where a stretch is hot
     removed = found.select("id", "first", "count", "h", "ck").join(verdicts, ["h", "ck"]).filter("id > first_id or at is not null")
     whole = F.when(F.col("id") == F.col("first_id"), F.col("at"))
     removed = removed.groupBy("id").agg(F.collect_list(F.struct("first", "count", whole.alias("at"))).alias("removed"))
@@ -225,7 +240,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not with_text:
         cut = cut.drop("kept")
     cut = settle(cut, "cut")
-    forget(marked, found, kinds)
+    forget(marked, found, kinds, verdicts)
     cut = cut.withColumnsRenamed({"sha": "cut_sha"}).dropDuplicates(["id"])
     out = marks.select("id", "n_words", "sha").join(cut, "id", "left")
     cols = [F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256")]
