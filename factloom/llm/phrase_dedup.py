@@ -261,6 +261,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = settle(source.mapInArrow(_mark(length), "id long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
     prints = marks.select("id", F.explode("prints").alias("h"))
     shared = prints.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").union(marks.select(F.explode("twice").alias("h"))).distinct()
+    shared = settle(shared, "shared")
     per_doc = prints.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("hits"))
     marked = settle(source.join(per_doc, "id"), "marked")
     parse = settle(marked.mapInArrow(_entries(length), "id long, first long, count long, h long, ck long"), "parse")
@@ -277,12 +278,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_hash = windows.filter("n = 1").join(twice, ["h", "w"]).groupBy("h", "ck").agg(F.collect_set(F.col("at").cast("long")).alias("at"))
     some = settle(by_suffix.union(by_hash), "verdicts")
     verdicts = dictionary.select("h", "ck", "n").join(some, ["h", "ck"], "left").filter("n > 1 or at is not null").select("h", "ck", F.expr("if(n > 1, null, at)").alias("at"))
+    verdicts = settle(verdicts, "verdicts")  # so that the join below is one that AQE can split where an entry is hot
     removed = parse.join(verdicts, ["h", "ck"]).groupBy("id").agg(F.collect_list(F.struct("first", "count", "at")).alias("removed"))
     cut = marked.join(removed, "id").mapInArrow(_finish(length), "id long, n_removed long, n_spans long, cut_sha binary, kept binary")
     if not with_bytes:
         cut = cut.drop("kept")
     cut = settle(cut, "cut")
-    forget(marked, parse, dictionary, fetched, some)
+    forget(marked, parse, dictionary, fetched, some, verdicts)
     out = marks.select("id", "n_bytes", "sha").join(cut, "id", "left")
     cols = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256")]
     if with_bytes:
