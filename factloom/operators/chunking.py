@@ -46,6 +46,8 @@ def pack(parts: Column, target: int, overlap: int = 0, joiner: str = "\n\n") ->
 
 def describe(chunks: DataFrame, id_col: str = "document_id") -> DataFrame:
     """(id_col, position, content) -> the chunk's id, hash, counts, byte span and neighbours' ids."""
+    if id_col == "id":
+        raise ValueError("id is the chunk's own id; name the document's otherwise")
     w = Window.partitionBy(id_col).orderBy("position")
     out = chunks.withColumns(
         {

@@ -221,7 +221,7 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str) -> No
         raise ValueError(f"no export named {kind}")
     if kind == "graphml":
         a = nodes.select(F.concat(F.lit('<node id="'), esc(n), F.lit('"/>')).alias("value"))
-        b = edges.select(F.concat(F.lit('<edge source="'), esc(s), F.lit('" target="'), esc(t), F.lit('"><data key="rel">'), esc(r), F.lit("</data></edge>")))
+        b = edges.select(F.concat(F.lit('<edge source="'), esc(s), F.lit('" target="'), esc(t), F.lit('"><data key="rel">'), esc(r), F.lit("</data></edge>")).alias("value"))
         middle = ""
     else:
         a = nodes.select(F.concat(F.lit('<node id="'), esc(n), F.lit('" label="'), esc(n), F.lit('"/>')).alias("value"))
