@@ -225,7 +225,7 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str) -> No
         middle = ""
     else:
         a = nodes.select(F.concat(F.lit('<node id="'), esc(n), F.lit('" label="'), esc(n), F.lit('"/>')).alias("value"))
-        b = edges.select(F.concat(F.lit('<edge source="'), esc(s), F.lit('" target="'), esc(t), F.lit('" label="'), esc(r), F.lit('"/>')))
+        b = edges.select(F.concat(F.lit('<edge source="'), esc(s), F.lit('" target="'), esc(t), F.lit('" label="'), esc(r), F.lit('"/>')).alias("value"))
         middle = "</nodes><edges>"
     spark = nodes.sparkSession
     fixed_rows = spark.createDataFrame([(0, heads[kind][0]), (2, middle), (4, heads[kind][1])], "o int, value string").filter("value != ''")
