@@ -56,5 +56,16 @@ def forget(*frames: DataFrame) -> None:
 atexit.register(forget)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on in this session.
+
+    Long texts make the usual 10,000 rows hundreds of megabytes, held twice by the JVM and by
+    each Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000") or 10000) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
