@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import settle
+from factloom.shared import settle, small_batches
 
 FANOUT_BITS = 4
 _SCHEMA = "id long, uid long, rep long, sha binary, n long, text binary"
@@ -85,8 +85,15 @@ def _h(sha: bytes) -> int:
     return int.from_bytes(sha[:8], "little") >> 1
 
 
-def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns id, text and others; the text (and the others) of a batch's copies go with one of them only."""
+def _preaggregate(raw_text: bool):
+    """Columns id, text and others; the text (and the others) of a batch's copies go with one of them only.
+
+    raw_text: that text as it came, not normalised.
+    """
+    return lambda batches: _preaggregated(batches, raw_text)
+
+
+def _preaggregated(batches: Iterable[pa.RecordBatch], raw_text: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -111,6 +118,8 @@ def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 shas.append(sha)
             rep = np.asarray(best, np.int64)[entry] if entry else np.zeros(0, np.int64)
             mine = rep == np.arange(j - i)
+            once = [table.contents[e] if m else None for e, m in zip(entry, mine, strict=True)] if not raw_text else None
+            texts = pa.array(once, pa.binary()) if once is not None else pc.if_else(pa.array(mine), batch.column(1).slice(i, j - i).cast(pa.binary()), pa.scalar(None, pa.binary()))
             others = [pc.if_else(pa.array(mine), c.slice(i, j - i), pa.scalar(None, c.type)) for c in batch.columns[2:]]
             yield pa.record_batch(
                 [
@@ -119,7 +128,7 @@ def _preaggregate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array(uid + rep),
                     pa.array(shas, pa.binary()),
                     pa.array([counts[e] if m else None for e, m in zip(entry, mine, strict=True)], pa.int64()),
-                    pa.array([table.contents[e] if m else None for e, m in zip(entry, mine, strict=True)], pa.binary()),
+                    texts,
                     *others,
                 ],
                 names=["id", "uid", "rep", "sha", "n", "text", *batch.schema.names[2:]],
@@ -214,8 +223,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and text, one stays. Rows without an id are left out. Other columns don't matter and an
     empty table gives an empty result. ``budget``: bytes of distinct contents in one table.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    local = settle(rows.mapInArrow(_preaggregate, _SCHEMA), "exact")
+    local = settle(rows.mapInArrow(_preaggregate(False), _SCHEMA), "exact")
     reps = local.filter("n is not null").select("id", "uid", "sha", "n", "text").repartition("sha")
     groups = reps.mapInArrow(_resolve(budget), "rep long, keep_id long, winner long, group_size long")
     return (
@@ -235,12 +245,14 @@ def _squeezed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the smallest id, of repeated rows one."""
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), whole).filter("id is not null")
-    kind = rows.schema["whole"].dataType.simpleString()
-    local = settle(rows.mapInArrow(_preaggregate, f"{_SCHEMA}, whole {kind}").filter("n is not null").drop("text", "rep"), "exact")
-    text = F.col(f"whole.c{docs.columns.index(text_col)}").cast("string").alias("text")
-    reps = local.select("id", "uid", "sha", "n", text).mapInArrow(_squeezed, "id long, uid long, sha binary, n long, text binary").repartition("sha")
+    small_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest).filter("id is not null")
+    kind = rows.schema["rest"].dataType.simpleString()
+    local = settle(rows.mapInArrow(_preaggregate(True), f"{_SCHEMA}, rest {kind}").filter("n is not null").drop("rep"), "exact")
+    reps = local.select("id", "uid", "sha", "n", "text").mapInArrow(_squeezed, "id long, uid long, sha binary, n long, text binary").repartition("sha")
     winners = reps.mapInArrow(_resolve(budget), "rep long, keep_id long, winner long, group_size long").select("winner").distinct()
     kept = local.join(winners, local["uid"] == winners["winner"], "left_semi")
-    return kept.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    text = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
+    return kept.select(*[text.alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.window_index import _lists
-from factloom.shared import forget, settle
+from factloom.shared import forget, settle, small_batches
 
 LENGTH = 200
 GRAM = 50
@@ -257,6 +257,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique (a repeated row's text counts as a copy); rows without an id are left out. Other
     columns don't matter.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     marks = settle(source.mapInArrow(_mark(length), "id long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
     prints = marks.select("id", F.explode("prints").alias("h"))

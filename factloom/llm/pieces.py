@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
+from factloom.shared import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, OWN_MARK = 0x2581, 0x110000
@@ -277,6 +278,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segmentation; rows without an id are left out. ``alpha`` flattens (towards 0) or sharpens (over 1)
     the distribution. The model file is read on the driver only.
     """
+    small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # a vocabulary: a fixed size
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
     schema = ", ".join(["id long", "pieces array<int>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])

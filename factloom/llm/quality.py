@@ -145,8 +145,11 @@ class Model:
         self.w = None
         if len(set(y.tolist())) < 2:
             return
-        raw, off = T.string_bytes(pa.array([r[1] for r in rows], pa.large_string()))
-        x, weight, lines = line_features(raw, off)
+        # by chunks, as in scoring: the hashes of a chunk are many times its text
+        made = [line_features(raw, off) for _, _, raw, off in T.parts(pa.array([r[1] for r in rows], pa.large_string()))]
+        x, weight = (np.concatenate([m[k] for m in made]) for k in (0, 1))
+        lines = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(m[2]) for m in made]))])
+        del made
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
         z = with_neighbours((x - self.mean) / self.scale, lines)
         label = y[T.owners(lines)].astype(int)
@@ -169,7 +172,7 @@ class Model:
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 param -= 0.1 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
         self.w, self.trans = w, np.clip(trans, -1.5, 1.5)
-        good, weight, lines = self._marginals(raw, off)
+        good = forward_backward(z @ w, lines, self.trans)[0][:, 1]
         self.calibrate = Logistic(_summary(good, weight, lines), y, share=share)
 
     def _marginals(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.labelled import Logistic, remainder, sample, share_of
+from factloom.shared import small_batches
 
 WINDOW, GRAM = 48, 5
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 15
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4,
 
 def scored_by(model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of each row by a model with ``score(texts)``, sent to each executor once."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries and weights: a fixed size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +185,7 @@ def scored_by(model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def keep_scored(model, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
     """The rows with a score of at least ``threshold``, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # dictionaries and weights: a fixed size
     at_text = docs.columns.index(text_col)
 

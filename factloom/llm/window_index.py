@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import forget, settle, shared_dir
+from factloom.shared import forget, settle, shared_dir, small_batches
 
 WIDTH = 50
 _MARKS = "id long, n_words long, sha binary, prints array<long>"
@@ -208,6 +208,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their number. Rows that repeat an id are one document seen again and get equal counts only if
     their texts are equal; rows without an id are left out. Other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     marks = settle(source.mapInArrow(_mark(width), _MARKS), "marks")
@@ -246,6 +247,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cols = [F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256")]
     if with_text:
         out = out.join(source, "id")
-        plain = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+        plain = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
         cols.append(F.coalesce(F.col("kept").cast("string"), plain).alias("kept_text"))
     return out.select(*cols)
