@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.components import components
-from factloom.shared import forget, settle
+from factloom.shared import forget, settle, small_batches
 
 BANDS, ROWS, BATCH = 40, 5, 25
 MISS = 1e-6
@@ -258,6 +258,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at the threshold itself with probability (1 - t**ROWS)**BANDS, about 2e-5; ``miss`` bounds what
     each pruning step loses.
     """
+    small_batches(docs.sparkSession)
     t = percent / 100
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     signed = settle(source.mapInArrow(_sign(shingle), "id long, n long, f1 long, f2 long, sig binary"), "signed")
@@ -288,8 +289,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     forget(texts, shared, members)
 
-    out = signed.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    comp = F.coalesce("component", "rep", "id")
+    # one row a set, settled, so that the join of all documents is one that AQE can split where a set is hot
+    named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("id", "n", "f1", "f2").join(settle(named, "named"), ["f1", "f2", "n"], "left")
+    comp = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
 
 
