@@ -1,7 +1,7 @@
 """Every registered query of the library against DuckDB on the smallest tables."""
 
 import pytest
-from compare import rows
+from tests.compare import rows
 
 from factloom.registry import QUERIES, SQL
 
