@@ -52,7 +52,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("max_overlap")  # of aligned passages only, so SQL over all alignments has other values for clean documents
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +78,52 @@ _PATH = "CASE WHEN strpos(u, '://') > 0 THEN regexp_extract(substr(u, strpos(u,
 _FIT = " UNION ALL ".join(
     f"SELECT page_id, '{h}{p}' AS rule, '{v}' AS verdict FROM parsed WHERE (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for v, h, p in URL_RULES
 )
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        walk AS (SELECT a AS node, a AS seen FROM near UNION SELECT walk.node, near.b FROM walk JOIN near ON near.a = walk.seen),
+        comp AS (SELECT node, min(seen) AS c FROM walk GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = d.doc_id""",
+    "op2_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM w),
+        win AS (SELECT doc_id, s, md5(array_to_string(ws[s:s+49], ' ')) AS h FROM starts),
+        first AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, s + k AS j FROM win JOIN first USING (h), range(50) r(k) WHERE m < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_suffix_array_dedup": """
+        WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        starts AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS s FROM b),
+        win AS (SELECT doc_id, s, md5(substr(x, s * 2 + 1, 400)) AS h FROM starts),
+        twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT doc_id, s, s - row_number() OVER (PARTITION BY doc_id ORDER BY s) AS r FROM win SEMI JOIN twice USING (h)),
+        runs AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS z FROM hit GROUP BY doc_id, r),
+        marked AS (SELECT *, CASE WHEN a > max(z) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS cut FROM runs),
+        grouped AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY a) AS g FROM marked),
+        spans AS (SELECT doc_id, min(a) AS a, max(z) AS z FROM grouped GROUP BY doc_id, g),
+        gaps AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM spans UNION ALL SELECT doc_id, max(z), 1000000000 FROM spans GROUP BY doc_id),
+        cut AS (SELECT doc_id, string_agg(substr(x, p * 2 + 1, (q - p) * 2), '' ORDER BY p) AS k FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+        n AS (SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+        FROM b LEFT JOIN n USING (doc_id) LEFT JOIN cut USING (doc_id)""",
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS w, generate_subscripts(regexp_extract_all({_LOWER}, '{_WORD}'), 1) AS p FROM documents),
+        i0 AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark),
+        i AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS q, least(13, len(ws)) AS n FROM i0 WHERE len(ws) >= 5),
+        same AS (SELECT doc_id, item_id, p - q AS shift, q, n FROM d JOIN i USING (w)),
+        best AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM same),
+        leak AS (SELECT DISTINCT doc_id, item_id FROM best WHERE c >= CASE WHEN n < 9 THEN n ELSE 0.8 * n END)
+        SELECT doc_id, max(item_id) IS NOT NULL AS contaminated, list_sort(coalesce(list(item_id) FILTER (WHERE item_id IS NOT NULL), [])) AS item_ids, count(item_id) AS n_items FROM documents LEFT JOIN leak USING (doc_id) GROUP BY doc_id""",
     "op9_exact_dedup": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents),
         h AS (SELECT doc_id, sha256(t) AS text_sha256 FROM n)
