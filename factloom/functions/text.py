@@ -97,9 +97,8 @@ def detect_language(text: Column) -> Column:
     accents = F.length(F.regexp_replace(low, f"[^{fixed.FRENCH_LETTERS}]", ""))
     contractions = F.regexp_count(head, F.lit(r"(?:(?<![\p{L}\p{N}_])[lLdDnNsS]'|qu'|j')"))
     fr = count(fixed.FRENCH) + F.when(accents >= 2, accents * 2).otherwise(0) + contractions * 3
-    en, de = count(fixed.ENGLISH), count(fixed.GERMAN)
-    best = F.greatest(en, fr, de)
-    return F.when(en == best, "en").when(fr == best, "fr").otherwise("de")
+    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate((("en", count(fixed.ENGLISH)), ("fr", fr), ("de", count(fixed.GERMAN))))]
+    return F.array_max(F.array(*ranked))["k"]
 
 
 def document_language(override: Column, metadata: Column, text: Column) -> Column:

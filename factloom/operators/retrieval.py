@@ -16,20 +16,22 @@ def query_type(query: Column) -> Column:
     """factual, relational, exploratory by most patterns (in this order on ties); conceptual without any; exploratory if empty."""
     q = F.trim(F.lower(query))
     score = lambda patterns: sum((q.rlike(p).cast("int") for p in patterns), F.lit(0))
-    f, r, e = score(fixed.FACTUAL), score(fixed.RELATIONAL), score(fixed.EXPLORATORY)
-    best = F.greatest(f, r, e)
-    return F.when(q == "", "exploratory").when(best == 0, "conceptual").when(f == best, "factual").when(r == best, "relational").otherwise("exploratory")
+    # each score is written once: repeated, the patterns outgrow what Spark compiles
+    ranked = [F.struct(score(p).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, p) in enumerate((("factual", fixed.FACTUAL), ("relational", fixed.RELATIONAL), ("exploratory", fixed.EXPLORATORY)))]
+    best = F.array_max(F.array(*ranked, F.struct(F.lit(1).alias("n"), F.lit(-9).alias("o"), F.lit("conceptual").alias("k"))))
+    return F.when(q == "", "exploratory").otherwise(best["k"])
 
 
 def plan(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """Adds query_type, levels and estimated_token_cost."""
-    kind = query_type(F.col(query_col))
+    out = queries.withColumn("query_type", query_type(F.col(query_col)))
     empty = F.trim(F.col(query_col)) == ""
-    levels, cost = F.when(empty, F.array(F.lit("community"))), F.when(empty, fixed.LEVEL_COST["community"])
-    for k, ls in fixed.LEVELS.items():
-        levels = levels.when(kind == k, F.array(*map(F.lit, ls)))
-        cost = cost.when(kind == k, sum(fixed.LEVEL_COST[x] for x in ls))
-    return queries.withColumns({"query_type": kind, "levels": levels, "estimated_token_cost": cost})
+    cost = {k: sum(fixed.LEVEL_COST[x] for x in ls) for k, ls in fixed.LEVELS.items()}
+    by_type = lambda table, make: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), make(v))]), F.col("query_type"))
+    return out.withColumns({
+        "levels": F.when(empty, F.array(F.lit("community"))).otherwise(by_type(fixed.LEVELS, lambda v: F.array(*map(F.lit, v)))),
+        "estimated_token_cost": F.when(empty, fixed.LEVEL_COST["community"]).otherwise(by_type(cost, F.lit)),
+    })
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, small: int = 4096) -> DataFrame:
