@@ -25,7 +25,11 @@ def content_hash(text: Column) -> Column:
 def word_shingles(normalized: Column, n: int = 3) -> Column:
     """Word n-grams; a text with fewer words is its own shingle."""
     words = F.split(normalized, " ")
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    # shifted copies zipped together: inside a lambda the words would be split again for every shingle
+    many = F.slice(words, 1, size)
+    for k in range(2, n + 1):
+        many = F.zip_with(many, F.slice(words, k, size), lambda x, y: F.concat(x, F.lit(" "), y))
     return F.when(F.size(words) < n, F.array(normalized)).otherwise(many)
 
 
@@ -37,16 +41,17 @@ def low64(text: Column) -> Column:
 def simhash(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
     """(id, simhash long, simhash_hex) per row: 64 votes over word shingles; empty text has no bits.
 
-    One hash aggregate with 64 sums, partial before the shuffle.
+    Three 21-bit counters share a long, so 22 sums take all votes (up to two million shingles a
+    text) and the aggregate stays within what Spark compiles; it is partial before the shuffle.
     """
     norm = docs.select(F.col(id_col), normalize(F.col(text_col)).alias("_norm"))
-    votes = norm.select(id_col, "_norm", F.explode(word_shingles(F.col("_norm"), n)).alias("_s")).select(id_col, (F.col("_norm") == "").alias("_empty"), low64(F.col("_s")).alias("_h"))
-    sums = [F.sum(F.getbit("_h", F.lit(i)).cast("long") * 2 - 1).alias(f"_b{i}") for i in range(64)]
-    voted = votes.groupBy(id_col, "_empty").agg(*sums)
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"_b{i}") >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(0))
-    value = F.when(F.col("_empty"), F.lit(0).cast("long")).otherwise(value)
+    votes = norm.select(id_col, (F.col("_norm") == "").alias("_empty"), F.explode(word_shingles(F.col("_norm"), n)).alias("_s")).select(id_col, "_empty", low64(F.col("_s")).alias("_h"))
+    lanes = [range(k, min(k + 3, 64)) for k in range(0, 64, 3)]
+    bit = lambda i: f"((shiftrightunsigned(_h, {i})) & 1L)"
+    sums = [F.sum(F.expr(" | ".join(f"shiftleft({bit(i)}, {21 * j})" for j, i in enumerate(lane)))).alias(f"_l{k}") for k, lane in enumerate(lanes)]
+    voted = votes.groupBy(id_col, "_empty").agg(F.count("*").alias("_n"), *sums)
+    terms = [f"if(2 * (shiftrightunsigned(_l{k}, {21 * j}) & 2097151L) >= _n, shiftleft(1L, {i}), 0L)" for k, lane in enumerate(lanes) for j, i in enumerate(lane)]
+    value = F.expr(f"if(_empty, 0L, {' | '.join(terms)})")
     return voted.select(id_col, value.alias("simhash")).withColumn("simhash_hex", F.lpad(F.lower(F.hex("simhash")), 16, "0"))
 
 
@@ -93,7 +98,8 @@ def detect_language(text: Column) -> Column:
     """en, fr or de by stop words in the first 3000 characters; accents and contractions speak for French; ties en, fr, de."""
     head = F.substring(text, 1, 3000)
     low = F.lower(head)
-    count = lambda words: sum((low.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){w}($|[^\p{{L}}\p{{N}}_])").cast("int") for w in words), F.lit(0))
+    seen = F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+"))  # one pass; a word list then costs one intersection
+    count = lambda words: F.size(F.array_intersect(seen, F.array(*map(F.lit, words))))
     accents = F.length(F.regexp_replace(low, f"[^{fixed.FRENCH_LETTERS}]", ""))
     contractions = F.regexp_count(head, F.lit(r"(?:(?<![\p{L}\p{N}_])[lLdDnNsS]'|qu'|j')"))
     fr = count(fixed.FRENCH) + F.when(accents >= 2, accents * 2).otherwise(0) + contractions * 3
