@@ -63,6 +63,16 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarr
     return values[fresh], seen[bounds]
 
 
+def sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a whole column, a chunk at a time: the hashes of a chunk are many times its text."""
+    values, sizes = [np.zeros(0, T.U)], [np.zeros(1, np.int64)]
+    for _, _, raw, off in T.parts(texts, T.CHUNK // 2):
+        v, bounds = shingle_sets(raw, off, k)
+        values.append(v)
+        sizes.append(np.diff(bounds))
+    return np.concatenate(values), np.cumsum(np.concatenate(sizes))
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """16 bits of each of BANDS * ROWS minima, for each non-empty set: (sets, functions)."""
     full = np.flatnonzero(np.diff(bounds))
@@ -160,7 +170,7 @@ def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
         side = np.array([r[8] for r in rows])
         sig = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
         by_band = sig.reshape(len(rows), BANDS, ROWS)
-        values, bounds = shingle_sets(*T.string_bytes(pa.array([r[10] for r in rows], pa.large_string())), shingle)
+        values, bounds = sets_of(pa.array([r[10] for r in rows], pa.large_string()), shingle)
         names = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in rows))}
         root = np.array([names[r[6]] for r in rows])  # relabelled as components merge
         other = np.flatnonzero(side == 1)
@@ -234,8 +244,8 @@ def _verify(percent: int, shingle: int):
             keep = np.zeros(b.num_rows, bool)
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                va, ba = shingle_sets(*T.string_bytes(part.column("ta")), shingle)
-                vb, bb = shingle_sets(*T.string_bytes(part.column("tb")), shingle)
+                va, ba = sets_of(part.column("ta"), shingle)
+                vb, bb = sets_of(part.column("tb"), shingle)
                 for k in range(part.num_rows):
                     x, y = va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]]
                     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
