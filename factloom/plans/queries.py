@@ -445,8 +445,8 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "sp AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <= 5), op AS (SELECT s_name AS s, p_name || ' #' || p_partkey AS o, l_suppkey * 1000000 + l_partkey AS k, l_partkey FROM sp JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"
 
 
-def _opposed(spark: SparkSession, d: str) -> DataFrame:
-    sp = table(spark, d, "lineitem").filter("l_suppkey <= 5").select("l_suppkey", "l_partkey").distinct()
+def _opposed(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    sp = table(spark, d, "lineitem").filter(where).select("l_suppkey", "l_partkey").distinct()
     j = sp.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     k = F.col("l_suppkey") * 1000000 + F.col("l_partkey")
     base = j.select(F.col("s_name").alias("subject"), F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("object"), k.alias("k"), "l_partkey")
@@ -456,19 +456,41 @@ def _opposed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT 'opposing_predicate' AS kind, 'high' AS severity, lower(s) AS subject, 'Opposing predicates ''contains'' and ''excludes'' for (' || lower(s) || ', ' || lower(o) || ').' AS detail FROM op WHERE l_partkey % 10 = 0")
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.contradictions(_opposed(spark, d, "l_suppkey <= 5"))
+
+
+@query(SQL["contradictions"].replace(" WHERE l_suppkey <= 5", ""))
+def contradictions_all(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.contradictions(_opposed(spark, d))
 
 
 @query("WITH v AS (SELECT lower(p_name) AS subject, CAST(p_size AS VARCHAR) AS value, min(p_partkey) AS s FROM part WHERE p_partkey <= 400 GROUP BY 1, 2) SELECT a.subject, 'has_size' AS predicate, a.value AS value_a, b.value AS value_b FROM v a JOIN v b ON a.subject = b.subject AND a.s < b.s")
 def value_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").filter("p_partkey <= 400").select(F.col("p_name").alias("subject"), F.lit("has_size").alias("predicate"), F.col("p_size").cast("string").alias("object"), F.col("p_partkey").alias("seq"))
+    return _sizes_in_conflict(table(spark, d, "part").filter("p_partkey <= 400"))
+
+
+@query(SQL["value_conflicts"].replace(" WHERE p_partkey <= 400", ""))
+def value_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _sizes_in_conflict(table(spark, d, "part"))
+
+
+def _sizes_in_conflict(part: DataFrame) -> DataFrame:
+    p = part.select(F.col("p_name").alias("subject"), F.lit("has_size").alias("predicate"), F.col("p_size").cast("string").alias("object"), F.col("p_partkey").alias("seq"))
     return reasoning.value_conflicts(p).drop("seq_a", "seq_b")
 
 
 @query("WITH f AS (SELECT o_custkey AS subject, 'ordered' AS predicate, o_orderkey AS object, o_orderdate AS s, o_orderdate + INTERVAL 20 DAY AS e, o_orderkey AS seq FROM orders WHERE o_custkey <= 300) SELECT a.subject, a.predicate, a.object AS object_a, b.object AS object_b FROM f a JOIN f b ON a.subject = b.subject AND a.seq < b.seq AND a.object != b.object AND a.s < b.e AND b.s < a.e")
 def temporal_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_custkey <= 300")
-    f = o.select(F.col("o_custkey").alias("subject"), F.lit("ordered").alias("predicate"), F.col("o_orderkey").alias("object"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + interval 20 days").alias("end"), F.col("o_orderkey").alias("seq"))
+    return _orders_in_conflict(table(spark, d, "orders").filter("o_custkey <= 300"))
+
+
+@query(SQL["temporal_conflicts"].replace(" WHERE o_custkey <= 300", ""))
+def temporal_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_in_conflict(table(spark, d, "orders"))
+
+
+def _orders_in_conflict(orders: DataFrame) -> DataFrame:
+    f = orders.select(F.col("o_custkey").alias("subject"), F.lit("ordered").alias("predicate"), F.col("o_orderkey").alias("object"), F.col("o_orderdate").alias("start"), F.expr("o_orderdate + interval 20 days").alias("end"), F.col("o_orderkey").alias("seq"))
     return reasoning.temporal_conflicts(f)
 
 
