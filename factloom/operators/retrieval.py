@@ -71,7 +71,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
 
 
 def _unit(column: pd.Series) -> np.ndarray:
-    v = np.array(column.tolist(), float).reshape(len(column), -1)
+    v = np.array(column.tolist(), float).reshape(len(column), -1 if len(column) else 0)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 

@@ -518,6 +518,16 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+#: The few queries in the SQL of a search, and a hundredth of the rows against all of them.
+_FEW, _HUNDREDTH = "ON q.id < 10 AND v.id >= 10", "ON q.id % 100 = 0"
+
+
+@query(SQL["vector_top_k"].replace(_FEW, _HUNDREDTH))
+def vector_top_k_all(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.top_k(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 5).withColumn("score", F.round("score", 6))
+
+
 def _hits(name: str, patterns: list[str]) -> str:
     return " + ".join(f"regexp_matches(q, '{p}')::INT" for p in patterns) + f" AS {name}"
 
@@ -546,10 +556,26 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.pagerank(_edges(spark, d).filter("relation_type = 'part_of'"), seeds, rounds=6).withColumn("score", F.round("score", 6))
 
 
+@query()
+def pagerank_all(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "region").filter("r_regionkey < 2").select(F.col("r_name").alias("node"))
+    return retrieval.pagerank(_edges(spark, d).filter("relation_type = 'part_of'"), seeds).withColumn("score", F.round("score", 6))
+
+
 @query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.id < 10 AND v.id >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM x), k AS (SELECT query_id, id, 0.3 * s + 0.7 * CASE WHEN id % 2 = 0 THEN (id % 10) / 10.0 ELSE 0 END AS s FROM r WHERE n <= 20), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM k WHERE s >= 0.25) SELECT query_id, id, round(s, 6) AS score, rank FROM f WHERE rank <= 20")
 def entity_retrieval(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    top = retrieval.top_k(v.filter("id < 10").withColumnRenamed("id", "query_id"), v.filter("id >= 10"), 20).drop("rank")
+    return _blended(v.filter("id < 10"), v.filter("id >= 10"), v)
+
+
+@query(SQL["entity_retrieval"].replace(_FEW, _HUNDREDTH))
+def entity_retrieval_all(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return _blended(v.filter("id % 100 = 0"), v, v)
+
+
+def _blended(asked: DataFrame, searched: DataFrame, v: DataFrame) -> DataFrame:
+    top = retrieval.top_k(asked.withColumnRenamed("id", "query_id"), searched, 20).drop("rank")
     ppr = v.filter("id % 2 = 0").select(F.col("id").alias("node"), ((F.col("id") % 10) / 10).alias("score"))
     return retrieval.prune(retrieval.blend_scores(top, ppr), "entity").withColumn("score", F.round("score", 6))
 
@@ -596,7 +622,7 @@ def retrieve_context(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("vec_id") % 3 == 0, "community").when(F.col("vec_id") % 3 == 1, "entity").otherwise("chunk")
     vectors = v.select(F.col("vec_id").alias("id"), level.alias("level"), "embedding", F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("content"))
     edges = v.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
-    queries = v.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 2 == 0, "explain it").otherwise("how are they related").alias("query"), "embedding")
+    queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 200 == 0, "explain it").otherwise("how are they related").alias("query"), "embedding")
     return retrieval.retrieve(queries, vectors, edges)
 
 

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from datetime import timedelta
 
+import numpy as np
+
 from factloom.registry import QUERIES, SQL
 
 
@@ -37,3 +39,42 @@ def test_contradictions_of_all_suppliers(spark, sf):
 def test_whole_tables_in_sql_too():
     for name in ("value_conflicts", "temporal_conflicts", "contradictions"):
         assert "<= " in SQL[name] and "<= " not in SQL[f"{name}_all"]
+
+
+def test_searches_ask_a_hundredth_of_all_rows(spark, sf):
+    rows = sorted(_read(spark, sf, "embeddings", "vec_id", "embedding"))
+    ids, v = [i for i, _ in rows], np.array([e for _, e in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    top, blended = {}, {}
+    for q in (i for i in ids if i % 100 == 0):
+        score = dict(zip(ids, v @ v[ids.index(q)], strict=True))
+        best = sorted(ids, key=lambda i: (-score[i], i))
+        top[q] = best[:5]
+        mixed = {i: 0.3 * score[i] + 0.7 * (i % 10 / 10 if i % 2 == 0 else 0) for i in best[:20]}
+        blended[q] = sorted((i for i in mixed if mixed[i] >= 0.25), key=lambda i: (-mixed[i], i))
+    for name, want in (("vector_top_k_all", top), ("entity_retrieval_all", blended)):
+        got = defaultdict(list)
+        for r in QUERIES[name](spark, sf).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["id"])
+        assert dict(got) == {q: x for q, x in want.items() if x}
+    assert len(top) == len([i for i in ids if i % 100 == 0]) and all(x[0] == q for q, x in top.items())
+
+
+def test_context_for_a_hundredth_of_all_rows(spark, sf):
+    want = {i for (i,) in _read(spark, sf, "embeddings", "vec_id") if i % 100 == 0}
+    assert {r["query_id"] for r in QUERIES["retrieve_context"](spark, sf).collect()} == want
+
+
+def test_pagerank_runs_the_operators_rounds(spark, sf):
+    part_of = {(n, r) for n, k in _read(spark, sf, "nation", "n_name", "n_regionkey") for r, j in _read(spark, sf, "region", "r_name", "r_regionkey") if k == j}
+    homes = {n for (n,) in _read(spark, sf, "customer", "c_nationkey")}
+    named = {n for n, k in _read(spark, sf, "nation", "n_name", "n_nationkey") if k in homes}
+    near = defaultdict(set)
+    for a, b in ((a, b) for n, r in part_of if n in named for a, b in ((n, r), (r, n))):
+        near[a].add(b)
+    seeds = {r for r, k in _read(spark, sf, "region", "r_name", "r_regionkey") if k < 2 and r in near}
+    score = {a: 1 / len(near) for a in near}
+    for _ in range(20):
+        score = {a: 0.15 * (a in seeds) / len(seeds) + 0.85 * sum(score[b] / len(near[b]) for b in near[a]) for a in near}
+    got = {r["node"]: r["score"] for r in QUERIES["pagerank_all"](spark, sf).collect()}
+    assert got.keys() == score.keys() and all(abs(got[a] - score[a] / max(score.values())) < 2e-6 for a in got)
