@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from factloom.llm import textkit as T
 from factloom.shared import small_batches
 
-#: Fixed masks. With 13 words and up to 2 substitutions at least one mask fits somewhere (tested).
+#: Fixed masks. With 12 or 13 words and up to 2 substitutions at least one mask fits somewhere (tested).
 MASKS = ("111011001", "10000110111", "1101010011", "111100101")
+#: Items of 9 to 11 words have these, too: with them each length stands all substitutions that AGREE tolerates (tested).
+MORE = ("10011111", "11101011", "10110111")
 WINDOW, AGREE, LEAST = 13, 0.8, 5
 SMALL = 1_000_000
 _BITS = 24
@@ -33,9 +35,14 @@ def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def seeds(h: np.ndarray, mask: int) -> np.ndarray:
+def masks_of(words: int) -> tuple[str, ...]:
+    """The masks of an item of so many words."""
+    return MASKS + MORE if min(map(len, MASKS)) <= words < 12 else MASKS
+
+
+def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     """Seed hash at each start; the last span-1 words start none."""
-    places = _places(MASKS[mask])
+    places = _places(mask)
     n = len(h) - places[-1]
     if n <= 0:
         return np.zeros(0, T.U)
@@ -44,7 +51,7 @@ def seeds(h: np.ndarray, mask: int) -> np.ndarray:
         total = np.zeros(n, T.U)
         for k, p in enumerate(places):
             total += h[p : p + n] * factor[k + 1]
-        return T.mix(total + T.U(mask + 1))
+        return T.mix(total + T.U(int(mask, 2)))
 
 
 def whole(h: np.ndarray) -> np.ndarray:
@@ -69,6 +76,7 @@ class Tests:
         self.ids, self.words = [], []
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.short: dict[int, dict[int, list[int]]] = {}
+        self.masks = MASKS
         least = min(len(m) for m in MASKS)
         for item, text in items:
             raw, off = T.string_bytes(pa.array([text or ""]))
@@ -80,7 +88,9 @@ class Tests:
             self.words.append(h)
             if len(h) < least:
                 self.short.setdefault(len(h), {}).setdefault(int(whole(h)[0]), []).append(k)
-            for m in range(len(MASKS)):
+            own = masks_of(len(h))
+            self.masks = tuple(dict.fromkeys(self.masks + own))
+            for m in own:
                 s = seeds(h, m)
                 if len(s):
                     rows.append((s, np.full(len(s), k), np.arange(len(s))))
@@ -93,7 +103,7 @@ class Tests:
     def hits(self, h: np.ndarray) -> set[tuple[int, int]]:
         """(item, shift) of every seed that a document of these words shares."""
         found: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
+        for m in self.masks:
             s = seeds(h, m)
             at = np.flatnonzero(self.map[(s >> T.U(64 - _BITS)).astype(np.int64)])
             if not len(at):
@@ -128,7 +138,7 @@ def _search(tests, agree: float, window: int):
                 h = words.hashes()
                 # which documents hold any seed at all, for the whole chunk at once
                 suspect = np.zeros(j - i, bool)
-                for m in range(len(MASKS)):
+                for m in t.masks:
                     at = np.flatnonzero(t.map[(seeds(h, m) >> T.U(64 - _BITS)).astype(np.int64)])
                     suspect[np.searchsorted(words.off, at, "right") - 1] = True
                 for k in range(j - i):
@@ -147,8 +157,17 @@ def _search(tests, agree: float, window: int):
     return run
 
 
-def _seed_rows(bits):
-    """(id, seed, at) of a text column; with a bit map only the seeds that it has."""
+def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The items' numbers of words up to 12, each once a batch."""
+    for b in batches:
+        found: set[int] = set()
+        for _, _, raw, off in T.parts(b.column(1)):
+            found.update(np.minimum(np.diff(T.Words(T.lower(raw), off).off), 12).tolist())
+        yield pa.record_batch([pa.array(sorted(found), pa.int64())], names=["words"])
+
+
+def _seed_rows(masks, bits=None):
+    """(id, seed, at) of a text column, by the masks that fit a number of words; with a bit map only the seeds that it has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +177,7 @@ def _seed_rows(bits):
                 h = words.hashes()
                 for k in range(j - i):
                     own = h[words.off[k] : words.off[k + 1]]
-                    for m in range(len(MASKS)):
+                    for m in masks(len(own)):
                         s = seeds(own, m)
                         at = np.arange(len(s)) if bits is None else np.flatnonzero(bits.value[(s >> T.U(64 - _BITS)).astype(np.int64)])
                         if len(at):
@@ -199,13 +218,15 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
         out = source.mapInArrow(_search(known, agree, window), _RESULT)
     else:
         # bits of a fixed size, whatever the size of the test table
-        keys = items.mapInArrow(_seed_rows(None), "id long, seed long, at long")
+        keys = items.mapInArrow(_seed_rows(masks_of), "id long, seed long, at long")
+        known = {r["words"] for r in items.mapInArrow(_lengths, "words long").distinct().collect()}  # at most 13 numbers
+        asked = tuple(dict.fromkeys(m for n in sorted(known) for m in masks_of(n)))
         slots = keys.select(F.shiftrightunsigned("seed", 64 - _BITS).alias("s")).groupBy(F.expr("int(s div 8)").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(s % 8))")).alias("bits"))
         packed = np.zeros(1 << (_BITS - 3), np.uint8)
         for byte, bits in slots.toLocalIterator():  # at most 2**21 rows
             packed[byte] = bits
         bits = spark.sparkContext.broadcast(np.unpackbits(packed, bitorder="little").astype(bool))
-        mine = source.mapInArrow(_seed_rows(bits), "id long, seed long, at long")
+        mine = source.mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long")
         pairs = mine.join(keys.toDF("item", "seed", "q"), "seed").select("id", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
         checked = pairs.join(source, "id").join(items, "item").mapInArrow(_check_pairs(agree, window), "id long, item long, ok boolean, same long")
         found = checked.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("item_ids"), F.max("same").alias("max_overlap"))

@@ -158,6 +158,28 @@ def test_leaks_equal_brute_force(spark, small):
     assert not decontaminate.find_leaks(df, tests.limit(0)).filter("contaminated").count()
 
 
+def _substituted(spark, lengths, small):
+    """(doc, item, tolerated) rows: an item of each length under all sets of up to three substitutions, in other words."""
+    import itertools
+
+    docs, want, items = [], {}, {n: [f"w{n}x{q}" for q in range(n)] for n in lengths}
+    for n, item in items.items():
+        least = n if n < 9 else 0.8 * n
+        for k in range(4):
+            for bad in itertools.combinations(range(n), k):
+                want[len(docs)] = [n] if n - k >= least else []
+                docs.append((len(docs), " ".join(["a"] * (len(docs) % 5) + ["sub" if q in bad else w for q, w in enumerate(item)] + ["z", "z"])))
+    tests = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), tests, small=small).collect()
+    return {r["doc_id"]: r["item_ids"] for r in found}, want
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_every_tolerated_substitution_is_found_at_each_length(spark, small):
+    got, want = _substituted(spark, range(9, 14), small)
+    assert got == want
+
+
 # --- pieces
 
 
