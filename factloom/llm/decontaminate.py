@@ -36,8 +36,10 @@ def _places(mask: str) -> list[int]:
 
 
 def masks_of(words: int) -> tuple[str, ...]:
-    """The masks of an item of so many words."""
-    return MASKS + MORE if min(map(len, MASKS)) <= words < 12 else MASKS
+    """The masks of an item of so many words; one under nine is matched as a whole."""
+    if words < min(map(len, MASKS)):
+        return ("1" * words,) if words >= LEAST else ()
+    return MASKS + MORE if words < 12 else MASKS
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -54,11 +56,6 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
         return T.mix(total + T.U(int(mask, 2)))
 
 
-def whole(h: np.ndarray) -> np.ndarray:
-    """One hash for an item too short for a mask."""
-    return T.grams(h, len(h), int(T._P))
-
-
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int, window: int = WINDOW) -> tuple[int, int]:
     """(most equal words within a window, the window's words) with item word q at document word q + shift."""
     w = min(window, len(item))
@@ -75,9 +72,7 @@ class Tests:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.short: dict[int, dict[int, list[int]]] = {}
-        self.masks = MASKS
-        least = min(len(m) for m in MASKS)
+        self.masks: tuple[str, ...] = ()
         for item, text in items:
             raw, off = T.string_bytes(pa.array([text or ""]))
             h = T.Words(T.lower(raw), off).hashes()
@@ -86,8 +81,6 @@ class Tests:
             k = len(self.ids)
             self.ids.append(item)
             self.words.append(h)
-            if len(h) < least:
-                self.short.setdefault(len(h), {}).setdefault(int(whole(h)[0]), []).append(k)
             own = masks_of(len(h))
             self.masks = tuple(dict.fromkeys(self.masks + own))
             for m in own:
@@ -111,10 +104,6 @@ class Tests:
             lo, hi = np.searchsorted(self.value, s[at], "left"), np.searchsorted(self.value, s[at], "right")
             for p, a, z in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 found.update(zip(self.owner[a:z].tolist(), (p - self.at[a:z]).tolist(), strict=True))
-        for n, table in self.short.items():
-            for p, v in enumerate(T.grams(h, n, int(T._P)).tolist()):
-                for k in table.get(v, ()):
-                    found.add((k, p))
         return found
 
 
@@ -144,7 +133,7 @@ def _search(tests, agree: float, window: int):
                 for k in range(j - i):
                     own = h[words.off[k] : words.off[k + 1]]
                     best, found = 0, set()
-                    if (suspect[k] or t.short) and len(own) >= LEAST:
+                    if suspect[k] and len(own) >= LEAST:
                         for item, shift in t.hits(own):
                             same, w = overlap(own, t.words[item], shift, window)
                             best = max(best, same)

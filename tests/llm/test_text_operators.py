@@ -180,6 +180,12 @@ def test_every_tolerated_substitution_is_found_at_each_length(spark, small):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_short_items_match_as_a_whole_whatever_the_size(spark, small):
+    got, want = _substituted(spark, range(4, 9), small)
+    assert got == {i: [n for n in w if n >= decontaminate.LEAST] for i, w in want.items()} and any(got.values())
+
+
 # --- pieces
 
 
