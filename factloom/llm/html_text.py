@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
+_TAG = re.compile(r"</?[a-zA-Z]")
+_STOP = re.compile(r">|=\s*+[\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _GAP = re.compile(r"[ \t\n\r\f]+")
@@ -67,14 +69,44 @@ def _close(stack: list[Node], tags: frozenset, bound: frozenset) -> None:
         del stack[cut:]
 
 
+class _Ends:
+    """Ends of tags: the first ``>`` outside quoted values. Linear over a page: what was searched in vain is kept."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.at, self.stop, self.last = 0, -1, -1  # the first stop from ``at`` on (the length of the page if there is none), its last character
+        self.dead: set[int] = set()  # opening quotes from which no end was found
+
+    def after(self, at: int) -> int:
+        """The position behind the tag that starts here, 0 if it never ends."""
+        html, opened = self.html, []
+        while True:
+            if not self.at <= at <= self.stop:
+                m = _STOP.search(html, at)
+                self.at, self.stop, self.last = at, *((m.start(), m.end() - 1) if m else (len(html), len(html)))
+            i = self.last
+            if i == len(html) or i in self.dead:
+                break
+            if html[i] == ">":
+                return i + 1
+            opened.append(i)
+            at = html.find(html[i], i + 1) + 1
+            if not at:
+                break
+        self.dead.update(opened)
+        return 0
+
+
 def parse(html: str) -> Node:
     """The element tree; every byte of text is somewhere in it."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
     counts: dict[str, int] = {}  # open p and li, to skip pointless searches
+    ends = _Ends(html)
     while at < n:
-        m = _TOKEN.match(html, at)
-        token, at = m[0], m.end()
+        end = ends.after(at) if _TAG.match(html, at) else 0
+        end = end or _TOKEN.match(html, at).end()
+        token, at = html[at:end], end
         if token[0] != "<" or token == "<":
             stack[-1].children.append(token)
             continue

@@ -321,6 +321,20 @@ def test_deep_and_broken_pages_do_not_fail():
         html_text.html_to_text("".join(rng.choice(["<p>", "</p>", "<li>", "<table>", "<td>", "</tr>", "<ul>", "</ul>", "x ", "&amp;", "<", ">", "\"", "<!--", "-->", "<pre>"]) for _ in range(40)))
 
 
+def test_quoted_values_of_any_length():
+    import time
+
+    for quote in "\"'":
+        long = f"{quote}data:image/png;base64,{'iVBORw0KGgo+' * 30_000}a>b{quote}"
+        assert html_text.html_to_text(f"<p>a <img src={long}>b</p>") == "a b"
+        assert html_text.html_to_text(f"x<div data-x={long} hidden>gone</div>y") == "xy"
+    assert html_text.html_to_text(f"<p don't>{'seen ' * 9_000}<p class='b'>z") == ("seen " * 9_000).strip() + "\n\nz"  # a quote opens values only
+    for page in ("<a b=\"" * 40_001, "<a " * 40_000, "<a b='" * 40_001, "<a " * 40_000 + "b='", "<a b='\">" * 40_001, "<a b='<a c=\"" * 40_001):
+        start = time.process_time()
+        html_text.html_to_text(page)
+        assert time.process_time() - start < 5
+
+
 def test_every_visible_word_of_the_pages_is_there(spark, sf):
     import re
     from html import unescape
