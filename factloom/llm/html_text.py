@@ -4,7 +4,9 @@ The builder closes what HTML closes by itself (p, li, dt/dd, option, table parts
 end tags and never fails on malformed input. The renderer emits all visible text: blocks get
 their own lines, paragraphs and headings a blank line, list items a marker and indentation,
 table rows aligned cells; ``pre`` keeps its white space. Hidden are head matter, scripts, styles,
-templates, the ``hidden`` attribute, ``display:none`` / ``visibility:hidden`` and closed dialogs.
+templates, the ``hidden`` attribute, ``display:none`` / ``visibility:hidden``, closed dialogs, options
+not shown and what stands for embedded media (alt texts, fallbacks of iframe, audio, video, canvas).
+Shown are the chosen options of a select, the values of inputs, svg labels and object fallbacks.
 Both run without recursion over depth (tables nest by recursion, to a fixed depth, then inline).
 """
 
@@ -28,9 +30,14 @@ _GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
-UNSEEN = frozenset("head script style template title meta link noembed noframes iframe object audio video canvas svg datalist select area base param source track".split())
+UNSEEN = frozenset("head script style template title meta link noembed noframes iframe audio video canvas datalist area base param source track".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre figure form".split())
+#: inputs whose value is not shown as text; parts of svg that are not drawn themselves; elements that end an svg left open
+MUTE = frozenset("hidden password checkbox radio file color range image".split())
+UNDRAWN = frozenset("defs symbol desc metadata title style script clippath mask pattern marker filter lineargradient radialgradient".split())
+_BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_HTML_IN_SVG = ("foreignobject", "desc", "title")
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 #: start tag -> (open elements it closes, elements that bound the search)
 _LISTS, _TABLE = frozenset("ul ol menu dir".split()), frozenset(["table"])
@@ -136,6 +143,11 @@ def parse(html: str) -> Node:
             gone, stack = stack, stack[:-1]
             counts["head"] -= 1
             before = len(stack)
+        if name in _BREAKS and counts.get("svg") and not any(counts.get(x) for x in _HTML_IN_SVG):
+            cut = next(i for i, x in enumerate(stack) if x.tag == "svg")
+            for x in stack[cut:]:
+                counts[x.tag] -= 1
+            del stack[cut:]
         if name in _CLOSES_P and counts.get("p"):
             old = stack[:]
             _close(stack, frozenset(["p"]), _P_BOUND)
@@ -149,6 +161,8 @@ def parse(html: str) -> Node:
         del before, gone
         node = Node(name, token[len(name) + 1 : -1])
         stack[-1].children.append(node)
+        if token.endswith("/>") and (name == "svg" or counts.get("svg")) and not counts.get("foreignobject"):
+            continue
         if name in RAW:
             end = RAW[name].search(html, at)
             node.children.append(html[at : end.start() if end else n])
@@ -204,6 +218,14 @@ class _Lines:
         self.space = words[-1] == " "
         self.now.append(words[:-1] if self.space else words)
 
+    def apart(self, texts: list[str]) -> None:
+        """Plain texts, a gap around each."""
+        for s in texts:
+            if s.strip():
+                self.space = bool(self.now)
+                self.text(s.replace("&", "&amp;"), False)
+                self.space = True
+
     def end(self, force: bool = False) -> None:
         if self.now or force or self.marker:
             lead = "".join(self.indent)
@@ -237,7 +259,19 @@ def render(root: Node, depth: int = 0) -> str:
             if tag == "br":
                 lines.end(force=True)
                 continue
-            if tag == "img" or tag == "input":
+            if tag == "img":
+                continue
+            if tag == "input":
+                a = _attributes(x.attrs)
+                if a.get("type", "").strip().lower() not in MUTE:
+                    lines.apart([a.get("value", "")])
+                continue
+            if tag == "select":
+                lines.apart(_chosen(x))
+                continue
+            if tag == "svg":
+                stack.append((2, x))
+                stack += [(0, c) for c in reversed(_drawn(x))]
                 continue
             if tag == "table" and depth < TABLE_DEPTH:
                 lines.end()
@@ -269,8 +303,12 @@ def render(root: Node, depth: int = 0) -> str:
                 pre += 1
             elif tag in ("td", "th"):
                 lines.space = bool(lines.now)
+            elif tag == "text":
+                lines.space = bool(lines.now)
             stack.append((1, x))
             stack += [(0, c) for c in reversed(x.children)]
+        elif kind == 2:
+            lines.space = bool(lines.now)
         else:
             tag = x.tag
             if tag in BLOCK:
@@ -293,6 +331,58 @@ def render(root: Node, depth: int = 0) -> str:
     return "\n".join(lines.out)
 
 
+def _inner(node: Node) -> str:
+    """The text under a node, character references resolved."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(unescape(x))
+        elif x is node or not hidden(x):
+            stack += reversed(x.children)
+    return _GAP.sub(" ", "".join(out)).strip()
+
+
+def _chosen(select: Node) -> list[str]:
+    """Labels that a select shows: all of a list box, else the last selected option or the first one that can be."""
+    a = _attributes(select.attrs)
+    size = a.get("size", "").strip()
+    box = "multiple" in a or (size.isdecimal() and int(size[:9]) > 1)
+    shown: list[str] = []
+    pick, first = None, None
+    stack = [(c, False) for c in reversed(select.children)]
+    while stack:
+        x, off = stack.pop()
+        if isinstance(x, str) or hidden(x):
+            continue
+        a = _attributes(x.attrs)
+        if x.tag == "option":
+            label = a.get("label") or _inner(x)
+            shown.append(label)
+            pick = label if "selected" in a else pick
+            first = label if first is None and not off and "disabled" not in a else first
+            continue
+        if x.tag == "optgroup":
+            off = off or "disabled" in a
+            shown.append(a.get("label", ""))
+        stack += [(c, off) for c in reversed(x.children)]
+    return shown if box else [pick if pick is not None else first or ""]
+
+
+def _drawn(svg: Node) -> list[Node]:
+    """The labels (text) and embedded HTML of an svg, without those under parts that are not drawn."""
+    out, stack = [], list(reversed(svg.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.tag in UNDRAWN or hidden(x):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            out.append(x)
+        else:
+            stack += reversed(x.children)
+    return out
+
+
 def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     captions, rows, stack = [], [], list(reversed(table.children))
     while stack:

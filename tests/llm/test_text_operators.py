@@ -335,6 +335,21 @@ def test_quoted_values_of_any_length():
         assert time.process_time() - start < 5
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("a<select><option>x<option selected>y &amp; z<option>w</select>b", "a y & z b"), ("<select><option disabled>pick<option>x<option>y</select>", "x"), ("<select><optgroup label=g disabled><option>x</optgroup><option label=l>y</select>", "l"),
+        ("<select multiple><optgroup label=g><option>x<option>y</select>", "g x y"), ("<select hidden><option>x</select>", ""), ("<select></select>z", "z"),
+        ("<svg viewBox='0 0 1 1'><title>t</title><defs/><path d='M0 0'/><g><text x=1>one</text><text>t<tspan>wo</tspan></text></g><style>p{}</style></svg>after", "one two after"),
+        ("<svg><defs><text>no</text></defs><symbol><text>no</text></symbol></svg>z", "z"), ("<svg/>z", "z"), ("<svg><path><p>kept</p>", "kept"), ("<svg><foreignObject><div>html</div></foreignObject></svg>z", "html\nz"),
+        ("<object data=x.swf><param name=a><p>fall back</p></object>", "fall back"), ("<input type=submit value='Go &amp; find'> <input type=hidden value=h><input type=PASSWORD value=p><input value=shown><input type=button value=b hidden>", "Go & find shown"),
+        ("<table><tr><td><select><option>x<option>y</select><td><input type=reset value=r></table>", "x | r"),
+    ],
+)
+def test_forms_svg_and_objects(html, text):
+    assert html_text.html_to_text(html) == text
+
+
 def test_every_visible_word_of_the_pages_is_there(spark, sf):
     import re
     from html import unescape
