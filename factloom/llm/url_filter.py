@@ -3,7 +3,8 @@
 Rules decide first: a rule fits its host and all subdomains where the url's path starts with the
 rule's, and the longest rule wins. Urls without a rule take the decision of their aliases:
 redirect and canonical-link edges (from ``<link rel=canonical>``, ``<meta http-equiv=refresh>``, a
-table of observed redirects, and the spelling of the url itself) join urls into distributed
+table of observed redirects, and the spelling of the url itself; relative targets are resolved
+against the page's ``<base>`` or url) join urls into distributed
 connected components; a block decision reaches every alias, and an explicit allow in the
 component takes precedence over it. Everything runs as SQL expressions and joins.
 """
@@ -22,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LITERAL_RULES = 1000
 _CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -51,6 +53,39 @@ def alias_key(url: Column) -> Column:
     return F.when(host == "", F.coalesce(url, F.lit(""))).otherwise(key)
 
 
+def _no_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments of a path resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit("")), step)
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), the value written once: repeated, nested expressions outgrow the planner."""
+    return F.transform(F.array(value), use)[0]
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """A link's target as a full url; null where it is empty, has a scheme without ``//``, or base is no full url."""
+    return _bound(F.struct(F.coalesce(base, F.lit("")).alias("base"), target.alias("target")), lambda x: _resolved(x["base"], x["target"]))
+
+
+def _resolved(base: Column, target: Column) -> Column:
+    root = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    own = F.concat(root, path_of(base))
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), r"^(.*/)", 1)
+    whole = F.when(target.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target).when((target == "") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (root == ""), None)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), target)).when(target.startswith("#"), F.concat(own, query, target))
+        .when(target.startswith("?"), F.concat(own, target)).otherwise(F.concat(root, _bound(whole, _no_dots), rest))
+    )
+
+
 def _rule_literal(rules: Sequence[tuple[str, str, str]], host: Column, path: Column) -> Column:
     by_host: dict[str, list] = {}
     for verdict, rule_host, rule_path in rules:
@@ -84,21 +119,22 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
 
 
 def link_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) alias keys joined by canonical links, refresh redirects and the given table (src, dst urls)."""
+    """(src, dst) alias keys joined by canonical links, refresh redirects and the given table (src, dst urls; dst may be relative to src)."""
     edges = []
     if html_col in pages.columns:
         html = F.col(html_col)
         for pattern, hint in ((_CANONICAL, "canonical"), (_REFRESH, "refresh")):
             target = F.regexp_extract(html, pattern, 1)
-            edges.append(pages.filter(F.lower(html).contains(hint)).select(F.col(url_col).alias("src"), target.alias("dst")))
+            linking = pages.filter(F.lower(html).contains(hint)).select(F.col(url_col).alias("src"), target.alias("_to"), F.regexp_extract(html, _BASE, 1).alias("_base")).filter("_to != ''")
+            edges.append(linking.select("src", resolve(F.coalesce(resolve(F.col("src"), F.col("_base")), F.col("src")), F.col("_to")).alias("dst")))
     if redirects is not None:
-        edges.append(redirects.select("src", "dst"))
+        edges.append(redirects.select("src", resolve(F.col("src"), F.col("dst")).alias("dst")))
     if not edges:
         return pages.sparkSession.createDataFrame([], "src string, dst string")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
-    out = out.filter(F.col("dst").contains("://")).select(alias_key(F.col("src")).alias("src"), alias_key(F.col("dst")).alias("dst"))
+    out = out.filter("dst is not null").select(_bound(F.col("src"), alias_key).alias("src"), _bound(F.col("dst"), alias_key).alias("dst"))
     return out.filter("src != dst").distinct()
 
 

@@ -282,6 +282,30 @@ def test_blocks_spread_over_aliases_and_allows_win(spark):
         assert got[5] == ("allow", "alias") and got[6] == ("block", "rule") and got[7] == ("allow", "rule") and got[8] == ("allow", "default")
 
 
+def test_targets_are_resolved_as_urls(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.org/x/y/z.html?q=1#f", "https://a.org", "http://a.org/"]
+    targets = ["http://b.net/1", "//b.net/es/1", "/en/page", "page.html", "./p", "../p", "../../../p/", "/a/./b/../c", "a/..", ".", "..", "?k=2", "p?u=http://c.org/", "p#a/../b", "/p?x=/../y", "#top"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for r in df.withColumn("got", url_filter.resolve(F.col("base"), F.col("target"))).collect():
+        want = urljoin(r["base"], r["target"])
+        assert r["got"].removesuffix("/") == want.removesuffix("/"), (r, want)
+    none = spark.createDataFrame([("http://a.org/", "mailto:x@y"), ("http://a.org/", ""), ("no scheme", "p"), (None, "p"), ("http://a.org/", None)], "base string, target string")
+    assert none.filter(url_filter.resolve(F.col("base"), F.col("target")).isNotNull()).count() == 0
+
+
+def test_blocks_spread_over_relative_links(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        ("http://p.org/a/1", link("2.html")), ("http://p.org/a/2", '<meta http-equiv="refresh" content="0; url=/b">'), ("http://p.org/b", link("//bad.net/es/1")), ("http://bad.net/es/1", ""),
+        ("http://r.org/c/d", ""), ("http://r.org/moved", link("http://bad.net/fr/1")), ("http://bad.net/fr/1", ""), ("http://s.org/1", '<base href="http://bad.net/es/"><link rel=canonical href=1>'), ("http://lone.org/1", link("/2")),
+    ]
+    redirects = spark.createDataFrame([("http://r.org/c/d", "../moved")], "src string, dst string")
+    got = {r["page_id"]: (r["verdict"], r["via"]) for r in url_filter.url_filter(_pages(spark, rows), RULES, redirects).collect()}
+    assert all(got[i] == ("block", "alias") for i in (0, 1, 2, 4, 5, 7)) and got[3] == got[6] == ("block", "rule") and got[8] == ("allow", "default")
+
+
 def test_many_rules_are_joined(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LITERAL_RULES", 2)
     pages = _pages(spark, [("https://A.Example.com/en/x", None), ("http://www.example.com/en/1", ""), ("http://x.net/es/", None), (None, None)])
