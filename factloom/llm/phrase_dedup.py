@@ -11,11 +11,20 @@ a document's parse is its sequence of entries.
    thousand times is one entry: all windows of an entry with two occurrences are repeated.
 3. Only entries that occur once need comparing. For all entries of a trigger a suffix array is
    built (prefix doubling up to the window length); windows adjacent in it with a common prefix
-   of the full length are repeated. Suffixes of different triggers can't share a window, so these
-   arrays, in trigger order, are the corpus order as far as windows are concerned.
+   of the full length are repeated.
 4. The parse carries the verdicts back to the documents.
 
-A trigger with very many distinct entries leaves the suffix array to a join on window hashes.
+Corpus order: two suffixes are ordered by their entries as long as these differ, by the parse behind them
+where the entries are equal. A window never leaves the entry that it starts in, as an entry is
+extended until its last window is complete, so the first ``length`` bytes of every suffix are ordered
+by the dictionary alone, and suffixes with different triggers share no window. What the parse
+has to add is which document each entry stands in: that is step 4. (Held against all windows of all texts in the tests.)
+
+A trigger with very many distinct entries (a passage with other surroundings each time) has its
+phrases cut: all windows that hold the trigger at about the same place form a shorter entry, is
+counted again, and is compared within the cell of entries that agree in the bytes common to all of
+its windows, by a suffix array again. Cells that are still too large are cut again, down to single windows,
+which counting settles.
 """
 
 from __future__ import annotations
@@ -34,8 +43,10 @@ from factloom.shared import forget, settle, small_batches
 
 LENGTH = 200
 GRAM = 50
-#: Distinct once-seen entries of one trigger that one task compares by suffix array.
+#: Distinct entries that one suffix array compares; beyond it they are cut.
 HOT = 2000
+#: Places of the trigger in one cut entry, level by level.
+CUTS = (32, 8, 1)
 #: Bytes of entries in one suffix array.
 SLAB = 1 << 19
 
@@ -127,7 +138,7 @@ def _span_hash(raw: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def _fetch(length: int):
-    """Rows (id, text, wanted entries) -> the entries' bytes, or for hot triggers their windows' hashes."""
+    """Rows (id, text, wanted entries) -> the entries' bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,23 +147,88 @@ def _fetch(length: int):
                 data = raw.tobytes()
                 rows: list[tuple] = []
                 for k in range(j - i):
-                    own = raw[off[k] : off[k + 1]]
-                    hashes = None
                     for w in want[i + k].as_py():
-                        a, z = off[k] + w["first"], off[k] + w["first"] + w["count"] + length - 1
-                        windows = None
-                        if w["hot"]:
-                            if hashes is None:
-                                hashes = T.byte_grams(own, length, 1)
-                            windows = hashes[w["first"] : w["first"] + w["count"]].view(np.int64).tolist()
-                        rows.append((w["h"], w["ck"], w["n"], None if w["hot"] else data[a:z], windows))
+                        a = off[k] + w["first"]
+                        rows.append((w["h"], w["ck"], w["n"], w["hot"], data[a : a + w["count"] + length - 1]))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "ck", "n", "entry", "windows"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "ck", "n", "hot", "entry"])
 
     return run
 
 
+_CUT = "h long, ck long, base long, once boolean, n long, at array<long>, count long, core long, content long, entry binary"
+
+
+def _cut(length: int, places: int, gram: int = GRAM):
+    """Rows (h, ck, base, n, entry) -> the entry's shorter entries, each once, with all their first windows ``at``.
+
+    The windows of one hold the trigger at ``places`` neighbouring places at most, always divided
+    alike, so equal windows of two entries come into shorter entries with the same ``core``: the
+    bytes that all windows with the trigger at these places have in common. ``n`` counts an entry's repeats inside its own text.
+    """
+    width = length - gram + 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, ck, base, n = (b.column(c).to_pylist() for c in ("h", "ck", "base", "n"))
+            for i, j, raw, off in T.parts(b.column("entry")):
+                data = raw.tobytes()
+                start = np.flatnonzero(T.within(off, length, len(raw))) if len(raw) >= length else np.zeros(0, np.int64)
+                if not len(start):
+                    continue
+                trigger = T.sliding_argmin(np.maximum(T.byte_grams(raw, gram), T.U(1)), width)[start]
+                block = (trigger - start) // places
+                turn = np.ones(len(start), bool)
+                turn[1:] = (start[1:] != start[:-1] + 1) | (trigger[1:] != trigger[:-1]) | (block[1:] != block[:-1])
+                first = np.flatnonzero(turn)
+                count = np.diff(np.append(first, len(start)))
+                a, t, low = start[first], trigger[first], block[first] * places
+                high = np.minimum(low + places, width) - 1
+                content = _span_hash(raw, a, a + count + length - 1).view(np.int64).tolist()
+                core = _span_hash(raw, t - low, t - high + length).view(np.int64).tolist()
+                own = np.searchsorted(off, a, "right") - 1
+                rows: dict[tuple, list] = {}
+                for k, o, x, c in zip(range(len(a)), own.tolist(), a.tolist(), count.tolist(), strict=True):
+                    at = x - int(off[o])
+                    if (row := rows.get((o, core[k], content[k]))) is None:
+                        e = i + o
+                        rows[o, core[k], content[k]] = [h[e], ck[e], base[e], n[e] == 1, n[e], [at], c, core[k], content[k], data[x : x + c + length - 1]]
+                    else:
+                        row[4] += n[i + o]
+                        row[5].append(at)
+                kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64()] + [pa.list_(pa.int64())] + [pa.int64()] * 3 + [pa.binary()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows.values(), strict=True), kinds, strict=True)], names=["h", "ck", "base", "once", "n", "at", "count", "core", "content", "entry"])
+
+    return run
+
+
+def _cut_hot(entries: DataFrame, length: int, hot: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Entries (h, ck, n, entry) of hot triggers -> verdicts (h, ck, at), cells to compare, and settled tables.
+
+    Each level counts the shorter entries: those seen again are settled, those alone in their cell
+    repeat nothing, the rest are compared or cut again.
+    """
+    verdicts, cells, made = [], [], []
+    rows = entries.select("h", "ck", F.lit(0).cast("long").alias("base"), "n", "entry")
+    for places in CUTS:
+        parts = settle(rows.mapInArrow(_cut(length, places), _CUT), "cuts")
+        kinds = parts.groupBy("h", "core", "content").agg(F.sum("n").alias("n"), F.min(F.struct("ck", "base", "at")).alias("of"), F.any_value("entry").alias("entry"))
+        kinds = settle(kinds, "kinds")
+        made += [parts, kinds]
+        again = parts.filter("once").join(kinds.filter("n > 1").select("h", "core", "content"), ["h", "core", "content"], "left_semi")
+        verdicts.append(again.select("h", "ck", F.expr("flatten(transform(at, x -> sequence(base + x, base + x + count - 1)))").alias("at")))
+        mixed = kinds.groupBy("h", "core").agg(F.count("*").alias("size"), F.min("n").alias("rarest")).filter("size > 1 and rarest = 1")
+        left = kinds.join(mixed.select("h", "core", (F.col("size") > hot).alias("hot")), ["h", "core"])
+        left = settle(left.select("h", "core", F.col("of.ck").alias("ck"), (F.col("of.base") + F.col("of.at")[0]).alias("base"), "n", "hot", "entry"), "cells")
+        made.append(left)
+        cells.append(left.filter("not hot").select("h", "core", "ck", "base", "n", "entry"))
+        rows = left.filter("hot").select("h", "ck", "base", "n", "entry")
+        if rows.isEmpty():
+            break
+    return verdicts, cells, made
+
+
 def suffix_ranks(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, rank) of every window of ``length`` bytes inside one entry.
 
@@ -181,23 +257,23 @@ def suffix_ranks(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _compare(length: int):
-    """Entries sorted by trigger -> (h, ck, at): the windows of once-seen entries that another window equals."""
+    """Entries (h, core, ck, base, n, entry) sorted by cell -> (h, ck, at): the windows of once-seen entries that another window equals."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        entries = [r[3] for r in rows]
+        entries = [r[5] for r in rows]
         off = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(e) for e in entries], out=off[1:])
         start, rank = suffix_ranks(np.frombuffer(b"".join(entries), np.uint8), off, length)
         if not len(start):
             return []
         own = np.searchsorted(off, start, "right") - 1
-        times = np.array([r[2] for r in rows], np.int64)
+        times = np.array([r[4] for r in rows], np.int64)
         total = np.bincount(rank, weights=times[own])
         again = (total[rank] > 1) & (times[own] == 1)
         found: dict[int, list[int]] = {}
         for o, at in zip(own[again].tolist(), (start - off[own])[again].tolist(), strict=True):
-            found.setdefault(o, []).append(at)
-        return [(rows[o][0], rows[o][1], at) for o, at in found.items()]
+            found.setdefault(o, []).append(rows[o][3] + at)
+        return [(rows[o][0], rows[o][2], at) for o, at in found.items()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -208,12 +284,12 @@ def _compare(length: int):
             return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], names=["h", "ck", "at"])
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "n", "entry")), strict=True):
-                if size > SLAB and rows[-1][0] != row[0]:
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "core", "ck", "base", "n", "entry")), strict=True):
+                if size > SLAB and rows[-1][:2] != row[:2]:
                     yield out(solve(rows))
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if rows:
             yield out(solve(rows))
 
@@ -271,13 +347,16 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = dictionary.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("rarest")).filter("rarest = 1").select("h", (F.col("size") > hot).alias("hot"))
     wanted = dictionary.join(sizes, "h").select("at.id", "h", "ck", "n", "at.first", "at.count", "hot")
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "ck", "n", "first", "count", "hot")).alias("want"))
-    fetched = settle(marked.join(wanted, "id").mapInArrow(_fetch(length), "h long, ck long, n long, entry binary, windows array<long>"), "entries")
-    cold = fetched.filter("entry is not null").select("h", "ck", "n", "entry").repartition("h").sortWithinPartitions("h", "ck")
-    by_suffix = cold.mapInArrow(_compare(length), "h long, ck long, at array<long>")
-    windows = fetched.filter("windows is not null").select("h", "ck", "n", F.posexplode("windows").alias("at", "w"))
-    twice = windows.groupBy("h", "w").agg(F.sum("n").alias("total")).filter("total > 1").select("h", "w")
-    by_hash = windows.filter("n = 1").join(twice, ["h", "w"]).groupBy("h", "ck").agg(F.collect_set(F.col("at").cast("long")).alias("at"))
-    some = settle(by_suffix.union(by_hash), "verdicts")
+    fetched = settle(marked.join(wanted, "id").mapInArrow(_fetch(length), "h long, ck long, n long, hot boolean, entry binary"), "entries")
+    none = F.lit(0).cast("long")
+    cells = fetched.filter("not hot").select("h", none.alias("core"), "ck", none.alias("base"), "n", "entry")
+    counted, cut_cells, made = ([], [], []) if fetched.filter("hot").isEmpty() else _cut_hot(fetched.filter("hot"), length, hot)
+    for part in cut_cells:
+        cells = cells.union(part)
+    some = cells.repartition("h", "core").sortWithinPartitions("h", "core", "ck", "base").mapInArrow(_compare(length), "h long, ck long, at array<long>")
+    for part in counted:
+        some = some.union(part)
+    some = settle(some, "verdicts")
     verdicts = dictionary.select("h", "ck", "n").join(some, ["h", "ck"], "left").filter("n > 1 or at is not null").select("h", "ck", F.expr("if(n > 1, null, at)").alias("at"))
     verdicts = settle(verdicts, "verdicts")  # so that the join below is one that AQE can split where an entry is hot
     removed = parse.join(verdicts, ["h", "ck"]).groupBy("id").agg(F.collect_list(F.struct("first", "count", "at")).alias("removed"))
@@ -285,7 +364,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not with_bytes:
         cut = cut.drop("kept")
     cut = settle(cut, "cut")
-    forget(marked, parse, dictionary, fetched, some, verdicts)
+    forget(marked, parse, dictionary, fetched, some, verdicts, *made)
     out = marks.select("id", "n_bytes", "sha").join(cut, "id", "left")
     cols = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256")]
     if with_bytes:

@@ -161,6 +161,28 @@ def test_repeated_bytes_on_odd_rows(odd_docs, hot):
     assert got == brute_bytes(texts)
 
 
+@pytest.fixture(scope="module")
+def framed(spark):
+    """Passages of 150 to 700 bytes in many documents, each time with other surroundings that partly agree, and runs of one letter."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages, frames = [text(n) for n in (150, 199, 200, 201, 260, 700)], [text(30) for _ in range(6)]
+    rows = []
+    for i in range(240):
+        p = passages[i % 6]
+        left, right = frames[rng.randrange(6)][rng.randrange(30) :], frames[rng.randrange(6)][: rng.randrange(30)]
+        rows.append((i, text(rng.randrange(200)) + left + p + right + text(rng.randrange(200))))
+    rows += [(900 + i, text(20) + "z" * (300 + 7 * i) + text(20)) for i in range(5)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("hot", [2000, 20, 1])
+def test_repeated_bytes_of_hot_triggers(framed, hot):
+    texts = {r["doc_id"]: r["text"] for r in framed.collect()}
+    got = {r[0]: (*tuple(r)[1:-1], bytes(r[-1])) for r in phrase_dedup.repeated_bytes(framed, hot=hot, with_bytes=True).collect()}
+    assert got == brute_bytes(texts)
+
+
 def test_repeated_bytes_on_the_table(spark, sf, no_docs):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in df.collect()}
