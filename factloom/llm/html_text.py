@@ -7,7 +7,8 @@ table rows aligned cells; ``pre`` keeps its white space. Hidden are head matter,
 templates, the ``hidden`` attribute, ``display:none`` / ``visibility:hidden``, closed dialogs, options
 not shown and what stands for embedded media (alt texts, fallbacks of iframe, audio, video, canvas).
 Shown are the chosen options of a select, the values of inputs, svg labels and object fallbacks.
-Both run without recursion over depth (tables nest by recursion, to a fixed depth, then inline).
+Columns are padded to their longest cell, unless that would make a table PADDING times its text (then
+its cells are only divided). Both run without recursion over depth; inner tables are rendered before outer ones.
 """
 
 from __future__ import annotations
@@ -50,14 +51,17 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
 }
 _CLOSES_P = (BLOCK | {"hr"}) - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "body", "legend"}
 _P_BOUND = frozenset("table td th caption button object template".split())
-TABLE_DEPTH = 8
+#: Padding of a table's cells may take so many times the bytes of its text, and PADDING_FREE bytes.
+PADDING, PADDING_FREE = 8, 1 << 16
+#: Most columns and rows of one cell, as HTML has them.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "text")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.text = tag, attrs, [], ""  # text: of a table, once it is rendered
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -123,7 +127,7 @@ def parse(html: str) -> Node:
             continue
         name = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            if name == "p" and not any(x.tag == "p" for x in stack[-40:]):
+            if name == "p" and not counts.get("p"):
                 stack[-1].children.append(Node("p"))
             elif name == "br":
                 stack[-1].children.append(Node("br"))
@@ -137,12 +141,9 @@ def parse(html: str) -> Node:
                     if stack[i].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "html", "body"):
                         break
             continue
-        before = len(stack)
-        gone = stack
         if len(stack) > 1 and stack[-1].tag == "head" and name not in HEAD_ONLY:
-            gone, stack = stack, stack[:-1]
+            stack.pop()
             counts["head"] -= 1
-            before = len(stack)
         if name in _BREAKS and counts.get("svg") and not any(counts.get(x) for x in _HTML_IN_SVG):
             cut = next(i for i, x in enumerate(stack) if x.tag == "svg")
             for x in stack[cut:]:
@@ -158,7 +159,6 @@ def parse(html: str) -> Node:
             _close(stack, *rule)
             for x in old[len(stack) :]:
                 counts[x.tag] -= 1
-        del before, gone
         node = Node(name, token[len(name) + 1 : -1])
         stack[-1].children.append(node)
         if token.endswith("/>") and (name == "svg" or counts.get("svg")) and not counts.get("foreignobject"):
@@ -179,7 +179,8 @@ def hidden(node: Node) -> bool:
     a = node.attrs
     if not a or a.isspace():
         return node.tag == "dialog"
-    if "hidden" in a or "style" in a or "HIDDEN" in a or "STYLE" in a or node.tag in ("input", "dialog"):
+    low = a.lower()
+    if "hidden" in low or "style" in low or node.tag == "dialog":
         found = _attributes(a)
         if "hidden" in found or _GONE.search(found.get("style", "")):
             return True
@@ -241,8 +242,21 @@ class _Lines:
             self.out.append("")
 
 
-def render(root: Node, depth: int = 0) -> str:
+def render(root: Node) -> str:
     """All visible text of the tree."""
+    tables, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == "table":
+            tables.append(x)
+        stack += [c for c in x.children if isinstance(c, Node)]
+    for x in reversed(tables):  # a table comes after the tables around it
+        x.text = _table(x)
+    return _render(root)
+
+
+def _render(root: Node) -> str:
+    """The text of a tree whose inner tables are rendered."""
     lines = _Lines()
     pre = 0
     lists: list[list] = []
@@ -273,10 +287,10 @@ def render(root: Node, depth: int = 0) -> str:
                 stack.append((2, x))
                 stack += [(0, c) for c in reversed(_drawn(x))]
                 continue
-            if tag == "table" and depth < TABLE_DEPTH:
+            if tag == "table":
                 lines.end()
                 lines.gap()
-                for line in _table(x, depth).split("\n"):
+                for line in x.text.split("\n"):
                     if line:
                         lines.now.append(line)
                         lines.end()
@@ -410,30 +424,48 @@ def _wrap(text: str) -> Node:
     return cell
 
 
-def _inside(node: Node, depth: int) -> str:
+def _inside(node: Node) -> str:
     box = Node("#cell")
     box.children = node.children if node.tag in ("td", "th", "caption") else [node]
-    return render(box, depth + 1)
+    return _render(box)
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    """colspan or rowspan: 1 unless a whole number stands there; 0 means to the end, which only rows know."""
+    if name not in cell.attrs.lower():
+        return 1
+    m = re.match(r"\s*\+?(\d+)", _attributes(cell.attrs).get(name, ""))
+    n = int(m[1][:9]) if m else 1
+    return min(n, most) if n else most if name == "rowspan" else 1
 
 
-def _table(table: Node, depth: int) -> str:
-    """Rows with cells padded to their columns; a cell's own lines are joined by spaces."""
+def _table(table: Node) -> str:
+    """Rows with cells padded to their columns; a cell's own lines are joined by spaces, a cell over several rows stands in the first."""
     captions, rows = _rows(table)
     grid: list[list[str]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell above still covers
     for row in rows:
         line: list[str] = []
+        below: dict[int, int] = {}
         for cell in row:
-            text = " ".join(s.strip() for s in _inside(cell, depth).split("\n") if s.strip())
-            span = re.search(r"colspan\s*=\s*[\"']?(\d{1,3})", cell.attrs)
-            line += [text] + [""] * (int(span[1]) - 1 if span and span[1] != "0" else 0)
+            while taken.get(len(line), 0):
+                line.append("")
+            text = " ".join(s.strip() for s in _inside(cell).split("\n") if s.strip())
+            wide, high = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
+            if high > 1:
+                below |= dict.fromkeys(range(len(line), len(line) + wide), high)
+            line += [text] + [""] * (wide - 1)
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
         if any(line):
             grid.append(line)
     width: dict[int, int] = {}
     for line in grid:
-        if len(line) > 1:
-            for i, s in enumerate(line[:-1]):
-                width[i] = max(width.get(i, 0), min(len(s), 200))
-    out = [_inside(c, depth) for c in captions if not hidden(c)]
+        for i, s in enumerate(line[:-1]):
+            width[i] = max(width.get(i, 0), len(s))
+    text = sum(len(s) + 3 for line in grid for s in line)
+    if sum(width.get(i, 0) for line in grid for i in range(len(line) - 1)) > PADDING * text + PADDING_FREE:
+        width = {}
+    out = [_inside(c) for c in captions if not hidden(c)]
     out += [" | ".join(s.ljust(width.get(i, 0)) if i < len(line) - 1 else s for i, s in enumerate(line)).rstrip() for line in grid]
     return "\n".join(x for x in out if x)
 

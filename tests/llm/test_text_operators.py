@@ -336,6 +336,34 @@ def test_rendering(html, text):
     assert html_text.html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>e</table>", "a | b\n  | c\n  | e"),
+        ("<table><tr><td>a<td rowspan='2' colspan=2>b<td>c<tr><td>d<td>e</table>", "a | b |  | c\nd |   |  | e"), ("<p Style='Display:None'>a</p><p HiDDen>b</p>c", "c"), ("<table><tr><td colSpan=2>a<td>b</table>", "a |  | b"),
+        ("<table><tr><td>" + "x" * 300 + "<td>1<tr><td>y<td>2</table>", "x" * 300 + " | 1\ny" + " " * 299 + " | 2"), ("<p>" + "<b>" * 50 + "x</p>y", "x\n\ny"),
+        ("<table><tr><td>" * 30 + "<p>a<p>b" + "</td><td>c</td></tr></table>" * 30, "a b" + " | c" * 30),
+    ],
+)
+def test_tables_and_attributes(html, text):
+    assert html_text.html_to_text(html) == text
+
+
+def test_wide_tables_stay_within_a_multiple_of_their_text():
+    page = "<table>" + "".join(f"<tr><td>{'x' * 200_000 if i == 0 else i}<td>b" for i in range(5_000)) + "</table>"
+    text = html_text.html_to_text(page)
+    assert len(text) < 20 * len(page) and text.split("\n")[1] == "1 | b" and text.count("\n") == 4_999
+    assert html_text.html_to_text("<table><tr><td>" * 3_000 + "x") == "x"
+
+
+def test_page_rows_of_every_kind(spark):
+    rows = [(1, None, "u"), (2, "", "u"), (3, "<p>a", "u"), (3, "<p>a", "v"), (None, "b", "w"), (4, "<p>" + "long " * 300_000, "u")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted(((r["page_id"], r["text"]) for r in html_text.extract_text(df).collect()), key=str)
+    assert got == sorted([(1, ""), (2, ""), (3, "a"), (3, "a"), (None, "b"), (4, ("long " * 300_000).strip())], key=str)
+    assert html_text.extract_text(df.limit(0)).collect() == []
+
+
 def test_deep_and_broken_pages_do_not_fail():
     assert html_text.html_to_text("<div>" * 20_000 + "x") == "x"
     assert "x" in html_text.html_to_text("<table><tr><td>" * 60 + "x")
