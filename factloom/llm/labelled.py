@@ -6,21 +6,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of one text that are learned from at most.
+STRETCH = 65536
+
 
 def remainder(id_col: str, mod: int):
     """crc32 of the id as text, modulo ``mod``."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", longest: int = 65536) -> list[tuple[int, str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> list[tuple[int, str, int]]:
     """At most ``per_class[y]`` (id, text, label) rows of each label y, 0 and 1, never from held-out ids.
 
-    The rows are the first by a hash of their id. Texts over ``longest`` characters aren't learned
-    from (they are scored like all others), so the driver holds a bounded amount.
+    The rows are the first by a hash of their id. Of a longer text a stretch of ``stretch`` characters
+    at a place drawn by its id is learned from (it is scored whole), so the driver holds a bounded amount.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(remainder("id", mod) != held_out).dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= longest)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    room = F.greatest(F.length("text") - stretch, F.lit(0)) + 1
+    texts = texts.withColumn("text", F.col("text").substr((F.pmod(F.xxhash64("id"), room) + 1).cast("int"), F.lit(stretch)))
     out = []
     for y in (0, 1):
         # sampled before the join: so many rows at most, whatever the size of the label table

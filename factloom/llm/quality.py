@@ -2,7 +2,8 @@
 
 Every line is good or bad. Its features describe its characters and words, and those of the line
 before and after it; transitions tie neighbouring labels. The field is trained on lines that carry
-their document's label, by maximum conditional likelihood. Forward-backward gives each line's
+their document's label, by maximum conditional likelihood; as such lines never show a change of label, a normal
+prior (``tie``) keeps the transitions small. Forward-backward gives each line's
 marginal; their length-weighted mean, calibrated on training documents, is the score.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.llm.labelled import Logistic, remainder, sample, share_of
+from factloom.llm.labelled import STRETCH, Logistic, remainder, sample, share_of
 from factloom.llm.toxicity import scored_by
 
 #: Labelled documents with label 0 and 1 that the field is fitted on.
@@ -139,7 +140,7 @@ def _summary(good: np.ndarray, weight: np.ndarray, lines: np.ndarray) -> np.ndar
 class Model:
     """Field weights and calibration; without labelled documents of both classes, a constant."""
 
-    def __init__(self, rows: list[tuple[int, str, int]], share: float | None = None, rounds: int = 120, ridge: float = 1e-4):
+    def __init__(self, rows: list[tuple[int, str, int]], share: float | None = None, rounds: int = 120, ridge: float = 1e-4, tie: float = 1e-2):
         y = np.array([r[2] for r in rows], float)
         self.constant = share if share is not None else float(y.mean()) if len(y) else 0.5
         self.w = None
@@ -166,12 +167,12 @@ class Model:
         m2 = [np.zeros_like(w), np.zeros_like(trans)]
         for step in range(1, rounds + 1):
             marginal, pairs = forward_backward(z @ w, lines, trans)
-            grads = [z.T @ ((marginal - gold) * emphasis[:, None]) / len(z) + ridge * w, (pairs - seen) / len(z) + 1e-2 * trans]
+            grads = [z.T @ ((marginal - gold) * emphasis[:, None]) / len(z) + ridge * w, (pairs - seen) / len(z) + tie * trans]
             for k, (param, g) in enumerate(zip((w, trans), grads, strict=True)):
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.99 * m2[k] + 0.01 * g * g
                 param -= 0.1 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
-        self.w, self.trans = w, np.clip(trans, -1.5, 1.5)
+        self.w, self.trans = w, trans
         good = forward_backward(z @ w, lines, self.trans)[0][:, 1]
         self.calibrate = Logistic(_summary(good, weight, lines), y, share=share)
 
@@ -194,16 +195,16 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return Model(sample(docs, labels, label, mod, held_out, per_class, id_col, text_col), share_of(labels, label, mod, held_out, id_col))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> Model:
+    return Model(sample(docs, labels, label, mod, held_out, per_class, id_col, text_col, stretch), share_of(labels, label, mod, held_out, id_col))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     Null, empty and blank texts have no weighed line and get the share of label 1 among the fitted
     rows. Without labelled rows of both classes every score is that share (0.5 without any). Repeated rows get
     equal results, rows without an id are left out, other columns don't matter.
     """
-    out = scored_by(fit(docs, labels, "quality", mod, held_out, per_class, id_col, text_col), docs, id_col, text_col)
+    out = scored_by(fit(docs, labels, "quality", mod, held_out, per_class, id_col, text_col, stretch), docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), (remainder("id", mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

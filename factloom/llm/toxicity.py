@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.llm.labelled import Logistic, remainder, sample, share_of
+from factloom.llm.labelled import STRETCH, Logistic, remainder, sample, share_of
 from factloom.shared import small_batches
 
 WINDOW, GRAM = 48, 5
@@ -164,8 +164,8 @@ class Model:
         return self.calibrate(np.array([self.distance.features(t) for t in texts]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return Model(sample(docs, labels, label, mod, held_out, per_class, id_col, text_col), share_of(labels, label, mod, held_out, id_col))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> Model:
+    return Model(sample(docs, labels, label, mod, held_out, per_class, id_col, text_col, stretch), share_of(labels, label, mod, held_out, id_col))
 
 
 def scored_by(model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,12 +198,12 @@ def keep_scored(model, docs: DataFrame, threshold: float, text_col: str = "text"
     return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted.
 
     Null and empty texts have no windows and get the score of a text without gains. Without labelled
     rows of both classes every score is the share of the label (0.5 without any). Repeated rows get
     equal results, rows without an id are left out, other columns don't matter.
     """
-    out = scored_by(fit(docs, labels, "toxic", mod, held_out, per_class, id_col, text_col), docs, id_col, text_col)
+    out = scored_by(fit(docs, labels, "toxic", mod, held_out, per_class, id_col, text_col, stretch), docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), (remainder("id", mod) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -128,13 +128,38 @@ def test_windows_on_the_table(spark, sf, no_docs):
     assert window_index.substring_dedup(no_docs).count() == 0
 
 
-def test_index_runs_are_compacted(spark):
-    index = window_index.WindowIndex(spark, buckets=2, fan_in=2)
-    for k in range(4):
-        hits = index.add(spark.createDataFrame([(10 * k + i, (i + k) % 7) for i in range(5)], "id long, h long"))
-        assert hits.count() == len({(i + k) % 7 for i in range(5)} & {(i + j) % 7 for j in range(k) for i in range(5)})
-    assert len(index.runs) <= 2
-    index.close()
+def test_index_goes_on_in_tiers_and_another_session(spark, odd_docs):
+    """Batches appended one by one, with the index opened anew each time, give what one pass over all gives."""
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
+    want = {i: v[:3] for i, v in brute_windows(texts).items()}
+    ids = sorted(texts)
+    first = window_index.WindowIndex(spark, buckets=3)
+    path, got, tiers = first.path, {}, []
+    first.close()
+    for k in range(0, len(ids), 3):
+        index = window_index.WindowIndex(spark, path, buckets=3)
+        batch = odd_docs.filter(odd_docs.doc_id.isin(ids[k : k + 3]))
+        out = window_index.substring_dedup(batch, batches=1, index=index, history=odd_docs.filter(odd_docs.doc_id.isin(ids[:k])))
+        got |= {r[0]: tuple(r)[1:] for r in out.collect()}
+        tiers.append(sorted(t for t, *_ in index.runs))
+        index.close()
+    assert got == want
+    assert tiers[:4] == [[0], [1], [0, 1], [2]] and all(len(set(t)) == len(t) for t in tiers)
+    rebuilt = {r[0]: tuple(r)[1:] for r in window_index.substring_dedup(odd_docs, batches=1).collect()}
+    assert rebuilt == got
+    with pytest.raises(ValueError):
+        window_index.WindowIndex(spark, path, width=20)
+    window_index.WindowIndex(spark, path, buckets=3).close(delete=True)
+    assert window_index.WindowIndex(spark, path).runs == []
+
+
+def test_windows_of_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(120)) for _ in range(2))
+    df = spark.createDataFrame([(1, a, 1), (1, b, 2), (1, a, 3), (2, a, 4), (2, b + " end", 5), (3, "x " + a, 6)], "doc_id long, text string, tk long")
+    for batches in (1, 3):
+        got = sorted((r[0], r[1], r[2]) for r in window_index.substring_dedup(df, batches=batches).collect())
+        assert got == [(1, 120, 0), (1, 120, 0), (1, 120, 0), (2, 120, 120), (2, 121, 120), (3, 121, 120)]
 
 
 def brute_bytes(texts, n=200):
