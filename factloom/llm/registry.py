@@ -51,6 +51,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of op7 where nine in ten pages redirect to the page of the next id."""
+    pages = table(spark, sf_dir, "pages")
+    to = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
+    redirects = pages.filter("page_id % 10 != 9").join(to, "page_id").select(F.col("url").alias("src"), "dst")
+    return url_filter(pages, URL_RULES, redirects)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("max_overlap")  # of aligned passages only, so SQL over all alignments has other values for clean documents
@@ -71,13 +79,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op6_sentencepiece, op7_url_filter, op8_decontamination, op9_exact_dedup, op10_html_text, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op6_sentencepiece, op7_url_filter, url_redirects, op8_decontamination, op9_exact_dedup, op10_html_text, pipeline)}
 
 _HOST = "CASE WHEN strpos(u, '://') > 0 THEN translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN strpos(u, '://') > 0 THEN regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
 _FIT = " UNION ALL ".join(
     f"SELECT page_id, '{h}{p}' AS rule, '{v}' AS verdict FROM parsed WHERE (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for v, h, p in URL_RULES
 )
+_KEY = f"""CASE WHEN host = '' THEN u ELSE lower(regexp_extract(u, '^([^:/?#]+)://', 1)) || '://' || regexp_replace(host, CASE WHEN u ILIKE 'https:%' THEN ':443$' WHEN u ILIKE 'http:%' THEN ':80$' ELSE '$^' END, '')
+    || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(substr(u, strpos(u, '://') + 3), '^[^?#]*([?][^#]*)', 1) END"""
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL: dict[str, str] = {
@@ -130,7 +140,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
-    # without links between pages the method's own verdicts are: the alias's rule where its spelling has one, else allow
+    "url_redirects": f"""
+        WITH RECURSIVE raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+        parsed AS (SELECT page_id, u, {_HOST} AS host, {_PATH} AS path FROM raw),
+        fit AS ({_FIT}),
+        best AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM fit GROUP BY page_id),
+        k AS (SELECT page_id, {_KEY} AS key FROM parsed),
+        e AS (SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON b.page_id = a.page_id + 1 WHERE a.page_id % 10 <> 9),
+        s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        walk AS (SELECT a AS n, a AS m FROM s UNION SELECT walk.n, s.b FROM walk JOIN s ON s.a = walk.m),
+        comp AS (SELECT n, min(m) AS c FROM walk GROUP BY n),
+        named AS (SELECT page_id, coalesce(c, key) AS c FROM k LEFT JOIN comp ON n = key),
+        v AS (SELECT c, bool_or(verdict = 'allow') AS allowed FROM named JOIN best USING (page_id) GROUP BY c)
+        SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict,
+               CASE WHEN b.rule IS NOT NULL THEN 'rule' WHEN allowed IS NOT NULL THEN 'alias' ELSE 'default' END AS via
+        FROM parsed p JOIN named USING (page_id) LEFT JOIN best b USING (page_id) LEFT JOIN v ON v.c = named.c""",
+    # without links between pages the method's own verdict is the default
     "op7_url_filter": f"""
         WITH raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
         parsed AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM raw),

@@ -2,10 +2,10 @@
 
 Rules decide first: a rule fits its host and all subdomains where the url's path starts with the
 rule's, and the longest rule wins. Urls without a rule take the decision of their aliases:
-redirect and canonical-link edges (from ``<link rel=canonical>``, ``<meta http-equiv=refresh>``, a
-table of observed redirects, and the spelling of the url itself; relative targets are resolved
+redirect and canonical-link edges (from every ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``
+outside comments, scripts and the like, and a table of observed redirects; relative targets are resolved
 against the page's ``<base>`` or url) join urls into distributed
-connected components; a block decision reaches every alias, and an explicit allow in the
+connected components. Nodes are normalised urls; nothing but an edge joins two of them. A block decision reaches every alias, and an explicit allow in the
 component takes precedence over it. Everything runs as SQL expressions and joins.
 """
 
@@ -21,9 +21,14 @@ from factloom.llm.components import components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rule sets up to this size become one literal map inside the projection; larger ones are joined.
 LITERAL_RULES = 1000
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
-_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_VALUE = r"\s*=\s*[\"']?([^\"'\s>]+)"
+_CANONICAL = r"(?is)<link\b(?=[^>]*(?<![\w-])rel\s*=\s*(?:\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b))[^>]*(?<![\w-])href" + _VALUE
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl" + _VALUE
+_BASE = r"(?is)<base\b[^>]*(?<![\w-])href" + _VALUE
+#: Parts of a page whose tags are no tags.
+_INERT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|noframes|xmp)\b.*?(?:</\1\s*>|\z)"
+#: Character references that stand in targets; the ampersand's own comes last.
+_REFERENCES = ((r"&(?:quot|#0*34|#[xX]0*22);", '"'), (r"&(?:apos|#0*39|#[xX]0*27);", "'"), (r"&(?:sol|#0*47|#[xX]0*2[fF]);", "/"), (r"&(?:colon|#0*58|#[xX]0*3[aA]);", ":"), (r"&(?:amp|#0*38|#[xX]0*26);", "&"))
 
 
 def _after_scheme(url: Column) -> Column:
@@ -43,14 +48,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def alias_key(url: Column) -> Column:
-    """One spelling for the variants of a url: no scheme, fragment, tracking query, ``www.``/``m.``, default port or trailing slash."""
-    host = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)$", ""), r"^(www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(/|/index\.html?|\.html?)$", "")
-    query = F.regexp_extract(_after_scheme(url), r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|gclid|fbclid)=")))
-    key = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
-    return F.when(host == "", F.coalesce(url, F.lit(""))).otherwise(key)
+def url_key(url: Column) -> Column:
+    """A url normalised: scheme and host in lower case, no default port, no fragment, ``/`` for an empty path; others stay as they are."""
+    scheme = F.translate(F.regexp_extract(url, r"^([^:/?#]+)://", 1), UPPER, LOWER)
+    host = host_of(url)
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    path, query = path_of(url), F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) == "", F.coalesce(url, F.lit(""))).otherwise(F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
 def _no_dots(path: Column) -> Column:
@@ -119,14 +123,17 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFr
 
 
 def link_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) alias keys joined by canonical links, refresh redirects and the given table (src, dst urls; dst may be relative to src)."""
+    """(src, dst) normalised urls joined by canonical links, refresh redirects and the given table (src, dst urls; dst may be relative to src)."""
     edges = []
     if html_col in pages.columns:
         html = F.col(html_col)
-        for pattern, hint in ((_CANONICAL, "canonical"), (_REFRESH, "refresh")):
-            target = F.regexp_extract(html, pattern, 1)
-            linking = pages.filter(F.lower(html).contains(hint)).select(F.col(url_col).alias("src"), target.alias("_to"), F.regexp_extract(html, _BASE, 1).alias("_base")).filter("_to != ''")
-            edges.append(linking.select("src", resolve(F.coalesce(resolve(F.col("src"), F.col("_base")), F.col("src")), F.col("_to")).alias("dst")))
+        low = F.lower(html)
+        linking = pages.filter(low.contains("canonical") | low.contains("refresh")).select(F.col(url_col).alias("src"), F.regexp_replace(html, _INERT, " ").alias("html"))
+        found = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1))
+        found = linking.select("src", F.regexp_extract("html", _BASE, 1).alias("_base"), F.explode(found).alias("_to"))
+        for pattern, sign in _REFERENCES:
+            found = found.withColumns({c: F.regexp_replace(c, pattern, sign) for c in ("_base", "_to")})
+        edges.append(found.select("src", resolve(F.coalesce(resolve(F.col("src"), F.col("_base")), F.col("src")), F.col("_to")).alias("dst")))
     if redirects is not None:
         edges.append(redirects.select("src", resolve(F.col("src"), F.col("dst")).alias("dst")))
     if not edges:
@@ -134,7 +141,7 @@ def link_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: st
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
-    out = out.filter("dst is not null").select(_bound(F.col("src"), alias_key).alias("src"), _bound(F.col("dst"), alias_key).alias("dst"))
+    out = out.filter("dst is not null").select(_bound(F.col("src"), url_key).alias("src"), _bound(F.col("dst"), url_key).alias("dst"))
     return out.filter("src != dst").distinct()
 
 
@@ -142,9 +149,10 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFra
     """One row per page: id, host, path, rule (null without one), verdict, via (rule, alias or default).
 
     rules: (verdict, host, path). A null url or one without ``://`` has an empty host and path, no
-    rule and the default verdict. Repeated rows each get their row; an empty table gives none.
+    rule and the default verdict. Repeated rows each get their row; an empty table gives none. Other columns don't matter.
     """
-    judged = apply_rules(pages, rules, id_col, url_col).withColumn("_key", alias_key(F.col(url_col)))
+    pages = pages.select(id_col, url_col, *([html_col] if html_col in pages.columns else []))
+    judged = apply_rules(pages, rules, id_col, url_col).withColumn("_key", _bound(F.col(url_col), url_key))
     edges = link_edges(pages, redirects, url_col, html_col)
     node = lambda c: F.xxhash64(c)
     member = components(edges.select(node("src").alias("a"), node("dst").alias("b")))
