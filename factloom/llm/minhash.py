@@ -9,8 +9,9 @@
 4. Components of the verified links. Only buckets that still hold several components can hide a
    link the stars did not try; there, members of different components are compared. A bucket's
    largest component is dealt in blocks against the rest, the rest among itself in pairs of
-   blocks. A cell prunes the same way, looks at a pair only in the first band it shares, verifies
-   it there on full sets and skips what is connected by then, so it returns fewer links than it
+   blocks. Cells first see signatures only (400 bytes a member) and return the members with a partner
+   that pruning leaves and that share no earlier band; only these fetch their texts. A cell then verifies pairs
+   on full sets and skips what is connected by then, so it returns fewer links than it
    has members, however many pairs it looks at.
 5. Final components over all verified links.
 """
@@ -158,32 +159,75 @@ def _prune_pairs(threshold: float, miss: float):
     return run
 
 
-def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
-    """Rows (key, kind, bi, bj, band, id, comp, n, side, sig, text) sorted by cell -> verified links between different components.
-
-    Pairs are of side 0 with side 1, or within side 0 where a cell has one block.
-    """
+class _Cell:
+    """Rows (key, kind, bi, bj, band, id, comp, n, side, sig) of one cell; pairs are of side 0 with side 1, or within side 0 where a cell has one block."""
 
-    def solve(rows: list) -> list[tuple[int, int]]:
-        across_only, band = rows[0][1] or rows[0][2] != rows[0][3], rows[0][4]
-        n = np.array([r[7] for r in rows], np.int64)
-        side = np.array([r[8] for r in rows])
-        sig = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
-        by_band = sig.reshape(len(rows), BANDS, ROWS)
-        values, bounds = sets_of(pa.array([r[10] for r in rows], pa.large_string()), shingle)
+    def __init__(self, rows: list):
+        self.across_only, self.band = rows[0][1] or rows[0][2] != rows[0][3], rows[0][4]
+        self.n = np.array([r[7] for r in rows], np.int64)
+        self.side = np.array([r[8] for r in rows])
+        self.sig = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
+        self.by_band = self.sig.reshape(len(rows), BANDS, ROWS)
         names = {c: i for i, c in enumerate(dict.fromkeys(r[6] for r in rows))}
-        root = np.array([names[r[6]] for r in rows])  # relabelled as components merge
-        other = np.flatnonzero(side == 1)
-        found = []
-        for i in np.flatnonzero(side == 0).tolist():
-            js = other if across_only else np.arange(i + 1, len(rows))
+        self.root = np.array([names[r[6]] for r in rows])  # relabelled as components merge
+
+    def pairs(self, threshold: float, miss: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of side 0 with its partners in other components that no batch prunes and that share no earlier band."""
+        n, sig, root, other = self.n, self.sig, self.root, np.flatnonzero(self.side == 1)
+        for i in np.flatnonzero(self.side == 0).tolist():
+            js = other if self.across_only else np.arange(i + 1, len(n))
             js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
             if len(js):
                 js = js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], threshold, miss)]
             if len(js):
-                js = js[(by_band[js] == by_band[i]).all(2).argmax(1) == band]
-            if not len(js):
-                continue
+                js = js[(self.by_band[js] == self.by_band[i]).all(2).argmax(1) == self.band]
+            if len(js):
+                yield i, js
+
+
+def _by_cell(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """Rows sorted by cell (the first four columns) -> the rows of each."""
+    rows: list = []
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                if rows and rows[0][:4] != row[:4]:
+                    yield rows
+                    rows = []
+                rows.append(row)
+    if rows:
+        yield rows
+
+
+_CELL = "key long, kind boolean, bi int, bj int, band int, id long, comp long, n long, side int, sig binary"
+
+
+def _likely_members(threshold: float, miss: float):
+    """Rows sorted by cell -> those with a partner to be verified."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for rows in _by_cell(batches):
+            keep = np.zeros(len(rows), bool)
+            for i, js in _Cell(rows).pairs(threshold, miss):
+                keep[i] = True
+                keep[js] = True
+            if keep.any():
+                cols = zip(*(r for r, k in zip(rows, keep.tolist(), strict=True) if k), strict=True)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in _CELL.split(", ")])
+
+    return run
+
+
+def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
+    """Rows (those of a cell, text) sorted by cell -> verified links between different components."""
+
+    def solve(rows: list) -> list[tuple[int, int]]:
+        cell = _Cell(rows)
+        root = cell.root
+        values, bounds = sets_of(pa.array([r[10] for r in rows], pa.large_string()), shingle)
+        found = []
+        for i, js in cell.pairs(threshold, miss):
             size = bounds[js + 1] - bounds[js]
             own = values[bounds[i] : bounds[i + 1]]
             at = np.repeat(bounds[js] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -196,7 +240,6 @@ def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
         return found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
         done: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
@@ -204,17 +247,10 @@ def _link_cells(threshold: float, miss: float, percent: int, shingle: int):
             done.clear()
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
-                    if rows and rows[0][:4] != row[:4]:
-                        done.update(solve(rows))
-                        rows = []
-                        if len(done) > 20_000:
-                            yield out()
-                    rows.append(row)
-        if rows:
+        for rows in _by_cell(batches):
             done.update(solve(rows))
+            if len(done) > 20_000:
+                yield out()
         yield out()
 
     return run
@@ -293,8 +329,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = settle(components(links), "components")
     members = shared.select("key", "band", "id", "n").join(first.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     members = settle(members.select("key", "band", "id", "n", "comp"), "members")
-    dealt = _deal(members).join(sigs, "id").join(texts, "id").select("key", "kind", "bi", "bj", "band", "id", "comp", "n", "side", "sig", "text")
-    dealt = dealt.repartition("key", "kind", "bi", "bj").sortWithinPartitions("key", "kind", "bi", "bj", "id")
+    by_cell = lambda rows: rows.repartition("key", "kind", "bi", "bj").sortWithinPartitions("key", "kind", "bi", "bj", "id")
+    dealt = _deal(members).join(sigs, "id").select(*(c.split()[0] for c in _CELL.split(", ")))
+    dealt = settle(by_cell(dealt).mapInArrow(_likely_members(t, miss), _CELL), "likely")
+    dealt = by_cell(dealt.join(texts, "id").select(*dealt.columns, "text"))
     more = settle(dealt.mapInArrow(_link_cells(t, miss, percent, shingle), "a long, b long").distinct(), "links")
     final = settle(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
     forget(texts, shared, members)
