@@ -4,11 +4,16 @@ Three steps, none of which sees an unbounded group:
 
 1. Each Arrow batch is pre-aggregated in an open-addressing table, so a text that fills a third
    of the corpus leaves its batch as one representative row with a count.
-2. Representatives are dealt by content hash. Within a task a hybrid Grace hash runs: a table of
+2. Representatives are dealt by content hash; a hash with more than ``CELL`` of them is salted, so that a
+   cell holds about that many. Within a task a hybrid Grace hash runs: a table of
    distinct contents within ``budget`` bytes; beyond it, entries go to spill files by the next
    hash bits and every file is solved on its own, recursively. Tables compare complete contents;
    a hash only chooses the slot.
-3. Every row joins the answer of its representative (a key with at most one batch of rows).
+3. The winners of salted cells, one of each content and cell, meet in a second round of the same kind.
+4. Every row joins the answer of its representative (a key with at most one batch of rows).
+
+Spill files lie in a folder of the task's own executor and end with the task; a task that is repeated
+writes its own.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import hashlib
 import marshal
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,9 @@ from factloom.llm import textkit as T
 from factloom.shared import settle, small_batches
 
 FANOUT_BITS = 4
+#: Representatives of one hash that one cell takes, about.
+CELL = 1000
+_ANSWER = "rep long, keep_id long, winner long, group_size long"
 _SCHEMA = "id long, uid long, rep long, sha binary, n long, text binary"
 
 
@@ -215,6 +223,20 @@ def _answers(out: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["rep", "keep_id", "winner", "group_size"])
 
 
+def _answered(reps: DataFrame, normal: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
+    """Settled representatives (id, uid, sha, n, text) -> (rep, keep_id, winner, group_size); normal: makes their texts comparable, text last."""
+    hot = settle(reps.groupBy("sha").agg(F.count("*").alias("reps")).filter(F.col("reps") > CELL).select("sha", F.ceil(F.col("reps") / CELL).cast("long").alias("salts")), "hot")
+    if hot.isEmpty():
+        return normal(reps).repartition("sha").mapInArrow(_resolve(budget), _ANSWER)
+    salted = reps.join(hot, "sha", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid"), "salts"), F.lit(0))).select("id", "uid", "sha", "n", "salt", "text")
+    cells = settle(normal(salted).repartition("sha", "salt").mapInArrow(_resolve(budget), _ANSWER), "cells")
+    firsts = reps.join(hot, "sha", "left_semi").select("uid", "sha", "text")
+    firsts = firsts.join(cells.select(F.col("winner").alias("uid"), F.col("keep_id").alias("id"), F.col("group_size").alias("n")).distinct(), "uid").select("id", "uid", "sha", "n", "text")
+    second = normal(firsts).repartition("sha").mapInArrow(_resolve(budget), _ANSWER)
+    second = settle(second.toDF("winner", "all_keep", "all_winner", "all_size"), "second")
+    return cells.join(second, "winner", "left").select("rep", F.coalesce("all_keep", "keep_id").alias("keep_id"), F.coalesce("all_winner", "winner").alias("winner"), F.coalesce("all_size", "group_size").alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
@@ -226,8 +248,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     local = settle(rows.mapInArrow(_preaggregate(False), _SCHEMA), "exact")
-    reps = local.filter("n is not null").select("id", "uid", "sha", "n", "text").repartition("sha")
-    groups = reps.mapInArrow(_resolve(budget), "rep long, keep_id long, winner long, group_size long")
+    groups = _answered(local.filter("n is not null").select("id", "uid", "sha", "n", "text"), lambda rows: rows, budget)
     return (
         local.select("id", "uid", "rep", "sha")
         .join(groups, "rep")
@@ -251,8 +272,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest).filter("id is not null")
     kind = rows.schema["rest"].dataType.simpleString()
     local = settle(rows.mapInArrow(_preaggregate(True), f"{_SCHEMA}, rest {kind}").filter("n is not null").drop("rep"), "exact")
-    reps = local.select("id", "uid", "sha", "n", "text").mapInArrow(_squeezed, "id long, uid long, sha binary, n long, text binary").repartition("sha")
-    winners = reps.mapInArrow(_resolve(budget), "rep long, keep_id long, winner long, group_size long").select("winner").distinct()
+    squeezed = lambda rows: rows.mapInArrow(_squeezed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    winners = _answered(local.select("id", "uid", "sha", "n", "text"), squeezed, budget).select("winner").distinct()
     kept = local.join(winners, local["uid"] == winners["winner"], "left_semi")
     text = F.col("text").cast("string").cast(docs.schema[text_col].dataType)
     return kept.select(*[text.alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])

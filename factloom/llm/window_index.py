@@ -250,10 +250,12 @@ class WindowIndex:
         for m in met[1:]:
             hits = hits.union(m)
         hits = settle(hits.distinct(), "hits")
-        seen = new.select("h", "ck", "first", "last", F.lit(True).alias("new"))
+        # each run is filtered inside its buckets, before runs meet in a shuffle
+        of_run = lambda run, fresh: run.join(hits.hint("merge"), "h", "left_semi").select("h", "ck", "first", "last", F.lit(fresh).alias("new"))
+        seen = of_run(new, True)
         for o in old:
-            seen = seen.union(o.select("h", "ck", "first", "last", F.lit(False)))
-        kinds = seen.join(hits, "h", "left_semi").groupBy("h", "ck").agg(F.min("first").alias("first_id"), F.max(F.when(F.col("new"), F.col("last"))).alias("last_id"), F.min("new").alias("fresh"))
+            seen = seen.union(of_run(o, False))
+        kinds = seen.groupBy("h", "ck").agg(F.min("first").alias("first_id"), F.max(F.when(F.col("new"), F.col("last"))).alias("last_id"), F.min("new").alias("fresh"))
         kinds = settle(kinds, "kinds")
         # verified window by window: fingerprints of a stretch that is new, with another one in an earlier document
         open_marks = kinds.groupBy("h").agg(F.min("first_id").alias("a"), F.max(F.when(F.col("fresh"), F.col("first_id"))).alias("z")).filter("a < z").select("h")

@@ -250,6 +250,19 @@ def test_exact_with_and_without_spilling(odd_docs, no_docs, budget):
     assert exact_dedup.exact_dedup(no_docs).count() == 0 and exact_dedup.drop_exact_duplicates(no_docs).count() == 0
 
 
+def test_exact_with_salted_hashes(spark, odd_docs, monkeypatch):
+    """Copies in very many batches, as more cells than one; the budget makes cells spill, too."""
+    monkeypatch.setattr(exact_dedup, "CELL", 3)
+    rows = [(1000 - i, "same  text" if i % 2 else "same\ttext" if i % 4 else f"other {i % 12}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid long").repartition(40).union(odd_docs.select("doc_id", "text", "uid"))
+    for budget in (64 << 20, 300):
+        got = exact_dedup.exact_dedup(df, budget=budget).collect()
+        want = brute_exact([(r["doc_id"], r["text"]) for r in df.collect()])
+        assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+        kept = sorted(r["doc_id"] for r in got if r["kept"])
+        assert kept == sorted({w[1] for w in want}) and sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df, budget=budget).collect()) == kept
+
+
 def test_open_table_compares_contents(tmp_path):
     t = exact_dedup.OpenTable(4)
     seen = [t.find(7, bytes([i % 50])) for i in range(200)]  # one hash for all
