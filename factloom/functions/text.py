@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed
+from factloom.shared import spread
 
 
 def normalize(text: Column) -> Column:
@@ -41,16 +42,16 @@ def low64(text: Column) -> Column:
 def simhash(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
     """(id, simhash long, simhash_hex) per row: 64 votes over word shingles; empty text has no bits.
 
-    Three 21-bit counters share a long, so 22 sums take all votes (up to two million shingles a
-    text) and the aggregate stays within what Spark compiles; it is partial before the shuffle.
+    Two 32-bit counters share a long, so 32 sums take the votes of any text that fits a string; the
+    aggregate is partial before the shuffle.
     """
-    norm = docs.select(F.col(id_col), normalize(F.col(text_col)).alias("_norm"))
+    norm = spread(docs.select(id_col, text_col)).select(F.col(id_col), normalize(F.col(text_col)).alias("_norm"))
     votes = norm.select(id_col, (F.col("_norm") == "").alias("_empty"), F.explode(word_shingles(F.col("_norm"), n)).alias("_s")).select(id_col, "_empty", low64(F.col("_s")).alias("_h"))
-    lanes = [range(k, min(k + 3, 64)) for k in range(0, 64, 3)]
+    lanes = [(k, k + 1) for k in range(0, 64, 2)]
     bit = lambda i: f"((shiftrightunsigned(_h, {i})) & 1L)"
-    sums = [F.sum(F.expr(" | ".join(f"shiftleft({bit(i)}, {21 * j})" for j, i in enumerate(lane)))).alias(f"_l{k}") for k, lane in enumerate(lanes)]
+    sums = [F.sum(F.expr(" | ".join(f"shiftleft({bit(i)}, {32 * j})" for j, i in enumerate(lane)))).alias(f"_l{k}") for k, lane in enumerate(lanes)]
     voted = votes.groupBy(id_col, "_empty").agg(F.count("*").alias("_n"), *sums)
-    terms = [f"if(2 * (shiftrightunsigned(_l{k}, {21 * j}) & 2097151L) >= _n, shiftleft(1L, {i}), 0L)" for k, lane in enumerate(lanes) for j, i in enumerate(lane)]
+    terms = [f"if(2 * (shiftrightunsigned(_l{k}, {32 * j}) & 4294967295L) >= _n, shiftleft(1L, {i}), 0L)" for k, lane in enumerate(lanes) for j, i in enumerate(lane)]
     value = F.expr(f"if(_empty, 0L, {' | '.join(terms)})")
     return voted.select(id_col, value.alias("simhash")).withColumn("simhash_hex", F.lpad(F.lower(F.hex("simhash")), 16, "0"))
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import content_hash, exact_hash, hamming, simhash
+from factloom.shared import settle, spread
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, exact_hash, content_hash, simhash)."""
-    hashes = docs.select(id_col, exact_hash(F.col(text_col)).alias("exact_hash"), content_hash(F.col(text_col)).alias("content_hash"))
-    return hashes.join(simhash(docs, id_col, text_col).select(id_col, "simhash"), id_col)
+    hashes = spread(docs.select(id_col, text_col)).select(id_col, exact_hash(F.col(text_col)).alias("exact_hash"), content_hash(F.col(text_col)).alias("content_hash"))
+    return settle(hashes.join(simhash(docs, id_col, text_col).select(id_col, "simhash"), id_col), "fingerprints")  # used by several levels of a lookup
 
 
 def duplicates(docs: DataFrame, id_col: str, hash_col: str) -> DataFrame:

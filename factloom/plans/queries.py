@@ -12,7 +12,7 @@ from factloom.functions import text as X
 from factloom.operators import chunking, communities, dedup, entities, facts, graph, models, reasoning, references, retrieval, structure, tracking
 from factloom.plans import inputs as I
 from factloom.plans.stages import levels
-from factloom.shared import table
+from factloom.shared import settle, spread, table
 from factloom.sources.readers import html_strings, oversize
 from factloom.sources.stores import diff_runs
 
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _cons(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def content_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {I.SIMHASH}, r AS (SELECT sh, min(doc_id) AS id FROM simhash GROUP BY sh) SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.sh, b.sh)::BIT)::INT AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.sh, b.sh)::BIT) <= 3")
 def near_duplicates_simhash(spark: SparkSession, d: str) -> DataFrame:
-    reps = X.simhash(_docs(spark, d), "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id"))
+    reps = settle(X.simhash(_docs(spark, d), "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id")), "simhashes")
     return dedup.near_matches(reps, reps).filter("id_a < id_b")
 
 

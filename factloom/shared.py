@@ -13,9 +13,11 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -49,8 +51,8 @@ def forget(*frames: DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session is gone; its folder goes with it
-            return
+        except Exception:  # noqa: BLE001 - the session is gone or the table is; the others still go
+            continue
 
 
 atexit.register(forget)
@@ -67,5 +69,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Bytes of input between which ``spread`` deals rows out: less isn't worth a shuffle, more has parts enough.
+SPREAD = (2 << 20, 1 << 30)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows dealt over all cores where a small table has fewer parts than those (one file of one row group).
+
+    For work that costs far more than moving its input. Which rows come out doesn't change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    # a plan with shuffles has its parts already, and asking for their number would run it
+    if not SPREAD[0] <= size <= SPREAD[1] or plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
