@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import small_batches
+from factloom.shared import small_batches, spread
 
 #: Fixed masks. With 12 or 13 words and up to 2 substitutions at least one mask fits somewhere (tested).
 MASKS = ("111011001", "10000110111", "1101010011", "111100101")
@@ -204,7 +204,7 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
     if size <= 6 * small:
         known = spark.sparkContext.broadcast(Tests([tuple(r) for r in items.collect()]))  # size checked above
-        out = source.mapInArrow(_search(known, agree, window), _RESULT)
+        out = spread(source).mapInArrow(_search(known, agree, window), _RESULT)
     else:
         # bits of a fixed size, whatever the size of the test table
         keys = items.mapInArrow(_seed_rows(masks_of), "id long, seed long, at long")
@@ -215,7 +215,7 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
         for byte, bits in slots.toLocalIterator():  # at most 2**21 rows
             packed[byte] = bits
         bits = spark.sparkContext.broadcast(np.unpackbits(packed, bitorder="little").astype(bool))
-        mine = source.mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long")
+        mine = spread(source).mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long")
         pairs = mine.join(keys.toDF("item", "seed", "q"), "seed").select("id", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
         checked = pairs.join(source, "id").join(items, "item").mapInArrow(_check_pairs(agree, window), "id long, item long, ok boolean, same long")
         found = checked.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("item_ids"), F.max("same").alias("max_overlap"))

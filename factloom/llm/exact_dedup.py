@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import settle, small_batches
+from factloom.shared import settle, small_batches, spread
 
 FANOUT_BITS = 4
 #: Representatives of one hash that one cell takes, about.
@@ -247,7 +247,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    local = settle(rows.mapInArrow(_preaggregate(False), _SCHEMA), "exact")
+    local = settle(spread(rows).mapInArrow(_preaggregate(False), _SCHEMA), "exact")
     groups = _answered(local.filter("n is not null").select("id", "uid", "sha", "n", "text"), lambda rows: rows, budget)
     return (
         local.select("id", "uid", "rep", "sha")
@@ -271,7 +271,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), rest).filter("id is not null")
     kind = rows.schema["rest"].dataType.simpleString()
-    local = settle(rows.mapInArrow(_preaggregate(True), f"{_SCHEMA}, rest {kind}").filter("n is not null").drop("rep"), "exact")
+    local = settle(spread(rows).mapInArrow(_preaggregate(True), f"{_SCHEMA}, rest {kind}").filter("n is not null").drop("rep"), "exact")
     squeezed = lambda rows: rows.mapInArrow(_squeezed, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
     winners = _answered(local.select("id", "uid", "sha", "n", "text"), squeezed, budget).select("winner").distinct()
     kept = local.join(winners, local["uid"] == winners["winner"], "left_semi")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.shared import spread
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S)
 _TAG = re.compile(r"</?[a-zA-Z]")
 _STOP = re.compile(r">|=\s*+[\"']")
@@ -486,4 +488,4 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, text) per row. Null or empty html gives an empty text; repeated rows give repeated results."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "id long, text string").withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(_extract, "id long, text string").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.components import components
-from factloom.shared import forget, settle, small_batches
+from factloom.shared import forget, settle, small_batches, spread
 
 BANDS, ROWS, BATCH = 40, 5, 25
 MISS = 1e-6
@@ -307,7 +307,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     t = percent / 100
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    signed = settle(source.mapInArrow(_sign(shingle), "id long, n long, f1 long, f2 long, sig binary"), "signed")
+    signed = settle(spread(source).mapInArrow(_sign(shingle), "id long, n long, f1 long, f2 long, sig binary"), "signed")
     classes = signed.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     reps = settle(signed.join(classes.select("rep"), signed["id"] == F.col("rep"), "left_semi").select("id", "n", "sig").dropDuplicates(["id"]), "reps")
 

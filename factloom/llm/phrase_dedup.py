@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.window_index import _lists
-from factloom.shared import forget, settle, small_batches
+from factloom.shared import forget, settle, small_batches, spread
 
 LENGTH = 200
 GRAM = 50
@@ -335,7 +335,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    marks = settle(source.mapInArrow(_mark(length), "id long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
+    marks = settle(spread(source).mapInArrow(_mark(length), "id long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
     prints = marks.select("id", F.explode("prints").alias("h"))
     shared = prints.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").union(marks.select(F.explode("twice").alias("h"))).distinct()
     shared = settle(shared, "shared")

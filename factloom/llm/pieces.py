@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import small_batches
+from factloom.shared import small_batches, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, OWN_MARK = 0x2581, 0x110000
@@ -293,7 +293,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([part.column(0), pieces, *part.columns[2:]], names=["id", "pieces", *keep])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
@@ -312,7 +312,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
                 texts = [t.decode() for t in decode_ids(vocab.value, ids, off - off[0])]
                 yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *keep])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, model: str = MODEL) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
 from factloom.llm.labelled import STRETCH, Logistic, remainder, sample, share_of
-from factloom.shared import small_batches
+from factloom.shared import small_batches, spread
 
 WINDOW, GRAM = 48, 5
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 17, 1 << 15
@@ -180,7 +180,7 @@ def scored_by(model, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.record_batch([pa.array(T.id_array(part.column(0))), pa.array(known.value.score(part.column(1).to_pylist()), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, "id long, score double")
+    return spread(rows).mapInArrow(run, "id long, score double")
 
 
 def keep_scored(model, docs: DataFrame, threshold: float, text_col: str = "text") -> DataFrame:
@@ -195,7 +195,7 @@ def keep_scored(model, docs: DataFrame, threshold: float, text_col: str = "text"
                 part = b.slice(at, 500)
                 yield part.filter(pa.array(known.value.score(part.column(at_text).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mod: int = 4, held_out: int = 2, per_class: tuple[int, int] = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import forget, settle, shared_dir, small_batches
+from factloom.shared import forget, settle, shared_dir, small_batches, spread
 
 WIDTH = 50
 _MARKS = "id long, tk long, n_words long, sha binary, prints array<long>, contents array<long>"
@@ -238,7 +238,7 @@ class WindowIndex:
         before; only those are taken from it that first held a stretch to be verified.
         """
         source = _source(docs, id_col, text_col)
-        marks = settle(source.mapInArrow(_mark(self.width), _MARKS), "marks")
+        marks = settle(spread(source).mapInArrow(_mark(self.width), _MARKS), "marks")
         pairs = marks.select("id", "tk", F.explode(F.arrays_zip("prints", "contents")).alias("s")).select("id", "tk", F.col("s.prints").alias("h"), F.col("s.contents").alias("ck"))
         old = [self.spark.table(table) for _, table, _ in self.runs]
         self._write(pairs.groupBy("h", "ck").agg(F.min("id").alias("first"), F.max("id").alias("last")), 0)
@@ -259,16 +259,16 @@ class WindowIndex:
         kinds = settle(kinds, "kinds")
         # verified window by window: fingerprints of a stretch that is new, with another one in an earlier document
         open_marks = kinds.groupBy("h").agg(F.min("first_id").alias("a"), F.max(F.when(F.col("fresh"), F.col("first_id"))).alias("z")).filter("a < z").select("h")
-        wanted = kinds.join(settle(open_marks, "open"), "h", "left_semi")
+        wanted = kinds.join(open_marks, "h", "left_semi")
         wanted = settle(wanted, "wanted")
         asked = wanted.groupBy(F.col("first_id").alias("id")).agg(F.collect_list(F.struct("h", "ck")).alias("want"))
         texts = source.select("id", "text")
         if history is not None:
             texts = texts.union(_source(history, id_col, text_col).select("id", "text"))
         windows = texts.join(asked, "id").mapInArrow(_windows(self.width), "h long, ck long, windows array<long>")
-        windows = settle(windows.groupBy("h", "ck").agg(F.any_value("windows").alias("windows")), "windows")
+        windows = windows.groupBy("h", "ck").agg(F.any_value("windows").alias("windows"))
         each = settle(windows.join(wanted, ["h", "ck"]).select("h", "ck", "first_id", "fresh", F.posexplode("windows").alias("at", "w")), "each")
-        least = settle(each.groupBy("h", "w").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).filter("least < most").select("h", "w", "least"), "least")
+        least = each.groupBy("h", "w").agg(F.min("first_id").alias("least"), F.max("first_id").alias("most")).filter("least < most").select("h", "w", "least")
         again = each.filter("fresh").join(least, ["h", "w"]).filter("least < first_id").groupBy("h", "ck").agg(F.collect_set("at").alias("at"))
         verdicts = kinds.filter("last_id is not null").select("h", "ck", "first_id", "last_id").join(again, ["h", "ck"], "left").filter("last_id > first_id or at is not null").drop("last_id")
         verdicts = settle(verdicts, "verdicts")  # so that the join below is one that AQE can split where a stretch is hot
@@ -279,12 +279,12 @@ class WindowIndex:
         if not with_text:
             cut = cut.drop("kept")
         cut = settle(cut, "cut")
-        forget(hits, kinds, wanted, windows, each, least, verdicts)
+        forget(hits, kinds, wanted, each, verdicts)
         self.compact()
         return marks.select("id", "tk", "n_words", "sha").join(cut.dropDuplicates(["id", "tk"]), ["id", "tk"], "left")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, batches: int = 3, with_text: bool = False, index: WindowIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, batches: int = 2, with_text: bool = False, index: WindowIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 (and kept_text, words joined by one space).
 
     Removes each word covered by a window of ``width`` words whose sequence also starts in a document
