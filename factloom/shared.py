@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+_collected = 0.0
+#: Seconds between two runs of the driver's collectors.
+COLLECT_SECONDS = 2.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,16 +32,19 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
 
     Survives the loss of executors (nothing is kept only in their memory or on their disks)
     and lets the next plan start from files with known sizes. The shuffle files of the plan that
-    made it have no use any more; the driver's collectors run once, so that Spark deletes them.
+    made it have no use any more; the driver's collectors run, if they didn't just now, so that Spark deletes them.
     """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     del df
     _made[path] = spark
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(schema).parquet(path)
     out._settled = path
     return out
