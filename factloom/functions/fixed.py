@@ -65,6 +65,9 @@ LEVELS = {"factual": ["chunk", "entity"], "relational": ["entity", "chunk", "cor
 LEVEL_COST = {"community": 500, "entity": 800, "chunk": 1200, "corpus": 600}
 PRUNE = {"community": 0.3, "entity": 0.25, "chunk": 0.2}
 TOP_K = {"community": 5, "entity": 20, "chunk": 10}
+CORPUS_BLOCK = {"cnodes": 10, "tnodes": 5, "members": 5, "xedges": 10}
+ENRICHED = {"decontextualizer", "concept_extractor", "reference_extractor", "synthesizer"}
+PROMPT_HEADS = {"members": 20, "relations": 15, "communities": 10, "profiles": 10, "profile_chars": 120, "triplets": 15, "summary_chars": 500, "synthesis_chars": 800, "text_chars": 8000, "key_entities": 5}
 CHARS_PER_TOKEN, CONTEXT_TOKENS = 4, 4000
 
 FORMATS = {"pdf": "pdf", "epub": "epub", "docx": "docx", "md": "md", "txt": "txt", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image"}

@@ -108,6 +108,27 @@ def detect_language(text: Column) -> Column:
     return F.array_max(F.array(*ranked))["k"]
 
 
+def chunk_languages(text: Column, least: int = 10) -> Column:
+    """struct(primary, secondary array, multilingual): other languages of sentences of at least ``least`` words, sorted."""
+    sentences = F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= least)
+    primary = detect_language(text)
+    others = F.array_sort(F.array_distinct(F.filter(F.transform(sentences, detect_language), lambda k: k != primary)))
+    return F.struct(primary.alias("primary"), others.alias("secondary"), (F.size(others) > 0).alias("multilingual"))
+
+
+def document_id(at: Column, unique: Column | None = None) -> Column:
+    """yyyymmdd_hhmmss_ and eight hex digits: of a random uuid, or of what makes the row unique (the same on every retry)."""
+    digits = F.substring(F.md5(unique.cast("string")), 1, 8) if unique is not None else F.substring(F.replace(F.uuid(), F.lit("-")), 1, 8)
+    return F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), digits)
+
+
+def run_id(document: Column, at: Column) -> Column:
+    """yyyymmdd_hhmm_ and the first twelve digits of the name-based uuid (version 5, DNS namespace) of document and time."""
+    stamp = F.date_format(at, "yyyyMMdd_HHmm")
+    name = F.concat(F.unhex(F.lit("6ba7b8109dad11d180b400c04fd430c8")), F.encode(F.concat(document, F.lit("_"), stamp), "UTF-8"))
+    return F.concat(stamp, F.lit("_"), F.substring(F.sha1(name), 1, 12))
+
+
 def document_language(override: Column, metadata: Column, text: Column) -> Column:
     """Override, else metadata, else detected; empty counts as absent."""
     return F.coalesce(F.nullif(override, F.lit("")), F.nullif(metadata, F.lit("")), detect_language(text))

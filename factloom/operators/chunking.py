@@ -78,11 +78,16 @@ def semantic_groups(parts: DataFrame, id_col: str, order_col: str, vector_col: s
     return cut.withColumn("group", F.sum("_cut").over(w)).drop("_cut")
 
 
-def semantic(parts: DataFrame, id_col: str, order_col: str, text_col: str, vector_col: str, threshold: float = 0.5) -> DataFrame:
+def semantic(parts: DataFrame, id_col: str, order_col: str, text_col: str, vector_col: str, threshold: float = 0.5, target: int = 2000, overlap: int = 0) -> DataFrame:
     """Chunks of parts between semantic breaks; documents of fewer than 3 parts are packed by size instead (see ``pack``)."""
-    g = semantic_groups(parts, id_col, order_col, vector_col, threshold)
+    few = F.count("*").over(Window.partitionBy(id_col)) < 3
+    counted = parts.withColumn("_few", few)
     texts = F.transform(F.array_sort(F.collect_list(F.struct(order_col, text_col))), lambda x: x[text_col])
-    return g.groupBy(id_col, F.col("group").alias("position")).agg(F.array_join(texts, "\n\n").alias("content"))
+    g = semantic_groups(counted.filter("not _few"), id_col, order_col, vector_col, threshold)
+    long = g.groupBy(id_col, F.col("group").alias("position")).agg(F.array_join(texts, "\n\n").alias("content"))
+    short = counted.filter("_few").groupBy(id_col).agg(texts.alias("_parts"))
+    short = short.select(id_col, F.posexplode(pack(F.col("_parts"), target, overlap)).alias("position", "content"))
+    return long.unionByName(short.withColumn("position", F.col("position").cast(long.schema["position"].dataType)))
 
 
 def attribute_sections(chunks: DataFrame, sections: DataFrame, id_col: str = "document_id", head: int = 200, most: int = 3) -> DataFrame:

@@ -26,6 +26,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if new.filter("label != old").limit(1).count() == 0:
             break
         labels = new.select("node", "label")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
@@ -40,7 +42,31 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def louvain(edges: DataFrame, by: str = "document_id", resolution: float = 1.0) -> DataFrame:
+def leiden(edges: DataFrame, by: str = "document_id", resolution: float = 1.0) -> DataFrame:
+    """(by, node, component): as ``louvain``, but each level refines its groups before it merges them, so every group hangs together."""
+    return louvain(edges, by, resolution, refine=True)
+
+
+def _refined(links: list[dict[int, float]], own: list[int], degree: list[float], total: float, resolution: float) -> list[int]:
+    """Groups cut into parts: single nodes of a group join, in order, the neighbouring part of their group with the largest gain."""
+    part, weight, alone = list(range(len(links))), degree[:], [True] * len(links)
+    for i, x in enumerate(links):
+        if not alone[i]:
+            continue
+        around: dict[int, float] = {}
+        for j, w in x.items():
+            if j != i and own[j] == own[i]:
+                around[part[j]] = around.get(part[j], 0.0) + w
+        best = min(around, key=lambda c: (resolution * weight[c] * degree[i] / total - around[c], c), default=None)  # noqa: B023
+        if best is not None and best != part[i] and around[best] - resolution * weight[best] * degree[i] / total > 1e-12:
+            weight[best] += degree[i]
+            weight[part[i]] -= degree[i]
+            alone[best] = False
+            part[i] = best
+    return part
+
+
+def louvain(edges: DataFrame, by: str = "document_id", resolution: float = 1.0, refine: bool = False) -> DataFrame:
     """(by, node, component): modularity by local moves, level by level, per document graph.
 
     A document's graph is small and the moves depend on their order, so it runs in ``applyInPandas``.
@@ -54,11 +80,14 @@ def louvain(edges: DataFrame, by: str = "document_id", resolution: float = 1.0)
         for u, v in zip(pdf["u"], pdf["v"], strict=True):
             links[at[u]][at[v]] = 1.0
         member = list(range(len(names)))
+        start = list(range(len(names)))
         while True:
             n = len(links)
             degree = [sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(links)]
             total = sum(degree) or 1.0
-            own, weight, moved_any, moved = list(range(n)), degree[:], False, True
+            own, weight, moved_any, moved = start, [0.0] * n, False, True
+            for i, c in enumerate(own):
+                weight[c] += degree[i]
             while moved:
                 moved = False
                 for i in range(n):
@@ -73,13 +102,21 @@ def louvain(edges: DataFrame, by: str = "document_id", resolution: float = 1.0)
                         own[i], moved, moved_any = best, True, True
                     weight[own[i]] += degree[i]
             if not moved_any:
+                member = [own[m] for m in member]
+                break
+            parts = _refined(links, own, degree, total, resolution) if refine else own
+            new = {c: k for k, c in enumerate(dict.fromkeys(parts))}
+            if len(new) == n:  # nothing merges any more
+                member = [own[m] for m in member]
                 break
-            new = {c: k for k, c in enumerate(dict.fromkeys(own))}
-            member = [new[own[m]] for m in member]
+            group = {new[p]: c for p, c in zip(parts, own, strict=True)}
+            first_of: dict[int, int] = {}
+            start = [first_of.setdefault(group[k], k) for k in range(len(new))]
+            member = [new[parts[m]] for m in member]
             merged: list[dict[int, float]] = [{} for _ in new]
             for i, x in enumerate(links):
                 for j, w in x.items():
-                    a, b = new[own[i]], new[own[j]]
+                    a, b = new[parts[i]], new[parts[j]]
                     merged[a][b] = merged[a].get(b, 0.0) + (w if a != b or i == j else w / 2)
             links = merged
         first: dict[int, str] = {}
@@ -96,8 +133,16 @@ def louvain(edges: DataFrame, by: str = "document_id", resolution: float = 1.0)
 def keep_large(members: DataFrame, least: int = 3) -> DataFrame:
     """Members of groups of at least ``least``, with a sequential community id over the kept ones, in order of their first member."""
     size = members.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter(F.col("size") >= least)
-    # a numbering needs one order over all kept groups: one row a group, ranges sorted apart and counted
-    ids = size.withColumn("community", F.row_number().over(Window.orderBy("first")) - 1)
+    # one order over all kept groups, without one task for them: ranges are numbered apart and moved by the counts before them
+    ranges = settle(size.repartitionByRange("first").withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = [(r["_p"], r["n"]) for r in ranges.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect()]  # one row a partition
+    before, offsets = 0, []
+    for p, n in counts:
+        offsets.append((p, before))
+        before += n
+    moved = members.sparkSession.createDataFrame(offsets, "_p int, _o long")
+    at = F.row_number().over(Window.partitionBy("_p").orderBy("first"))
+    ids = ranges.withColumn("_n", at).join(F.broadcast(moved), "_p").withColumn("community", F.col("_n") - 1 + F.col("_o"))
     return members.join(ids.select("component", F.format_string("community_%d", "community").alias("community_id"), "size"), "component").select("community_id", "node", "size")
 
 
@@ -152,6 +197,23 @@ def neighbours_text(edges: DataFrame) -> DataFrame:
     return told.groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("relations"))
 
 
+def cluster_corpus(edges: DataFrame, existing: DataFrame, least: int = 3, most_edges: int = 100_000, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Clusters (cluster, member) of a corpus graph and what becomes of them (cluster, target, action; see ``reconcile``).
+
+    Components first, distributed. Those of at most ``most_edges`` edges are cut by ``leiden``, one task each; larger
+    ones by label propagation, which needs no task that holds one. Clusters under ``least`` members go.
+    """
+    parts = settle(components(edges), "parts")
+    tagged = settle(edges.select("src", "dst").join(parts.select(F.col("node").alias("src"), "component"), "src"), "tagged")
+    sizes = tagged.groupBy("component").agg((F.count("*") > most_edges).alias("large"))
+    tagged = tagged.join(sizes, "component")
+    small = leiden(tagged.filter("not large").withColumnRenamed("component", "part"), "part", resolution).select(F.col("component").alias("cluster"), F.col("node").alias("member"))
+    large = label_propagation(tagged.filter("large")).select(F.col("component").alias("cluster"), F.col("node").alias("member"))
+    found = settle(small.unionByName(large), "clusters")
+    kept = found.join(found.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("cluster"), "cluster", "left_semi")
+    return kept, reconcile(kept, existing)
+
+
 def reconcile(clusters: DataFrame, existing: DataFrame) -> DataFrame:
     """(cluster, target, action): the known topic most members vote for (ties: least name) if votes >= size // 2, else a new one.
 

@@ -88,7 +88,7 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float, small: int = 20
 
 
 def _unit(column: pd.Series) -> np.ndarray:
-    v = np.array(column.tolist(), float).reshape(len(column), -1)
+    v = np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 

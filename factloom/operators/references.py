@@ -6,11 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _pieces(text, sizes: tuple[int, ...]):
+    """The distinct stretches of the given lengths in a lower-cased text."""
+    low = F.lower(text)
+    none = F.array().cast("array<string>")
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - k + 1, F.lit(1))), lambda i: F.substring(low, i, k))
+    return F.array_distinct(F.concat(*[F.when(F.length(low) >= k, of(k)).otherwise(none) for k in sizes]))
+
+
+def _containing(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): where the one stands in the other, without regard to case.
+
+    Each small text looks only under its rarest piece (three letters, or all of a shorter text), so common
+    endings don't bring everything together; a piece that no large text has settles it at once.
+    """
+    index = large.distinct().select("large", F.explode(_pieces(F.col("large"), (1, 2, 3))).alias("piece"))
+    known = index.groupBy("piece").agg(F.count("*").alias("n"))
+    size = F.least(F.length("small"), F.lit(3))
+    own = F.when(size == 3, _pieces(F.col("small"), (3,))).otherwise(F.array(F.lower("small")))
+    asked = small.distinct().filter("small != ''").select("small", F.explode(own).alias("piece")).join(known, "piece", "left")
+    rarest = asked.groupBy("small").agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("piece", F.struct("n", "piece")).alias("piece")).filter("least > 0")
+    return rarest.join(index, "piece").filter(F.contains(F.lower("large"), F.lower("small"))).select("small", "large")
+
+
 def match_nodes(texts: DataFrame, nodes: DataFrame, aliases: DataFrame, substrings: bool = True) -> DataFrame:
     """(text, node_id): the node of that name, else of that alias, else the first by ``ord`` that contains it or is contained.
 
     nodes: node_id, ord. aliases: alias, canonical. The first two are equi-joins; only texts they
-    leave open meet the nodes for substrings, through shared words where there are any.
+    leave open meet the nodes for substrings, in either direction. Empty texts match nothing.
     """
     t = texts.select("text").distinct()
     exact = t.join(nodes.select(F.col("node_id").alias("text"), F.col("node_id").alias("_e")), "text", "left")
@@ -20,12 +43,10 @@ def match_nodes(texts: DataFrame, nodes: DataFrame, aliases: DataFrame, substrin
     if not substrings:
         return out.select("text", F.col("_n").alias("node_id"))
     open_ = out.filter("_n is null").select("text")
-    # a containment needs common letters: both sides are cut into 3-letter pieces, and pieces are joined
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 3, F.array(F.lower(c))).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.lower(c), i, 3))))
-    a = open_.select("text", F.explode(grams(F.col("text"))).alias("g"))
-    b = nodes.select("node_id", "ord", F.explode(grams(F.col("node_id"))).alias("g"))
-    near = a.join(b, "g").select("text", "node_id", "ord").distinct()
-    fit = near.filter(F.contains(F.lower("node_id"), F.lower("text")) | F.contains(F.lower("text"), F.lower("node_id")))
+    names = nodes.select(F.col("node_id").alias("name"))
+    inside = _containing(open_.withColumnRenamed("text", "small"), names.withColumnRenamed("name", "large")).select(F.col("small").alias("text"), F.col("large").alias("node_id"))
+    around = _containing(names.withColumnRenamed("name", "small"), open_.withColumnRenamed("text", "large")).select(F.col("large").alias("text"), F.col("small").alias("node_id"))
+    fit = inside.union(around).distinct().join(nodes.select("node_id", "ord"), "node_id")
     first = fit.groupBy("text").agg(F.min_by("node_id", "ord").alias("_s"))
     return out.join(first, "text", "left").select("text", F.coalesce("_n", "_s").alias("node_id"))
 

@@ -71,14 +71,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
 
 
 def _unit(column: pd.Series) -> np.ndarray:
-    v = np.array(column.tolist(), float).reshape(len(column), -1 if len(column) else 0)
+    """Rows as unit vectors; no rows, no columns."""
+    v = np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 20, normalize: bool = True) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 100, normalize: bool = True, tolerance: float = 1e-6) -> DataFrame:
     """(node, score): personalised PageRank on undirected edges, uniform over the seeds (node) that are in the graph.
 
-    A fixed number of power iterations, settled every five. Without a valid seed there is no row.
+    Power iterations, settled every five: ``rounds`` of them at most, fewer where none of the last changed the
+    scores by ``tolerance`` a node. Without a valid seed there is no row.
     Every node here has an edge, so no mass is lost at dangling ones. Scores are divided by the largest.
     """
     near = settle(undirected(edges), "near")
@@ -89,28 +91,60 @@ def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds:
         return base.select(F.col("u").alias("node"), F.lit(0.0).alias("score")).limit(0)
     base = base.select("u", "d", (F.coalesce("s", F.lit(0.0)) / float(k)).alias("p"))
     score = base.select("u", F.lit(1.0 / n).alias("r"))
+    before = score
     for i in range(rounds):
         spread = score.join(base, "u").select(F.col("u").alias("v"), (F.col("r") / F.col("d")).alias("w")).join(near, "v").groupBy("u").agg(F.sum("w").alias("w"))
         score = base.join(spread, "u", "left").select("u", (teleport * F.col("p") + (1 - teleport) * F.coalesce("w", F.lit(0.0))).alias("r"))
         if i % 5 == 4:
             score = settle(score, "ranks")
+            moved = score.join(before.select("u", F.col("r").alias("was")), "u").agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0]
+            if moved < n * tolerance:  # of five rounds together, so of each
+                break
+            before = score
     if normalize:
         top = score.agg(F.max("r").alias("top"))
         return score.crossJoin(F.broadcast(top)).select(F.col("u").alias("node"), (F.col("r") / F.col("top")).alias("score"))  # one row
     return score.select(F.col("u").alias("node"), F.col("r").alias("score"))
 
 
+def query_pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 20) -> DataFrame:
+    """(query_id, node, score): personalised PageRank of each query from its own seeds (query_id, node; nodes of the graph).
+
+    Mass starts at the seeds, so a query holds rows only for nodes it has reached. One join and one
+    aggregate a round for all queries together, settled every five. Scores are divided by the query's largest.
+    """
+    near = undirected(edges)
+    near = settle(near.join(near.groupBy("u").agg(F.count("*").alias("d")), "u"), "near")
+    own = seeds.select("query_id", F.col("node").alias("u")).distinct()
+    home = settle(own.join(own.groupBy("query_id").agg(F.count("*").alias("k")), "query_id").select("query_id", "u", (1.0 / F.col("k")).alias("p")), "seeds")
+    score = home.select("query_id", "u", F.col("p").alias("r"))
+    for i in range(rounds):
+        moved = score.join(near, "u").select("query_id", F.col("v").alias("u"), ((1 - teleport) * F.col("r") / F.col("d")).alias("r"))
+        score = moved.unionByName(home.select("query_id", "u", (teleport * F.col("p")).alias("r"))).groupBy("query_id", "u").agg(F.sum("r").alias("r"))
+        if i % 5 == 4:
+            score = settle(score, "ranks")
+    top = score.groupBy("query_id").agg(F.max("r").alias("top"))
+    return score.join(top, "query_id").select("query_id", F.col("u").alias("node"), (F.col("r") / F.col("top")).alias("score"))
+
+
 def seeds_of(results: DataFrame, nodes: DataFrame, most: int = 5, above: float = 0.3) -> DataFrame:
-    """(query_id, node): the first ``most`` results (in rank order) with a score above the limit that are nodes."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    first = results.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= most) & (F.col("score") > above))
-    return first.select("query_id", F.col("id").alias("node")).join(nodes.select(F.col("node_id").alias("node")), "node", "left_semi")
+    """(query_id, node): the nodes among the first ``most`` results (in rank order), of those with a score above the limit."""
+    first = results.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter((F.col("_r") <= most) & (F.col("score") > above))
+    kind = nodes.schema["node_id"].dataType
+    return first.select("query_id", F.col("id").cast(kind).alias("node")).join(nodes.select(F.col("node_id").alias("node")).distinct(), "node", "left_semi")
 
 
 def blend_scores(results: DataFrame, ppr: DataFrame, weight: float = 0.3) -> DataFrame:
-    """score = weight * vector + (1 - weight) * PageRank (0 if unknown). ppr: node, score."""
-    p = ppr.select(F.col("node").alias("id"), F.col("score").alias("_p"))
-    return results.join(p, "id", "left").withColumn("score", weight * F.col("score") + (1 - weight) * F.coalesce("_p", F.lit(0.0))).drop("_p")
+    """score = weight * vector + (1 - weight) * PageRank (0 if unknown). ppr: node, score; with a query_id,
+    each query has its own, and one without any (no valid seed) keeps its vector scores."""
+    keyed = "query_id" in ppr.columns
+    p = ppr.select(*(["query_id"] if keyed else []), F.col("node").cast(results.schema["id"].dataType).alias("id"), F.col("score").alias("_p"))
+    blended = weight * F.col("score") + (1 - weight) * F.coalesce("_p", F.lit(0.0))
+    if not keyed:
+        return results.join(p, "id", "left").withColumn("score", blended).drop("_p")
+    seeded = ppr.select("query_id").distinct().withColumn("_s", F.lit(True))
+    out = results.join(p, ["query_id", "id"], "left").join(seeded, "query_id", "left")
+    return out.withColumn("score", F.when(F.col("_s"), blended).otherwise(F.col("score"))).drop("_p", "_s")
 
 
 def prune(results: DataFrame, level: str, k: int | None = None) -> DataFrame:
@@ -140,46 +174,166 @@ def fit_budget(results: DataFrame, tokens: int = fixed.CONTEXT_TOKENS) -> DataFr
     return r.withColumn("content", content).drop("_end", "_start", "_over")
 
 
-def assemble(fitted: DataFrame) -> DataFrame:
-    """(query_id, context, used_chars, tokens): headed parts for communities, entities and evidence."""
+def assemble(fitted: DataFrame, blocks: DataFrame | None = None, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
+    """(query_id, context, used_chars, tokens): headed parts for communities, corpus, entities, evidence, contradictions.
+
+    blocks (query_id, corpus, contradictions): texts that are added whole, in this order, while they fit the budget.
+    """
     part = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "content")))), lambda x: x["content"])
     kind = F.col("source_type")
     g = fitted.groupBy("query_id").agg(
         part(kind == "community_summary").alias("c"), part(kind.isin("entity_profile", "relation_profile")).alias("e"),
         part(~kind.isin("community_summary", "entity_profile", "relation_profile")).alias("k"), F.sum(F.length("content")).alias("used_chars"),
     )
+    if blocks is None:
+        g = g.withColumns({"corpus": F.lit(None).cast("string"), "contradictions": F.lit(None).cast("string")})
+    else:
+        g = g.join(blocks.select("query_id", "corpus", "contradictions"), "query_id", "full").withColumn("used_chars", F.coalesce("used_chars", F.lit(0)))
+        for c in ("corpus", "contradictions"):
+            size = F.length(F.nullif(F.col(c), F.lit("")))
+            fits = F.col("used_chars") + size <= tokens * fixed.CHARS_PER_TOKEN
+            g = g.withColumns({c: F.when(fits, F.col(c)), "used_chars": F.when(fits, F.col("used_chars") + size).otherwise(F.col("used_chars"))})
     text = lambda head, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {head}\n"), F.array_join(c, "\n\n")))
-    return g.select("query_id", F.concat_ws("\n\n", text("Document Context", "c"), text("Relevant Entities", "e"), text("Evidence", "k")).alias("context"), "used_chars", (F.col("used_chars") / fixed.CHARS_PER_TOKEN).cast("long").alias("tokens"))
+    block = lambda head, c: F.concat(F.lit(f"## {head}\n"), F.col(c))
+    context = F.concat_ws("\n\n", text("Document Context", "c"), block("Cross-Document Knowledge", "corpus"), text("Relevant Entities", "e"), text("Evidence", "k"), block("Contradictions", "contradictions"))
+    return g.select("query_id", context.alias("context"), "used_chars", (F.col("used_chars") / fixed.CHARS_PER_TOKEN).cast("long").alias("tokens"))
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
+def community_level(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Results (query_id, ord, source_type, id, score) of the community summaries."""
+    found = prune(top_k(queries, vectors, fixed.TOP_K["community"]), "community")
+    return found.select("query_id", F.col("rank").alias("ord"), F.lit("community_summary").alias("source_type"), "id", "score")
+
+
+def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame, edges: DataFrame | None = None, k: int = fixed.TOP_K["entity"], weight: float = 0.3, rounds: int = 20) -> DataFrame:
+    """Results of entity profiles and half as many relation profiles: blended by the query's PageRank, then pruned, ranked and cut."""
+    found = top_k(queries, entities, k).withColumn("source_type", F.lit("entity_profile"))
+    found = found.unionByName(top_k(queries, relations, k // 2).withColumns({"rank": F.col("rank") + k, "source_type": F.lit("relation_profile")}))
+    if edges is not None:
+        found = settle(found, "profiles")
+        nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+        found = blend_scores(found, query_pagerank(edges, seeds_of(found, nodes), rounds=rounds), weight)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    cut = found.filter(F.col("score") >= fixed.PRUNE["entity"]).withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= k)
+    return cut.select("query_id", "ord", "source_type", "id", "score")
+
+
+def chunk_level(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    found = prune(top_k(queries, vectors, fixed.TOP_K["chunk"]), "chunk")
+    return found.select("query_id", F.col("rank").alias("ord"), F.lit("chunk").alias("source_type"), "id", "score")
+
+
+def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, tokens: int = fixed.CONTEXT_TOKENS, rounds: int = 20) -> DataFrame:
     """Context of each query (query_id, query, embedding) from vectors (id, level, embedding, content).
 
-    Levels are decided per query by its plan and applied as filters, so one plan serves a batch. The
-    chunk level runs for queries whose entity results are weak.
+    Levels (community, entity, relation, chunk) are decided per query by its plan and applied as filters, so one plan serves a batch. The
+    chunk level runs for queries whose entity results are weak; the corpus level, where ``corpus`` (cnodes, tnodes, xedges and, if any,
+    contradictions: text) is given, starts from the first five entity results and the query's words. A level that no query asks for gives no rows.
     """
     planned = settle(plan(queries), "plans")
     ask = lambda level: planned.filter(F.array_contains("levels", level)).select("query_id", "embedding")
     of = lambda level: vectors.filter(F.col("level") == level)
-    community = prune(top_k(ask("community"), of("community"), fixed.TOP_K["community"]), "community")
-    entity = prune(top_k(ask("entity"), of("entity"), fixed.TOP_K["entity"]), "entity")
-    ranks = pagerank(edges, entity.filter("rank <= 5 and score > 0.3").select(F.col("id").cast(edges.schema["src"].dataType).alias("node")))
-    entity = prune(blend_scores(entity.drop("rank"), ranks), "entity")
+    entity = settle(entity_level(ask("entity"), of("entity"), of("relation"), edges, rounds=rounds), "entities")
     weak = needs_chunks(planned, entity).filter("fallback").select("query_id")
-    chunk = prune(top_k(ask("chunk").join(weak, "query_id", "left_semi"), of("chunk"), fixed.TOP_K["chunk"]), "chunk")
-    tag = lambda df, kind, level: df.select("query_id", (F.col("rank") + level * 1000).alias("ord"), F.lit(kind).alias("source_type"), "id", "score")
-    all_ = tag(community, "community_summary", 0).unionByName(tag(entity, "entity_profile", 1)).unionByName(tag(chunk, "chunk", 2))
+    levels = [community_level(ask("community"), of("community")), entity, chunk_level(ask("chunk").join(weak, "query_id", "left_semi"), of("chunk"))]
+    results = [r.withColumn("ord", F.col("ord") + 1000 * i) for i, r in enumerate(levels)]
+    all_ = results[0].unionByName(results[1]).unionByName(results[2])
+    blocks = None
+    if corpus is not None:
+        asking = planned.filter(F.array_contains("levels", "corpus")).select("query_id", "query")
+        names = entity.filter("ord <= 5").groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("names"))
+        asking = asking.join(names, "query_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+        blocks = corpus_block(*corpus_context(asking, corpus["cnodes"], corpus["tnodes"], corpus["xedges"])).withColumnRenamed("text", "corpus")
+        told = F.lit(None).cast("string")
+        if "contradictions" in corpus:
+            all_told = corpus["contradictions"].agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("- "), "text")))).alias("contradictions"))
+            blocks = asking.select("query_id").join(blocks, "query_id", "left").crossJoin(F.broadcast(all_told))  # one row
+        else:
+            blocks = blocks.withColumn("contradictions", told)
     texts = vectors.select("id", "content")
-    return assemble(fit_budget(all_.join(texts, "id"), tokens))
+    return assemble(fit_budget(all_.join(texts, "id"), tokens), blocks, tokens)
+
 
+def keep_first(rows: DataFrame, keys: list[str], order: list[str], most: int | None = None, by: str | None = None) -> DataFrame:
+    """The first row of each key in the given order; of these the first ``most`` of each ``by``."""
+    out = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    if most is not None:
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
+    return out
 
-def corpus_context(queries: DataFrame, cnodes: DataFrame, tnodes: DataFrame, xedges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per query (query_id, names array): canonical nodes by name, topics with a common member, cross edges at those nodes.
 
-    cnodes: name. tnodes: topic, members. xedges: src, dst, relation_type, confidence.
+def corpus_context(queries: DataFrame, cnodes: DataFrame, tnodes: DataFrame, xedges: DataFrame, most_nodes: int = 20, most_edges: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per query (query_id, names array and, if there, query): canonical nodes by name or by one of the query's first five words,
+    topics with a common member, cross edges at those nodes.
+
+    cnodes: name. tnodes: topic, members. xedges: src, dst, relation_type, confidence. A node found by name comes before one found by
+    a word (a word of its name, without regard to case), found twice it counts once; ``ord`` is its place.
     """
-    asked = queries.select("query_id", F.explode("names").alias("name")).distinct()
+    asked = queries.select("query_id", F.posexplode("names").alias("ord", "name")).withColumn("way", F.lit(0))
     c = asked.join(cnodes, "name")
-    t = tnodes.select("topic", F.explode("members").alias("name")).join(asked, "name").select("query_id", "topic").distinct()
-    x = xedges.withColumn("name", F.explode(F.array("src", "dst"))).join(c.select("query_id", "name"), "name").drop("name").distinct()
-    return c, t, x
+    if "query" in queries.columns:
+        words = queries.select("query_id", F.posexplode(F.slice(F.split(F.trim(F.lower("query")), r"\s+"), 1, 5)).alias("ord", "word")).filter("word != ''")
+        known = cnodes.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+")))).filter("word != ''")
+        c = c.unionByName(words.join(known, "word").drop("word").withColumn("way", F.lit(1)))
+    c = keep_first(c, ["query_id", "name"], ["way", "ord", "name"], most_nodes, "query_id")
+    c = c.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("way", "ord", "name"))).drop("way")
+    at = c.select("query_id", "name")
+    t = tnodes.select("topic", F.explode("members").alias("name")).join(at, "name").select("query_id", "topic").distinct()
+    x = xedges.withColumn("name", F.explode(F.array("src", "dst"))).join(at, "name").drop("name").distinct()
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "src", "dst", "relation_type"))).filter(F.col("_r") <= most_edges).drop("_r")
+    return c, t.join(tnodes, "topic").select("query_id", "topic", "members"), x
+
+
+def corpus_results(cnodes: DataFrame) -> DataFrame:
+    """Canonical nodes of a query (name, entity_type, confidence, attributes) as results (query_id, ord, source_type, id, content, score)."""
+    content = F.concat("name", F.lit(" ("), "entity_type", F.lit(")"), F.coalesce(F.concat(F.lit(" \u2014 "), F.nullif(F.col("attributes"), F.lit(""))), F.lit("")))
+    return cnodes.select("query_id", "ord", F.lit("entity_profile").alias("source_type"), F.col("name").alias("id"), content.alias("content"), F.col("confidence").alias("score"))
+
+
+def corpus_block(cnodes: DataFrame, tnodes: DataFrame, xedges: DataFrame) -> DataFrame:
+    """(query_id, text): ten canonical nodes, five topics with five members, ten cross edges. cnodes also: entity_type, corroboration, attributes, documents."""
+    n = fixed.CORPUS_BLOCK
+    attributes = F.coalesce(F.concat(F.lit(" \u2014 "), F.nullif(F.col("attributes"), F.lit(""))), F.lit(""))
+    c = cnodes.select("query_id", "ord", "documents", F.concat(F.lit("  - "), "name", F.lit(" ("), "entity_type", F.lit(", corroboration="), F.col("corroboration").cast("string"), F.lit(")"), attributes).alias("line"))
+    c = c.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("n"), F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
+    lines = lambda col, most: F.transform(F.slice(col, 1, most), lambda x: x["line"])
+    c = c.select("query_id", F.concat(F.array(F.concat(F.lit("Canonical entities from "), F.col("n").cast("string"), F.lit(" documents:"))), lines(F.col("l"), n["cnodes"])).alias("c"))
+    t = tnodes.select("query_id", F.col("topic").alias("o"), F.concat(F.lit("  - "), "topic", F.lit(": "), F.array_join(F.slice("members", 1, n["members"]), ", ")).alias("line"))
+    t = t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("l")).select("query_id", F.concat(F.array(F.lit("Taxonomy categories:")), lines(F.col("l"), n["tnodes"])).alias("t"))
+    x = xedges.select("query_id", (-F.col("confidence")).alias("o"), F.concat(F.lit("  - "), "src", F.lit(" \u2014["), "relation_type", F.lit("]\u2192 "), "dst", F.lit(" (conf="), F.format_number("confidence", 2), F.lit(")")).alias("line"))
+    x = x.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("l")).select("query_id", F.concat(F.array(F.lit("Cross-document relations:")), lines(F.col("l"), n["xedges"])).alias("x"))
+    none = F.array().cast("array<string>")
+    all_ = c.join(t, "query_id", "full").join(x, "query_id", "full")
+    return all_.select("query_id", F.array_join(F.concat(F.coalesce("c", none), F.coalesce("t", none), F.coalesce("x", none)), "\n").alias("text"))
+
+
+def should_enrich(agent: str, enabled: bool, agents: set[str] | None = None) -> bool:
+    """Whether an agent's prompt gets retrieved context: enriching is on and the agent is one of those that get it."""
+    return enabled and agent in (agents or fixed.ENRICHED)
+
+
+def derive_queries(state: DataFrame, agent: str) -> DataFrame:
+    """Adds ``query``, what an agent searches for a document, from dense_summary, refine_summary, reference_titles, triplets (subject, object)."""
+    head = F.nullif(F.substring("dense_summary", 1, 500), F.lit(""))
+    titles = F.array_join(F.slice("reference_titles", 1, 5), ", ")
+    named = F.flatten(F.transform(F.slice("triplets", 1, 20), lambda t: F.array(t["subject"], t["object"])))
+    extra = {
+        "decontextualizer": F.when(F.size("reference_titles") > 0, F.concat(F.lit("references: "), titles)),
+        "concept_extractor": F.when(F.size("triplets") > 0, F.concat(F.lit("entities: "), F.array_join(F.slice(F.array_sort(F.array_distinct(named)), 1, 10), ", "))),
+        "synthesizer": F.nullif(F.substring("refine_summary", 1, 300), F.lit("")),
+        "reference_extractor": F.when(F.size("reference_titles") > 0, F.lit("citations bibliography references")),
+    }.get(agent, F.lit(None).cast("string"))
+    return state.withColumn("query", F.trim(F.concat_ws(" ", head, extra)))
+
+
+def build_context(state: DataFrame, agent: str, embed, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, enabled: bool = True, agents: set[str] | None = None, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
+    """(document_id, query, context, tokens): what retrieval adds to an agent's prompt, for all documents of ``state`` at once.
+
+    Documents without a query have a null context; an agent that isn't enriched gets no rows. embed: text column -> embedding column.
+    """
+    derived = derive_queries(state, agent).select("document_id", "query")
+    if not should_enrich(agent, enabled, agents):
+        return derived.withColumns({"context": F.lit(None).cast("string"), "tokens": F.lit(None).cast("long")}).limit(0)
+    asked = derived.filter("query != ''").select(F.col("document_id").alias("query_id"), "query", embed(F.col("query")).alias("embedding"))
+    found = retrieve(settle(asked, "asked"), vectors, edges, corpus, tokens)
+    return derived.join(found.select(F.col("query_id").alias("document_id"), "context", "tokens"), "document_id", "left")

@@ -442,7 +442,7 @@ def relevance_score(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.round(s, 6).alias("staleness"), F.round(rel, 6).alias("relevance"))
 
 
-_PAIRS = "sp AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <= 5), op AS (SELECT s_name AS s, p_name || ' #' || p_partkey AS o, l_suppkey * 1000000 + l_partkey AS k, l_partkey FROM sp JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"
+_PAIRS = "sp AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), op AS (SELECT s_name AS s, p_name || ' #' || p_partkey AS o, l_suppkey * 1000000 + l_partkey AS k, l_partkey FROM sp JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey)"
 
 
 def _opposed(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
@@ -454,38 +454,25 @@ def _opposed(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     return a.union(base.filter("l_partkey % 10 = 0").select("subject", F.lit("excludes"), "object", F.col("k") * 2 + 1))
 
 
-@query(f"WITH {_PAIRS} SELECT 'opposing_predicate' AS kind, 'high' AS severity, lower(s) AS subject, 'Opposing predicates ''contains'' and ''excludes'' for (' || lower(s) || ', ' || lower(o) || ').' AS detail FROM op WHERE l_partkey % 10 = 0")
-def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.contradictions(_opposed(spark, d, "l_suppkey <= 5"))
+_SIZES = "v AS (SELECT lower(p_name) AS subject, CAST(p_size AS VARCHAR) AS value, min(p_partkey) AS s FROM part GROUP BY 1, 2), conflict AS (SELECT a.subject, 'has_size' AS predicate, a.value AS value_a, b.value AS value_b FROM v a JOIN v b ON a.subject = b.subject AND a.s < b.s)"
 
 
-@query(SQL["contradictions"].replace(" WHERE l_suppkey <= 5", ""))
-def contradictions_all(spark: SparkSession, d: str) -> DataFrame:
-    return reasoning.contradictions(_opposed(spark, d))
+@query(f"WITH {_PAIRS}, {_SIZES} SELECT 'opposing_predicate' AS kind, 'high' AS severity, lower(s) AS subject, 'Opposing predicates ''contains'' and ''excludes'' for (' || lower(s) || ', ' || lower(o) || ').' AS detail FROM op WHERE l_partkey % 10 = 0 UNION ALL SELECT 'value_conflict', 'medium', subject, 'Conflicting values for (' || subject || ', has_size): ' || chr(39) || value_a || chr(39) || ' vs ' || chr(39) || value_b || chr(39) || '.' FROM conflict")
+def contradictions(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.contradictions(_opposed(spark, d).unionByName(_part_sizes(spark, d)))
 
 
-@query("WITH v AS (SELECT lower(p_name) AS subject, CAST(p_size AS VARCHAR) AS value, min(p_partkey) AS s FROM part WHERE p_partkey <= 400 GROUP BY 1, 2) SELECT a.subject, 'has_size' AS predicate, a.value AS value_a, b.value AS value_b FROM v a JOIN v b ON a.subject = b.subject AND a.s < b.s")
+@query(f"WITH {_SIZES} SELECT * FROM conflict")
 def value_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _sizes_in_conflict(table(spark, d, "part").filter("p_partkey <= 400"))
-
-
-@query(SQL["value_conflicts"].replace(" WHERE p_partkey <= 400", ""))
-def value_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
-    return _sizes_in_conflict(table(spark, d, "part"))
+    return reasoning.value_conflicts(_part_sizes(spark, d)).drop("seq_a", "seq_b")
 
 
-def _sizes_in_conflict(part: DataFrame) -> DataFrame:
-    p = part.select(F.col("p_name").alias("subject"), F.lit("has_size").alias("predicate"), F.col("p_size").cast("string").alias("object"), F.col("p_partkey").alias("seq"))
-    return reasoning.value_conflicts(p).drop("seq_a", "seq_b")
+def _part_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_name").alias("subject"), F.lit("has_size").alias("predicate"), F.col("p_size").cast("string").alias("object"), F.col("p_partkey").alias("seq"))
 
 
-@query("WITH f AS (SELECT o_custkey AS subject, 'ordered' AS predicate, o_orderkey AS object, o_orderdate AS s, o_orderdate + INTERVAL 20 DAY AS e, o_orderkey AS seq FROM orders WHERE o_custkey <= 300) SELECT a.subject, a.predicate, a.object AS object_a, b.object AS object_b FROM f a JOIN f b ON a.subject = b.subject AND a.seq < b.seq AND a.object != b.object AND a.s < b.e AND b.s < a.e")
+@query("WITH f AS (SELECT o_custkey AS subject, 'ordered' AS predicate, o_orderkey AS object, o_orderdate AS s, o_orderdate + INTERVAL 20 DAY AS e, o_orderkey AS seq FROM orders) SELECT a.subject, a.predicate, a.object AS object_a, b.object AS object_b FROM f a JOIN f b ON a.subject = b.subject AND a.seq < b.seq AND a.object != b.object AND a.s < b.e AND b.s < a.e")
 def temporal_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _orders_in_conflict(table(spark, d, "orders").filter("o_custkey <= 300"))
-
-
-@query(SQL["temporal_conflicts"].replace(" WHERE o_custkey <= 300", ""))
-def temporal_conflicts_all(spark: SparkSession, d: str) -> DataFrame:
     return _orders_in_conflict(table(spark, d, "orders"))
 
 
@@ -511,19 +498,8 @@ def reference_links(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval
 
 
-@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.id < 10 AND v.id >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM x) SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 5")
+@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM x) SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 5")
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    out = retrieval.top_k(v.filter("id < 10").withColumnRenamed("id", "query_id"), v.filter("id >= 10"), 5)
-    return out.withColumn("score", F.round("score", 6))
-
-
-#: The few queries in the SQL of a search, and a hundredth of the rows against all of them.
-_FEW, _HUNDREDTH = "ON q.id < 10 AND v.id >= 10", "ON q.id % 100 = 0"
-
-
-@query(SQL["vector_top_k"].replace(_FEW, _HUNDREDTH))
-def vector_top_k_all(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return retrieval.top_k(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 5).withColumn("score", F.round("score", 6))
 
@@ -546,36 +522,21 @@ def query_plan(spark: SparkSession, d: str) -> DataFrame:
 def _pagerank_sql(rounds: int) -> str:
     steps = [f"r0 AS (SELECT a, 1.0::DOUBLE / (SELECT count(*) FROM deg) AS r FROM deg)"]
     for i in range(rounds):
-        steps.append(f"r{i + 1} AS (SELECT deg.a, 0.15::DOUBLE * p + 0.85::DOUBLE * coalesce(w, 0) AS r FROM deg LEFT JOIN (SELECT u.a, sum(r.r / d.n) AS w FROM u JOIN r{i} r ON r.a = u.b JOIN deg d ON d.a = u.b GROUP BY u.a) x USING (a))")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT deg.a, 0.15::DOUBLE * p + 0.85::DOUBLE * coalesce(w, 0) AS r FROM deg LEFT JOIN (SELECT u.a, sum(r.r / d.n) AS w FROM u JOIN r{i} r ON r.a = u.b JOIN deg d ON d.a = u.b GROUP BY u.a) x USING (a))")
     return ", ".join(steps)
 
 
-@query(f"WITH {I.EDGES}, u AS (SELECT src AS a, dst AS b FROM edges WHERE relation_type = 'part_of' UNION SELECT dst, src FROM edges WHERE relation_type = 'part_of'), seeds AS (SELECT r_name AS s FROM region WHERE r_regionkey < 2), deg AS (SELECT a, count(*) AS n, (a IN (SELECT s FROM seeds))::INT / (SELECT count(DISTINCT a) FROM u WHERE a IN (SELECT s FROM seeds))::DOUBLE AS p FROM u GROUP BY a), {_pagerank_sql(6)} SELECT a AS node, round(r / (SELECT max(r) FROM r6), 6) AS score FROM r6")
+@query(f"WITH {I.EDGES}, u AS (SELECT src AS a, dst AS b FROM edges WHERE src != dst UNION SELECT dst, src FROM edges WHERE src != dst), seeds AS (SELECT r_name AS s FROM region WHERE r_regionkey < 2), deg AS MATERIALIZED (SELECT a, count(*) AS n, (a IN (SELECT s FROM seeds))::INT / (SELECT count(DISTINCT a) FROM u WHERE a IN (SELECT s FROM seeds))::DOUBLE AS p FROM u GROUP BY a), {_pagerank_sql(20)} SELECT a AS node, round(r / (SELECT max(r) FROM r20), 6) AS score FROM r20")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty rounds, as the SQL has; by itself the operator goes on until its scores settle."""
     seeds = table(spark, d, "region").filter("r_regionkey < 2").select(F.col("r_name").alias("node"))
-    return retrieval.pagerank(_edges(spark, d).filter("relation_type = 'part_of'"), seeds, rounds=6).withColumn("score", F.round("score", 6))
+    return retrieval.pagerank(_edges(spark, d), seeds, rounds=20, tolerance=0).withColumn("score", F.round("score", 6))
 
 
-@query()
-def pagerank_all(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "region").filter("r_regionkey < 2").select(F.col("r_name").alias("node"))
-    return retrieval.pagerank(_edges(spark, d).filter("relation_type = 'part_of'"), seeds).withColumn("score", F.round("score", 6))
-
-
-@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.id < 10 AND v.id >= 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM x), k AS (SELECT query_id, id, 0.3 * s + 0.7 * CASE WHEN id % 2 = 0 THEN (id % 10) / 10.0 ELSE 0 END AS s FROM r WHERE n <= 20), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM k WHERE s >= 0.25) SELECT query_id, id, round(s, 6) AS score, rank FROM f WHERE rank <= 20")
+@query("WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM x), k AS (SELECT query_id, id, 0.3 * s + 0.7 * CASE WHEN id % 2 = 0 THEN (id % 10) / 10.0 ELSE 0 END AS s FROM r WHERE n <= 20), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM k WHERE s >= 0.25) SELECT query_id, id, round(s, 6) AS score, rank FROM f WHERE rank <= 20")
 def entity_retrieval(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _blended(v.filter("id < 10"), v.filter("id >= 10"), v)
-
-
-@query(SQL["entity_retrieval"].replace(_FEW, _HUNDREDTH))
-def entity_retrieval_all(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return _blended(v.filter("id % 100 = 0"), v, v)
-
-
-def _blended(asked: DataFrame, searched: DataFrame, v: DataFrame) -> DataFrame:
-    top = retrieval.top_k(asked.withColumnRenamed("id", "query_id"), searched, 20).drop("rank")
+    top = retrieval.top_k(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 20).drop("rank")
     ppr = v.filter("id % 2 = 0").select(F.col("id").alias("node"), ((F.col("id") % 10) / 10).alias("score"))
     return retrieval.prune(retrieval.blend_scores(top, ppr), "entity").withColumn("score", F.round("score", 6))
 
@@ -613,13 +574,37 @@ def corpus_topics(spark: SparkSession, d: str) -> DataFrame:
     q = n.filter("n_nationkey % 2 = 0").groupBy(F.col("n_regionkey").alias("query_id")).agg(F.collect_list("n_name").alias("names"))
     t = n.groupBy(F.concat(F.lit("topic_"), (F.col("n_nationkey") % 4).cast("string")).alias("topic")).agg(F.collect_list("n_name").alias("members"))
     x = spark.createDataFrame([], "src string, dst string, relation_type string, confidence double")
-    return retrieval.corpus_context(q, n.select(F.col("n_name").alias("name")), t, x)[1]
+    return retrieval.corpus_context(q, n.select(F.col("n_name").alias("name")), t, x)[1].select("query_id", "topic")
 
 
-@query()
+def _ppr_by_query_sql(rounds: int) -> str:
+    steps = ["p0 AS MATERIALIZED (SELECT query_id, id AS a, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id) AS r FROM seeds)"]
+    for i in range(rounds):
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT query_id, a, sum(r) AS r FROM (SELECT query_id, u.b AS a, 0.85::DOUBLE * r / n AS r FROM p{i} JOIN u USING (a) JOIN deg USING (a) UNION ALL SELECT query_id, a, 0.15::DOUBLE * r FROM p0) GROUP BY query_id, a)")
+    return ", ".join(steps)
+
+
+_LEVEL = "CASE vec_id % 4 WHEN 0 THEN 'community' WHEN 1 THEN 'entity' WHEN 2 THEN 'relation' ELSE 'chunk' END"
+_RANKED = "SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM x WHERE level = '{0}' AND list_contains(levels, '{1}')"
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, {_LEVEL} AS level, 'text of ' || vec_id AS content FROM embeddings),
+q AS (SELECT id AS query_id, e AS qe, CASE WHEN id % 200 = 0 THEN ['community', 'entity'] ELSE ['entity', 'chunk', 'corpus'] END AS levels FROM v WHERE id % 100 = 0),
+x AS MATERIALIZED (SELECT query_id, levels, id, level, list_cosine_similarity(qe, e) AS s FROM q, v),
+u AS MATERIALIZED (SELECT id AS a, id + 1 AS b FROM v UNION SELECT id + 1, id FROM v), deg AS MATERIALIZED (SELECT a, count(*) AS n FROM u GROUP BY a),
+found AS MATERIALIZED (SELECT *, 'e' AS kind FROM ({_RANKED.format("entity", "entity")}) WHERE rank <= 20 UNION ALL SELECT query_id, id, s, rank + 20, 'r' FROM ({_RANKED.format("relation", "entity")}) WHERE rank <= 10),
+seeds AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM found) WHERE k <= 5 AND s > 0.3),
+{_ppr_by_query_sql(20)},
+blended AS (SELECT query_id, id, rank, CASE WHEN query_id IN (SELECT query_id FROM p0) THEN 0.3 * s + 0.7 * coalesce(r / (SELECT max(r) FROM p20 t WHERE t.query_id = f.query_id), 0) ELSE s END AS s FROM found f LEFT JOIN (SELECT query_id, a AS id, r FROM p20) USING (query_id, id)),
+entity AS (SELECT * FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS ord FROM blended WHERE s >= 0.25) WHERE ord <= 20),
+weak AS (SELECT query_id FROM q LEFT JOIN entity USING (query_id) GROUP BY query_id HAVING coalesce(avg(s), 0) < 0.6),
+results AS (SELECT query_id, id, rank AS ord, 0 AS l FROM ({_RANKED.format("community", "community")}) WHERE rank <= 5 AND s >= 0.3 UNION ALL SELECT query_id, id, ord, 1 FROM entity UNION ALL SELECT query_id, id, rank, 2 FROM ({_RANKED.format("chunk", "chunk")}) JOIN weak USING (query_id) WHERE rank <= 10 AND s >= 0.2),
+g AS (SELECT query_id, sum(length(content))::BIGINT AS n, string_agg(content, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE l = 0) AS c, string_agg(content, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE l = 1) AS e, string_agg(content, chr(10) || chr(10) ORDER BY ord) FILTER (WHERE l = 2) AS k FROM results JOIN v USING (id) GROUP BY query_id)
+SELECT query_id, concat_ws(chr(10) || chr(10), '## Document Context' || chr(10) || c, '## Relevant Entities' || chr(10) || e, '## Evidence' || chr(10) || k) AS context, n AS used_chars, n // 4 AS tokens FROM g""")
 def retrieve_context(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
-    level = F.when(F.col("vec_id") % 3 == 0, "community").when(F.col("vec_id") % 3 == 1, "entity").otherwise("chunk")
+    k = F.col("vec_id") % 4
+    level = F.when(k == 0, "community").when(k == 1, "entity").when(k == 2, "relation").otherwise("chunk")
     vectors = v.select(F.col("vec_id").alias("id"), level.alias("level"), "embedding", F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("content"))
     edges = v.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
     queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 200 == 0, "explain it").otherwise("how are they related").alias("query"), "embedding")

