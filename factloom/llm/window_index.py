@@ -259,7 +259,7 @@ class WindowIndex:
         kinds = settle(kinds, "kinds")
         # verified window by window: fingerprints of a stretch that is new, with another one in an earlier document
         open_marks = kinds.groupBy("h").agg(F.min("first_id").alias("a"), F.max(F.when(F.col("fresh"), F.col("first_id"))).alias("z")).filter("a < z").select("h")
-        wanted = kinds.join(open_marks, "h", "left_semi")
+        wanted = kinds.join(settle(open_marks, "open"), "h", "left_semi")  # settled, so that AQE can split a hot fingerprint
         wanted = settle(wanted, "wanted")
         asked = wanted.groupBy(F.col("first_id").alias("id")).agg(F.collect_list(F.struct("h", "ck")).alias("want"))
         texts = source.select("id", "text")
