@@ -94,9 +94,17 @@ def drop_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[Dat
 
 def merge_graph(old: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental node merge: aliases and chunks united, counts summed, confidence the larger. One union and one aggregate."""
-    both = old.unionByName(new)
+    both = old.unionByName(new, allowMissingColumns=True)
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return both.groupBy("node_id").agg(F.sum("occurrence_count").alias("occurrence_count"), union("source_chunk_ids"), F.max("confidence").alias("confidence"))
+    more = [union("aliases")] if "aliases" in both.columns else []
+    return both.groupBy("node_id").agg(F.sum("occurrence_count").alias("occurrence_count"), union("source_chunk_ids"), F.max("confidence").alias("confidence"), *more)
+
+
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Incremental edge merge by (src, relation_type, dst): counts summed, confidence the larger, chunks united."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    chunks = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids")
+    return both.groupBy("src", "relation_type", "dst").agg(F.sum("occurrence_count").alias("occurrence_count"), F.max("confidence").alias("confidence"), chunks)
 
 
 def remove_document(nodes: DataFrame, chunks: DataFrame) -> DataFrame:

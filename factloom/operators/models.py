@@ -28,6 +28,9 @@ PROMPTS = {
     "community_summarizer": "Summarise this group of entities.\nMembers: {members}\nRelations:\n{relations}",
     "profile_generator": "Describe {entity} by these relations:\n{relations}",
     "synthesizer": "Write a synthesis from this summary and these groups:\n{summary}\n\n{communities}",
+    "image_analyzer": "Describe this image of a document as JSON: type, description, entities.\nCaption: {caption}",
+    "entity_normalizer": "Which of these names mean the same? Answer as JSON: an array of arrays.\n{names}",
+    "relation_normalizer": "Give each relation below its canonical name as JSON: an object.\nKnown relations: {taxonomy}\n\n{relations}",
     "critic": "List unsupported statements of the synthesis as JSON.\nSynthesis:\n{synthesis}\n\nFacts:\n{facts}",
 }
 
@@ -110,6 +113,38 @@ def embed(text: Column, size: int = 128) -> Column:
     return F.pandas_udf(lambda s: embed_stub(s, size), "array<double>")(text)
 
 
+IMAGE_TYPES = ["diagram", "chart", "table_image", "photo", "screenshot", "decorative"]
+IMAGE_PROMPT = "Say what this image of a document shows, as JSON: type (one of " + ", ".join(IMAGE_TYPES) + "), description, entities (list of names)."
+
+
+def analyze_images(images: DataFrame, make: Callable[[], object], most: int = 500) -> DataFrame:
+    """Adds type, description, entities to images (image_id, content binary, media_type).
+
+    A client shows them by ``describe(prompt, image, media_type)``; one without ``supports_vision`` makes
+    them decorative. An answer that is no JSON object becomes the description of a photo, its first ``most`` characters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make()
+        sees = bool(getattr(client, "supports_vision", False))
+        for pdf in batches:
+            rows = []
+            for content, media in zip(pdf["content"], pdf["media_type"], strict=True):
+                if not sees:
+                    rows.append(("decorative", "[not analysed: the model sees no images]", []))
+                    continue
+                answer = client.describe(IMAGE_PROMPT, bytes(content), media)
+                try:
+                    found = json.loads(answer)
+                    rows.append((str(found.get("type") or "photo"), str(found.get("description") or ""), [str(e) for e in found.get("entities") or []]))
+                except (ValueError, AttributeError, TypeError):
+                    rows.append(("photo", answer[:most], []))
+            yield pdf.assign(type=[r[0] for r in rows], description=[r[1] for r in rows], entities=[r[2] for r in rows])
+
+    schema = images.schema.simpleString()[len("struct<") : -1]
+    return images.mapInPandas(run, f"{schema},type string,description string,entities array<string>")
+
+
 def refine(chunks: DataFrame, make: Callable[[], Client] = StubClient, by: str = "document_id") -> DataFrame:
     """(by, summary, steps): a summary carried from chunk to chunk in order; sequential per document."""
 

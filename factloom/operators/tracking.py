@@ -86,6 +86,38 @@ def by_day(s: DataFrame) -> DataFrame:
     return s.groupBy(F.date_format("end_time", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("documents_processed"), F.sum("total_tokens").alias("total_tokens"), F.sum("cost_usd").alias("total_cost_usd"))
 
 
+def counters(rows: DataFrame, **conditions: str) -> DataFrame:
+    """One row: total and, by name, how many rows each condition (SQL text) holds for."""
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.expr(c)).alias(k) for k, c in conditions.items()])
+
+
+def contradiction_counts(found: DataFrame) -> DataFrame:
+    return counters(found, opposing="kind = 'opposing_predicate'", values="kind = 'value_conflict'", high="severity = 'high'")
+
+
+def decay_counts(aged: DataFrame, prune_below: float) -> DataFrame:
+    return counters(aged, decayed="decay_factor < 1", undated="decay_factor is null", pruned=f"decay_factor is not null and confidence < {float(prune_below)}")
+
+
+def inference_counts(inferred: DataFrame) -> DataFrame:
+    """(rule, inferred): how many facts each rule gave."""
+    return inferred.groupBy("rule").agg(F.count("*").alias("inferred"))
+
+
+def linking_counts(linked: DataFrame) -> DataFrame:
+    return counters(linked, by_name="how = 'name'", by_alias="how in ('alias', 'incoming alias')", by_embedding="how = 'embedding'", new="target is null")
+
+
+def batch_counts(entries: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: files_found, processed, skipped, errors of scanned entries (document_id, cache_status); known ones are skipped, failed (document_id) are errors."""
+    new = F.col("cache_status") == "new"
+    bad = F.lit(False)
+    if failed is not None:
+        entries = entries.join(failed.select("document_id").distinct().withColumn("_bad", F.lit(True)), "document_id", "left")
+        bad = F.coalesce("_bad", F.lit(False))
+    return entries.agg(F.count("*").alias("files_found"), F.count_if(new & ~bad).alias("processed"), F.count_if(~new).alias("skipped"), F.count_if(new & bad).alias("errors"))
+
+
 def merge_mean(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Means kept as (key, total, n): adding two such tables is one union and one sum."""
     g = old.select(key, "total", "n").union(new.select(key, "total", "n")).groupBy(key).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -10,6 +10,7 @@ import re
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -114,13 +115,26 @@ def epub_text(raw: bytes) -> tuple[str, list[str]]:
     return "\n\n".join(t for t in texts if t), images
 
 
-def pdf_text(raw: bytes) -> str:
-    """Page texts joined by line ends, by whichever PDF library is there."""
+def pdf_pages(pages) -> tuple[str, list[str]]:
+    """(text, image names) of pages with ``text``, ``images`` (a number) and ``tables`` (rows of cells): page texts joined by line ends,
+    each page's tables as markdown and a placeholder for each image behind its text."""
+    texts, images = [], []
+    for n, page in enumerate(pages, 1):
+        names = [f"img_p{n}_{i:02d}" for i in range(1, page["images"] + 1)]
+        tables = [_rows_to_markdown([[c or "" for c in r] for r in t]) for t in page["tables"] if len(t) >= 2]
+        texts.append("\n".join(x for x in [page["text"], *tables, *(f"[image: {name}]" for name in names)] if x))
+        images += names
+    return "\n".join(texts), images
+
+
+def pdf_text(raw: bytes) -> tuple[str, list[str]]:
+    """Pages, tables and images by whichever PDF library is there; an error that says so where none is."""
     try:
         import fitz  # type: ignore
     except ImportError as e:
         raise RuntimeError("no PDF library on this executor") from e
-    return "\n".join(page.get_text() for page in fitz.open(stream=raw, filetype="pdf"))
+    with fitz.open(stream=raw, filetype="pdf") as book:
+        return pdf_pages({"text": p.get_text(), "images": len(p.get_images()), "tables": [t.extract() for t in p.find_tables().tables]} for p in book)
 
 
 def image_text(path: str, raw: bytes) -> str:
@@ -134,11 +148,30 @@ READERS: dict[str, Callable[[str, bytes], tuple[str, list[str]]]] = {
     "md": lambda p, r: (read_text(r), re.findall(r"!\[[^\]]*\]\(([^)]+)\)", read_text(r))),
     "docx": lambda p, r: (docx_text(r), []),
     "epub": lambda p, r: epub_text(r),
-    "pdf": lambda p, r: (pdf_text(r), []),
+    "pdf": lambda p, r: pdf_text(r),
     "image": lambda p, r: (image_text(p, r), ["img_001"]),
 }
 
 
+def content_of(value) -> bytes:
+    """Bytes of an input given as bytes, text, a path, or several paths (their bytes one after the other)."""
+    if isinstance(value, bytes | bytearray):
+        return bytes(value)
+    if isinstance(value, str):
+        return value.encode()
+    if isinstance(value, Path):
+        return value.read_bytes()
+    if isinstance(value, list | tuple):
+        return b"".join(Path(p).read_bytes() for p in value)
+    raise TypeError(f"no document content: {type(value).__name__}")
+
+
+def documents(spark: SparkSession, inputs: dict) -> DataFrame:
+    """(path, format, content) of a few inputs handed over by name, as scanned files have them; unknown formats are null."""
+    rows = [(name, content_of(value)) for name, value in inputs.items()]
+    return spark.createDataFrame(rows, "path string, content binary").select("path", format_of(F.col("path")).alias("format"), "content")
+
+
 def register_reader(name: str, reader: Callable[[str, bytes], tuple[str, list[str]]]) -> None:
     READERS[name] = reader
 

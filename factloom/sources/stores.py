@@ -1,14 +1,15 @@
-"""Stores as Parquet tables: vectors, graph, cache, runs. Upserts write a new version beside the old one."""
+"""Stores as Parquet tables: vectors, graph, cache, runs. Upserts write what they change beside the old version."""
 
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factloom.operators.retrieval import top_k
+from factloom.shared import settle
 
 
 class Files:
@@ -57,36 +58,80 @@ class Files:
 
 
 class Table:
-    """A keyed table with versions; readers see the last complete one."""
+    """A keyed table in buckets by key; readers see the last complete version.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], partition: str | None = None):
-        self.spark, self.files, self.keys, self.partition = spark, Files(spark, path), keys, partition
+    A version is a small list of which folder holds which bucket, so an upsert or delete rewrites only the buckets that
+    its keys fall into. Folders of older versions stay for their readers until ``vacuum``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 32):
+        self.spark, self.files, self.keys, self.buckets = spark, Files(spark, path), keys, buckets
 
     def exists(self) -> bool:
         return self.files.exists("latest")
 
+    def _version(self, name: str | None = None) -> dict:
+        return json.loads(self.files.read(f"{name or self.files.follow('latest')}.json")) if name or self.exists() else {"n": -1, "buckets": {}, "schema": None}
+
+    def _read(self, version: dict, buckets: list[int] | None = None) -> DataFrame:
+        held = [f"{self.files.root}/{folder}" for b, folder in version["buckets"].items() if buckets is None or int(b) in buckets]
+        schema = StructType.fromJson(json.loads(version["schema"]))
+        return self.spark.read.schema(schema).parquet(*held) if held else self.spark.createDataFrame([], schema)
+
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.files.root}/{self.files.follow('latest')}")
+        return self._read(self._version())
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
 
-    def _put(self, df: DataFrame) -> None:
-        old = self.files.follow("latest") if self.exists() else None
-        version = f"v{int(old[1:]) + 1 if old else 0:06d}"
-        w = df.write.mode("overwrite")
-        (w.partitionBy(self.partition) if self.partition else w).parquet(f"{self.files.root}/{version}")
-        self.files.point("latest", version)
-        if old:
-            self.files.delete(old)
+    def _put(self, version: dict, df: DataFrame, touched: list[int]) -> None:
+        """df: all rows of the touched buckets."""
+        n = version["n"] + 1
+        folder = f"v{n:06d}"
+        df.withColumn("_bucket", self._bucket()).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.files.root}/{folder}")
+        full = {int(x.split("=")[1]) for x in self.files.list(folder) if x.startswith("_bucket=")}
+        kept = {b: f for b, f in version["buckets"].items() if int(b) not in touched}
+        new = {"n": n, "schema": df.schema.json(), "buckets": kept | {str(b): f"{folder}/_bucket={b}" for b in sorted(full)}}
+        self.files.write(f"{folder}.json", json.dumps(new))
+        self.files.point("latest", folder)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # at most ``buckets`` numbers
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows replace those of equal keys; of rows with an equal key in one call one stays."""
-        rows = rows.dropDuplicates(self.keys)
-        if self.exists():
-            old = self.read()
+        """Rows replace those of equal keys; of rows with an equal key in one call one stays. Columns that one side lacks are null."""
+        rows = settle(rows.dropDuplicates(self.keys), "rows")
+        version = self._version()
+        touched = self._touched(rows)
+        if not touched and version["n"] >= 0:
+            return
+        if version["n"] >= 0:
+            old = self._read(version, touched)
             rows = old.join(rows.select(self.keys), self.keys, "left_anti").unionByName(rows, allowMissingColumns=True)
-        self._put(rows)
+        self._put(version, rows, touched)
 
     def delete(self, keys: DataFrame) -> None:
-        self._put(self.read().join(keys.select(*[c for c in self.keys if c in keys.columns]), [c for c in self.keys if c in keys.columns], "left_anti"))
+        """Rows of the given keys go; with some of the key columns only, all rows that agree in those."""
+        if not self.exists():
+            return
+        on = [c for c in self.keys if c in keys.columns]
+        version = self._version()
+        touched = self._touched(keys) if len(on) == len(self.keys) else [int(b) for b in version["buckets"]]
+        old = self._read(version, touched)
+        if touched:
+            self._put(version, old.join(keys.select(on), on, "left_anti"), touched)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete folders that none of the last ``keep`` versions uses; returns how many."""
+        listed = self.files.list()
+        versions = sorted(n[:-5] for n in listed if n.endswith(".json"))
+        used = {f.split("/")[0] for v in versions[-max(keep, 1) :] for f in self._version(v)["buckets"].values()}
+        gone = [n for n in listed if n.startswith("v") and not n.endswith(".json") and n not in used]
+        for n in gone:
+            self.files.delete(n)
+        for v in versions[: -max(keep, 1)]:
+            self.files.delete(f"{v}.json")
+        return len(gone)
 
     def count(self) -> int:
         return self.read().count() if self.exists() else 0
@@ -96,7 +141,7 @@ class VectorStore:
     """Collections of (id, embedding, document, metadata map)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.table = Table(spark, path, ["collection", "id"], "collection")
+        self.table = Table(spark, path, ["collection", "id"])
 
     def upsert(self, collection: str, rows: DataFrame) -> None:
         self.table.upsert(rows.withColumn("collection", F.lit(collection)))
@@ -125,6 +170,15 @@ class GraphStore:
         self.nodes.upsert(nodes)
         self.edges.upsert(edges)
 
+    def node(self, node: str) -> DataFrame:
+        return self.nodes.read().filter(F.col("node_id") == node)
+
+    def counts(self) -> dict[str, int]:
+        """Nodes, edges and different source documents, where nodes name them."""
+        nodes = self.nodes.read() if self.nodes.exists() else None
+        documents = nodes.select(F.explode("source_documents")).distinct().count() if nodes is not None and "source_documents" in nodes.columns else 0
+        return {"nodes": self.nodes.count(), "edges": self.edges.count(), "documents": documents}
+
     def edges_of(self, node: str, direction: str = "both", relation: str | None = None) -> DataFrame:
         e = self.edges.read()
         side = {"out": F.col("src") == node, "in": F.col("dst") == node, "both": (F.col("src") == node) | (F.col("dst") == node)}[direction]
@@ -174,6 +228,25 @@ class Runs:
             return self.read_step(m["carried_from"], step)
         return self.spark.read.parquet(self.step_path(run_id, step))
 
+    def write_text(self, run_id: str, name: str, text: str) -> None:
+        """A text of the run (enriched_text, dense_summary ...)."""
+        self.files.write(f"runs/{run_id}/{name}", text)
+
+    def read_text(self, run_id: str, name: str) -> str | None:
+        at = f"runs/{run_id}/{name}"
+        return self.files.read(at) if self.files.exists(at) else None
+
+    def write_chunk_index(self, run_id: str, names: list[str]) -> None:
+        self.files.write(f"runs/{run_id}/chunk_index.json", json.dumps(names))
+
+    def read_chunks(self, run_id: str, step: str = "02_chunks", id_col: str = "id") -> DataFrame:
+        """The run's chunks with ``ord``: their place in the chunk index, else their order by name; those the index doesn't list come last."""
+        chunks = self.read_step(run_id, step)
+        listed = json.loads(self.read_text(run_id, "chunk_index.json") or "[]")
+        index = self.spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(listed))], f"{id_col} string, _at long")
+        ord_ = F.row_number().over(Window.orderBy(F.col("_at").asc_nulls_last(), id_col)) - 1  # the chunks of one document
+        return chunks.join(F.broadcast(index), id_col, "left").withColumn("ord", ord_).drop("_at")
+
     def finalize(self, run_id: str) -> None:
         m = self.manifest(run_id)
         m["status"] = "done"
@@ -200,18 +273,24 @@ def export_csv(calls: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str) -> None:
-    """Node-link JSON lines, GraphML, GEXF or Cypher statements as text files. XML headers go with the one part they head."""
+    """Node-link JSON, GraphML, GEXF or Cypher statements as text.
+
+    Written in parts by all tasks; the parts one after the other are the file, which ``joined`` makes of them.
+    """
     from factloom.functions.text import cypher_text
 
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     n, s, t, r = F.col("node_id"), F.col("src"), F.col("dst"), F.col("relation_type")
     if kind == "json":
-        nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), *nodes.columns)).alias("value")).union(edges.select(F.to_json(F.struct(F.lit("link").alias("kind"), *edges.columns)))).write.mode("overwrite").text(path)
+        a = nodes.select(F.to_json(F.struct(F.col("node_id").alias("id"), *[c for c in nodes.columns if c != "node_id"])).alias("value"))
+        b = edges.select(F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), *[c for c in edges.columns if c not in ("src", "dst")])).alias("value"))
+        heads = ['{"directed": true, "multigraph": true, "nodes": [', '], "links": [', "]}"]
+        _ordered(nodes.sparkSession, path, [heads[0], _listed(a), heads[1], _listed(b), heads[2]])
         return
     if kind == "cypher":
         a = nodes.select(F.concat(F.lit('MERGE (:Entity {name: "'), cypher_text(n), F.lit('"});')).alias("value"))
         b = edges.select(F.concat(F.lit('MATCH (a:Entity {name: "'), cypher_text(s), F.lit('"}), (b:Entity {name: "'), cypher_text(t), F.lit('"}) MERGE (a)-[:'), F.upper(F.regexp_replace(r, "[^A-Za-z0-9_]", "_")), F.lit("]->(b);")))
-        a.withColumn("o", F.lit(0)).union(b.withColumn("o", F.lit(1))).orderBy("o", "value").select("value").write.mode("overwrite").text(path)
+        _ordered(nodes.sparkSession, path, [a, b])
         return
     heads = {
         "graphml": ('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="rel" for="edge" attr.name="relation_type" attr.type="string"/><graph edgedefault="directed">', "</graph></graphml>"),
@@ -227,12 +306,38 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str) -> No
         a = nodes.select(F.concat(F.lit('<node id="'), esc(n), F.lit('" label="'), esc(n), F.lit('"/>')).alias("value"))
         b = edges.select(F.concat(F.lit('<edge source="'), esc(s), F.lit('" target="'), esc(t), F.lit('" label="'), esc(r), F.lit('"/>')).alias("value"))
         middle = "</nodes><edges>"
-    spark = nodes.sparkSession
-    fixed_rows = spark.createDataFrame([(0, heads[kind][0]), (2, middle), (4, heads[kind][1])], "o int, value string").filter("value != ''")
-    lines = fixed_rows.unionByName(a.withColumn("o", F.lit(1))).unionByName(b.withColumn("o", F.lit(3)))
-    # one well-formed file: its lines are written by one task in order, which is what the format asks for
-    lines.coalesce(1).sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
-
-
-def sibling(path: str, name: str) -> str:
-    return str(PurePosixPath(path).parent / name)
+    _ordered(nodes.sparkSession, path, [heads[kind][0], a, middle, b, heads[kind][1]])
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """JSON values, a comma before all but the least."""
+    least = rows.agg(F.min("value").alias("_first"))
+    # rows that are equal stand side by side, so only the first of them goes without
+    marked = rows.groupBy("value").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(least))  # one row
+    each = marked.select("value", "_first", F.posexplode(F.sequence(F.lit(1), F.col("_n"))).alias("_i", "_k"))
+    return each.select(F.when((F.col("value") == F.col("_first")) & (F.col("_i") == 0), F.concat(F.lit(" "), "value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+
+
+def _ordered(spark: SparkSession, path: str, parts: list) -> None:
+    """Texts and frames (value) one after the other, sorted inside each, dealt in ranges to all tasks."""
+    rows = None
+    for i, part in enumerate(parts):
+        df = part.toDF("value").select(F.lit(i).alias("o"), "value") if isinstance(part, DataFrame) else spark.createDataFrame([(i, part)] if part else [], "o int, value string")
+        rows = df if rows is None else rows.unionByName(df)
+    rows.repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
+
+
+def joined(spark: SparkSession, path: str, target: str) -> None:
+    """The parts of a text written in order as one file, streamed from store to store."""
+    folder, out = Files(spark, path), Files(spark, target.rpartition("/")[0])
+    stream = out._fs().create(out._at(target.rpartition("/")[2]), True)
+    try:
+        for name in folder.list():
+            if name.startswith("part-"):
+                source = folder._fs().open(folder._at(name))
+                try:
+                    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+                finally:
+                    source.close()
+    finally:
+        stream.close()

@@ -19,7 +19,7 @@ def ingest_files(spark: SparkSession, root: str, cache_path: str, checkpoint: st
     table = Table(spark, cache_path, ["document_id"])
 
     def put(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["exact_hash"])
+        new = batch.dropDuplicates(["exact_hash"]).dropDuplicates(["content_hash"])
         if table.exists():
             old = table.read()
             new = new.join(old.select("exact_hash"), "exact_hash", "left_anti").join(old.select("content_hash"), "content_hash", "left_anti")
@@ -29,6 +29,19 @@ def ingest_files(spark: SparkSession, root: str, cache_path: str, checkpoint: st
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def consolidation_trigger(mode: str) -> dict | None:
+    """Trigger of the corpus passes: with every ingestion what is new, on a schedule of an outside clock all that has gathered, by hand none."""
+    return {"on_ingestion": {"processingTime": "0 seconds"}, "scheduled": {"availableNow": True}, "manual": None}[mode]
+
+
+def consolidate_stream(changes: DataFrame, apply, checkpoint: str, mode: str = "scheduled") -> StreamingQuery | None:
+    """Run ``apply(batch)`` over new rows of a stream as the mode says; manual starts nothing."""
+    trigger = consolidation_trigger(mode)
+    if trigger is None:
+        return None
+    return changes.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def daily_stats(calls: DataFrame, late: str = "1 day") -> DataFrame:
     """Calls and tokens per day of a stream of calls, with a watermark so that state is bounded."""
     return calls.withWatermark("timestamp", late).groupBy(F.window("timestamp", "1 day").alias("day")).agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens")).select(F.date_format("day.start", "yyyy-MM-dd").alias("date"), "calls", "tokens")
