@@ -60,7 +60,7 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float, small: int = 20
 
     left and right: id, embedding. A right side of at most ``small`` rows (counted) goes to every task
     once and each batch is one matrix product. A larger right side is cut into blocks of that size; every left row meets
-    each block, and the best of the blocks is taken.
+    each block, and the best of the blocks is taken: exact, and the product of both sides. ``vectors.nearest`` looks into lists instead.
     """
     rows = right.count()
     blocks = max(1, -(-rows // small))
@@ -92,11 +92,14 @@ def _unit(column: pd.Series) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 
-def link(existing: DataFrame, incoming: DataFrame, threshold: float = 0.88) -> DataFrame:
-    """Names and aliases first, then the nearest embedding of what is left. Inputs: canonical_name, aliases, embedding."""
+def link(existing: DataFrame, incoming: DataFrame, threshold: float = 0.88, find=None) -> DataFrame:
+    """Names and aliases first, then the nearest embedding of what is left. Inputs: canonical_name, aliases, embedding.
+
+    find: ``nearest`` (exact, all pairs in blocks) or, for large sides, ``vectors.nearest`` (by lists).
+    """
     named = link_by_name(existing, incoming)
     rest = incoming.join(named.filter("target is null").select("canonical_name"), "canonical_name", "left_semi")
-    near = nearest(rest.select(F.col("canonical_name").alias("id"), "embedding"), existing.select(F.col("canonical_name").alias("id"), "embedding"), threshold)
+    near = (find or nearest)(rest.select(F.col("canonical_name").alias("id"), "embedding"), existing.select(F.col("canonical_name").alias("id"), "embedding"), threshold)
     near = near.select(F.col("left_id").alias("canonical_name"), F.col("right_id").alias("_t"))
     return named.join(near, "canonical_name", "left").select("canonical_name", F.coalesce("target", "_t").alias("target"), F.coalesce("how", F.when(F.col("_t").isNotNull(), "embedding")).alias("how"))
 

@@ -40,6 +40,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
     queries: query_id, embedding. vectors: id, embedding (filter them before: it reaches the scan).
     Query vectors are sent out in blocks of ``small``; each batch of vectors keeps only its own k best of
     each query (a partial aggregate), so what is shuffled doesn't grow with the product of the two sides.
+    Exact, by all pairs; ``vectors.search`` takes its place where that is too many.
     """
     spark = queries.sparkSession
     n = queries.count()
@@ -199,16 +200,16 @@ def assemble(fitted: DataFrame, blocks: DataFrame | None = None, tokens: int = f
     return g.select("query_id", context.alias("context"), "used_chars", (F.col("used_chars") / fixed.CHARS_PER_TOKEN).cast("long").alias("tokens"))
 
 
-def community_level(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def community_level(queries: DataFrame, vectors: DataFrame, search=top_k) -> DataFrame:
     """Results (query_id, ord, source_type, id, score) of the community summaries."""
-    found = prune(top_k(queries, vectors, fixed.TOP_K["community"]), "community")
+    found = prune(search(queries, vectors, fixed.TOP_K["community"]), "community")
     return found.select("query_id", F.col("rank").alias("ord"), F.lit("community_summary").alias("source_type"), "id", "score")
 
 
-def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame, edges: DataFrame | None = None, k: int = fixed.TOP_K["entity"], weight: float = 0.3, rounds: int = 20) -> DataFrame:
+def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame, edges: DataFrame | None = None, k: int = fixed.TOP_K["entity"], weight: float = 0.3, rounds: int = 20, search=top_k) -> DataFrame:
     """Results of entity profiles and half as many relation profiles: blended by the query's PageRank, then pruned, ranked and cut."""
-    found = top_k(queries, entities, k).withColumn("source_type", F.lit("entity_profile"))
-    found = found.unionByName(top_k(queries, relations, k // 2).withColumns({"rank": F.col("rank") + k, "source_type": F.lit("relation_profile")}))
+    found = search(queries, entities, k).withColumn("source_type", F.lit("entity_profile"))
+    found = found.unionByName(search(queries, relations, k // 2).withColumns({"rank": F.col("rank") + k, "source_type": F.lit("relation_profile")}))
     if edges is not None:
         found = settle(found, "profiles")
         nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
@@ -218,24 +219,26 @@ def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame,
     return cut.select("query_id", "ord", "source_type", "id", "score")
 
 
-def chunk_level(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    found = prune(top_k(queries, vectors, fixed.TOP_K["chunk"]), "chunk")
+def chunk_level(queries: DataFrame, vectors: DataFrame, search=top_k) -> DataFrame:
+    found = prune(search(queries, vectors, fixed.TOP_K["chunk"]), "chunk")
     return found.select("query_id", F.col("rank").alias("ord"), F.lit("chunk").alias("source_type"), "id", "score")
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, tokens: int = fixed.CONTEXT_TOKENS, rounds: int = 20) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, tokens: int = fixed.CONTEXT_TOKENS, rounds: int = 20, search=None) -> DataFrame:
     """Context of each query (query_id, query, embedding) from vectors (id, level, embedding, content).
 
     Levels (community, entity, relation, chunk) are decided per query by its plan and applied as filters, so one plan serves a batch. The
     chunk level runs for queries whose entity results are weak; the corpus level, where ``corpus`` (cnodes, tnodes, xedges and, if any,
     contradictions: text) is given, starts from the first five entity results and the query's words. A level that no query asks for gives no rows.
+    search: ``top_k`` or another function of (queries, vectors, k) with its result, as ``vectors.search``.
     """
+    search = search or top_k
     planned = settle(plan(queries), "plans")
     ask = lambda level: planned.filter(F.array_contains("levels", level)).select("query_id", "embedding")
     of = lambda level: vectors.filter(F.col("level") == level)
-    entity = settle(entity_level(ask("entity"), of("entity"), of("relation"), edges, rounds=rounds), "entities")
+    entity = settle(entity_level(ask("entity"), of("entity"), of("relation"), edges, rounds=rounds, search=search), "entities")
     weak = needs_chunks(planned, entity).filter("fallback").select("query_id")
-    levels = [community_level(ask("community"), of("community")), entity, chunk_level(ask("chunk").join(weak, "query_id", "left_semi"), of("chunk"))]
+    levels = [community_level(ask("community"), of("community"), search), entity, chunk_level(ask("chunk").join(weak, "query_id", "left_semi"), of("chunk"), search)]
     results = [r.withColumn("ord", F.col("ord") + 1000 * i) for i, r in enumerate(levels)]
     all_ = results[0].unionByName(results[1]).unionByName(results[2])
     blocks = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import answers, chunking, dedup, entities, facts, graph, models, reasoning, references, retrieval, tracking
+from factloom.operators import answers, chunking, dedup, entities, facts, graph, models, reasoning, references, retrieval, tracking, vectors
 from factloom.plans import inputs as I
 from factloom.plans.queries import query
 from factloom.shared import spread, table
@@ -235,6 +235,13 @@ def link_cascade(spark: SparkSession, d: str) -> DataFrame:
     return entities.link(known, new, 0.3)
 
 
+@query()
+def vector_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all, by inverted lists."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vectors.search(v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), v, 5).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT n_nationkey AS query_id, n_name AS node FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0")
 def seed_choice(spark: SparkSession, d: str) -> DataFrame:
     """Seeds of a walk: of each query's results the nodes over the limit."""

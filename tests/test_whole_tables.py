@@ -58,3 +58,38 @@ def test_searches_ask_a_hundredth_of_all_rows(spark, sf):
 def test_context_for_a_hundredth_of_all_rows(spark, sf):
     want = {i for (i,) in _read(spark, sf, "embeddings", "vec_id") if i % 100 == 0}
     assert {r["query_id"] for r in QUERIES["retrieve_context"](spark, sf).collect()} == want
+
+
+def test_lists_find_nine_in_ten_neighbours(spark, sf):
+    from factloom.operators import entities, retrieval, vectors
+
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id as id", "embedding")
+    exact = {(r["query_id"], r["id"]) for r in QUERIES["vector_top_k"](spark, sf).collect()}
+    got = {(r["query_id"], r["id"]) for r in QUERIES["vector_lists"](spark, sf).collect()}
+    assert len(got) == len(exact) and len(got & exact) >= 0.9 * len(exact)
+    index = vectors.fit(v, 5, lists=16)
+    assert index.recall >= 0.95 and 1 <= index.probes <= 16
+    q = v.withColumnRenamed("id", "query_id")
+    want = {(r["query_id"], r["id"]) for r in retrieval.top_k(q, v, 5).collect()}
+    found = {(r["query_id"], r["id"]) for r in vectors.search(q, v, 5, index).collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    whole = vectors.Lists(index.centres, 16, 1.0)
+    assert {(r["query_id"], r["id"]) for r in vectors.search(q, v, 5, whole).collect()} == want
+    a, b = v.filter("id % 2 = 0"), v.filter("id % 2 = 1")
+    near = lambda f: {(r["left_id"], r["right_id"]) for r in f(a, b, 0.25).collect()}
+    assert len(near(vectors.nearest) & near(entities.nearest)) >= 0.9 * len(near(entities.nearest))
+    assert vectors.search(q, v.limit(0), 3).count() == 0 and vectors.search(q.limit(0), v, 3).count() == 0
+
+
+def test_lists_in_many_cells(spark, monkeypatch):
+    from factloom.operators import retrieval, vectors
+
+    monkeypatch.setattr(vectors, "CELL", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8) * 0.05 + (1 if i % 3 == 0 else i % 5 - 2)).tolist()) for i in range(150)]  # a third in one place
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    index = vectors.fit(v, 3, lists=5)
+    want = {(r["query_id"], r["id"]) for r in retrieval.top_k(q, v, 3).collect()}
+    found = {(r["query_id"], r["id"]) for r in vectors.search(q, v, 3, index).collect()}
+    assert len(found) == len(want) and len(found & want) >= 0.9 * len(want)
