@@ -175,16 +175,24 @@ def _seed_rows(masks, bits=None):
     return run
 
 
-def _check_pairs(agree: float, window: int):
+def _check_tries(agree: float, window: int):
+    """Rows (id, text, tries array<struct<item, shift, item_text>>) -> (id, item, ok, same): each text is hashed once."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = lambda text: T.Words(*(f(x) for f, x in zip((T.lower, lambda o: o), T.string_bytes(pa.array([text], pa.large_string())), strict=True))).hashes()
         for b in batches:
-            ok, most = [], []
-            for doc, item, shift in zip(b.column("text").to_pylist(), b.column("item_text").to_pylist(), b.column("shift").to_pylist(), strict=True):
-                a, c = (T.Words(T.lower(r), o).hashes() for r, o in (T.string_bytes(pa.array([doc])), T.string_bytes(pa.array([item]))))
-                same, w = overlap(a, c, shift, window)
-                ok.append(len(c) >= LEAST and same >= agree * w)
-                most.append(same)
-            yield pa.record_batch([b.column("id"), b.column("item"), pa.array(ok, pa.bool_()), pa.array(most, pa.int64())], names=["id", "item", "ok", "same"])
+            known: dict[int, np.ndarray] = {}
+            rows: list[tuple] = []
+            for doc, text, tries in zip(b.column("id").to_pylist(), b.column("text"), b.column("tries"), strict=True):
+                a = hashes(text.as_py())
+                for t in tries.as_py():
+                    if (c := known.get(t["item"])) is None:
+                        c = known[t["item"]] = hashes(t["item_text"])
+                    same, w = overlap(a, c, t["shift"], window)
+                    rows.append((doc, t["item"], len(c) >= LEAST and same >= agree * w, int(same)))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "item", "ok", "same"])
 
     return run
 
@@ -194,8 +202,8 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
 
     Words are runs without ASCII white space, A-Z lower-cased. Items under LEAST words identify
     nothing and are ignored; items shorter than every mask match as a whole. Null texts are empty and clean,
-    an empty test table leaves every document clean, rows without an id are left out. Other
-    columns don't matter.
+    an empty test table leaves every document clean, rows without an id are left out, repeated rows of documents and
+    items count as often as they stand there but say nothing new. Other columns don't matter.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -217,7 +225,8 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
         bits = spark.sparkContext.broadcast(np.unpackbits(packed, bitorder="little").astype(bool))
         mine = spread(source).mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long")
         pairs = mine.join(keys.toDF("item", "seed", "q"), "seed").select("id", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
-        checked = pairs.join(source, "id").join(items, "item").mapInArrow(_check_pairs(agree, window), "id long, item long, ok boolean, same long")
+        tries = pairs.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "shift", "item_text")).alias("tries"))
+        checked = source.join(tries, "id").mapInArrow(_check_tries(agree, window), "id long, item long, ok boolean, same long")
         found = checked.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("item_ids"), F.max("same").alias("max_overlap"))
         out = source.select("id").join(found, "id", "left").select("id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("max_overlap", F.lit(0)).alias("max_overlap"))
     return out.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.size("item_ids").cast("long").alias("n_items"), "max_overlap")

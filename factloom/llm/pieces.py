@@ -280,8 +280,11 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     small_batches(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # a vocabulary: a fixed size
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
-    schema = ", ".join(["id long", "pieces array<int>", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
+    if "pieces" in keep or id_col in keep:
+        raise ValueError("pieces and the id are in the result anyway; name the column otherwise")
+    inner = [f"k{i}" for i in range(len(keep))]  # kept columns may have any name
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)])
+    schema = ", ".join(["id long", "pieces array<int>", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,16 +294,19 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = b.slice(i, j - i)
                 ids, cut = encode_texts(vocab.value, part.column(1).to_pylist(), keys[i:j], alpha, seed)
                 pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([part.column(0), pieces, *part.columns[2:]], names=["id", "pieces", *keep])
+                yield pa.record_batch([part.column(0), pieces, *part.columns[2:]], names=["id", "pieces", *inner])
 
-    return spread(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(run, schema).toDF(id_col, "pieces", *keep)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
     """Rows (id, text, keep...): the texts that piece ids spell. No or null pieces give an empty text."""
     vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(pieces_col), F.array().cast("array<int>")).alias("_pieces"), *keep)
-    schema = ", ".join(["id long", "text string", *(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)])
+    if "text" in keep or id_col in keep:
+        raise ValueError("text and the id are in the result anyway; name the column otherwise")
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(pieces_col), F.array().cast("array<int>")).alias("pieces"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)])
+    schema = ", ".join(["id long", "text string", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,9 +316,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
                 off = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
                 texts = [t.decode() for t in decode_ids(vocab.value, ids, off - off[0])]
-                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *keep])
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *inner])
 
-    return spread(rows).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return spread(rows).mapInArrow(run, schema).toDF(id_col, "text", *keep)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, model: str = MODEL) -> DataFrame:

@@ -277,6 +277,19 @@ def test_rows_without_id_are_left_out(spark):
     assert minhash.near_dedup(df).count() == exact_dedup.exact_dedup(df).count() == window_index.substring_dedup(df).count() == phrase_dedup.repeated_bytes(df).count() == 2
 
 
+def test_repeated_ids(spark, odd_docs):
+    """Rows that repeat id and text: each gets its row, equal to the others; with other texts nothing fails and no row is lost."""
+    same = odd_docs.union(odd_docs.filter("doc_id > 85"))
+    other = odd_docs.union(odd_docs.select("doc_id", "n", "n", "uid", "id").toDF(*odd_docs.columns))
+    for run in (minhash.near_dedup, window_index.substring_dedup):
+        single = {tuple(r) for r in run(odd_docs).collect()}
+        got = [tuple(r) for r in run(same).collect()]
+        assert len(got) == same.count() and set(got) == single
+        assert run(other).count() == other.count()
+    got = [tuple(r) for r in phrase_dedup.repeated_bytes(same).collect()]
+    assert len(got) >= same.count() and {r[0] for r in got} == {r["doc_id"] for r in odd_docs.collect()}
+
+
 def test_words_and_chunks_agree_with_python(odd_docs):
     import pyarrow as pa
 
