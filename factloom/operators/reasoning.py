@@ -93,7 +93,18 @@ def contradictions(facts: DataFrame) -> DataFrame:
 
 
 def temporal_conflicts(facts: DataFrame) -> DataFrame:
-    """Facts of one subject and relation with other objects whose periods overlap. Columns subject, predicate, object, start, end, seq."""
-    a = facts.select("subject", "predicate", F.col("object").alias("object_a"), F.col("start").alias("sa"), F.col("end").alias("ea"), F.col("seq").alias("seq_a"))
-    b = facts.select("subject", "predicate", F.col("object").alias("object_b"), F.col("start").alias("sb"), F.col("end").alias("eb"), F.col("seq").alias("seq_b"))
-    return a.join(b, ["subject", "predicate"]).filter("seq_a < seq_b and object_a != object_b and sa < eb and sb < ea").select("subject", "predicate", "object_a", "object_b")
+    """Facts of one subject and relation with other objects whose periods overlap. Columns subject, predicate, object, start, end, seq.
+
+    Periods are cut into bins of their mean length, and two facts meet in the bin of the later start only, so a subject
+    with very many facts is spread over its bins and compares neighbours in time.
+    """
+    start, end = F.unix_micros(F.col("start").cast("timestamp")), F.unix_micros(F.col("end").cast("timestamp"))
+    mean = facts.agg(F.avg(F.abs(end - start))).first()[0]  # one number
+    width = max(int(mean or 0), 1)
+    at = lambda c: F.floor(c / width)
+    f = facts.withColumns({"_s": start, "_e": end}).filter("_s is not null and _e is not null")
+    f = f.withColumn("_bin", F.explode(F.sequence(at(F.least("_s", "_e")), at(F.greatest("_s", "_e")))))
+    a = f.select("subject", "predicate", "_bin", F.col("object").alias("object_a"), F.col("_s").alias("sa"), F.col("_e").alias("ea"), F.col("seq").alias("seq_a"))
+    b = f.select("subject", "predicate", "_bin", F.col("object").alias("object_b"), F.col("_s").alias("sb"), F.col("_e").alias("eb"), F.col("seq").alias("seq_b"))
+    both = a.join(b, ["subject", "predicate", "_bin"]).filter("seq_a < seq_b and object_a != object_b and sa < eb and sb < ea").filter(F.col("_bin") == at(F.greatest("sa", "sb")))
+    return both.select("subject", "predicate", "object_a", "object_b")
