@@ -92,8 +92,7 @@ class Parse:
 def _mark(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = T.id_array(b.column(0))
-            for i, j, raw, off in T.parts(b.column(1)):
+            for i, j, raw, off in T.parts(b.column("text")):
                 p = Parse(raw, off, length)
                 cut = np.searchsorted(p.trigger_at, off)
                 data = raw.tobytes()
@@ -103,17 +102,18 @@ def _mark(length: int):
                     once.append(u)
                     twice.append(u[n > 1])
                     shas.append(hashlib.sha256(data[off[k] : off[k + 1]]).digest())
-                yield pa.record_batch([pa.array(ids[i:j]), pa.array(np.diff(off)), pa.array(shas, pa.binary()), _lists(once), _lists(twice)], names=["id", "n_bytes", "sha", "prints", "twice"])
+                part = b.slice(i, j - i)
+                yield pa.record_batch([part.column("id"), part.column("tk"), pa.array(np.diff(off)), pa.array(shas, pa.binary()), _lists(once), _lists(twice)], names=["id", "tk", "n_bytes", "sha", "prints", "twice"])
 
     return run
 
 
 def _entries(length: int):
-    """Rows (id, text, shared triggers) -> (id, first, count, h, ck) of each dictionary entry at a shared trigger."""
+    """Rows (id, tk, text, shared triggers) -> (id, tk, first, count, h, ck) of each dictionary entry at a shared trigger."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hits = T.id_array(b.column("id")), b.column("hits")
+            ids, tks, hits = T.id_array(b.column("id")), T.id_array(b.column("tk")), b.column("hits")
             for i, j, raw, off in T.parts(b.column("text")):
                 p = Parse(raw, off, length)
                 cut = np.searchsorted(p.first, off)
@@ -123,7 +123,7 @@ def _entries(length: int):
                 own = T.owners(cut)[ok] if len(ok) else np.zeros(0, np.int64)
                 first, count, h = p.first[ok], p.count[ok], p.h[ok]
                 ck = _span_hash(raw, first, first + count + length - 1)
-                yield pa.record_batch([pa.array(ids[i:j][own]), pa.array(first - off[own]), pa.array(count), T.long_array(h), T.long_array(ck)], names=["id", "first", "count", "h", "ck"])
+                yield pa.record_batch([pa.array(ids[i:j][own]), pa.array(tks[i:j][own]), pa.array(first - off[own]), pa.array(count), T.long_array(h), T.long_array(ck)], names=["id", "tk", "first", "count", "h", "ck"])
 
     return run
 
@@ -316,10 +316,10 @@ def _finish(length: int):
                     gone = np.cumsum(edge[:-1]) > 0
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                     kept = text[~gone].tobytes()
-                    rows.append((b.column("id")[i + k].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).digest(), kept))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "n_removed", "n_spans", "sha", "kept"])
+                    rows.append((b.column("id")[i + k].as_py(), b.column("tk")[i + k].as_py(), int(gone.sum()), spans, hashlib.sha256(kept).digest(), kept))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "tk", "n_removed", "n_spans", "sha", "kept"])
 
     return run
 
@@ -329,25 +329,26 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removes each UTF-8 byte covered by a string of ``length`` bytes (over GRAM) that also starts anywhere
     else, in this document or another; overlaps count, strings are judged on the input and never
-    cross documents. Null counts as empty; texts under ``length`` bytes lose nothing. Ids must be
-    unique (a repeated row's text counts as a copy); rows without an id are left out. Other
+    cross documents. Null counts as empty; texts under ``length`` bytes lose nothing. A row that repeats an
+    id is a document of its own (its text counts as a copy); rows without an id are left out. Other
     columns don't matter.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
-    marks = settle(spread(source).mapInArrow(_mark(length), "id long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
-    prints = marks.select("id", F.explode("prints").alias("h"))
+    source = source.withColumn("tk", F.xxhash64("text"))  # tells rows that repeat an id with another text apart
+    marks = settle(spread(source).mapInArrow(_mark(length), "id long, tk long, n_bytes long, sha binary, prints array<long>, twice array<long>"), "triggers")
+    prints = marks.select("id", "tk", F.explode("prints").alias("h"))
     shared = prints.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h").union(marks.select(F.explode("twice").alias("h"))).distinct()
     shared = settle(shared, "shared")
-    per_doc = prints.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("hits"))
-    marked = settle(source.join(per_doc, "id"), "marked")
-    parse = settle(marked.mapInArrow(_entries(length), "id long, first long, count long, h long, ck long"), "parse")
-
-    dictionary = settle(parse.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("id", "first", "count")).alias("at")), "dictionary")
-    sizes = dictionary.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("rarest")).filter("rarest = 1").select("h", (F.col("size") > hot).alias("hot"))
-    wanted = dictionary.join(sizes, "h").select("at.id", "h", "ck", "n", "at.first", "at.count", "hot")
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("h", "ck", "n", "first", "count", "hot")).alias("want"))
-    fetched = settle(marked.join(wanted, "id").mapInArrow(_fetch(length), "h long, ck long, n long, hot boolean, entry binary"), "entries")
+    per_doc = prints.join(shared, "h", "left_semi").groupBy("id", "tk").agg(F.collect_set("h").alias("hits"))
+    marked = settle(source.join(per_doc, ["id", "tk"]), "marked")
+    parse = settle(marked.mapInArrow(_entries(length), "id long, tk long, first long, count long, h long, ck long"), "parse")
+
+    dictionary = settle(parse.groupBy("h", "ck").agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "first", "count")).alias("at")), "dictionary")
+    sizes = settle(dictionary.groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("rarest")).filter("rarest = 1").select("h", (F.col("size") > hot).alias("hot")), "sizes")
+    wanted = dictionary.join(sizes, "h").select("at.id", "at.tk", "h", "ck", "n", "at.first", "at.count", "hot")
+    wanted = wanted.groupBy("id", "tk").agg(F.collect_list(F.struct("h", "ck", "n", "first", "count", "hot")).alias("want"))
+    fetched = settle(marked.join(wanted, ["id", "tk"]).mapInArrow(_fetch(length), "h long, ck long, n long, hot boolean, entry binary"), "entries")
     none = F.lit(0).cast("long")
     cells = fetched.filter("not hot").select("h", none.alias("core"), "ck", none.alias("base"), "n", "entry")
     counted, cut_cells, made = ([], [], []) if fetched.filter("hot").isEmpty() else _cut_hot(fetched.filter("hot"), length, hot)
@@ -359,15 +360,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = settle(some, "verdicts")
     verdicts = dictionary.select("h", "ck", "n").join(some, ["h", "ck"], "left").filter("n > 1 or at is not null").select("h", "ck", F.expr("if(n > 1, null, at)").alias("at"))
     verdicts = settle(verdicts, "verdicts")  # so that the join below is one that AQE can split where an entry is hot
-    removed = parse.join(verdicts, ["h", "ck"]).groupBy("id").agg(F.collect_list(F.struct("first", "count", "at")).alias("removed"))
-    cut = marked.join(removed, "id").mapInArrow(_finish(length), "id long, n_removed long, n_spans long, cut_sha binary, kept binary")
+    removed = parse.join(verdicts, ["h", "ck"]).groupBy("id", "tk").agg(F.collect_list(F.struct("first", "count", "at")).alias("removed"))
+    cut = marked.join(removed, ["id", "tk"]).mapInArrow(_finish(length), "id long, tk long, n_removed long, n_spans long, cut_sha binary, kept binary")
     if not with_bytes:
         cut = cut.drop("kept")
     cut = settle(cut, "cut")
     forget(marked, parse, dictionary, fetched, some, verdicts, *made)
-    out = marks.select("id", "n_bytes", "sha").join(cut, "id", "left")
+    out = marks.select("id", "tk", "n_bytes", "sha").join(cut.dropDuplicates(["id", "tk"]), ["id", "tk"], "left")
     cols = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.lower(F.hex(F.coalesce("cut_sha", "sha"))).alias("kept_sha256")]
     if with_bytes:
-        out = out.join(source, "id")
+        out = out.join(source.dropDuplicates(["id", "tk"]), ["id", "tk"])
         cols.append(F.coalesce("kept", F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("kept_bytes"))
     return out.select(*cols)

@@ -286,8 +286,10 @@ def test_repeated_ids(spark, odd_docs):
         got = [tuple(r) for r in run(same).collect()]
         assert len(got) == same.count() and set(got) == single
         assert run(other).count() == other.count()
-    got = [tuple(r) for r in phrase_dedup.repeated_bytes(same).collect()]
-    assert len(got) >= same.count() and {r[0] for r in got} == {r["doc_id"] for r in odd_docs.collect()}
+    for df in (same, other):
+        texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+        want = brute_bytes({(i, k): t for k, (i, t) in enumerate(texts)})
+        assert sorted(tuple(r) for r in phrase_dedup.repeated_bytes(df).collect()) == sorted((i, *v[:4]) for (i, _), v in want.items())
 
 
 def test_words_and_chunks_agree_with_python(odd_docs):
