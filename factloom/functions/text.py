@@ -1,7 +1,11 @@
-"""Text functions as columns: fingerprints, predicates, detectors. No Python runs on rows."""
+"""Text functions as columns: fingerprints, predicates, detectors. Only simhash runs in Python, by Arrow batches."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,37 +27,28 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalize(text).cast("binary"), 256)
 
 
-def word_shingles(normalized: Column, n: int = 3) -> Column:
-    """Word n-grams; a text with fewer words is its own shingle."""
-    words = F.split(normalized, " ")
-    size = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    # shifted copies zipped together: inside a lambda the words would be split again for every shingle
-    many = F.slice(words, 1, size)
-    for k in range(2, n + 1):
-        many = F.zip_with(many, F.slice(words, k, size), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.when(F.size(words) < n, F.array(normalized)).otherwise(many)
-
-
-def low64(text: Column) -> Column:
-    """The low 64 bits of md5 as a signed long."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 17, 16), 16, -10).cast("long")
+def _votes(text: str, n: int) -> int:
+    """64 votes over the word n-grams of a normalised text (a shorter one is its own): the low halves of their md5, bit by bit."""
+    if not text:
+        return 0
+    words = text.split(" ")
+    grams = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or [text]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        digests = b"".join([hashlib.md5(g.encode(), usedforsecurity=False).digest()[8:] for g in grams[at : at + (1 << 16)]])
+        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= len(grams)).tobytes(), "big", signed=True)
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
-    """(id, simhash long, simhash_hex) per row: 64 votes over word shingles; empty text has no bits.
+    """(id, simhash long, simhash_hex) per row: 64 votes over word shingles; empty text has no bits, null text no row.
 
-    Two 32-bit counters share a long, so 32 sums take the votes of any text that fits a string; the
-    aggregate is partial before the shuffle.
+    All votes of a text are in its row, so nothing is shuffled. An Arrow function: exploded shingles with an
+    aggregate of 64 counters took half as long again on sf0.1, and a shuffle of all hashes.
     """
-    norm = spread(docs.select(id_col, text_col)).select(F.col(id_col), normalize(F.col(text_col)).alias("_norm"))
-    votes = norm.select(id_col, (F.col("_norm") == "").alias("_empty"), F.explode(word_shingles(F.col("_norm"), n)).alias("_s")).select(id_col, "_empty", low64(F.col("_s")).alias("_h"))
-    lanes = [(k, k + 1) for k in range(0, 64, 2)]
-    bit = lambda i: f"((shiftrightunsigned(_h, {i})) & 1L)"
-    sums = [F.sum(F.expr(" | ".join(f"shiftleft({bit(i)}, {32 * j})" for j, i in enumerate(lane)))).alias(f"_l{k}") for k, lane in enumerate(lanes)]
-    voted = votes.groupBy(id_col, "_empty").agg(F.count("*").alias("_n"), *sums)
-    terms = [f"if(2 * (shiftrightunsigned(_l{k}, {32 * j}) & 4294967295L) >= _n, shiftleft(1L, {i}), 0L)" for k, lane in enumerate(lanes) for j, i in enumerate(lane)]
-    value = F.expr(f"if(_empty, 0L, {' | '.join(terms)})")
-    return voted.select(id_col, value.alias("simhash")).withColumn("simhash_hex", F.lpad(F.lower(F.hex("simhash")), 16, "0"))
+    vote = F.pandas_udf(lambda texts: pd.Series([_votes(t, n) for t in texts], dtype="int64"), "long")
+    norm = spread(docs.select(id_col, text_col)).select(F.col(id_col), normalize(F.col(text_col)).alias("_norm")).filter("_norm is not null")
+    return norm.select(id_col, vote("_norm").alias("simhash")).withColumn("simhash_hex", F.lpad(F.lower(F.hex("simhash")), 16, "0"))
 
 
 def hamming(a: Column, b: Column) -> Column:
