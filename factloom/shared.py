@@ -50,6 +50,13 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that aren't tables; ``forget()`` deletes it, too."""
+    path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete settled tables whose dependants are written; without arguments, all of them."""
     for path in [f._settled for f in frames] if frames else list(_made):
