@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.conversation_trie import prefix_trie
 from factloom.llm.decontaminate import find_leaks
+from factloom.llm.divergence import divergence
 from factloom.llm.exact_dedup import exact_dedup
 from factloom.llm.html_text import extract_text
 from factloom.llm.minhash import near_dedup
@@ -16,6 +18,7 @@ from factloom.llm.pieces import round_trip
 from factloom.llm.quality import quality
 from factloom.llm.toxicity import toxicity
 from factloom.llm.url_filter import url_filter
+from factloom.llm.wavelet import token_files
 from factloom.llm.window_index import substring_dedup
 from factloom.shared import table
 
@@ -73,13 +76,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "text", F.length("text").alias("n_chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op6_sentencepiece, op7_url_filter, url_redirects, op8_decontamination, op9_exact_dedup, op10_html_text, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_array_dedup, op5_toxicity, op6_sentencepiece, op7_url_filter, url_redirects, op8_decontamination, op9_exact_dedup, op10_html_text, op11_conversation_trie, op12_source_divergence, op13_token_files, pipeline)}
 
 _HOST = "CASE WHEN strpos(u, '://') > 0 THEN translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
 _PATH = "CASE WHEN strpos(u, '://') > 0 THEN regexp_extract(substr(u, strpos(u, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
@@ -140,6 +155,40 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256)""",
+    # crc32 of a decimal id: eight shifts a byte
+    "op11_conversation_trie": f"""
+        WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (SELECT DISTINCT c, xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::UBIGINT)),
+            lambda x, b: list_reduce(list_prepend(xor(x, b), list_transform(range(8), lambda k: k::UBIGINT)), lambda y, k: xor(y >> 1, 3988292384::UBIGINT * (y & 1))))) % 4 AS h FROM own),
+        full_turns AS (SELECT ids.c, i, role, text FROM ids JOIN own ON own.c = ids.c - ids.c % 20 AND i <= h
+            UNION ALL SELECT ids.c, 1000000000 + i, role, text FROM ids JOIN own USING (c) WHERE i > h),
+        seq AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, role, text FROM full_turns),
+        keyed AS (SELECT c, d, len(regexp_extract_all(text, '{_WORD}')) AS w, list(md5(role) || md5(text)) OVER (PARTITION BY c ORDER BY d) AS k FROM seq
+            UNION ALL SELECT c, 0, 0, [] FROM ids),
+        size AS (SELECT c, max(d) AS n FROM keyed GROUP BY c),
+        node AS (SELECT d AS depth, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+            lower(sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), ''))) AS ends_sha256 FROM keyed JOIN size USING (c) GROUP BY d, k),
+        kids AS (SELECT k[:len(k) - 1] AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+        full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+        under AS (SELECT k[:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM full_node, unnest(range(0, len(k) + 1)) AS r(a) GROUP BY ALL)
+        SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+        FROM full_node f JOIN under USING (k) LEFT JOIN node p ON p.depth = f.depth - 1 AND p.k = f.k[:len(f.k) - 1]""",
+    "op12_source_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+        k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, sum(n) AS total FROM c SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(total, 0) + 2 * v) AS p
+              FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(t) + 2 * any_value(v)) AS q FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS t FROM n GROUP BY lang) USING (lang) GROUP BY lang, term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "url_redirects": f"""
         WITH RECURSIVE raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
         parsed AS (SELECT page_id, u, {_HOST} AS host, {_PATH} AS path FROM raw),
