@@ -55,8 +55,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter of op7 where nine in ten pages redirect to the page of the next id."""
+    """The filter of op7 where nine in ten pages redirect to the page of the next id, and some have no url or an empty one."""
     pages = table(spark, sf_dir, "pages")
+    pages = pages.withColumn("url", F.when(F.col("page_id") % 50 == 1, None).when(F.col("page_id") % 50 == 2, "").otherwise(F.col("url")))
     to = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
     redirects = pages.filter("page_id % 10 != 9").join(to, "page_id").select(F.col("url").alias("src"), "dst")
     return url_filter(pages, URL_RULES, redirects)
@@ -101,7 +102,7 @@ _PATH = "CASE WHEN strpos(u, '://') > 0 THEN regexp_extract(substr(u, strpos(u,
 _FIT = " UNION ALL ".join(
     f"SELECT page_id, '{h}{p}' AS rule, '{v}' AS verdict FROM parsed WHERE (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for v, h, p in URL_RULES
 )
-_KEY = f"""CASE WHEN host = '' THEN u ELSE lower(regexp_extract(u, '^([^:/?#]+)://', 1)) || '://' || regexp_replace(host, CASE WHEN u ILIKE 'https:%' THEN ':443$' WHEN u ILIKE 'http:%' THEN ':80$' ELSE '$^' END, '')
+_KEY = f"""CASE WHEN host = '' THEN NULL ELSE lower(regexp_extract(u, '^([^:/?#]+)://', 1)) || '://' || regexp_replace(host, CASE WHEN u ILIKE 'https:%' THEN ':443$' WHEN u ILIKE 'http:%' THEN ':80$' ELSE '$^' END, '')
     || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(substr(u, strpos(u, '://') + 3), '^[^?#]*([?][^#]*)', 1) END"""
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -190,12 +191,12 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM terms))
         SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
     "url_redirects": f"""
-        WITH RECURSIVE raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+        WITH RECURSIVE raw AS (SELECT page_id, CASE page_id % 50 WHEN 1 THEN '' WHEN 2 THEN '' ELSE coalesce(url, '') END AS u FROM pages),
         parsed AS (SELECT page_id, u, {_HOST} AS host, {_PATH} AS path FROM raw),
         fit AS ({_FIT}),
         best AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM fit GROUP BY page_id),
         k AS (SELECT page_id, {_KEY} AS key FROM parsed),
-        e AS (SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON b.page_id = a.page_id + 1 WHERE a.page_id % 10 <> 9),
+        e AS (SELECT a.key AS a, b.key AS b FROM k a JOIN k b ON b.page_id = a.page_id + 1 WHERE a.page_id % 10 <> 9 AND a.key IS NOT NULL AND b.key IS NOT NULL),
         s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         walk AS (SELECT a AS n, a AS m FROM s UNION SELECT walk.n, s.b FROM walk JOIN s ON s.a = walk.m),
         comp AS (SELECT n, min(m) AS c FROM walk GROUP BY n),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import components
+from factloom.shared import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rule sets up to this size become one literal map inside the projection; larger ones are joined.
@@ -49,12 +50,12 @@ def path_of(url: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """A url normalised: scheme and host in lower case, no default port, no fragment, ``/`` for an empty path; others stay as they are."""
+    """A url normalised: scheme and host in lower case, no default port, no fragment, ``/`` for an empty path; null for a url without a host."""
     scheme = F.translate(F.regexp_extract(url, r"^([^:/?#]+)://", 1), UPPER, LOWER)
     host = host_of(url)
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path, query = path_of(url), F.regexp_extract(_after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(host_of(url) == "", F.coalesce(url, F.lit(""))).otherwise(F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
 def _no_dots(path: Column) -> Column:
@@ -142,27 +143,34 @@ def link_edges(pages: DataFrame, redirects: DataFrame | None = None, url_col: st
     for e in edges[1:]:
         out = out.union(e)
     out = out.filter("dst is not null").select(_bound(F.col("src"), url_key).alias("src"), _bound(F.col("dst"), url_key).alias("dst"))
-    return out.filter("src != dst").distinct()
+    return out.filter("src != dst").distinct()  # nor an edge from or to a url without a host, which is no node
+
+
+def aliases(edges: DataFrame) -> DataFrame:
+    """(key, component) of the normalised urls of edges (src, dst), numbered first, so that equal numbers are equal urls."""
+    edges = settle(edges, "links")
+    urls = edges.select(F.col("src").alias("key")).union(edges.select("dst")).distinct()
+    urls = settle(urls.withColumn("node", F.monotonically_increasing_id()), "urls")
+    pairs = edges.join(urls.toDF("src", "a"), "src").join(urls.toDF("dst", "b"), "dst").select("a", "b")
+    return urls.join(components(pairs), "node").select("key", "component")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, rule (null without one), verdict, via (rule, alias or default).
 
     rules: (verdict, host, path). A null url or one without ``://`` has an empty host and path, no
-    rule and the default verdict. Repeated rows each get their row; an empty table gives none. Other columns don't matter.
+    rule and the default verdict, whatever its page links to. Repeated rows each get their row; an empty table gives none. Other columns don't matter.
     """
     pages = pages.select(id_col, url_col, *([html_col] if html_col in pages.columns else []))
-    judged = apply_rules(pages, rules, id_col, url_col).withColumn("_key", _bound(F.col(url_col), url_key))
-    edges = link_edges(pages, redirects, url_col, html_col)
-    node = lambda c: F.xxhash64(c)
-    member = components(edges.select(node("src").alias("a"), node("dst").alias("b")))
-    keyed = judged.select(F.col(id_col), F.col("_host"), F.col("_path"), F.col("_hit"), node("_key").alias("_node"))
-    decided = keyed.filter("_hit is not null").groupBy("_node").agg(F.max(F.col("_hit.verdict") == "allow").alias("_a"), F.max(F.col("_hit.verdict") == "block").alias("_b"))
-    comp = decided.join(member, decided["_node"] == member["node"], "left").select("_node", F.coalesce("component", "_node").alias("_comp"), "_a", "_b")
-    by_comp = comp.groupBy("_comp").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    open_nodes = keyed.filter("_hit is null").select("_node").distinct()
-    spread = open_nodes.join(member, open_nodes["_node"] == member["node"], "left").select("_node", F.coalesce("component", "_node").alias("_comp")).join(by_comp, "_comp").select("_node", F.when(F.col("_a"), "allow").otherwise("block").alias("_spread"))
-    out = keyed.join(spread, "_node", "left")
+    keyed = apply_rules(pages, rules, id_col, url_col).withColumn("_key", _bound(F.col(url_col), url_key)).select(F.col(id_col), "_host", "_path", "_hit", "_key")
+    # urls without an edge are groups by themselves; a key holds "://", so it never equals a number
+    member = aliases(link_edges(pages, redirects, url_col, html_col)).select(F.col("key").alias("_key"), F.col("component").cast("string").alias("_comp"))
+    grouped = lambda keys: keys.join(member, "_key", "left").withColumn("_comp", F.coalesce("_comp", "_key"))
+    decided = keyed.filter("_hit is not null and _key is not null").groupBy("_key").agg(F.max(F.col("_hit.verdict") == "allow").alias("_a"))
+    by_comp = grouped(decided).groupBy("_comp").agg(F.max("_a").alias("_a"))
+    open_keys = keyed.filter("_hit is null and _key is not null").select("_key").distinct()
+    spread = grouped(open_keys).join(by_comp, "_comp").select("_key", F.when(F.col("_a"), "allow").otherwise("block").alias("_spread"))
+    out = keyed.join(spread, "_key", "left")
     hit = F.col("_hit")
     return out.select(
         F.col(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), hit["rule"].alias("rule"),
