@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textkit as T
-from factloom.shared import small_batches, spread
+from factloom.shared import settle, small_batches, spread
 
 #: Fixed masks. With 12 or 13 words and up to 2 substitutions at least one mask fits somewhere (tested).
 MASKS = ("111011001", "10000110111", "1101010011", "111100101")
@@ -156,7 +156,7 @@ def _lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seed_rows(masks, bits=None):
-    """(id, seed, at) of a text column, by the masks that fit a number of words; with a bit map only the seeds that it has."""
+    """(id, seed, at, and the third column if there is one) of a text column, by the masks that fit a number of words; with a bit map only the seeds that it has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,29 +170,30 @@ def _seed_rows(masks, bits=None):
                         s = seeds(own, m)
                         at = np.arange(len(s)) if bits is None else np.flatnonzero(bits.value[(s >> T.U(64 - _BITS)).astype(np.int64)])
                         if len(at):
-                            yield pa.record_batch([pa.array(np.full(len(at), ids[i + k])), T.long_array(s[at]), pa.array(at)], names=["id", "seed", "at"])
+                            rest = [pa.array(np.full(len(at), b.column(2)[i + k].as_py(), np.int64))] if b.num_columns > 2 else []
+                            yield pa.record_batch([pa.array(np.full(len(at), ids[i + k])), T.long_array(s[at]), pa.array(at), *rest], names=["id", "seed", "at", "h"][: 3 + len(rest)])
 
     return run
 
 
 def _check_tries(agree: float, window: int):
-    """Rows (id, text, tries array<struct<item, shift, item_text>>) -> (id, item, ok, same): each text is hashed once."""
+    """Rows (id, h, text, tries array<struct<row, item, item_text, shifts>>) -> (id, h, item, ok, same): each text is hashed once a batch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = lambda text: T.Words(*(f(x) for f, x in zip((T.lower, lambda o: o), T.string_bytes(pa.array([text], pa.large_string())), strict=True))).hashes()
         for b in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[int, np.ndarray] = {}  # by row of the test table: rows may share an item id
             rows: list[tuple] = []
-            for doc, text, tries in zip(b.column("id").to_pylist(), b.column("text"), b.column("tries"), strict=True):
+            for doc, h, text, tries in zip(b.column("id").to_pylist(), b.column("h").to_pylist(), b.column("text"), b.column("tries"), strict=True):
                 a = hashes(text.as_py())
                 for t in tries.as_py():
-                    if (c := known.get(t["item"])) is None:
-                        c = known[t["item"]] = hashes(t["item_text"])
-                    same, w = overlap(a, c, t["shift"], window)
-                    rows.append((doc, t["item"], len(c) >= LEAST and same >= agree * w, int(same)))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "item", "ok", "same"])
+                    if (c := known.get(t["row"])) is None:
+                        c = known[t["row"]] = hashes(t["item_text"])
+                    best = max((overlap(a, c, shift, window) for shift in t["shifts"]), default=(0, 1))
+                    rows.append((doc, h, t["item"], len(c) >= LEAST and best[0] >= agree * best[1], best[0]))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "h", "item", "ok", "same"])
 
     return run
 
@@ -202,8 +203,8 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
 
     Words are runs without ASCII white space, A-Z lower-cased. Items under LEAST words identify
     nothing and are ignored; items shorter than every mask match as a whole. Null texts are empty and clean,
-    an empty test table leaves every document clean, rows without an id are left out, repeated rows of documents and
-    items count as often as they stand there but say nothing new. Other columns don't matter.
+    an empty test table leaves every document clean, rows without an id are left out. Each row of ``docs`` is judged by its own text, also where
+    rows share an id; of items that share an id each text counts, and their id is listed once. Other columns don't matter.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -215,24 +216,28 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
         out = spread(source).mapInArrow(_search(known, agree, window), _RESULT)
     else:
         # bits of a fixed size, whatever the size of the test table
-        keys = items.mapInArrow(_seed_rows(masks_of), "id long, seed long, at long")
-        known = {r["words"] for r in items.mapInArrow(_lengths, "words long").distinct().collect()}  # at most 13 numbers
+        items = settle(items.distinct().withColumn("row", F.monotonically_increasing_id()), "items")
+        keys = settle(items.select("row", "item_text").mapInArrow(_seed_rows(masks_of), "id long, seed long, at long"), "keys")
+        known = {r["words"] for r in items.select("row", "item_text").mapInArrow(_lengths, "words long").distinct().collect()}  # at most 13 numbers
         asked = tuple(dict.fromkeys(m for n in sorted(known) for m in masks_of(n)))
         slots = keys.select(F.shiftrightunsigned("seed", 64 - _BITS).alias("s")).groupBy(F.expr("int(s div 8)").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(s % 8))")).alias("bits"))
         packed = np.zeros(1 << (_BITS - 3), np.uint8)
         for byte, bits in slots.toLocalIterator():  # at most 2**21 rows
             packed[byte] = bits
         bits = spark.sparkContext.broadcast(np.unpackbits(packed, bitorder="little").astype(bool))
-        mine = spread(source).mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long")
-        pairs = mine.join(keys.toDF("item", "seed", "q"), "seed").select("id", "item", (F.col("at") - F.col("q")).alias("shift")).distinct()
-        tries = pairs.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "shift", "item_text")).alias("tries"))
-        checked = source.join(tries, "id").mapInArrow(_check_tries(agree, window), "id long, item long, ok boolean, same long")
-        found = checked.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("item_ids"), F.max("same").alias("max_overlap"))
-        out = source.select("id").join(found, "id", "left").select("id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("max_overlap", F.lit(0)).alias("max_overlap"))
+        source = source.withColumn("h", F.xxhash64("text"))  # rows of one id by their texts
+        mine = settle(spread(source).mapInArrow(_seed_rows(lambda _: asked, bits), "id long, seed long, at long, h long"), "seeds")
+        pairs = mine.join(keys.toDF("row", "seed", "q"), "seed").select("id", "h", "row", (F.col("at") - F.col("q")).alias("shift")).distinct()
+        # an item's text goes to a document once, however many alignments are tried
+        pairs = settle(pairs.groupBy("id", "h", "row").agg(F.collect_list("shift").alias("shifts")), "alignments")
+        tries = pairs.join(items, "row").groupBy("id", "h").agg(F.collect_list(F.struct("row", "item", "item_text", "shifts")).alias("tries"))
+        checked = source.join(tries, ["id", "h"]).mapInArrow(_check_tries(agree, window), "id long, h long, item long, ok boolean, same long")
+        found = checked.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("item")))).alias("item_ids"), F.max("same").alias("max_overlap"))
+        out = source.select("id", "h").join(found, ["id", "h"], "left").select("id", F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("max_overlap", F.lit(0)).alias("max_overlap"))
     return out.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.size("item_ids").cast("long").alias("n_items"), "max_overlap")
 
 
 def drop_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no test passage, with all their columns."""
+    """The documents that hold no test passage, with all their columns; of rows that share an id all go if one does."""
     bad = find_leaks(docs, tests, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad_id"))
     return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
