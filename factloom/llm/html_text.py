@@ -4,16 +4,19 @@ The builder closes what HTML closes by itself (p, li, dt/dd, option, table parts
 end tags and never fails on malformed input. The renderer emits all visible text: blocks get
 their own lines, paragraphs and headings a blank line, list items a marker and indentation,
 table rows aligned cells; ``pre`` keeps its white space. Hidden are head matter, scripts, styles,
-templates, the ``hidden`` attribute, ``display:none`` / ``visibility:hidden``, closed dialogs, options
+templates, the ``hidden`` attribute, ``display:none``, closed dialogs, the body of closed details, options
 not shown and what stands for embedded media (alt texts, fallbacks of iframe, audio, video, canvas).
+``visibility`` is inherited, so what is made visible again inside a hidden part is shown.
 Shown are the chosen options of a select, the values of inputs, svg labels and object fallbacks.
-Columns are padded to their longest cell, unless that would make a table PADDING times its text (then
-its cells are only divided). Both run without recursion over depth; inner tables are rendered before outer ones.
+A column is padded to its longest cell; cells so long that this would take PADDING times the column's text stand out
+of it, and the others stay aligned. Both parts take time in proportion to the page and its tables' padding, run without recursion over
+depth, and render inner tables before outer ones; lines are indented by ``DEEPEST`` levels at most.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -29,7 +32,8 @@ _STOP = re.compile(r">|=\s*+[\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _GAP = re.compile(r"[ \t\n\r\f]+")
-_GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: The value of a property in a style attribute; the last one counts.
+_DISPLAY, _VISIBILITY = (re.compile(rf"(?:^|;)\s*{name}\s*:\s*([a-z-]+)", re.I) for name in ("display", "visibility"))
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
@@ -52,34 +56,60 @@ IMPLIED: dict[str, tuple[frozenset, frozenset]] = {
     "tfoot": (frozenset("td th tr tbody thead tfoot caption colgroup".split()), _TABLE),
 }
 _CLOSES_P = (BLOCK | {"hr"}) - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "html", "body", "legend"}
+_P = frozenset(["p"])
 _P_BOUND = frozenset("table td th caption button object template".split())
-#: Padding of a table's cells may take so many times the bytes of its text, and PADDING_FREE bytes.
+_CELL_BOUND = ("td", "th", "table")
+_ENDS_CELLS = frozenset("table tr tbody thead tfoot td th html body".split())
+#: Padding of a column's cells may take so many times its text, and its share of PADDING_FREE characters.
 PADDING, PADDING_FREE = 8, 1 << 16
+#: Levels of lists and quotes that are indented.
+DEEPEST = 40
 #: Most columns and rows of one cell, as HTML has them.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "text")
+    __slots__ = ("tag", "attrs", "children", "text", "dim")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children, self.text = tag, attrs, [], ""  # text: of a table, once it is rendered
+        # text: of a table, once it is rendered; dim: its own text is not visible
+        self.tag, self.attrs, self.children, self.text, self.dim = tag, attrs, [], "", False
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _close(stack: list[Node], tags: frozenset, bound: frozenset) -> None:
-    """Close up to and including the outermost open element in tags that bound does not shield."""
-    cut = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in bound:
-            break
-        if stack[i].tag in tags:
-            cut = i
-    if cut:
-        del stack[cut:]
+class _Open:
+    """The open elements, and where in their stack those of each tag stand, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, i: int) -> None:
+        """Close the element at i and all inside it."""
+        while len(self.stack) > i:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Position of the innermost open element of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: frozenset, bound: frozenset) -> None:
+        """Close from the outermost open element of tags that bound does not shield."""
+        shield = self.last(bound)
+        first = []
+        for t in tags:
+            places = self.at.get(t)
+            if places and places[-1] > shield:
+                first.append(places[bisect_right(places, shield)])
+        if first:
+            self.cut(min(first))
 
 
 class _Ends:
@@ -113,8 +143,8 @@ class _Ends:
 def parse(html: str) -> Node:
     """The element tree; every byte of text is somewhere in it."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(html)
-    counts: dict[str, int] = {}  # open p and li, to skip pointless searches
+    now, at, n = _Open(root), 0, len(html)
+    stack, places = now.stack, now.at
     ends = _Ends(html)
     while at < n:
         end = ends.after(at) if _TAG.match(html, at) else 0
@@ -129,52 +159,39 @@ def parse(html: str) -> Node:
             continue
         name = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            if name == "p" and not counts.get("p"):
+            if name == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif name == "br":
                 stack[-1].children.append(Node("br"))
-            elif counts.get(name):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        for x in stack[i:]:
-                            counts[x.tag] -= 1
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "html", "body"):
-                        break
+            elif places.get(name) and (name in _ENDS_CELLS or places[name][-1] > now.last(_CELL_BOUND)):
+                now.cut(places[name][-1])
             continue
         if len(stack) > 1 and stack[-1].tag == "head" and name not in HEAD_ONLY:
-            stack.pop()
-            counts["head"] -= 1
-        if name in _BREAKS and counts.get("svg") and not any(counts.get(x) for x in _HTML_IN_SVG):
-            cut = next(i for i, x in enumerate(stack) if x.tag == "svg")
-            for x in stack[cut:]:
-                counts[x.tag] -= 1
-            del stack[cut:]
-        if name in _CLOSES_P and counts.get("p"):
-            old = stack[:]
-            _close(stack, frozenset(["p"]), _P_BOUND)
-            for x in old[len(stack) :]:
-                counts[x.tag] -= 1
+            now.cut(len(stack) - 1)
+        if name in _BREAKS and places.get("svg") and not any(places.get(x) for x in _HTML_IN_SVG):
+            now.cut(places["svg"][0])
+        if name in _CLOSES_P and places.get("p"):
+            now.close(_P, _P_BOUND)
         if rule := IMPLIED.get(name):
-            old = stack[:]
-            _close(stack, *rule)
-            for x in old[len(stack) :]:
-                counts[x.tag] -= 1
+            now.close(*rule)
         node = Node(name, token[len(name) + 1 : -1])
         stack[-1].children.append(node)
-        if token.endswith("/>") and (name == "svg" or counts.get("svg")) and not counts.get("foreignobject"):
+        if token.endswith("/>") and (name == "svg" or places.get("svg")) and not places.get("foreignobject"):
             continue
         if name in RAW:
             end = RAW[name].search(html, at)
             node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
         elif name not in VOID:
-            stack.append(node)
-            counts[name] = counts.get(name, 0) + 1
+            now.push(node)
     return root
 
 
+def _styled(style: str, which: re.Pattern) -> str:
+    found = which.findall(style)
+    return found[-1].lower() if found else ""
+
+
 def hidden(node: Node) -> bool:
     if node.tag in UNSEEN:
         return True
@@ -182,14 +199,32 @@ def hidden(node: Node) -> bool:
     if not a or a.isspace():
         return node.tag == "dialog"
     low = a.lower()
-    if "hidden" in low or "style" in low or node.tag == "dialog":
+    if "hidden" in low or "display" in low or node.tag == "dialog":
         found = _attributes(a)
-        if "hidden" in found or _GONE.search(found.get("style", "")):
+        if "hidden" in found or _styled(found.get("style", ""), _DISPLAY) == "none":
             return True
         return node.tag == "dialog" and "open" not in found
     return False
 
 
+def _shade(root: Node) -> list[Node]:
+    """Settle what is visible: sets ``dim``, takes the body out of closed details. Returns the tables, outer ones first."""
+    tables, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == "table":
+            tables.append(x)
+        if x.tag == "details" and "open" not in _attributes(x.attrs):
+            x.children = [c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1]
+        for c in x.children:
+            if isinstance(c, Node):
+                c.dim = x.dim
+                if "visib" in c.attrs.lower() and (seen := _styled(_attributes(c.attrs).get("style", ""), _VISIBILITY)) in ("visible", "hidden", "collapse"):
+                    c.dim = seen != "visible"
+                stack.append(c)
+    return tables
+
+
 class _Lines:
     """Text under construction: collapsed white space, block breaks, list indentation."""
 
@@ -231,9 +266,9 @@ class _Lines:
 
     def end(self, force: bool = False) -> None:
         if self.now or force or self.marker:
-            lead = "".join(self.indent)
+            lead = "".join(self.indent[:DEEPEST])
             if self.marker:
-                lead, self.marker = "".join(self.indent[:-1]) + self.marker, ""
+                lead, self.marker = "".join(self.indent[:-1][:DEEPEST]) + self.marker, ""
             line = (lead + "".join(self.now)).rstrip()
             self.out.append(line)
         self.now, self.space = [], False
@@ -246,12 +281,7 @@ class _Lines:
 
 def render(root: Node) -> str:
     """All visible text of the tree."""
-    tables, stack = [], [root]
-    while stack:
-        x = stack.pop()
-        if x.tag == "table":
-            tables.append(x)
-        stack += [c for c in x.children if isinstance(c, Node)]
+    tables = _shade(root)
     for x in reversed(tables):  # a table comes after the tables around it
         x.text = _table(x)
     return _render(root)
@@ -277,6 +307,8 @@ def _render(root: Node) -> str:
                 continue
             if tag == "img":
                 continue
+            if x.dim and tag in ("input", "select"):
+                continue
             if tag == "input":
                 a = _attributes(x.attrs)
                 if a.get("type", "").strip().lower() not in MUTE:
@@ -303,15 +335,16 @@ def _render(root: Node) -> str:
             elif tag in BLOCK:
                 lines.end() if lines.now else None
             if tag in _LISTS:
-                start = re.search(r"start\s*=\s*[\"']?(-?\d{1,9})", x.attrs) if tag == "ol" else None
-                lists.append([tag == "ol", int(start[1]) if start else 1])
+                lists.append([tag == "ol", _number(x, "start") if tag == "ol" else 1])
             elif tag == "li":
                 own = lists[-1] if lists else [False, 1]
+                if own[0]:
+                    own[1] = _number(x, "value", own[1])
                 marker = f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
                 if lines.marker:
                     lines.end()
-                lines.marker = marker
+                lines.marker = "" if x.dim else marker
                 lines.indent.append(" " * len(marker))
             elif tag in ("dd", "blockquote"):
                 lines.indent.append("  ")
@@ -322,7 +355,7 @@ def _render(root: Node) -> str:
             elif tag == "text":
                 lines.space = bool(lines.now)
             stack.append((1, x))
-            stack += [(0, c) for c in reversed(x.children)]
+            stack += [(0, c) for c in reversed(x.children) if not (x.dim and isinstance(c, str))]
         elif kind == 2:
             lines.space = bool(lines.now)
         else:
@@ -347,6 +380,14 @@ def _render(root: Node) -> str:
     return "\n".join(lines.out)
 
 
+def _number(node: Node, name: str, default: int = 1) -> int:
+    """A whole number in an attribute, as HTML reads it."""
+    if name not in node.attrs.lower():
+        return default
+    m = re.match(r"\s*([+-]?\d{1,9})", _attributes(node.attrs).get(name, ""))
+    return int(m[1]) if m else default
+
+
 def _inner(node: Node) -> str:
     """The text under a node, character references resolved."""
     out, stack = [], [node]
@@ -391,7 +432,7 @@ def _drawn(svg: Node) -> list[Node]:
     while stack:
         x = stack.pop()
         if isinstance(x, str) or x.tag in UNDRAWN or hidden(x):
-            continue
+            continue  # what is dim may hold visible parts
         if x.tag in ("text", "foreignobject"):
             out.append(x)
         else:
@@ -404,13 +445,13 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and not table.dim:
                 rows.append([_wrap(x)])
         elif x.tag == "caption":
             captions.append(x)
         elif x.tag == "tr":
             if not hidden(x):
-                cells = [c if isinstance(c, Node) else _wrap(c) for c in x.children if isinstance(c, Node) or c.strip()]
+                cells = [c if isinstance(c, Node) else _wrap(c) for c in x.children if isinstance(c, Node) or c.strip() and not x.dim]
                 rows.append([c for c in cells if not hidden(c)])
         elif x.tag in ("thead", "tbody", "tfoot"):
             if not hidden(x):
@@ -428,7 +469,8 @@ def _wrap(text: str) -> Node:
 
 def _inside(node: Node) -> str:
     box = Node("#cell")
-    box.children = node.children if node.tag in ("td", "th", "caption") else [node]
+    own = node.tag in ("td", "th", "caption")
+    box.children, box.dim = (node.children, node.dim) if own else ([node], False)
     return _render(box)
 
 
@@ -460,13 +502,14 @@ def _table(table: Node) -> str:
         taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
         if any(line):
             grid.append(line)
-    width: dict[int, int] = {}
+    columns: dict[int, list[int]] = {}
     for line in grid:
         for i, s in enumerate(line[:-1]):
-            width[i] = max(width.get(i, 0), len(s))
-    text = sum(len(s) + 3 for line in grid for s in line)
-    if sum(width.get(i, 0) for line in grid for i in range(len(line) - 1)) > PADDING * text + PADDING_FREE:
-        width = {}
+            columns.setdefault(i, []).append(len(s))
+    width = {}
+    for i, sizes in columns.items():
+        room = (PADDING * (sum(sizes) + 3 * len(sizes)) + PADDING_FREE // len(columns)) // len(sizes)
+        width[i] = max((n for n in sizes if n <= room), default=0)
     out = [_inside(c) for c in captions if not hidden(c)]
     out += [" | ".join(s.ljust(width.get(i, 0)) if i < len(line) - 1 else s for i, s in enumerate(line)).rstrip() for line in grid]
     return "\n".join(x for x in out if x)
@@ -486,6 +529,9 @@ def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text) per row. Null or empty html gives an empty text; repeated rows give repeated results."""
+    """(id, text) per row. Null or empty html gives an empty text; repeated rows give repeated results, a null id keeps its row.
+
+    A page is handled whole, whatever its length; other columns, also one named ``text``, don't matter. An empty table gives no rows.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
     return spread(rows).mapInArrow(_extract, "id long, text string").withColumnRenamed("id", id_col)

@@ -286,6 +286,16 @@ def test_short_items_match_as_a_whole_whatever_the_size(spark, small):
     assert got == {i: [n for n in w if n >= decontaminate.LEAST] for i, w in want.items()} and any(got.values())
 
 
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_rows_that_share_an_id_are_judged_apart(spark, small):
+    """Items of one id with other texts each count; documents of one id are judged by their own texts."""
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
+    docs = spark.createDataFrame([(1, f"x {a} y {b} z"), (2, a), (2, "clean " * 30), (3, b), (4, " ".join([a] * 40)), (5, "clean")], "doc_id long, text string")
+    tests = spark.createDataFrame([(9, a), (9, b), (9, b), (10, b + " more words after it")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_ids"]) for r in decontaminate.find_leaks(docs, tests, small=small).collect())
+    assert got == [(1, [9, 10]), (2, []), (2, [9]), (3, [9, 10]), (4, [9]), (5, [])]
+
+
 @pytest.mark.parametrize("small", [10**6, 0])
 def test_leaks_in_odd_rows(spark, odd_docs, no_docs, small):
     """Repeated rows and items, nulls, very long texts, columns of other meanings."""
@@ -502,6 +512,17 @@ def test_every_edge_of_a_page_and_odd_tables(spark):
     assert got == [(i, *v) for i, v in ((0, none), (1, alias), (2, rule), (3, alias), (3, alias), (4, alias), (5, rule), (6, none), (7, alias), (8, alias), (9, none), (10, none))]
 
 
+def test_urls_without_a_host_are_no_nodes(spark):
+    """One page's link says nothing about other pages without a url, nor does a redirect from or to such a url."""
+    link = '<link rel=canonical href="http://x.net/es/a">'
+    rows = [(None, link), (None, None), ("http://x.net/es/a", None), ("", None), ("", link), ("no scheme", link), ("http://y.org/1", None), ("http://y.org/" + "q" * 300_000, link)]
+    redirects = spark.createDataFrame([("", "http://x.net/es/a"), ("http://y.org/1", ""), ("", "http://y.org/1"), ("no scheme", "http://x.net/es/a")], "src string, dst string")
+    for table in (None, redirects):
+        got = {r["page_id"]: (r["host"], r["verdict"], r["via"]) for r in url_filter.url_filter(_pages(spark, rows), RULES, table).collect()}
+        assert got[2] == ("x.net", "block", "rule") and got[7] == ("y.org", "block", "alias") and got[6] == ("y.org", "allow", "default")
+        assert all(got[i] == ("", "allow", "default") for i in (0, 1, 3, 4, 5))
+
+
 def test_redirect_query_equals_sql(spark, sf, duck):
     got = {tuple(r) for r in registry.QUERIES["url_redirects"](spark, sf).collect()}
     assert got == set(duck.execute(registry.SQL["url_redirects"]).fetchall())
@@ -554,7 +575,7 @@ def test_tables_and_attributes(html, text):
 def test_wide_tables_stay_within_a_multiple_of_their_text():
     page = "<table>" + "".join(f"<tr><td>{'x' * 200_000 if i == 0 else i}<td>b" for i in range(5_000)) + "</table>"
     text = html_text.html_to_text(page)
-    assert len(text) < 20 * len(page) and text.split("\n")[1] == "1 | b" and text.count("\n") == 4_999
+    assert len(text) < 20 * len(page) and text.split("\n")[1] == "1    | b" and text.split("\n")[4_999] == "4999 | b" and text.count("\n") == 4_999
     assert html_text.html_to_text("<table><tr><td>" * 3_000 + "x") == "x"
 
 
@@ -575,6 +596,138 @@ def test_deep_and_broken_pages_do_not_fail():
         html_text.html_to_text("".join(rng.choice(["<p>", "</p>", "<li>", "<table>", "<td>", "</tr>", "<ul>", "</ul>", "x ", "&amp;", "<", ">", "\"", "<!--", "-->", "<pre>"]) for _ in range(40)))
 
 
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    def seconds(page):
+        start = time.process_time()
+        html_text.html_to_text(page)
+        return time.process_time() - start
+
+    n = 60_000
+    for page in ("<p><button>" + "<div>a" * n, "<ul><li><table>" + "<tr><td>" * n, "<dl>" + "<dd><div>a</dd>" * n, "<p><object>" + "<b></p>" * n, "<select>" + "<option>a</b>" * n, "<svg>" + "<g><b>" * n, "<blockquote>a" * n, "<ul><li>a" * (n // 4), "<td></p>" * n, "<table><tr><td></i>" * 3_000):
+        assert seconds(page) < 6, page[:30]
+    assert seconds("<p><button>" + "<div>a" * 170_000) < 4  # a megabyte
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<ol data-start="7"><li>a</ol>', "1. a"), ("<ol start='+4'><li>a<li value=9>b<li>c</ol>", "4. a\n9. b\n10. c"), ("<ol><li value=x>a<li value=-2>b</ol>", "1. a\n-2. b"), ("<ul><li value=5>a</ul>", "- a"),
+        ("<details><summary>s</summary><p>body</details>z", "s\nz"), ("<details open><summary>s</summary><p>body</details>z", "s\n\nbody\n\nz"), ("<details>body</details>z", "z"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"), ("<div hidden>a<b style='visibility:visible'>b</b></div>d", "d"), ("<ul style=visibility:hidden><li>a<li style=visibility:visible>b</ul>", "- b"),
+        ("<p style='backface-visibility:hidden'>a", "a"), ("<p style='display:none;display:block'>a", "a"), ("<p style='color:red; DISPLAY : NONE !important'>a</p>b", "b"), ("<p data-x='display:none'>a", "a"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>c", "| b\n\nc"),
+        ("<table><tr><td>" + "x" * 70_000 + "<td>1" + "".join(f"<tr><td>{'a' * (i % 7)}<td>b" for i in range(40)) + "</table>", "x" * 70_000 + " | 1\n" + "\n".join(f"{'a' * (i % 7):6} | b" for i in range(40))),
+    ],
+)
+def test_numbers_details_visibility_and_outsize_cells(html, text):
+    assert html_text.html_to_text(html).strip() == text.strip()
+
+
+# a second, recursive layout over trees that it draws itself
+
+
+def _grow(rng, depth):
+    """(tag, attributes, children) of a random block; strings are words."""
+    word = lambda: " ".join(rng.choice(["ab", "c&amp;d", "é", "w"]) for _ in range(rng.randint(1, 3)))
+    kind = rng.choice(["p", "div", "ul", "ol", "blockquote", "table", "h2", "text", "hide"]) if depth else "text"
+    if kind == "text":
+        return ("b", "", [word()])
+    if kind in ("p", "h2"):
+        return (kind, "", [x for _ in range(rng.randint(1, 3)) for x in (("i", "", [word()]), ("br", "", []))][:-1])
+    if kind == "table":
+        cols = rng.randint(1, 3)
+        return ("table", "", [("tr", "", [("td", "", [word()]) for _ in range(cols)]) for _ in range(rng.randint(1, 3))])
+    if kind in ("ul", "ol"):
+        return (kind, "", [("li", "", [word(), *[_grow(rng, depth - 1) for _ in range(rng.randint(0, 2))]]) for _ in range(rng.randint(1, 3))])
+    if kind == "hide":
+        return ("div", rng.choice([" hidden", ' style="display:none"']), [word()])
+    return (kind, "", [_grow(rng, depth - 1) for _ in range(rng.randint(1, 4))])
+
+
+_OPTIONAL = {"p", "li", "td", "tr"}
+
+
+def _write(node, rng, last=True):
+    if isinstance(node, str):
+        return node
+    tag, attrs, children = node
+    if tag == "br":
+        return "<br>"
+    inner = "".join(_write(c, rng) for c in children)
+    # these end tags may be left out where the parent ends or the like of them begins
+    return f"<{tag}{attrs}>{inner}" + ("" if tag in _OPTIONAL - {"p"} and rng.random() < 0.5 else f"</{tag}>")
+
+
+def _lay(nodes, out, lead="", mark=None, inside=False):
+    """Appends the lines of blocks to out; "" is a blank line. mark: what the first line has instead of the last level of lead."""
+    from html import unescape
+
+    marks, now = [mark] if mark else [], []
+
+    def line(text):
+        start = lead[: len(lead) - len(marks[0])] + marks.pop() if marks else lead
+        out.append((start + text).rstrip())
+
+    def end():
+        if now:
+            line("".join(now))
+            now.clear()
+
+    def blank():
+        end()
+        if out and out[-1] and not marks:
+            out.append("")
+
+    def inner(children, lead, inside=False):
+        if marks:  # the first line below is the item's own
+            raise AssertionError("items start with text here")
+        _lay(children, out, lead, None, inside)
+
+    for n in nodes:
+        tag, attrs, children = ("#", "", [n]) if isinstance(n, str) else n
+        if attrs:
+            continue  # no box, no break
+        if tag in ("#", "b", "i"):
+            now.append(unescape("".join(children)))
+        elif tag == "br":
+            line("".join(now))
+            now.clear()
+        elif tag == "div":
+            end(), inner(children, lead, inside)
+        elif tag in ("p", "h2"):
+            blank(), inner(children, lead), blank()
+        elif tag == "blockquote":
+            blank(), inner(children, lead + "  ", inside), blank()
+        elif tag in ("ul", "ol"):
+            end() if inside else blank()
+            for k, item in enumerate(children):
+                own = "- " if tag == "ul" else f"{k + 1}. "
+                _lay(item[2], out, lead + " " * len(own), own, True)
+            None if inside else blank()
+        elif tag == "table":
+            blank()
+            cells = [[unescape(c[2][0]) for c in row[2]] for row in children]
+            width = [max(len(r[i]) for r in cells) for i in range(len(cells[0]))]
+            for row in cells:
+                line(" | ".join(c.ljust(w) if i < len(row) - 1 else c for i, (c, w) in enumerate(zip(row, width, strict=True))))
+            blank()
+    end()
+
+
+def test_layout_equals_a_recursive_one():
+    rng = random.Random(12)
+    for _ in range(3_000):
+        tree = [_grow(rng, 3) for _ in range(rng.randint(1, 4))]
+        page = "".join(_write(n, rng) for n in tree)
+        want = []
+        _lay(tree, want)
+        while want and not want[-1]:
+            want.pop()
+        assert html_text.html_to_text(page).split("\n") == (want or [""]), page
+
+
 def test_quoted_values_of_any_length():
     import time
 
