@@ -36,50 +36,54 @@ HELD, STRETCH = 200_000, 1 << 20
 _TERM = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def terms_of(text: bytes) -> Iterator[list[bytes]]:
+def terms_of(text: bytes, stretch: int) -> Iterator[list[bytes]]:
     """The terms of a UTF-8 text in lists, cut between terms."""
     text = text.translate(_TERM)
     at = 0
     while at < len(text):
-        end = text.find(b" ", at + STRETCH)
+        end = text.find(b" ", at + stretch)
         end = len(text) if end < 0 else end
         yield text[at:end].split()
         at = end
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(most: int, stretch: int):
     """lang, source, term, n, docs; a row without term for each group. Counters are handed on when they are large, so memory is bounded."""
-    seen: Counter = Counter()
-    groups: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal seen, groups, docs, size
-        rows = [(*g, None, 0, n) for g, n in seen.items()]
-        for g, c in groups.items():
-            d = docs[g]
-            rows += [(*g, t.decode(), n, d[t]) for t, n in c.items()]
-        seen, groups, docs, size = Counter(), {}, {}, 0
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)], names=["lang", "source", "term", "n", "docs"])
-
-    for b in batches:
-        for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
-            g = (lang, source)
-            seen[g] += 1
-            held, count = docs.setdefault(g, Counter()), groups.setdefault(g, Counter())
-            before = len(count)
-            own: set[bytes] = set()
-            for found in terms_of(text.as_py()):
-                count.update(found)
-                own.update(found)
-            held.update(own)
-            size += len(count) - before
-            if size > HELD:
-                yield flush()
-    if seen:
-        yield flush()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        groups: dict[tuple, Counter] = {}
+        docs: dict[tuple, Counter] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seen, groups, docs, size
+            rows = [(*g, None, 0, n) for g, n in seen.items()]
+            for g, c in groups.items():
+                d = docs[g]
+                rows += [(*g, t.decode(), n, d[t]) for t, n in c.items()]
+            seen, groups, docs, size = Counter(), {}, {}, 0
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)], names=["lang", "source", "term", "n", "docs"])
+
+        for b in batches:
+            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text"), strict=True):
+                g = (lang, source)
+                seen[g] += 1
+                held, count = docs.setdefault(g, Counter()), groups.setdefault(g, Counter())
+                before = len(count)
+                own: set[bytes] = set()
+                for found in terms_of(text.as_py(), stretch):
+                    count.update(found)
+                    own.update(found)
+                held.update(own)
+                size += len(count) - before
+                if size > most:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    return run
 
 
 def _share(count: str, total: str = "total") -> Column:
@@ -87,36 +91,40 @@ def _share(count: str, total: str = "total") -> Column:
     return F.expr(f"CASE WHEN v = 0 THEN 1L ELSE 1L + (CAST(1000000000 AS DECIMAL(10, 0)) * (CAST({count} AS DECIMAL(20, 0)) + 2)) div CAST({total} + 2 * v AS DECIMAL(20, 0)) END")
 
 
-def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(width: int):
     """Rows of a cell stand together: kind 0 base shares of its groups, 1 postings of heavy terms, 2 histograms of light ones."""
-    key, held = None, []
-    for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("bi", "bj", "tile", "kind", "g", "t", "p", "n")]
-        lang = b.column("lang_id").to_numpy(zero_copy_only=False)
-        cells = np.column_stack([lang, cols[0], cols[1], cols[2]])
-        cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == z:
-                continue
-            now = tuple(cells[a].tolist())
-            if now != key and held:
-                yield from _tile(key, held)
-                held = []
-            key = now
-            held.append([c[a:z] for c in cols[3:]])
-    if held:
-        yield from _tile(key, held)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("bi", "bj", "tile", "kind", "g", "t", "p", "n")]
+            lang = b.column("lang_id").to_numpy(zero_copy_only=False)
+            cells = np.column_stack([lang, cols[0], cols[1], cols[2]])
+            cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                now = tuple(cells[a].tolist())
+                if now != key and held:
+                    yield from _tile(key, held, width)
+                    held = []
+                key = now
+                held.append([c[a:z] for c in cols[3:]])
+        if held:
+            yield from _tile(key, held, width)
+
+    return run
 
 
 def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)  # shares are at most 10^9 + 1, so squares stay below 2^63
 
 
-def _tile(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
+def _tile(key: tuple, held: list, width: int) -> Iterator[pa.RecordBatch]:
     lang, bi, bj, tile = key
     kind, g, t, p, n = (np.concatenate(c) for c in zip(*held, strict=True))
     base = {int(x): int(y) for x, y in zip(g[kind == 0], p[kind == 0], strict=True)}
-    rows, cols = (sorted(x for x in base if x // GROUPS == b) for b in (bi, bj))
+    rows, cols = (sorted(x for x in base if x // width == b) for b in (bi, bj))
     at = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
     b0, b1 = (np.array([base[x] for x in side], np.int64) for side in (rows, cols))
     total = np.zeros((len(rows), len(cols)), np.int64)
@@ -125,7 +133,7 @@ def _tile(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
         names, col = np.unique(t[heavy], return_inverse=True)
         dense = [np.repeat(b[:, None], len(names), 1) for b in (b0, b1)]
         for side, b in enumerate((bi, bj)):
-            mine = g[heavy] // GROUPS == b
+            mine = g[heavy] // width == b
             dense[side][[at[side][int(x)] for x in g[heavy][mine]], col[mine]] = p[heavy][mine]
         for i in range(len(rows)):
             total[i] = _f(dense[0][i], dense[1]).sum(1)
@@ -135,7 +143,7 @@ def _tile(key: tuple, held: list) -> Iterator[pa.RecordBatch]:
         total += int(n[kind == 3].sum()) * zero
         light = kind == 2
         for side, b in enumerate((bi, bj)):
-            mine = light & (g // GROUPS == b)
+            mine = light & (g // width == b)
             for x in np.unique(g[mine]):
                 own, i = mine & (g == x), at[side][int(x)]
                 against = (b1, b0)[side]
@@ -182,7 +190,7 @@ def _pairs(counts: DataFrame, groups: DataFrame, light: int) -> DataFrame:
     rest = rest.select("lang_id", "bi", "bj", F.lit(-1).alias("tile"), F.lit(3).alias("kind"), F.lit(-1).cast("long").alias("g"), nothing.alias("t"), nothing.alias("p"), F.col("light").alias("n"))
     cells = members.unionByName(dense).unionByName(folded).unionByName(rest).select(*[F.col(c).cast("long") for c in shape])
     keys = ["lang_id", "bi", "bj", "tile"]
-    sums = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tiles, "lang_id long, a long, b long, value long")
+    sums = cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tiles(GROUPS), "lang_id long, a long, b long, value long")
     # two light terms' worth: at most ``light`` postings a term
     lists = named.filter((F.col("in") <= light) & (F.col("in") > 1)).groupBy("lang_id", "term").agg(F.sort_array(F.collect_list(F.struct("g", "p", "base"))).alias("x"))
     both = lists.select("lang_id", F.expr("inline(flatten(transform(x, (l, i) -> transform(slice(x, i + 2, size(x)), r -> struct(l AS l, r AS r)))))"))
@@ -204,7 +212,7 @@ def divergence(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, light: i
     small_batches(docs.sparkSession, 500)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.encode(text(text_col), "UTF-8").alias("text"))
-    found = spread(rows).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
+    found = spread(rows).mapInArrow(_count(HELD, STRETCH), "lang string, source string, term string, n long, docs long")
     found = settle(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
     kept = settle(found.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).select("lang", "term", "n"), "kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
