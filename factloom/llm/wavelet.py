@@ -31,18 +31,20 @@ from factloom.llm import textkit as T
 from factloom.shared import folder, settle, small_batches
 
 #: Token ids of a shard, about; a longer document is a shard by itself.
-SHARD = 1 << 23
+SHARD = 1 << 21
 #: Bytes of a block of a plane before compression.
 BLOCK = 4096
 #: The id that ends each document.
 END = 0
 MAGIC = b"WAVEMTX1"
-_WHITE = " \t\n\r\x0b\x0c\x85\xa0  -     　"
-#: White space and what follows it up to the next white space: no token of a byte-level vocabulary spans two of these.
-_PIECE = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-_EDGE = re.compile(f"[^{_WHITE}](?=[{_WHITE}])")
-#: Pieces whose ids a worker remembers; characters of a text cut into pieces at a time.
-REMEMBERED, STRETCH = 400_000, 1 << 20
+#: White space by the bytes of its last character: ASCII, and what ends a longer one. No token of a byte-level vocabulary spans the border
+#: between other characters and white space behind them, so texts are cut there, where ASCII white space begins.
+_ASCII_WHITE = np.zeros(256, bool)
+_ASCII_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_WHITE = frozenset(" \t\n\r\x0b\x0c\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+_LONG_WHITE = sorted(c.encode() for c in _WHITE if ord(c) > 127)
+#: Pieces that a worker remembers at most, and the longest; bytes of texts encoded at a time.
+REMEMBERED, LONGEST, CHUNK = 2_000_000, 64, 1 << 22
 _MANIFEST = "part int, seq int, file string, docs long, tokens long, bytes long"
 
 
@@ -187,8 +189,56 @@ class Shard:
 # -- encoding ---------------------------------------------------------------------------------------------------------
 
 
+def cuts_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start: each text, and ASCII white space behind a character that is none; the end of the bytes comes last."""
+    at = np.flatnonzero(_ASCII_WHITE[raw])
+    at = at[at > 0]
+    at = at[~_ASCII_WHITE[raw[at - 1]]]
+    wide = np.flatnonzero(raw[at - 1] >= 128)
+    for c in _LONG_WHITE if len(wide) else ():
+        ends = np.ones(len(wide), bool)
+        for k, byte in enumerate(reversed(c)):
+            ends &= raw[np.maximum(at[wide] - 1 - k, 0)] == byte
+        at[wide[ends]] = 0
+    mark = np.zeros(len(raw) + 1, bool)
+    mark[at] = True
+    mark[0] = False
+    mark[offsets] = True
+    return np.flatnonzero(mark)
+
+
+def _spread_out(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of them, count of each."""
+    total = np.cumsum(count)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - count), count)
+
+
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each position (zeros behind the end) as one integer."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def _alike(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Do the bytes x[a : a + size] equal y[b : b + size]? Up to 16 bytes are two words, that may overlap; longer ones are compared byte by byte."""
+    v, w = _words(x), _words(y)
+    low = np.minimum(size, 8)
+    unused = ((8 - low) * 8).astype(np.uint64)
+    back = np.maximum(size - 8, 0)
+    same = ((v[a] ^ w[b]) << unused) == 0
+    same &= ((v[a + back] ^ w[b + back]) << unused) == 0
+    long = np.flatnonzero(same & (size > 16))
+    if len(long):
+        wrong = x[_spread_out(a[long], size[long])] != y[_spread_out(b[long], size[long])]
+        same[long[np.unique(np.repeat(np.arange(len(long)), size[long])[wrong])]] = False
+    return same
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian 32-bit integers; asks it once for each piece that it remembers."""
+    """Ids of whole texts by the tokenizers library, which is asked once for each piece that a worker remembers.
+
+    Pieces are found by hash and compared byte by byte, so what is remembered is exact.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -198,59 +248,154 @@ class Encoder:
         # cutting before white space is safe for this kind of vocabulary only; others get whole texts
         self._cut = pre.get("normalizer") is None and (pre.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and pre["pre_tokenizer"].get("use_regex") and not pre["pre_tokenizer"].get("add_prefix_space")
         self._cut = self._cut and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in pre.get("added_tokens", []))
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+        # bytes of each id: a byte-level vocabulary spells a byte as a character, but for added tokens
+        added = {t["id"]: len(t["content"].encode()) for t in pre.get("added_tokens", [])}
+        self._bytes = np.zeros(self._model.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self._model.get_vocab(with_added_tokens=True).items():
+            self._bytes[i] = added.get(i, len(token))
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hash, self._row = np.zeros(0, T.U), np.zeros(0, np.int64)  # sorted hashes, and which row each is
+        self._ids, self._text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self._id_at, self._text_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Those between white space are asked for as one text, whose ids part where the pieces do."""
+        texts = [p.decode() for p in pieces]
+        inner = [k for k, p in enumerate(texts) if p and p[0] in _WHITE and p[-1] not in _WHITE]
+        out: list = [None] * len(pieces)
+        if inner:
+            ids = self._ask(["".join([texts[k] for k in inner])])[0]
+            ends, stops = np.cumsum(self._bytes[ids]), np.cumsum([len(pieces[k]) for k in inner])
+            parts = np.searchsorted(ends, stops)
+            if ends[-1] != stops[-1] or (ends[parts] != stops).any():
+                raise ValueError("a token spans white space: this vocabulary can't be cut there")
+            for k, part in zip(inner, np.split(ids, parts[:-1] + 1), strict=True):
+                out[k] = part
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, part in zip(rest, self._ask([texts[k] for k in rest]), strict=True):
+            out[k] = part
+        return out
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> None:
+        data = raw.tobytes()
+        ids = self._encode([data[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        self._ids = np.concatenate([self._ids, *ids])
+        self._text = np.concatenate([self._text, raw[_spread_out(start, size)]])
+        first = len(self._id_at) - 1
+        self._id_at = np.concatenate([self._id_at, self._id_at[-1] + np.cumsum([len(x) for x in ids])])
+        self._text_at = np.concatenate([self._text_at, self._text_at[-1] + np.cumsum(size)])
+        self._hash = np.concatenate([self._hash, h])
+        self._row = np.concatenate([self._row, np.arange(first, first + len(h))])
+        order = np.argsort(self._hash, kind="stable")
+        self._hash, self._row = self._hash[order], self._row[order]
+
+    def _find(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The remembered row of each piece; -1 where there is none of the same bytes."""
+        if not len(self._hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self._hash, h), len(self._hash) - 1)
+        row = np.where(self._hash[at] == h, self._row[at], -1)
+        some = np.flatnonzero(row >= 0)
+        some = some[np.diff(self._text_at)[row[some]] == size[some]]
+        some = some[_alike(raw, start[some], self._text, self._text_at[row[some]], size[some])]
+        out = np.full(len(h), -1)
+        out[some] = row[some]
+        return out
+
+    def batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts raw[offsets[k] : offsets[k + 1]], and how many each has."""
+        if not self._cut:
+            data = raw.tobytes()
+            ids = self._ask([data[a:z].decode() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.array([len(x) for x in ids], np.int64)
+        cuts = cuts_of(raw, offsets)
+        start, size = cuts[:-1], np.diff(cuts)
+        n = len(raw)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, T.U)
+            np.cumsum(T._BYTE[0][raw] * T.powers(int(T._P), n)[:n], out=sums[1:])
+            h = T.mix((sums[cuts[1:]] - sums[start]) * T.powers(T.inverse(int(T._P)), n)[start])
+        kept = size <= LONGEST
+        if len(self._row) > REMEMBERED:
+            self._forget()
+        one, back = np.unique(h[kept], return_index=True, return_inverse=True)[1:]
+        first = np.flatnonzero(kept)[one]
+        unknown = first[self._find(raw, start[first], size[first], h[first]) < 0]
+        if len(unknown):
+            self._learn(raw, start[unknown], size[unknown], h[unknown])
+        row = np.full(len(h), -1)
+        row[kept] = self._find(raw, start[first], size[first], h[first])[back]
+        # pieces of a batch that share a hash must share their bytes, too
+        same = first[back]
+        mine = np.flatnonzero(kept)
+        odd = size[mine] != size[same]
+        pairs = np.flatnonzero(~odd & (mine != same))
+        odd[pairs[~_alike(raw, start[mine[pairs]], raw, start[same[pairs]], size[mine[pairs]])]] = True
+        row[mine[odd]] = -1
+        # long pieces, and what only a hash would take for known, are asked for each time
+        alone = np.flatnonzero(row < 0)
+        data = raw.tobytes() if len(alone) else b""
+        extra = self._encode([data[a : a + k] for a, k in zip(start[alone].tolist(), size[alone].tolist(), strict=True)])
+        at = np.where(row >= 0, self._id_at[row], 0)
+        count = np.where(row >= 0, np.diff(self._id_at, append=self._id_at[-1])[row], 0)
+        at[alone] = len(self._ids) + np.cumsum([0, *[len(x) for x in extra]])[:-1]
+        count[alone] = [len(x) for x in extra]
+        ids = (np.concatenate([self._ids, *extra]) if len(alone) else self._ids)[_spread_out(at, count)]
+        before = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(before[np.searchsorted(cuts, offsets)])
 
     def __call__(self, text: str) -> bytes:
-        if not self._cut:
-            return self._ids([text])[0]
-        out, at = [], 0
-        while at < len(text):
-            edge = _EDGE.search(text, at + STRETCH) if len(text) - at > STRETCH else None
-            end = edge.end() if edge else len(text)
-            pieces = _PIECE.findall(text, at, end)
-            known = self._known
-            new = list(set(pieces).difference(known))
-            if new:
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(set(pieces))
-                known.update(zip(new, self._ids(new), strict=True))
-            out += map(known.__getitem__, pieces)
-            at = end
-        return b"".join(out)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.batch(raw, np.array([0, len(raw)]))[0].astype("<u4").tobytes() if len(raw) else b""
+
+
+@lru_cache(1)
+def _encoder(vocabulary: str) -> Encoder:
+    """One for all tasks of a worker, which go on with what it remembers."""
+    return Encoder(vocabulary)
 
 
 def _write(where: str, vocabulary: str, shard: int):
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(where)
-        encode = Encoder(vocabulary)
+        encode = _encoder(vocabulary)
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int] = []
-        held: list[bytes] = []
+        sizes: list[int] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, held, size, seq
+            nonlocal docs, sizes, held, size, seq
             name = f"{part:07d}-{seq:05d}-{uuid.uuid4().hex}.wm"
-            data = pack(np.frombuffer(b"".join(held), "<u4"), np.asarray(docs, np.int64), np.asarray([len(h) // 4 for h in held], np.int64))
+            data = pack(np.concatenate(held), np.asarray(docs, np.int64), np.asarray(sizes, np.int64))
             with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
-            row = [[part], [seq], [name], [len(docs)], [size // 4], [len(data)]]
-            docs, held, size, seq = [], [], 0, seq + 1
+            row = [[part], [seq], [name], [len(docs)], [size], [len(data)]]
+            docs, sizes, held, size, seq = [], [], [], 0, seq + 1
             return pa.record_batch([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "file", "docs", "tokens", "bytes"])
 
-        end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
-            for i, text in zip(T.id_array(batch.column("id")).tolist(), batch.column("text"), strict=True):
-                data = encode(text.as_py() or "") + end
-                if size and size + len(data) > 4 * shard:
-                    yield flush()
-                docs.append(i)
-                held.append(data)
-                size += len(data)
+            ids = T.id_array(batch.column("id")).tolist()
+            for i, j, raw, off in T.parts(batch.column("text"), CHUNK):
+                tokens, counts = encode.batch(raw, off)
+                # the end id behind each document's own
+                ends = np.cumsum(counts)
+                tokens = np.insert(tokens, ends, END)
+                ends = np.concatenate([[0], ends + np.arange(1, j - i + 1)])
+                for k in range(j - i):
+                    n = int(ends[k + 1] - ends[k])
+                    if size and size + n > shard:
+                        yield flush()
+                    docs.append(ids[i + k])
+                    sizes.append(n)
+                    held.append(tokens[ends[k] : ends[k + 1]])
+                    size += n
         if docs:
             yield flush()
 

@@ -217,11 +217,23 @@ def test_pieces_encode_like_the_whole(tokenizer, parts):
     assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_long_texts_are_cut_between_pieces(tokenizer, monkeypatch):
-    monkeypatch.setattr(wavelet, "STRETCH", 10)
-    monkeypatch.setattr(wavelet, "REMEMBERED", 5)
+def test_batches_and_what_is_remembered(tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet, "REMEMBERED", 30)
+    monkeypatch.setattr(wavelet, "LONGEST", 12)
     encode = wavelet.Encoder(wavelet.default_vocabulary())
-    for text in ("word " * 40, "x" * 35 + "  \n y" * 9, "\n\n  a" * 20, " " * 50, "é 日本 " * 12):
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["word ", "x" * 35, "  \n y", "\n\n  a", " ", "é 日本 ", "\u3000 ", "the", "\xa0", ".\t", ""]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 6))]
+        raw = [t.encode() for t in texts]
+        ids, counts = encode.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_equal_hashes_of_other_pieces_do_no_harm(tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet.T, "mix", lambda x: x & np.uint64(3))
+    encode = wavelet.Encoder(wavelet.default_vocabulary())
+    for text in ("all of these share a few hashes", "these all of few a share hashes", "and other ones besides"):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
