@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of one text that are learned from at most.
+#: Characters of a row that is learned from; a longer text is several rows of its label.
 STRETCH = 65536
 
 
@@ -18,19 +18,21 @@ def remainder(id_col: str, mod: int):
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH) -> list[tuple[int, str, int]]:
     """At most ``per_class[y]`` (id, text, label) rows of each label y, 0 and 1, never from held-out ids.
 
-    The rows are the first by a hash of their id. Of a longer text a stretch of ``stretch`` characters
-    at a place drawn by its id is learned from (it is scored whole), so the driver holds a bounded amount.
+    A text of more than ``stretch`` characters is cut into stretches, each a row of its own, so all of it can be learned from. The rows are
+    the first by a hash of their id and place, so the driver holds ``per_class[y] * stretch`` characters of a label at most, and a
+    long text fills the sample no more than in proportion.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     known = known.filter(remainder("id", mod) != held_out).dropDuplicates(["id"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    room = F.greatest(F.length("text") - stretch, F.lit(0)) + 1
-    texts = texts.withColumn("text", F.col("text").substr((F.pmod(F.xxhash64("id"), room) + 1).cast("int"), F.lit(stretch)))
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / stretch).cast("int") - 1, F.lit(0)))
     out = []
     for y in (0, 1):
-        # sampled before the join: so many rows at most, whatever the size of the label table
+        # sampled before the join: so many documents at most, whatever the size of the label table
         chosen = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * per_class[y])
-        rows = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").limit(per_class[y])
+        rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text", F.explode(places).alias("k"))
+        rows = rows.select("id", F.col("text").substr(F.col("k") * stretch + 1, F.lit(stretch)).alias("text"), "y", "k")
+        rows = rows.orderBy(F.xxhash64("id", F.when(F.col("k") > 0, F.col("k"))), "id", "k").limit(per_class[y])
         out += [(r["id"], r["text"], r["y"]) for r in rows.select("id", "text", "y").collect()]
     return out
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, html_text, pieces, quality, registry, toxicity, url_filter
+from factloom.llm import labelled as labelled_rows
 
 RULES = registry.URL_RULES
 
@@ -167,6 +168,24 @@ def test_repeated_rows_and_long_texts_in_classifiers(labelled, spark):
     assert all(len(t) <= 100 for _, t, _ in got) and {i for i, _, _ in got} >= {i for i in (5000, 5001) if zlib.crc32(str(i).encode()) % 4 != 2}
 
 
+def test_all_stretches_of_a_long_text_are_learned_from(spark):
+    """A word that stands only at the end of long labelled texts counts, and a long text's rows are all of it."""
+    rng = random.Random(2)
+    plain = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "words", "of", "every", "day"]) for _ in range(n))
+    rows = [(i, plain(40_000) + " zorblax krungor" * 30 if i % 2 else plain(300), i % 2) for i in range(40)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    got = labelled_rows.sample(docs, labels, "toxic", 4, 2, (500, 500))
+    parts = {}
+    for i, text, _ in got:
+        parts.setdefault(i, []).append(text)
+    kept = {i: t for i, t, _ in rows if i in parts}
+    assert all(sorted(parts[i]) == sorted(t[a : a + labelled_rows.STRETCH] for a in range(0, len(t), labelled_rows.STRETCH)) for i, t in kept.items())
+    assert max(map(len, parts.values())) > 3 and len(labelled_rows.sample(docs, labels, "toxic", 4, 2, (5, 7))) == 12
+    tests = spark.createDataFrame([(100, plain(300) + " zorblax krungor" * 3), (101, plain(300))], "doc_id long, text string")
+    score = {r["id"]: r["score"] for r in toxicity.scored_by(toxicity.fit(docs, labels), tests, "doc_id", "text").collect()}
+    assert score[100] > score[101]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     lines = np.array([0, 3, 3, 4, 9])
