@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import cluster_name
+from factloom.operators import modularity_moves
+from factloom.operators.dealt import pairs
 from factloom.operators.graph import undirected
 from factloom.shared import settle
 
@@ -31,14 +33,26 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, component) by synchronous propagation: the label most frequent around a node and on itself, least on ties."""
+def label_propagation(edges: DataFrame, rounds: int = 60, tolerance: float = 0.0) -> DataFrame:
+    """(node, component) by propagation: the label most frequent around a node and on itself, least on ties.
+
+    Nodes take turns by a coin of the round, so two sides of a graph cannot swap labels for ever; it ends when no node would change
+    (or at most a share of ``tolerance`` of them), and says so if ``rounds`` don't reach that.
+    """
     near = settle(undirected(edges), "near")
-    labels = near.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    labels = settle(near.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    n = labels.count()
+    for i in range(rounds):
         seen = near.join(labels, near["v"] == labels["node"]).select("u", "label").union(labels.select("node", "label"))
         best = seen.groupBy("u", "label").agg(F.count("*").alias("n")).groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
-        labels = settle(best.select(F.col("u").alias("node"), F.col("b.label").alias("label")), "labels")
+        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)) + F.lit(i % 2), F.lit(2)) == 0
+        wish = labels.join(best.select(F.col("u").alias("node"), F.col("b.label").alias("wish")), "node")
+        moved = settle(wish.select("node", F.when(turn, F.col("wish")).otherwise(F.col("label")).alias("label"), (F.col("wish") != F.col("label")).alias("open")), "labels")
+        labels = moved.select("node", "label")
+        if moved.filter("open").count() <= tolerance * n:
+            break
+    else:
+        raise RuntimeError(f"labels did not settle in {rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
@@ -165,11 +179,10 @@ def coverage(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def overlaps(covered: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, shared, weight): groups that share at least ``least`` chunks; weight is shared over the larger coverage.
 
-    Exploded chunks meet in an equi-join, so groups without a common chunk never do.
+    Exploded chunks meet in an equi-join, so groups without a common chunk never do; a chunk that very many groups cover is dealt.
     """
     rows = covered.select(F.col("component").alias("c"), F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
-    a, b = rows.toDF("a", "na", "chunk"), rows.toDF("b", "nb", "chunk")
-    both = a.join(b, "chunk").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    both = pairs(settle(rows, "covered"), ["chunk"], "c").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     return both.select("a", "b", "shared", (F.col("shared") / F.greatest("na", "nb")).alias("weight"))
 
 
@@ -197,19 +210,12 @@ def neighbours_text(edges: DataFrame) -> DataFrame:
     return told.groupBy("node").agg(F.array_sort(F.collect_set("t")).alias("relations"))
 
 
-def cluster_corpus(edges: DataFrame, existing: DataFrame, least: int = 3, most_edges: int = 100_000, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Clusters (cluster, member) of a corpus graph and what becomes of them (cluster, target, action; see ``reconcile``).
+def cluster_corpus(edges: DataFrame, existing: DataFrame, least: int = 3, resolution: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Clusters (cluster, member) of a corpus graph (src, dst) and what becomes of them (cluster, target, action; see ``reconcile``).
 
-    Components first, distributed. Those of at most ``most_edges`` edges are cut by ``leiden``, one task each; larger
-    ones by label propagation, which needs no task that holds one. Clusters under ``least`` members go.
+    Leiden groups of the whole graph, by joins and aggregates whatever its size. Clusters under ``least`` members go.
     """
-    parts = settle(components(edges), "parts")
-    tagged = settle(edges.select("src", "dst").join(parts.select(F.col("node").alias("src"), "component"), "src"), "tagged")
-    sizes = tagged.groupBy("component").agg((F.count("*") > most_edges).alias("large"))
-    tagged = tagged.join(sizes, "component")
-    small = leiden(tagged.filter("not large").withColumnRenamed("component", "part"), "part", resolution).select(F.col("component").alias("cluster"), F.col("node").alias("member"))
-    large = label_propagation(tagged.filter("large")).select(F.col("component").alias("cluster"), F.col("node").alias("member"))
-    found = settle(small.unionByName(large), "clusters")
+    found = settle(modularity_moves.communities(edges, resolution=resolution).select(F.col("component").alias("cluster"), F.col("node").alias("member")), "clusters")
     kept = found.join(found.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("cluster"), "cluster", "left_semi")
     return kept, reconcile(kept, existing)
 

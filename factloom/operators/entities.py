@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.maths import dot, norm
+from factloom.operators.dealt import pairs
 
 
 def leader_clusters(entities: DataFrame, threshold: float = 0.85, by: str = "document_id") -> DataFrame:
@@ -105,8 +106,7 @@ def link(existing: DataFrame, incoming: DataFrame, threshold: float = 0.88, find
 
 
 def similar_pairs(rows: DataFrame, threshold: float, block_col: str) -> DataFrame:
-    """(id_a, id_b, similarity) within blocks: an equi-join on the blocking key, then the exact cosine."""
-    a = rows.select(F.col("id").alias("id_a"), block_col, F.col("embedding").alias("va"), norm(F.col("embedding")).alias("na"))
-    b = rows.select(F.col("id").alias("id_b"), block_col, F.col("embedding").alias("vb"), norm(F.col("embedding")).alias("nb"))
-    both = a.join(b, block_col).filter("id_a < id_b")
+    """(id_a, id_b, similarity) within blocks: an equi-join on the blocking key, large blocks dealt, then the exact cosine."""
+    own = rows.select("id", block_col, F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
+    both = pairs(own, [block_col], "id").withColumnsRenamed({"v_a": "va", "v_b": "vb", "n_a": "na", "n_b": "nb"})
     return both.withColumn("similarity", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed, maths
 from factloom.functions.text import is_literal
+from factloom.operators.dealt import meet, pairs
+from factloom.shared import settle
 
 
 def infer_transitive(edges: DataFrame, max_hops: int = fixed.MAX_HOPS, predicates: list[str] | None = None, mode: str = "product") -> DataFrame:
@@ -66,11 +68,11 @@ def decay(rows: DataFrame, now: Column, half_life: float = fixed.HALF_LIFE_DAYS,
 
 def opposing(facts: DataFrame) -> DataFrame:
     """(subject, object, predicate_a, predicate_b, seq_a, seq_b): opposing relations between the same ends."""
-    pairs = facts.sparkSession.createDataFrame([p for a, b in fixed.OPPOSING for p in ((a, b), (b, a))], "pa string, pb string")
+    known = facts.sparkSession.createDataFrame([p for a, b in fixed.OPPOSING for p in ((a, b), (b, a))], "pa string, pb string")
     f = facts.select(F.lower("subject").alias("s"), F.lower("object").alias("o"), F.lower("predicate").alias("p"), "seq")
-    one = f.join(F.broadcast(pairs), f["p"] == pairs["pa"]).select("s", "o", F.col("p").alias("predicate_a"), F.col("pb").alias("predicate_b"), F.col("seq").alias("seq_a"))  # a fixed table
+    one = f.join(F.broadcast(known), f["p"] == known["pa"]).select("s", "o", F.col("p").alias("predicate_a"), F.col("pb").alias("predicate_b"), F.col("seq").alias("seq_a"))  # a fixed table
     two = f.select("s", "o", F.col("p").alias("predicate_b"), F.col("seq").alias("seq_b"))
-    both = one.join(two, ["s", "o", "predicate_b"]).filter("seq_a < seq_b")
+    both = meet(one, two, ["s", "o", "predicate_b"]).filter("seq_a < seq_b")
     return both.select(F.col("s").alias("subject"), F.col("o").alias("object"), "predicate_a", "predicate_b", "seq_a", "seq_b")
 
 
@@ -80,9 +82,18 @@ def value_conflicts(facts: DataFrame) -> DataFrame:
     Conflicts of a subject are pairs by definition; only subjects with several literals get that far.
     """
     lit = facts.filter(is_literal(F.col("object"))).groupBy(F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"), F.lower(F.trim("object")).alias("value")).agg(F.min("seq").alias("seq"))
-    a = lit.select("subject", "predicate", F.col("value").alias("value_a"), F.col("seq").alias("seq_a"))
-    b = lit.select("subject", "predicate", F.col("value").alias("value_b"), F.col("seq").alias("seq_b"))
-    return a.join(b, ["subject", "predicate"]).filter("seq_a < seq_b")
+    return pairs(settle(lit, "values"), ["subject", "predicate"], "seq").select("subject", "predicate", "value_a", "seq_a", "value_b", "seq_b")
+
+
+def value_classes(facts: DataFrame) -> DataFrame:
+    """(subject, predicate, value, facts, first_seq, values): the different literals of a subject and relation with several, one row each.
+
+    What ``value_conflicts`` says in pairs, in rows that grow with the facts: ``facts`` hold the value, ``values`` is how many there are.
+    """
+    lit = facts.filter(is_literal(F.col("object"))).groupBy(F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"), F.lower(F.trim("object")).alias("value")).agg(F.count("*").alias("facts"), F.min("seq").alias("first_seq"))
+    lit = settle(lit, "values")
+    several = lit.groupBy("subject", "predicate").agg(F.count("*").alias("values")).filter(F.col("values") > 1)
+    return lit.join(several, ["subject", "predicate"])
 
 
 def contradictions(facts: DataFrame) -> DataFrame:
@@ -93,18 +104,26 @@ def contradictions(facts: DataFrame) -> DataFrame:
 
 
 def temporal_conflicts(facts: DataFrame) -> DataFrame:
-    """Facts of one subject and relation with other objects whose periods overlap. Columns subject, predicate, object, start, end, seq.
+    """(subject, predicate, object_a, object_b): facts of one subject and relation with other objects whose periods overlap.
 
-    Periods are cut into bins of their mean length, and two facts meet in the bin of the later start only, so a subject
-    with very many facts is spread over its bins and compares neighbours in time.
+    facts: subject, predicate, object, start, end, seq. Of two overlapping periods one holds the other's start. A period lies in
+    three cells at most of the level (cell length, a power of two) that fits its own length, and a start lies in one cell of each level that
+    the subject's periods have; so a period that covers all others is still a few rows. They meet in those cells, hot ones dealt. Facts without
+    a subject, relation, start or end have no period; one that ends before or when it starts overlaps nothing that isn't around both.
     """
-    start, end = F.unix_micros(F.col("start").cast("timestamp")), F.unix_micros(F.col("end").cast("timestamp"))
-    mean = facts.agg(F.avg(F.abs(end - start))).first()[0]  # one number
-    width = max(int(mean or 0), 1)
-    at = lambda c: F.floor(c / width)
-    f = facts.withColumns({"_s": start, "_e": end}).filter("_s is not null and _e is not null")
-    f = f.withColumn("_bin", F.explode(F.sequence(at(F.least("_s", "_e")), at(F.greatest("_s", "_e")))))
-    a = f.select("subject", "predicate", "_bin", F.col("object").alias("object_a"), F.col("_s").alias("sa"), F.col("_e").alias("ea"), F.col("seq").alias("seq_a"))
-    b = f.select("subject", "predicate", "_bin", F.col("object").alias("object_b"), F.col("_s").alias("sb"), F.col("_e").alias("eb"), F.col("seq").alias("seq_b"))
-    both = a.join(b, ["subject", "predicate", "_bin"]).filter("seq_a < seq_b and object_a != object_b and sa < eb and sb < ea").filter(F.col("_bin") == at(F.greatest("sa", "sb")))
-    return both.select("subject", "predicate", "object_a", "object_b")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    f = facts.select("subject", "predicate", "object", micros("start").alias("s"), micros("end").alias("e"), "seq").filter("s is not null and e is not null")
+    f = settle(f, "periods")
+    by = ["subject", "predicate"]
+    # a cell of level l is 2^l microseconds; a period is as long as one cell or two
+    level = F.floor(F.log2(F.greatest(F.col("e") - F.col("s"), F.lit(1)).cast("double"))).cast("int")
+    covers = f.filter("s < e").withColumn("level", level)
+    cell = lambda c: F.expr(f"shiftright({c}, level)")
+    levels = covers.select(*by, "level").distinct()
+    periods = covers.select(*by, "level", F.explode(F.sequence(cell("s"), cell("e"))).alias("cell"), F.col("object").alias("x"), F.col("s").alias("sx"), F.col("e").alias("ex"), F.col("seq").alias("qx"))
+    starts = f.join(levels, by).select(*by, "level", cell("s").alias("cell"), F.col("object").alias("y"), F.col("s").alias("sy"), F.col("e").alias("ey"), F.col("seq").alias("qy"))
+    # x holds y's start; where both start at once, the smaller number holds the other's
+    holds = "qx != qy and x != y and sx <= sy and sy < ex and sx < ey and (sx < sy or qx < qy)"
+    both = meet(periods, starts, [*by, "level", "cell"]).filter(holds)
+    first = F.col("qx") < F.col("qy")
+    return both.select(*by, F.when(first, F.col("x")).otherwise(F.col("y")).alias("object_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("object_b"))

@@ -108,24 +108,34 @@ def pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds:
     return score.select(F.col("u").alias("node"), F.col("r").alias("score"))
 
 
-def query_pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, rounds: int = 20) -> DataFrame:
+def query_pagerank(edges: DataFrame, seeds: DataFrame, teleport: float = 0.15, bound: float = 1e-4, rounds: int = 400) -> DataFrame:
     """(query_id, node, score): personalised PageRank of each query from its own seeds (query_id, node; nodes of the graph).
 
-    Mass starts at the seeds, so a query holds rows only for nodes it has reached. One join and one
-    aggregate a round for all queries together, settled every five. Scores are divided by the query's largest.
+    Forward push: a query's mass starts as a residual at its seeds; a node whose residual is over ``bound`` times its degree keeps the
+    teleport share of it and hands the rest to its neighbours. So a score (before it is divided by the query's largest) is at most ``bound`` times the
+    degree below the exact one, and a query holds rows for 1 / (teleport * bound) links at most, whatever the size of the graph.
+    All queries push at once; only nodes over their bound meet the edges.
     """
     near = undirected(edges)
-    near = settle(near.join(near.groupBy("u").agg(F.count("*").alias("d")), "u"), "near")
-    own = seeds.select("query_id", F.col("node").alias("u")).distinct()
-    home = settle(own.join(own.groupBy("query_id").agg(F.count("*").alias("k")), "query_id").select("query_id", "u", (1.0 / F.col("k")).alias("p")), "seeds")
-    score = home.select("query_id", "u", F.col("p").alias("r"))
-    for i in range(rounds):
-        moved = score.join(near, "u").select("query_id", F.col("v").alias("u"), ((1 - teleport) * F.col("r") / F.col("d")).alias("r"))
-        score = moved.unionByName(home.select("query_id", "u", (teleport * F.col("p")).alias("r"))).groupBy("query_id", "u").agg(F.sum("r").alias("r"))
-        if i % 5 == 4:
-            score = settle(score, "ranks")
-    top = score.groupBy("query_id").agg(F.max("r").alias("top"))
-    return score.join(top, "query_id").select("query_id", F.col("u").alias("node"), (F.col("r") / F.col("top")).alias("score"))
+    degree = settle(near.groupBy("u").agg(F.count("*").alias("d")), "degrees")
+    near = settle(near.join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v"), "near")
+    own = seeds.select("query_id", F.col("node").alias("u")).distinct().join(degree, "u")
+    state = own.join(own.groupBy("query_id").agg(F.count("*").alias("k")), "query_id").select("query_id", "u", "d", F.lit(0.0).alias("p"), (1.0 / F.col("k")).alias("r"))
+    state = settle(state, "pushed")
+    over = F.col("r") > bound * F.col("d")
+    for _ in range(0, rounds, 2):
+        if state.filter(over).isEmpty():
+            break
+        for _ in range(2):
+            handed = state.filter(over).join(near, "u").select("query_id", F.col("v").alias("u"), F.col("dv").alias("d"), F.lit(0.0).alias("p"), ((1 - teleport) * F.col("r") / F.col("d")).alias("r"))
+            kept = state.select("query_id", "u", "d", F.when(over, F.col("p") + teleport * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(over, 0.0).otherwise(F.col("r")).alias("r"))
+            state = kept.unionByName(handed).groupBy("query_id", "u", "d").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        state = settle(state, "pushed")
+    else:
+        raise RuntimeError(f"residuals did not settle in {rounds} rounds")
+    kept = state.filter("p > 0")
+    top = kept.groupBy("query_id").agg(F.max("p").alias("top"))
+    return kept.join(top, "query_id").select("query_id", F.col("u").alias("node"), (F.col("p") / F.col("top")).alias("score"))
 
 
 def seeds_of(results: DataFrame, nodes: DataFrame, most: int = 5, above: float = 0.3) -> DataFrame:
@@ -206,14 +216,14 @@ def community_level(queries: DataFrame, vectors: DataFrame, search=top_k) -> Dat
     return found.select("query_id", F.col("rank").alias("ord"), F.lit("community_summary").alias("source_type"), "id", "score")
 
 
-def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame, edges: DataFrame | None = None, k: int = fixed.TOP_K["entity"], weight: float = 0.3, rounds: int = 20, search=top_k) -> DataFrame:
+def entity_level(queries: DataFrame, entities: DataFrame, relations: DataFrame, edges: DataFrame | None = None, k: int = fixed.TOP_K["entity"], weight: float = 0.3, search=top_k, bound: float = 1e-4) -> DataFrame:
     """Results of entity profiles and half as many relation profiles: blended by the query's PageRank, then pruned, ranked and cut."""
     found = search(queries, entities, k).withColumn("source_type", F.lit("entity_profile"))
     found = found.unionByName(search(queries, relations, k // 2).withColumns({"rank": F.col("rank") + k, "source_type": F.lit("relation_profile")}))
     if edges is not None:
         found = settle(found, "profiles")
         nodes = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
-        found = blend_scores(found, query_pagerank(edges, seeds_of(found, nodes), rounds=rounds), weight)
+        found = blend_scores(found, query_pagerank(edges, seeds_of(found, nodes), bound=bound), weight)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
     cut = found.filter(F.col("score") >= fixed.PRUNE["entity"]).withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= k)
     return cut.select("query_id", "ord", "source_type", "id", "score")
@@ -224,19 +234,21 @@ def chunk_level(queries: DataFrame, vectors: DataFrame, search=top_k) -> DataFra
     return found.select("query_id", F.col("rank").alias("ord"), F.lit("chunk").alias("source_type"), "id", "score")
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, tokens: int = fixed.CONTEXT_TOKENS, rounds: int = 20, search=None) -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, tokens: int = fixed.CONTEXT_TOKENS, search=None, bound: float = 1e-4) -> DataFrame:
     """Context of each query (query_id, query, embedding) from vectors (id, level, embedding, content).
 
     Levels (community, entity, relation, chunk) are decided per query by its plan and applied as filters, so one plan serves a batch. The
     chunk level runs for queries whose entity results are weak; the corpus level, where ``corpus`` (cnodes, tnodes, xedges and, if any,
-    contradictions: text) is given, starts from the first five entity results and the query's words. A level that no query asks for gives no rows.
-    search: ``top_k`` or another function of (queries, vectors, k) with its result, as ``vectors.search``.
+    contradictions: subject, severity, text) is given, starts from the first five entity results and the query's words. A level that no query asks for gives no rows.
+    search: a function of (queries, vectors, k) as ``top_k``, which is exact by all pairs; by default ``vectors.search``, by inverted lists.
+    bound: of ``query_pagerank``.
     """
-    search = search or top_k
+    if search is None:
+        from factloom.operators.vectors import search  # that module is built on this one
     planned = settle(plan(queries), "plans")
     ask = lambda level: planned.filter(F.array_contains("levels", level)).select("query_id", "embedding")
     of = lambda level: vectors.filter(F.col("level") == level)
-    entity = settle(entity_level(ask("entity"), of("entity"), of("relation"), edges, rounds=rounds, search=search), "entities")
+    entity = settle(entity_level(ask("entity"), of("entity"), of("relation"), edges, search=search, bound=bound), "entities")
     weak = needs_chunks(planned, entity).filter("fallback").select("query_id")
     levels = [community_level(ask("community"), of("community"), search), entity, chunk_level(ask("chunk").join(weak, "query_id", "left_semi"), of("chunk"), search)]
     results = [r.withColumn("ord", F.col("ord") + 1000 * i) for i, r in enumerate(levels)]
@@ -247,12 +259,11 @@ def retrieve(queries: DataFrame, vectors: DataFrame, edges: DataFrame | None = N
         names = entity.filter("ord <= 5").groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("names"))
         asking = asking.join(names, "query_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
         blocks = corpus_block(*corpus_context(asking, corpus["cnodes"], corpus["tnodes"], corpus["xedges"])).withColumnRenamed("text", "corpus")
-        told = F.lit(None).cast("string")
         if "contradictions" in corpus:
-            all_told = corpus["contradictions"].agg(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat(F.lit("- "), "text")))).alias("contradictions"))
-            blocks = asking.select("query_id").join(blocks, "query_id", "left").crossJoin(F.broadcast(all_told))  # one row
+            told = contradictions_block(asking.select("query_id", "names"), corpus["contradictions"], tokens)
+            blocks = asking.select("query_id").join(blocks, "query_id", "left").join(told, "query_id", "left")
         else:
-            blocks = blocks.withColumn("contradictions", told)
+            blocks = blocks.withColumn("contradictions", F.lit(None).cast("string"))
     texts = vectors.select("id", "content")
     return assemble(fit_budget(all_.join(texts, "id"), tokens), blocks, tokens)
 
@@ -310,6 +321,22 @@ def corpus_block(cnodes: DataFrame, tnodes: DataFrame, xedges: DataFrame) -> Dat
     return all_.select("query_id", F.array_join(F.concat(F.coalesce("c", none), F.coalesce("t", none), F.coalesce("x", none)), "\n").alias("text"))
 
 
+def contradictions_block(queries: DataFrame, contradictions: DataFrame, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
+    """(query_id, contradictions): lines on the entities that a query (query_id, names array) has found, high severity first, as many as fit the budget.
+
+    contradictions: subject, severity, text. They meet the queries by subject, without regard to case, and only those of a query's own entities are ever
+    together; a query without any has no row.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("names", F.lower))).alias("_s"))
+    met = asked.join(contradictions.select(F.lower("subject").alias("_s"), "severity", F.concat(F.lit("- "), "text").alias("line")), "_s").select("query_id", "severity", "line").distinct()
+    grave = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    w = Window.partitionBy("query_id").orderBy("grave", "line")
+    # lines and the breaks between them, in order, while they fit
+    met = met.withColumn("grave", grave).withColumn("end", F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).filter(F.col("end") <= tokens * fixed.CHARS_PER_TOKEN)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("grave", "line"))), lambda x: x["line"])
+    return met.groupBy("query_id").agg(F.array_join(lines, "\n").alias("contradictions"))
+
+
 def should_enrich(agent: str, enabled: bool, agents: set[str] | None = None) -> bool:
     """Whether an agent's prompt gets retrieved context: enriching is on and the agent is one of those that get it."""
     return enabled and agent in (agents or fixed.ENRICHED)
@@ -329,7 +356,7 @@ def derive_queries(state: DataFrame, agent: str) -> DataFrame:
     return state.withColumn("query", F.trim(F.concat_ws(" ", head, extra)))
 
 
-def build_context(state: DataFrame, agent: str, embed, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, enabled: bool = True, agents: set[str] | None = None, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
+def build_context(state: DataFrame, agent: str, embed, vectors: DataFrame, edges: DataFrame | None = None, corpus: dict[str, DataFrame] | None = None, enabled: bool = True, agents: set[str] | None = None, tokens: int = fixed.CONTEXT_TOKENS, search=None) -> DataFrame:
     """(document_id, query, context, tokens): what retrieval adds to an agent's prompt, for all documents of ``state`` at once.
 
     Documents without a query have a null context; an agent that isn't enriched gets no rows. embed: text column -> embedding column.
@@ -338,5 +365,5 @@ def build_context(state: DataFrame, agent: str, embed, vectors: DataFrame, edges
     if not should_enrich(agent, enabled, agents):
         return derived.withColumns({"context": F.lit(None).cast("string"), "tokens": F.lit(None).cast("long")}).limit(0)
     asked = derived.filter("query != ''").select(F.col("document_id").alias("query_id"), "query", embed(F.col("query")).alias("embedding"))
-    found = retrieve(settle(asked, "asked"), vectors, edges, corpus, tokens)
+    found = retrieve(settle(asked, "asked"), vectors, edges, corpus, tokens, search)
     return derived.join(found.select(F.col("query_id").alias("document_id"), "context", "tokens"), "document_id", "left")

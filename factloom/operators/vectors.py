@@ -77,18 +77,28 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, index: Lists | None =
     index = index or fit(vectors, k, recall)
     if index is None:
         return spark.createDataFrame([], f"query_id {qkind}, id {vkind}, score double, rank int")
-    known = spark.sparkContext.broadcast(index)  # at most 4096 centres
+    v = settle(placed(vectors.select("id", "embedding"), index, 1), "lists")
+    q = settle(placed(queries.select("query_id", "embedding"), index, index.probes), "asked")
+    return meet_lists(q, v, k)
 
-    def placed(batches: Iterator[pd.DataFrame], first: int) -> Iterator[pd.DataFrame]:
+
+def placed(rows: DataFrame, index: Lists, first: int) -> DataFrame:
+    """rows (a key, embedding) in their ``first`` nearest lists: a row each, with the column ``list``."""
+    known = rows.sparkSession.sparkContext.broadcast(index)  # at most 4096 centres
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 best = known.value.order(_unit(pdf["embedding"]))[:, :first]
                 yield pdf.loc[pdf.index.repeat(best.shape[1])].assign(list=best.ravel())
 
-    probes = index.probes
-    v = vectors.select("id", "embedding").mapInPandas(lambda b: placed(b, 1), f"id {vkind}, embedding array<double>, list long")
-    q = queries.select("query_id", "embedding").mapInPandas(lambda b: placed(b, probes), f"query_id {qkind}, embedding array<double>, list long")
-    v, q = settle(v, "lists"), settle(q, "asked")
+    return rows.mapInPandas(place, f"{kinds}, list long")
+
+
+def meet_lists(q: DataFrame, v: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest rows of v (id, embedding, list) to each query (query_id, embedding, list) in the lists that it asks."""
+    qkind, vkind = q.schema["query_id"].dataType.simpleString(), v.schema["id"].dataType.simpleString()
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias(name))
     sizes = blocks(v, "nv").join(blocks(q, "nq"), "list")
     of = lambda key, n: F.pmod(F.xxhash64(F.col(key).cast("string")), F.col(n)).cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed, maths
 from factloom.functions import text as X
-from factloom.operators import chunking, communities, dedup, entities, facts, graph, models, reasoning, references, retrieval, structure, tracking
+from factloom.operators import chunking, communities, dedup, entities, facts, graph, models, modularity_moves, reasoning, references, retrieval, structure, tracking
 from factloom.plans import inputs as I
 from factloom.plans.stages import levels
 from factloom.shared import settle, spread, table
@@ -110,9 +110,12 @@ def content_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.duplicates(_docs(spark, d).withColumn("h", X.content_hash(F.col("text"))), "doc_id", "h")
 
 
-@query(f"WITH {I.SIMHASH}, r AS (SELECT sh, min(doc_id) AS id FROM simhash GROUP BY sh) SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.sh, b.sh)::BIT)::INT AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.sh, b.sh)::BIT) <= 3")
+@query(f"WITH documents AS (SELECT 2 * doc_id AS doc_id, text FROM main.documents UNION ALL SELECT 2 * doc_id + 1, regexp_replace(text, '[ \\n]+[^ \\n]*$', '') FROM main.documents), {I.SIMHASH}, r AS (SELECT sh, min(doc_id) AS id FROM simhash GROUP BY sh) SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.sh, b.sh)::BIT)::INT AS distance FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.sh, b.sh)::BIT) <= 3")
 def near_duplicates_simhash(spark: SparkSession, d: str) -> DataFrame:
-    reps = settle(X.simhash(_docs(spark, d), "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id")), "simhashes")
+    """All documents and a copy of each without its last word."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    copies = docs.select((2 * F.col("doc_id")).alias("doc_id"), "text").union(docs.select(2 * F.col("doc_id") + 1, F.regexp_replace("text", r"[ \n]+[^ \n]*\z", "")))
+    reps = settle(X.simhash(copies, "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id")), "simhashes")
     return dedup.near_matches(reps, reps).filter("id_a < id_b")
 
 
@@ -389,12 +392,13 @@ def topic_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return communities.label_propagation(_nation_edges(spark, d), 5)
+    return communities.label_propagation(_edges(spark, d))
 
 
 @query()
 def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
-    return communities.louvain(_nation_edges(spark, d).withColumn("document_id", F.lit(1)))
+    """Leiden groups of the whole graph."""
+    return modularity_moves.communities(_edges(spark, d))
 
 
 # --- reasoning
@@ -467,6 +471,11 @@ def value_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.value_conflicts(_part_sizes(spark, d)).drop("seq_a", "seq_b")
 
 
+@query("WITH v AS (SELECT lower(p_name) AS subject, p_size::VARCHAR AS value, count(*) AS facts, min(p_partkey) AS first_seq FROM part GROUP BY ALL) SELECT subject, 'has_size' AS predicate, value, facts, first_seq, n AS values FROM (SELECT *, count(*) OVER (PARTITION BY subject) AS n FROM v) WHERE n > 1")
+def value_classes(spark: SparkSession, d: str) -> DataFrame:
+    return reasoning.value_classes(_part_sizes(spark, d))
+
+
 def _part_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_name").alias("subject"), F.lit("has_size").alias("predicate"), F.col("p_size").cast("string").alias("object"), F.col("p_partkey").alias("seq"))
 
@@ -594,8 +603,8 @@ x AS MATERIALIZED (SELECT query_id, levels, id, level, list_cosine_similarity(qe
 u AS MATERIALIZED (SELECT id AS a, id + 1 AS b FROM v UNION SELECT id + 1, id FROM v), deg AS MATERIALIZED (SELECT a, count(*) AS n FROM u GROUP BY a),
 found AS MATERIALIZED (SELECT *, 'e' AS kind FROM ({_RANKED.format("entity", "entity")}) WHERE rank <= 20 UNION ALL SELECT query_id, id, s, rank + 20, 'r' FROM ({_RANKED.format("relation", "entity")}) WHERE rank <= 10),
 seeds AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM found) WHERE k <= 5 AND s > 0.3),
-{_ppr_by_query_sql(20)},
-blended AS (SELECT query_id, id, rank, CASE WHEN query_id IN (SELECT query_id FROM p0) THEN 0.3 * s + 0.7 * coalesce(r / (SELECT max(r) FROM p20 t WHERE t.query_id = f.query_id), 0) ELSE s END AS s FROM found f LEFT JOIN (SELECT query_id, a AS id, r FROM p20) USING (query_id, id)),
+{_ppr_by_query_sql(80)},
+blended AS (SELECT query_id, id, rank, CASE WHEN query_id IN (SELECT query_id FROM p0) THEN 0.3 * s + 0.7 * coalesce(r / (SELECT max(r) FROM p80 t WHERE t.query_id = f.query_id), 0) ELSE s END AS s FROM found f LEFT JOIN (SELECT query_id, a AS id, r FROM p80) USING (query_id, id)),
 entity AS (SELECT * FROM (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS ord FROM blended WHERE s >= 0.25) WHERE ord <= 20),
 weak AS (SELECT query_id FROM q LEFT JOIN entity USING (query_id) GROUP BY query_id HAVING coalesce(avg(s), 0) < 0.6),
 results AS (SELECT query_id, id, rank AS ord, 0 AS l FROM ({_RANKED.format("community", "community")}) WHERE rank <= 5 AND s >= 0.3 UNION ALL SELECT query_id, id, ord, 1 FROM entity UNION ALL SELECT query_id, id, rank, 2 FROM ({_RANKED.format("chunk", "chunk")}) JOIN weak USING (query_id) WHERE rank <= 10 AND s >= 0.2),
@@ -608,7 +617,7 @@ def retrieve_context(spark: SparkSession, d: str) -> DataFrame:
     vectors = v.select(F.col("vec_id").alias("id"), level.alias("level"), "embedding", F.concat(F.lit("text of "), F.col("vec_id").cast("string")).alias("content"))
     edges = v.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"))
     queries = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 200 == 0, "explain it").otherwise("how are they related").alias("query"), "embedding")
-    return retrieval.retrieve(queries, vectors, edges)
+    return retrieval.retrieve(queries, vectors, edges, search=retrieval.top_k, bound=1e-6)  # exact, as the SQL is
 
 
 # --- usage

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from factloom.operators.retrieval import top_k
+from factloom.operators.vectors import Lists, fit, meet_lists, placed
 from factloom.shared import settle
 
 
@@ -138,27 +140,139 @@ class Table:
 
 
 class VectorStore:
-    """Collections of (id, embedding, document, metadata map)."""
+    """Collections of (id, embedding, document, metadata map). A collection that is indexed keeps its index through every change."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
         self.table = Table(spark, path, ["collection", "id"])
 
+    def index(self, collection: str, k: int = 10, recall: float = 0.95, lists: int | None = None) -> VectorIndex:
+        """Index a collection from now on; again, to fit it anew to what the collection has become."""
+        rows = self.table.read().filter(F.col("collection") == collection)
+        return VectorIndex.build(self.spark, f"{self.path}-index-{collection}", rows.select("id", "embedding", "metadata"), k, recall, lists)
+
+    def _index(self, collection: str) -> VectorIndex | None:
+        return VectorIndex.open(self.spark, f"{self.path}-index-{collection}")
+
     def upsert(self, collection: str, rows: DataFrame) -> None:
+        rows = settle(rows.dropDuplicates(["id"]), "rows")
         self.table.upsert(rows.withColumn("collection", F.lit(collection)))
+        if index := self._index(collection):
+            index.upsert(rows.select("id", "embedding", "metadata"))
 
-    def query(self, collection: str, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
-        rows = self.table.read().filter(F.col("collection") == collection)
+    def query(self, collection: str, queries: DataFrame, k: int, where: dict | None = None, exact: bool = False) -> DataFrame:
+        """The k nearest rows of each query: by the collection's index if it has one, else, or if ``exact``, among all."""
+        kept = None
         for key, value in (where or {}).items():
-            rows = rows.filter(F.col("metadata")[key] == str(value))
-        return top_k(queries, rows, k)
+            is_it = F.col("metadata")[key] == str(value)
+            kept = is_it if kept is None else kept & is_it
+        if not exact and (index := self._index(collection)):
+            return index.query(queries, k, kept)
+        rows = self.table.read().filter(F.col("collection") == collection)
+        return top_k(queries, rows if kept is None else rows.filter(kept), k)
 
     def delete(self, collection: str, ids: DataFrame) -> None:
         self.table.delete(ids.withColumn("collection", F.lit(collection)))
+        if index := self._index(collection):
+            index.delete(ids)
 
     def count(self, collection: str) -> int:
         return self.table.read().filter(F.col("collection") == collection).count() if self.table.exists() else 0
 
 
+class _Lists(Table):
+    """A table with a folder for each list."""
+
+    def _bucket(self):
+        return F.col("list").cast("int")
+
+
+class VectorIndex:
+    """Inverted lists on files: each list of vectors is a folder of its own, and a search opens only those that it looks into.
+
+    Centres and the number of lists to look into are fitted once (``vectors.fit``) and stay; later rows go to their nearest centre's list.
+    A row that moves or goes is found by a second table (id, list), so a change rewrites the lists that it concerns and no other. Readers see the
+    last complete version of the lists.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lists: Lists):
+        self.spark, self.path, self.lists = spark, path, lists
+        self.rows, self.places = _Lists(spark, f"{path}/lists", ["list", "id"]), Table(spark, f"{path}/places", ["id"])
+
+    @classmethod
+    def build(cls, spark: SparkSession, path: str, rows: DataFrame, k: int = 10, recall: float = 0.95, lists: int | None = None) -> VectorIndex:
+        """An index of rows (id, embedding and what filters need), in place of one that was there."""
+        fitted = fit(rows, k, recall, lists)
+        if fitted is None:
+            raise ValueError("an index needs vectors to be fitted on")
+        centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.centres)], "list int, centre array<double>")  # 4096 at most
+        files = Files(spark, path)
+        for name in ("lists", "places"):
+            files.delete(name)
+        centres.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        files.write("probes.json", json.dumps({"probes": fitted.probes, "recall": fitted.recall}))
+        out = cls(spark, path, fitted)
+        out.upsert(rows)
+        return out
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> VectorIndex | None:
+        files = Files(spark, path)
+        if not files.exists("probes.json"):
+            return None
+        known = json.loads(files.read("probes.json"))
+        centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("list").collect()]  # 4096 at most
+        return cls(spark, path, Lists(np.array(centres, float), known["probes"], known["recall"]))
+
+    def _change(self, ids: DataFrame, fresh: DataFrame | None) -> None:
+        """Rows of ``ids`` leave their lists; ``fresh`` (with list) come in."""
+        version = self.rows._version()
+        left = self.places.read().join(ids.select("id"), "id", "left_semi").select("list").distinct() if self.places.exists() else None
+        touched = {r[0] for r in left.collect()} if left is not None else set()  # numbers of lists, 4096 at most
+        if fresh is not None:
+            touched |= {r[0] for r in fresh.select(F.col("list").cast("int")).distinct().collect()}
+        if not touched:
+            return
+        kept = self.rows._read(version, sorted(touched)).join(ids.select("id"), "id", "left_anti") if version["n"] >= 0 else None
+        rows = fresh if kept is None else kept if fresh is None else kept.unionByName(fresh, allowMissingColumns=True)
+        self.rows._put(version, rows, sorted(touched))
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows replace those of equal ids; of rows with an equal id in one call one stays. Rows without an embedding go."""
+        rows = settle(rows.filter("id is not null").dropDuplicates(["id"]), "rows")
+        kept = settle(placed(rows.filter("embedding is not null"), self.lists, 1), "placed")
+        self._change(rows, kept)
+        self.places.delete(rows.filter("embedding is null").select("id"))
+        self.places.upsert(kept.select("id", F.col("list").cast("int").alias("list")))
+
+    def delete(self, ids: DataFrame) -> None:
+        ids = settle(ids.select("id").distinct(), "ids")
+        self._change(ids, None)
+        self.places.delete(ids)
+
+    def looked_into(self, queries: DataFrame) -> DataFrame:
+        """All rows of the lists that these queries (query_id, embedding, list) look into, read from those lists' folders alone."""
+        asked = [r[0] for r in queries.select(F.col("list").cast("int")).distinct().collect()]  # 4096 at most
+        return self.rows._read(self.rows._version(), asked)
+
+    def query(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+        """(query_id, id, score, rank) for queries (query_id, embedding): the k nearest rows that ``where`` keeps, in the lists looked into."""
+        q = settle(placed(queries.select("query_id", "embedding"), self.lists, self.lists.probes), "asked")
+        rows = self.looked_into(q)
+        rows = rows if where is None else rows.filter(where)
+        return meet_lists(q, rows.select("id", "embedding", F.col("list").cast("long").alias("list")), k)
+
+    def measured_recall(self, queries: DataFrame, k: int = 10) -> float:
+        """Share of the true k nearest rows of these queries that ``query`` finds, by an exact search over all rows."""
+        true = top_k(queries, self.rows.read(), k).select("query_id", "id")
+        found = self.query(queries, k).select("query_id", "id")
+        n = true.count()
+        return true.join(found, ["query_id", "id"], "left_semi").count() / n if n else 1.0
+
+    def vacuum(self, keep: int = 1) -> int:
+        return self.rows.vacuum(keep) + self.places.vacuum(keep)
+
+
 class GraphStore:
     """Nodes and edges; deleting a node deletes its edges."""
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import chunking, communities, dedup, entities, facts, graph, models, reasoning, references, retrieval
+from factloom.operators import chunking, communities, dealt, dedup, entities, facts, graph, models, reasoning, references, retrieval
 
 
 def _facts(spark, rows):
@@ -80,6 +80,32 @@ def test_band_join_equals_brute_force(spark):
     assert got == {(i, j, bin(a ^ b).count("1")) for i, a in enumerate(values) for j, b in enumerate(values) if bin(a ^ b).count("1") <= 3}
 
 
+def test_block_tables_find_three_bits_wherever_they_are(spark):
+    """Any three bits, signs included, hot groups of equal hashes and null ones."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    base = rng.getrandbits(64) - (1 << 63)
+    flip = lambda bits: ((base % (1 << 64)) ^ sum(1 << b for b in bits) ^ (1 << 63)) - (1 << 63)
+    near = [flip(bits) for bits in itertools.combinations(range(64), 3)]
+    far = [flip(rng.sample(range(64), 4)) for _ in range(2000)]
+    right = spark.createDataFrame([(h,) for h in near + far + [None]], "simhash long")
+    left = spark.createDataFrame([(base,)] * 50 + [(None,)], "simhash long")
+    got = dedup.near_hashes(left, right).collect()
+    assert {r["hb"] for r in got} == set(near) and len(got) == len(near) == 41664 and {r["distance"] for r in got} == {3}
+
+
+def test_lookup_keeps_rows_of_null_texts_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "other words here"), (2, None), (3, ""), (4, "A, b c d")], "doc_id long, text string")
+    f = dedup.fingerprints(docs, "doc_id", "text")
+    assert sorted(r["doc_id"] for r in f.collect()) == [1, 1, 1, 2, 3, 4] and f.filter("simhash = 0").count() == 2
+    cache = f.filter("doc_id in (1, 3)").withColumnRenamed("doc_id", "document_id")
+    got = sorted((r["doc_id"], r["hit_level"], r["matched_document"]) for r in dedup.cache_lookup(f, cache, "doc_id").collect())
+    assert got == [(1, "exact", 1), (1, "exact", 1), (1, "exact", 1), (2, "exact", 3), (3, "exact", 3), (4, "content", 1)]
+    assert dedup.cascade(f, cache, "doc_id").count() == 6
+
+
 def test_hamming_of_hex(spark):
     d = lambda a, b: spark.range(1).select(X.hamming_hex(F.lit(a), F.lit(b))).first()[0]
     assert (d("", ""), d("", "0f"), d("zz", "0f"), d("00", "0f"), d(None, None)) == (0, 64, 64, 4, 0)
@@ -92,6 +118,71 @@ def test_transitive_chain_depth_and_confidence(spark):
     assert ("n0", "n1") not in got
 
 
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_hot_keys_are_dealt(spark, cell):
+    """A third of all rows under one key, a null key, keys on one side only: the same rows as a plain join, each pair once."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 7}" if i % 3 == 1 else None, i) for i in range(90)]
+    left, right = spark.createDataFrame(rows, "k string, x int"), spark.createDataFrame([*rows[:40], ("alone", 1)], "k string, y int")
+    got = sorted(map(tuple, dealt.meet(left, right, ["k"], cell).select("k", "x", "y").collect()))
+    assert got == sorted((k, x, y) for k, x in rows for m, y in rows[:40] if k is not None and k == m)
+    got = sorted(map(tuple, dealt.pairs(left, ["k"], "x", cell).select("k", "x_a", "x_b").collect()))
+    assert got == sorted((k, x, y) for k, x in rows for m, y in rows if k is not None and k == m and x < y)
+    assert dealt.meet(left.limit(0), right, ["k"], cell).count() == dealt.pairs(left.limit(0), ["k"], "x", cell).count() == 0
+
+
+def test_periods_of_any_length_meet_once(spark):
+    """Points in time, periods around all others, reversed and missing ends, equal starts: as every pair compared."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(160):
+        a = rng.randint(0, 10**6)
+        rows.append(("s" if i % 3 else f"t{i % 5}", "p", f"o{i % 9}", a, a + rng.choice([0, 1, 60, 3600, 10**5, 10**6, -50]), i))
+    rows += [("s", "p", "all", -(10**8), 10**9, 900), ("s", "p", "all too", -(10**8), 10**9, 901), ("s", "q", "all", 0, 10**9, 902), ("s", "p", "none", None, 5, 903), ("s", "p", "none", 5, None, 904), (None, "p", "x", 0, 9, 905)]
+    facts = spark.createDataFrame(rows, "subject string, predicate string, object string, start long, end long, seq long").withColumns({c: F.timestamp_seconds(c) for c in ("start", "end")})
+    known = [r for r in rows if None not in r]
+    want = sorted((a[0], a[1], a[2], b[2]) for a in known for b in known if a[:2] == b[:2] and a[5] < b[5] and a[2] != b[2] and a[3] < b[4] and b[3] < a[4])
+    assert sorted(map(tuple, reasoning.temporal_conflicts(facts).collect())) == want and len(want) > 800
+
+
+def test_push_stays_within_its_bound_and_its_neighbourhood(spark):
+    import numpy as np
+
+    n, bound = 400, 1e-3
+    pairs = [(i, (i * 7 + k * k + 1) % n) for i in range(n) for k in range(3)] + [(0, i) for i in range(1, n, 2)]  # a hub
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string")
+    seeds = spark.createDataFrame([(q, str(s)) for q in range(4) for s in (q * 90, q * 90 + 5)] + [(9, "unknown")], "query_id int, node string")
+    got = retrieval.query_pagerank(edges, seeds, bound=bound).collect()
+    m = np.zeros((n, n))
+    for a, b in pairs:
+        if a != b:
+            m[a, b] = m[b, a] = 1
+    degree = m.sum(1)
+    for q in range(4):
+        p = np.zeros(n)
+        p[[q * 90, q * 90 + 5]] = 0.5
+        exact = np.linalg.solve(np.eye(n) - 0.85 * (m / degree), 0.15 * p)
+        mine = np.zeros(n)
+        for r in got:
+            if r["query_id"] == q:
+                mine[int(r["node"])] = r["score"]
+        # scores come divided by the largest; the residual bound is on undivided ones
+        mine *= exact.max()
+        assert (np.abs(exact - mine) <= bound * degree + bound * degree[exact.argmax()] * mine / exact.max() + 1e-9).all()
+        assert 0 < (mine > 0).sum() < n
+    assert {r["query_id"] for r in got} == {0, 1, 2, 3}
+    far = edges.unionByName(spark.createDataFrame([(f"x{i}", f"x{i + 1}") for i in range(3000)], "src string, dst string"))
+    assert retrieval.query_pagerank(far, seeds, bound=bound).count() == len(got)  # rows don't grow with the graph
+
+
+def test_value_classes_say_what_the_pairs_say(spark):
+    rows = [("A", "has", "1", 1), ("a", "Has", " 1 ", 2), ("a", "has", "2", 3), ("a", "has", "3", 4), ("b", "has", "1", 5), ("c", "has", "x y z not a literal value at all", 6)]
+    f = spark.createDataFrame(rows, "subject string, predicate string, object string, seq long")
+    assert sorted(map(tuple, reasoning.value_classes(f).collect())) == [("a", "has", "1", 2, 1, 3), ("a", "has", "2", 1, 3, 3), ("a", "has", "3", 1, 4, 3)]
+    assert reasoning.value_conflicts(f).count() == 3
+
+
 def test_inference_skips_known_inverses(spark):
     e = spark.createDataFrame([("a", "b", "part_of", 0.8), ("b", "a", "contains", 0.5), ("x", "y", "precedes", 1.0)], "src string, dst string, relation_type string, confidence double")
     assert [(r["src"], r["dst"], r["relation_type"], r["confidence"]) for r in reasoning.infer_inverse(e).collect()] == [("y", "x", "follows", 0.7)]
@@ -178,9 +269,9 @@ def test_retrieval_of_empty_levels_and_of_each_query_by_itself(spark):
     edges = spark.createDataFrame([(f"c{i}", f"c{(i * 3 + 1) % 8}") for i in range(8)], "src string, dst string")
     asked = [(0, "how are they related", [1.0, 0.2, 0.0, 0.0]), (1, "how are they linked", [0.0, 0.1, 1.0, 0.3]), (2, "link between them", [0.0, 0.0, 0.0, 0.0])]
     q = spark.createDataFrame(asked, "query_id int, query string, embedding array<double>")
-    both = {r["query_id"]: r["context"] for r in retrieval.retrieve(q, vectors, edges).collect()}  # no query asks for communities, no chunk is there
+    both = {r["query_id"]: r["context"] for r in retrieval.retrieve(q, vectors, edges, search=retrieval.top_k).collect()}  # no query asks for communities, no chunk is there
     for i in (0, 1):
-        assert {r["query_id"]: r["context"] for r in retrieval.retrieve(q.filter(F.col("query_id") == i), vectors, edges).collect()} == {i: both[i]}
+        assert {r["query_id"]: r["context"] for r in retrieval.retrieve(q.filter(F.col("query_id") == i), vectors, edges, search=retrieval.top_k).collect()} == {i: both[i]}
     assert "about c0" in both[0] and 2 not in both
     none = retrieval.retrieve(q.limit(0), vectors, edges)
     assert none.count() == 0 and retrieval.retrieve(q, vectors.limit(0), edges).count() == 0
@@ -200,11 +291,11 @@ def test_corpus_level_of_a_context(spark):
     assert {(r["id"], r["content"]) for r in retrieval.corpus_results(nodes).collect()} == {("Beta", "Beta (place)"), ("Alpha Works", "Alpha Works (organisation) \u2014 old")}
     vectors = spark.createDataFrame([("Beta", "entity", [1.0, 0.0], "about beta")], "id string, level string, embedding array<double>, content string")
     asked = spark.createDataFrame([(1, "how are they related", [1.0, 0.0])], "query_id int, query string, embedding array<double>")
-    corpus = {"cnodes": c, "tnodes": t, "xedges": x, "contradictions": spark.createDataFrame([("b",), ("a",)], "text string")}
+    corpus = {"cnodes": c, "tnodes": t, "xedges": x, "contradictions": spark.createDataFrame([("beta", "medium", "b"), ("Beta", "high", "z"), ("beta", "medium", "b"), ("Gamma", "high", "not asked"), (None, "high", "n"), ("beta", None, "c" * 20_000)], "subject string, severity string, text string")}
     out = retrieval.retrieve(asked, vectors, None, corpus).first()
-    assert out["context"].split("\n\n")[0].startswith("## Cross-Document Knowledge\nCanonical entities from 1 documents:\n  - Beta") and out["context"].endswith("## Relevant Entities\nabout beta\n\n## Contradictions\n- a\n- b")
+    assert out["context"].split("\n\n")[0].startswith("## Cross-Document Knowledge\nCanonical entities from 1 documents:\n  - Beta") and out["context"].endswith("## Relevant Entities\nabout beta\n\n## Contradictions\n- z\n- b")
     tight = retrieval.retrieve(asked, vectors, None, corpus, tokens=5).first()
-    assert tight["context"] == "## Relevant Entities\nabout beta\n\n## Contradictions\n- a\n- b"
+    assert tight["context"] == "## Relevant Entities\nabout beta\n\n## Contradictions\n- z\n- b"
 
 
 def test_agents_context(spark):
