@@ -11,7 +11,7 @@ from factloom.sources.stores import Table
 
 
 def ingest_files(spark: SparkSession, root: str, cache_path: str, checkpoint: str) -> StreamingQuery:
-    """New files of known formats that the cache hasn't seen (by exact, then content hash) are added to it, batch by batch."""
+    """New files of known formats that the cache hasn't seen (by exact, then content hash) are added to it, batch by batch; of equal ones the least path."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
     known = files.filter(format_of(F.col("path")).isNotNull())
     text = F.decode("content", "UTF-8")
@@ -19,7 +19,10 @@ def ingest_files(spark: SparkSession, root: str, cache_path: str, checkpoint: st
     table = Table(spark, cache_path, ["document_id"])
 
     def put(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["exact_hash"]).dropDuplicates(["content_hash"])
+        # equal bytes have equal contents, so the least path of a content stands for both
+        rest = [c for c in batch.columns if c not in ("content_hash", "document_id")]
+        least = batch.groupBy("content_hash").agg(F.min(F.struct("document_id", *rest)).alias("b"))
+        new = least.select("content_hash", "b.*").select(*batch.columns)
         if table.exists():
             old = table.read()
             new = new.join(old.select("exact_hash"), "exact_hash", "left_anti").join(old.select("content_hash"), "content_hash", "left_anti")
