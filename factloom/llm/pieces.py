@@ -259,12 +259,20 @@ def encode_texts(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray, a
     return ids.astype(np.int32), total[by_unit[np.searchsorted(begin, off)]]
 
 
+_REPLACED = "\ufffd".encode()
+
+
 def decode_ids(vocab: Vocabulary, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
     """The bytes that each text's ids spell, without the leading space mark."""
-    size = vocab.size[ids]
+    known = (ids >= 0) & (ids < len(vocab.size))
+    safe = np.where(known, ids, 0)
+    # an id that the vocabulary doesn't have spells the replacement character
+    size = np.where(known, vocab.size[safe], len(_REPLACED))
+    begin = np.where(known, vocab.begin[safe], len(vocab.bytes))
     at = np.concatenate([[0], np.cumsum(size)])
-    data = vocab.bytes[np.repeat(vocab.begin[ids] - at[:-1], size) + np.arange(at[-1])].tobytes()
-    return [data[a + 1 : z] if z > a else b"" for a, z in zip(at[off[:-1]].tolist(), at[off[1:]].tolist(), strict=True)]
+    spelled = vocab.bytes if known.all() else np.concatenate([vocab.bytes, np.frombuffer(_REPLACED, np.uint8)])
+    data = spelled[np.repeat(begin - at[:-1], size) + np.arange(at[-1])].tobytes()
+    return [data[a + (data[a] == 32) : z] if z > a else b"" for a, z in zip(at[off[:-1]].tolist(), at[off[1:]].tolist(), strict=True)]
 
 
 def _row_keys(ids: np.ndarray) -> np.ndarray:
@@ -300,7 +308,11 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
-    """Rows (id, text, keep...): the texts that piece ids spell. No or null pieces give an empty text."""
+    """Rows (id, text, keep...): the texts that piece ids spell. No or null pieces give an empty text.
+
+    What ``sample_encode`` made comes back as it was. Of other pieces, a null id or one outside the vocabulary, and bytes that are no
+    UTF-8, become replacement characters (U+FFFD).
+    """
     vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
     if "text" in keep or id_col in keep:
         raise ValueError("text and the id are in the result anyway; name the column otherwise")
@@ -314,8 +326,8 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
                 part = b.slice(at, 200)
                 lists = part.column(1)
                 off = lists.offsets.to_numpy().astype(np.int64)
-                ids = lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-                texts = [t.decode() for t in decode_ids(vocab.value, ids, off - off[0])]
+                ids = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+                texts = [t.decode(errors="replace") for t in decode_ids(vocab.value, ids, off - off[0])]
                 yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *inner])
 
     return spread(rows).mapInArrow(run, schema).toDF(id_col, "text", *keep)

@@ -413,6 +413,12 @@ def test_round_trip_and_reproducible(spark, odd_docs, no_docs):
     assert pieces.round_trip(spark, no_docs).count() == 0
 
 
+def test_pieces_that_spell_nothing_are_replaced(spark):
+    odd = spark.createDataFrame([(1, [3 + 0xFF]), (2, [10**6, -1, None]), (3, None), (4, []), (5, [3 + 0xC3, 3 + 0xA9]), (6, [3 + 0x20, 3 + 0x61, -5])], "doc_id long, pieces array<int>")
+    got = {r["doc_id"]: r["text"] for r in pieces.decode(odd).collect()}
+    assert got == {1: "\ufffd", 2: "\ufffd" * 3, 3: "", 4: "", 5: "é", 6: "a\ufffd"}
+
+
 def test_sampling_equals_a_plain_lattice(vocab):
     """The same draws through a lattice written out by hand give the same pieces."""
     import sentencepiece
