@@ -398,7 +398,7 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
     """Leiden groups of the whole graph."""
-    return modularity_moves.communities(_edges(spark, d))
+    return modularity_moves.communities(_edges(spark, d), rounds=6)
 
 
 # --- reasoning
