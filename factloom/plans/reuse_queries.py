@@ -1,4 +1,4 @@
-"""Registered queries of variants of documents and of lookups in earlier chunks, with their SQL."""
+"""Registered queries of variants of documents, lookups in earlier chunks, rebuilt graphs and the freshness of facts, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import constellation, lookup
+from factloom.plans import inputs as I
 from factloom.plans.queries import query
-from factloom.shared import spread, table
+from factloom.shared import folder, settle, spread, table
+from factloom.sources import rebuild
+from factloom.streaming import freshness
 
 _PLAIN = "lower(trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '))"
 _LINE = _PLAIN.format("line")
@@ -35,3 +38,46 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
     first = chunks.withColumn("resolution_confidence", (7 * F.col("document_id") + 3 * F.col("position")) % 10 / 10)
     found = lookup.lookup_again(first, chunks).filter(F.size("found") > 0).select("document_id", "position", F.posexplode("found").alias("rank", "hit"))
     return found.select("document_id", "position", (F.col("rank") + 1).alias("rank"), "hit.*").withColumn("relevance_score", F.round("relevance_score", 6))
+
+
+_MENTIONS = "SELECT seq // 80 AS doc, subject AS node_id, confidence FROM raw UNION ALL SELECT seq // 80, object, confidence FROM raw"
+
+
+@query(f"""WITH {I.RAW}, m AS ({_MENTIONS})
+SELECT 'node' AS kind, node_id AS src, '' AS relation_type, '' AS dst, count(*) AS occurrence_count, max(confidence) AS confidence, count(DISTINCT doc) AS corroboration FROM m GROUP BY node_id
+UNION ALL SELECT 'edge', subject, predicate, object, count(*), max(confidence), count(DISTINCT seq // 80) FROM raw GROUP BY subject, predicate, object""")
+def graph_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty customers are a document. Each has a file of an older run with other counts, and a newer one; the graph is rebuilt from the files, twice."""
+    facts = settle(I.raw_facts(spark, d).withColumn("document_id", F.floor(F.col("seq") / 80).cast("string")), "facts")
+    ends = facts.select("document_id", "confidence", F.explode(F.array("subject", "object")).alias("id"))
+    n = ends.groupBy("document_id", "id").agg(F.count("*").alias("occurrence_count"), F.max("confidence").alias("confidence"))
+    e = facts.groupBy("document_id", F.col("subject").alias("source"), F.col("object").alias("target"), F.col("predicate").alias("relation_type")).agg(F.count("*").alias("occurrence_count"), F.max("confidence").alias("confidence"))
+    listed = lambda df, name: df.groupBy("document_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "document_id"])).alias(name))  # noqa: E731 - twenty customers
+    newer = listed(n, "nodes").join(listed(e, "links"), "document_id").select("document_id", F.lit("r2").alias("run_id"), F.to_json(F.struct("nodes", "links")).alias("value"))
+    older = listed(n.withColumn("occurrence_count", F.lit(1000)), "nodes").select("document_id", F.lit("r1").alias("run_id"), F.to_json(F.struct("nodes")).alias("value"))
+    at = folder(spark, "runs")
+    newer.union(older).repartition("document_id").write.partitionBy("document_id", "run_id").text(at)
+    built = rebuild.Rebuild(spark, folder(spark, "rebuilt"), layout=r"document_id=([^/]+)/run_id=([^/]+)/")
+    built.update(at, "*.txt")
+    built.update(at, "*.txt")
+    count = ["occurrence_count", "confidence", "corroboration"]
+    nodes = built.graph.nodes.read().select(F.lit("node").alias("kind"), F.col("node_id").alias("src"), F.lit("").alias("relation_type"), F.lit("").alias("dst"), *count)
+    return nodes.union(built.graph.edges.read().select(F.lit("edge"), "src", "relation_type", "dst", *count))
+
+
+_STALE, _GONE = freshness.spans(1.0)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT user_id || '-' || event_type AS fact_id, 'd' || (event_id * event_id % 11 // 9) AS document_id, epoch_us(ts) AS t FROM events),
+n AS (SELECT *, lag(t) OVER w AS b, lead(t) OVER w AS a FROM c WINDOW w AS (PARTITION BY fact_id ORDER BY t, document_id)),
+l AS (SELECT *, sum(CASE WHEN t - b > {_GONE} THEN 1 ELSE 0 END) OVER (PARTITION BY fact_id ORDER BY t, document_id) AS life FROM n),
+o AS (SELECT *, first_value(document_id) OVER (PARTITION BY fact_id, life ORDER BY t, document_id) AS own FROM l),
+s AS (SELECT *, coalesce(min(t) FILTER (WHERE document_id != own) OVER (PARTITION BY fact_id), 9223372036854775807) AS shared FROM o)
+SELECT fact_id, 'fresh' AS status, make_timestamp(t) AS at FROM s WHERE b IS NULL OR b < shared AND t - b > {_STALE}
+UNION ALL SELECT fact_id, 'stale', make_timestamp(t + {_STALE}) FROM s WHERE t < shared AND (a IS NULL OR a > t + {_STALE})
+UNION ALL SELECT fact_id, 'deleted', make_timestamp(t + {_GONE}) FROM s WHERE t < shared AND (a IS NULL OR a > t + {_GONE})""")
+def fact_freshness(spark: SparkSession, d: str) -> DataFrame:
+    """Events confirm facts; with a half-life of one day, for the events of a user lie close together."""
+    e = table(spark, d, "events")
+    doc = F.concat(F.lit("d"), F.floor(F.col("event_id") * F.col("event_id") % 11 / 9).cast("string"))
+    return freshness.transitions(e.select(F.concat_ws("-", "user_id", "event_type").alias("fact_id"), doc.alias("document_id"), F.col("ts").alias("at")), half_life=1.0).withColumn("at", F.col("at").cast("timestamp_ntz"))
