@@ -108,9 +108,22 @@ def embed_stub(texts: pd.Series, size: int = 128) -> pd.Series:
     return pd.Series(out)
 
 
-def embed(text: Column, size: int = 128) -> Column:
-    """Embeddings by the stub, as an Arrow UDF; batches go to the model whole."""
-    return F.pandas_udf(lambda s: embed_stub(s, size), "array<double>")(text)
+def embed(text: Column, size: int = 128, model: Callable[[pd.Series, int], pd.Series] = embed_stub) -> Column:
+    """Embeddings by a stub, as an Arrow UDF; batches go to the model whole."""
+    return F.pandas_udf(lambda s: model(s, size), "array<double>")(text)
+
+
+def embed_words(texts: pd.Series, size: int = 128) -> pd.Series:
+    """Unit vectors from the words of each text, each a signed place by its hash; texts that share words are near each other. Null without a word."""
+    out = []
+    for t in texts:
+        v = np.zeros(size)
+        for w in (t or "").lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % size] += 1.0 if h >> 63 else -1.0
+        n = np.linalg.norm(v)
+        out.append((v / n).tolist() if n else None)
+    return pd.Series(out, dtype=object)
 
 
 IMAGE_TYPES = ["diagram", "chart", "table_image", "photo", "screenshot", "decorative"]

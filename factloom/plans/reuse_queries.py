@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import constellation, lookup
+from factloom.operators import constellation, lookup, models, semantic
 from factloom.plans import inputs as I
 from factloom.plans.queries import query
 from factloom.shared import folder, settle, spread, table
@@ -81,3 +81,10 @@ def fact_freshness(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     doc = F.concat(F.lit("d"), F.floor(F.col("event_id") * F.col("event_id") % 11 / 9).cast("string"))
     return freshness.transitions(e.select(F.concat_ws("-", "user_id", "event_type").alias("fact_id"), doc.alias("document_id"), F.col("ts").alias("at")), half_life=1.0).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query()
+def semantic_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Lines are chunks, embedded by their words; no SQL, as cells are made by hyperplanes. Tested against exact similarity."""
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", "\n")).alias("line"))
+    return semantic.near_documents(settle(lines.select("document_id", models.embed(F.col("line"), model=models.embed_words).alias("embedding")).filter("embedding is not null"), "chunks"))
