@@ -115,15 +115,17 @@ def embed(text: Column, size: int = 128, model: Callable[[pd.Series, int], pd.Se
 
 def embed_words(texts: pd.Series, size: int = 128) -> pd.Series:
     """Unit vectors from the words of each text, each a signed place by its hash; texts that share words are near each other. Null without a word."""
-    out = []
-    for t in texts:
-        v = np.zeros(size)
-        for w in (t or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % size] += 1.0 if h >> 63 else -1.0
-        n = np.linalg.norm(v)
-        out.append((v / n).tolist() if n else None)
-    return pd.Series(out, dtype=object)
+    words = [(t or "").lower().split() for t in texts]
+    place: dict[str, int] = {}
+    flat = np.fromiter((place.setdefault(w, len(place)) for line in words for w in line), np.int64)
+    # each different word of the batch is hashed once
+    h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in place], np.uint64)
+    row = np.repeat(np.arange(len(words)), [len(line) for line in words])
+    v = np.zeros((len(words), size))
+    if len(flat):
+        np.add.at(v, (row, (h % np.uint64(size)).astype(np.int64)[flat]), np.where(h >> np.uint64(63), 1.0, -1.0)[flat])
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return pd.Series([x if m else None for x, m in zip((v / np.maximum(n, 1e-10)).tolist(), n[:, 0], strict=True)], dtype=object)
 
 
 IMAGE_TYPES = ["diagram", "chart", "table_image", "photo", "screenshot", "decorative"]

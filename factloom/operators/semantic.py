@@ -21,7 +21,7 @@ from factloom.operators.retrieval import _unit
 from factloom.shared import settle
 
 #: Tables of hyperplanes, hyperplanes of one, values of a fingerprint, of a band, and of those that must agree beyond it.
-TABLES, BITS, VALUES, BAND, AGREE = 16, 6, 192, 3, 12
+TABLES, BITS, VALUES, BAND, AGREE = 16, 6, 192, 3, 30
 _SEED = 20240229
 
 
