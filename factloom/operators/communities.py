@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import cluster_name
 from factloom.operators import modularity_moves
-from factloom.operators.dealt import pairs
+from factloom.operators.dealt import meet, pairs
 from factloom.operators.graph import undirected
 from factloom.shared import settle
 
@@ -186,6 +186,26 @@ def overlaps(covered: DataFrame, least: int = 3) -> DataFrame:
     return both.select("a", "b", "shared", (F.col("shared") / F.greatest("na", "nb")).alias("weight"))
 
 
+def encompasses(covered: DataFrame, nodes: DataFrame, share: float = 0.5) -> DataFrame:
+    """(src, dst, relation_type, confidence): topics (component, chunks) and the nodes (node_id, source_chunk_ids) that stand in at least ``share`` of their chunks; that share is the confidence.
+
+    A node in m of a topic's n chunks stands in one of any n - m + 1 of them, so it is looked for in the rarest ones only; chunks that many
+    topics or nodes have are dealt. Topics without chunks encompass nothing.
+    """
+    topics = settle(covered.filter(F.size("chunks") > 0).select(F.col("component").alias("src"), F.array_distinct("chunks").alias("chunks")), "topics")
+    held = settle(nodes.select(F.col("node_id").alias("dst"), F.explode(F.array_distinct("source_chunk_ids")).alias("chunk")), "held")
+    rows = topics.select("src", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
+    rows = rows.join(held.groupBy("chunk").agg(F.count("*").alias("_held")), "chunk")
+    # chunks that no node has are the rarest, and gone by this join; so the last places are kept, counted from the most common one
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_held"), "chunk"))
+    least = F.ceil(F.round(F.lit(share) * F.col("n"), 9))
+    ask = settle(rows.withColumn("_at", place).filter(F.col("_at") >= least).select("src", "chunk"), "asked")
+    found = settle(meet(ask, held, ["chunk"]).select("src", "dst").distinct(), "found")
+    both = found.join(topics, "src").join(nodes.select(F.col("node_id").alias("dst"), "source_chunk_ids"), "dst")
+    part = F.size(F.array_intersect("chunks", "source_chunk_ids")) / F.size("chunks")
+    return both.select("src", "dst", F.lit("encompasses").alias("relation_type"), part.alias("confidence")).filter(F.col("confidence") >= share)
+
+
 def integrate(nodes: DataFrame, members: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Topic nodes on layer 1 with ``encompasses`` edges of confidence 1 to members, and ``related_to`` edges by overlap."""
     topics = members.groupBy("component").agg(F.count("*").alias("occurrence_count")).join(covered, "component", "left")

@@ -32,6 +32,18 @@ def build_edges(triplets: DataFrame, nodes: DataFrame | None = None, by: tuple[s
     return edges
 
 
+def attribute_edges(facts: DataFrame) -> DataFrame:
+    """Edges from entities to literals: ``measured_at`` where a fact has a time (temporal_scope not blank), else ``has_attribute``.
+
+    facts: subject, object, confidence, temporal_scope. (src, dst, relation_type, occurrence_count, confidence, the largest); facts from a literal or
+    to an entity give none.
+    """
+    timed = F.trim(F.coalesce(F.col("temporal_scope"), F.lit(""))) != ""
+    held = facts.filter(is_literal(F.col("object")) & ~is_literal(F.col("subject")))
+    rows = held.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.when(timed, "measured_at").otherwise("has_attribute").alias("relation_type"), "confidence")
+    return rows.groupBy("src", "dst", "relation_type").agg(F.count("*").alias("occurrence_count"), F.max("confidence").alias("confidence"))
+
+
 def collapse(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One undirected edge per pair: attributes of the most confident fact (ties: least relation), all relations."""
     pair = edges.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})

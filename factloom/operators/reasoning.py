@@ -96,6 +96,31 @@ def value_classes(facts: DataFrame) -> DataFrame:
     return lit.join(several, ["subject", "predicate"])
 
 
+def _denial(predicate: Column) -> tuple[Column, Column]:
+    """(the relation without its negation, whether it has one): blanks and underscores are alike, a verb's ending s doesn't count."""
+    p = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.trim(F.replace(predicate, F.lit("_"), F.lit(" ")))), " +", " "), F.lit(" "))
+    said = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, " (cannot|can't) ", " can not "), " won't ", " will not "), "^ n'", " ne ")
+    said = F.regexp_replace(said, "([a-z])n't ", "$1 not ")
+    bare = F.regexp_replace(said, "^ (does|do|did) not ", " ")
+    bare = F.trim(F.regexp_replace(bare, " (not|never|no longer|ne|pas|jamais) ", " "))
+    base = F.regexp_replace(F.regexp_replace(bare, "^has\\b", "have"), "^([a-z]+[a-rt-z])s\\b", "$1")
+    return base, said.rlike(" (not|never|no longer|ne|pas|jamais) ")
+
+
+def negations(facts: DataFrame) -> DataFrame:
+    """(subject, object, predicate, affirmed, denied, first_affirmed, first_denied): what some facts (subject, predicate, object, seq) state and others deny.
+
+    "requires" meets "does not require", "never requires" and "requires no longer". One row for each such statement with the number of facts on both sides,
+    so a hot subject gives no product. Facts without a subject, relation or object say nothing.
+    """
+    base, denies = _denial(F.col("predicate"))
+    f = facts.filter("subject is not null and predicate is not null and object is not null").select(F.lower("subject").alias("subject"), F.lower("object").alias("object"), base.alias("predicate"), denies.alias("no"), "seq")
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    first = lambda c, name: F.min(F.when(c, F.col("seq"))).alias(name)
+    yes, no = ~F.col("no"), F.col("no")
+    return f.groupBy("subject", "object", "predicate").agg(n(yes, "affirmed"), n(no, "denied"), first(yes, "first_affirmed"), first(no, "first_denied")).filter("affirmed > 0 and denied > 0")
+
+
 def contradictions(facts: DataFrame) -> DataFrame:
     """(kind, severity, subject, detail): both kinds with their explanation."""
     o = opposing(facts).select(F.lit("opposing_predicate").alias("kind"), F.lit("high").alias("severity"), "subject", F.format_string("Opposing predicates '%s' and '%s' for (%s, %s).", "predicate_a", "predicate_b", "subject", "object").alias("detail"))

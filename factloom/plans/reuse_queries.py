@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import constellation, lookup, models, semantic
+from factloom.operators import communities, constellation, graph, lookup, models, reasoning, semantic
 from factloom.plans import inputs as I
 from factloom.plans.queries import query
 from factloom.shared import folder, settle, spread, table
@@ -88,3 +88,36 @@ def semantic_variants(spark: SparkSession, d: str) -> DataFrame:
     """Lines are chunks, embedded by their words; no SQL, as cells are made by hyperplanes. Tested against exact similarity."""
     lines = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("document_id"), F.explode(F.split("text", "\n")).alias("line"))
     return semantic.near_documents(settle(lines.select("document_id", models.embed(F.col("line"), model=models.embed_words).alias("embedding")).filter("embedding is not null"), "chunks"))
+
+
+_SAYS = ("requires", "does_not_require", "Never requires", "require", "cannot wait for", "can wait for", "has", "doesn't have")
+_SAYS_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in ("require", "require", "require", "require", "can wait for", "can wait for", "have", "have")) + "]"
+
+
+@query(f"""WITH f AS (SELECT 'c' || o_custkey AS subject, lower(o_orderpriority) AS object, {_SAYS_SQL}[o_orderkey % 8 + 1] AS predicate, o_orderkey % 8 IN (1, 2, 4, 7) AS no, o_orderkey AS q FROM orders)
+SELECT subject, object, predicate, count(*) FILTER (WHERE NOT no) AS affirmed, count(*) FILTER (WHERE no) AS denied, min(q) FILTER (WHERE NOT no) AS first_affirmed, min(q) FILTER (WHERE no) AS first_denied FROM f GROUP BY ALL HAVING bool_or(no) AND bool_or(NOT no)""")
+def negation_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Each order states or denies a relation of its customer to its priority."""
+    says = F.array(*map(F.lit, _SAYS))[(F.col("o_orderkey") % 8).cast("int")]
+    return reasoning.negations(table(spark, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("subject"), F.col("o_orderpriority").alias("object"), says.alias("predicate"), F.col("o_orderkey").alias("seq")))
+
+
+@query(f"""WITH f AS (SELECT 'C' || o_custkey AS src, CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus ELSE (o_orderkey % 100)::VARCHAR END AS dst, CASE o_orderkey % 3 WHEN 0 THEN 'measured_at' ELSE 'has_attribute' END AS relation_type, (o_orderkey % 10) / 10.0::DOUBLE AS c FROM orders)
+SELECT src, dst, relation_type, count(*) AS occurrence_count, max(c) AS confidence FROM f WHERE ({I.LITERAL("dst")}) AND NOT ({I.LITERAL("src")}) GROUP BY ALL""")
+def attribute_edges(spark: SparkSession, d: str) -> DataFrame:
+    """An order gives its customer a number, every fifth a status; a third of them have a date, another third a blank one."""
+    k = F.col("o_orderkey")
+    scope = F.when(k % 3 == 0, F.col("o_orderdate").cast("string")).when(k % 3 == 1, " ")
+    o = F.when(k % 5 == 0, F.col("o_orderstatus")).otherwise((k % 100).cast("string"))
+    return graph.attribute_edges(table(spark, d, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("subject"), o.alias("object"), scope.alias("temporal_scope"), (k % 10 / 10).alias("confidence")))
+
+
+@query("""WITH t AS (SELECT DISTINCT 'C' || o_custkey AS src, o_orderkey // 8 AS x FROM orders), s AS (SELECT src, count(*) AS n FROM t GROUP BY src),
+n AS (SELECT o_orderpriority AS dst, o_orderkey // 8 AS x FROM orders UNION SELECT o_orderstatus, o_orderkey // 8 FROM orders)
+SELECT src, dst, 'encompasses' AS relation_type, count(*) / n::DOUBLE AS confidence FROM t JOIN n USING (x) JOIN s USING (src) GROUP BY src, dst, n HAVING 2 * count(*) >= n""")
+def topic_encompasses(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders are a topic, blocks of eight order numbers chunks, priorities and states nodes."""
+    o = table(spark, d, "orders").withColumn("chunk", F.expr("o_orderkey div 8"))
+    topics = o.groupBy(F.concat(F.lit("C"), "o_custkey").alias("component")).agg(F.collect_set("chunk").alias("chunks"))
+    nodes = o.select("chunk", F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("node_id")).groupBy("node_id").agg(F.collect_set("chunk").alias("source_chunk_ids"))
+    return communities.encompasses(topics, nodes)
