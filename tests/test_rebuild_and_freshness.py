@@ -40,7 +40,7 @@ def test_rebuild_merges_by_document_and_resumes(spark, tmp_path, monkeypatch):
     # a newer run of a, which is killed after each of its steps in turn
     _write(src, "a", "2026", [n("x", 1), n("w")], [e("w", "x")])
     second = ({"x": (4, 0.9, 2), "w": (1, 0.5, 1), "z": (1, 0.0, 1)}, {("w", "r", "x"): (1, 1), ("x", "r", "z"): (4, 1)})
-    for step in range(5):
+    for step in range(7):
         real, calls = stores.Table._put, [0]
 
         def dies(self, *args, real=real, calls=calls, step=step):
