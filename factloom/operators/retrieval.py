@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -165,9 +167,17 @@ def prune(results: DataFrame, level: str, k: int | None = None) -> DataFrame:
 
 
 def needs_chunks(queries: DataFrame, entity_results: DataFrame, below: float = 0.6) -> DataFrame:
-    """Queries whose entity scores average under the limit, or that have none."""
-    mean = entity_results.groupBy("query_id").agg(F.avg("score").alias("mean_score"))
-    return queries.select("query_id").join(mean, "query_id", "left").withColumn("fallback", F.coalesce("mean_score", F.lit(0.0)) < below)
+    """Queries whose entity scores average under the limit, or that have none.
+
+    Scores are added as decimals, so a mean that is the limit itself is not under it, in whatever order rows come. A query with a
+    score that is no such number (NaN, 1e20 or more) has its mean by doubles.
+    """
+    exact = F.col("score").try_cast("decimal(38,18)")
+    sums = entity_results.groupBy("query_id").agg(F.sum(exact).alias("_t"), F.count(exact).alias("_m"), F.count("score").alias("_n"), F.avg("score").alias("_avg"))
+    fits = (F.col("_m") == F.col("_n")) & F.col("_t").isNotNull()
+    mean = F.when(fits, F.col("_t").cast("double") / F.col("_n")).otherwise(F.col("_avg"))
+    under = F.when(fits, F.col("_t") < F.lit(Decimal(str(below))) * F.col("_n")).otherwise(F.coalesce("_avg", F.lit(0.0)) < below)
+    return queries.select("query_id").join(sums.select("query_id", mean.alias("mean_score"), under.alias("_under")), "query_id", "left").select("query_id", "mean_score", F.coalesce("_under", F.lit(0.0 < below)).alias("fallback"))
 
 
 def fit_budget(results: DataFrame, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:
