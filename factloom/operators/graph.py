@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 from factloom.functions.text import is_literal
 
 
+def _united(rows: DataFrame, keys: list[str], lists: list[str]) -> DataFrame:
+    """(keys, occurrence_count, lists, confidence): counts summed, ``lists`` (arrays of one type) united, the largest confidence. Entries come one by one, so a key holds distinct ones and not its rows' lists."""
+    tagged = lambda c: F.transform(F.coalesce(c, F.array().cast(rows.schema[c].dataType)), lambda x: F.struct(F.lit(c).alias("of"), x.alias("x")))
+    own = rows.select(*keys, "occurrence_count", "confidence", F.posexplode_outer(F.concat(*map(tagged, lists))).alias("_at", "_e"))
+    once = F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("occurrence_count"))
+    return own.groupBy(*keys).agg(F.sum(once).alias("occurrence_count"), *[F.array_sort(F.collect_set(F.when(F.col("_e.of") == c, F.col("_e.x")))).alias(c) for c in lists], F.max("confidence").alias("confidence"))
+
+
 def build_nodes(triplets: DataFrame, metadata: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes of consolidated facts: occurrences, chunks, layer (2, literals 3), largest confidence of an incident edge."""
     ends = triplets.select(*by, "occurrence_count", "source_chunk_ids", "confidence", F.explode(F.array("subject", "object")).alias("node_id"))
-    nodes = ends.groupBy(*by, "node_id").agg(F.sum("occurrence_count").alias("occurrence_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids"), F.max("confidence").alias("confidence"))
+    nodes = _united(ends, [*by, "node_id"], ["source_chunk_ids"])
     literal = is_literal(F.col("node_id"))
     nodes = nodes.withColumns({"is_literal": literal, "layer": F.when(literal, 3).otherwise(2)})
     if metadata is not None:
@@ -107,16 +115,14 @@ def drop_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[Dat
 def merge_graph(old: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental node merge: aliases and chunks united, counts summed, confidence the larger. One union and one aggregate."""
     both = old.unionByName(new, allowMissingColumns=True)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    more = [union("aliases")] if "aliases" in both.columns else []
-    return both.groupBy("node_id").agg(F.sum("occurrence_count").alias("occurrence_count"), union("source_chunk_ids"), F.max("confidence").alias("confidence"), *more)
+    more = ["aliases"] if "aliases" in both.columns else []
+    return _united(both, ["node_id"], ["source_chunk_ids", *more]).select("node_id", "occurrence_count", "source_chunk_ids", "confidence", *more)
 
 
 def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """Incremental edge merge by (src, relation_type, dst): counts summed, confidence the larger, chunks united."""
     both = old.unionByName(new, allowMissingColumns=True)
-    chunks = F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids")
-    return both.groupBy("src", "relation_type", "dst").agg(F.sum("occurrence_count").alias("occurrence_count"), F.max("confidence").alias("confidence"), chunks)
+    return _united(both, ["src", "relation_type", "dst"], ["source_chunk_ids"]).select("src", "relation_type", "dst", "occurrence_count", "confidence", "source_chunk_ids")
 
 
 def remove_document(nodes: DataFrame, chunks: DataFrame) -> DataFrame:

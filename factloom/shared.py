@@ -87,18 +87,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 SPREAD = (2 << 20, 1 << 30)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, each: int | None = None) -> DataFrame:
     """A scan's rows dealt over all cores where a small table has fewer parts than those (one file of one row group).
 
-    For work that costs far more than moving its input. Which rows come out doesn't change.
+    For work that costs far more than moving its input. With ``each``, parts hold about as many bytes of input at most, however large the table: for rows that
+    become many, so that a task's memory doesn't grow with the row groups of a file. Which rows come out doesn't change.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    parts = max(parts, -(-size // each)) if each else parts
+    least, most = (min(SPREAD[0], each), size) if each else SPREAD
     # a plan with shuffles has its parts already, and asking for their number would run it
-    if not SPREAD[0] <= size <= SPREAD[1] or plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+    if not least <= size <= most or plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= parts:
         return df
-    return df.repartition(cores)
+    return df.repartition(parts)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

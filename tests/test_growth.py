@@ -13,3 +13,37 @@ def test_a_mean_at_the_limit_is_not_under_it(spark):
     queries = spark.createDataFrame([(q,) for q in ("at", "under", "over", "none", "odd", "absent")], "query_id string")
     got = {r["query_id"]: r["fallback"] for r in retrieval.needs_chunks(queries, spark.createDataFrame(rows, "query_id string, score double").coalesce(1)).collect()}
     assert got == {"at": False, "under": True, "over": False, "none": True, "odd": False, "absent": True}
+
+
+def test_facts_of_one_row_group_are_dealt_out(spark, sf, tmp_path):
+    """However many rows a file has in one piece, a task gets only so many bytes of it."""
+    from factloom.plans import inputs as I
+    from factloom.shared import table
+
+    c = table(spark, sf, "customer")
+    keys = c.count()
+    many = c.crossJoin(spark.range(800).withColumnRenamed("id", "i")).withColumn("c_custkey", F.col("c_custkey") + F.col("i") * keys).withColumn("c_name", F.sha2(F.concat_ws("-", "c_name", "i"), 512)).drop("i")
+    many.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for t in ("nation", "region"):
+        table(spark, sf, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    rows = I.raw_facts(spark, str(tmp_path))
+    n = rows.count()
+    parts = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert n == 4 * 800 * keys and max(parts) < n / 10
+
+
+def test_chunks_are_united_without_gathering_lists(spark):
+    """Nodes with very many rows: the plan gathers chunks as a set, and what is in it is as before."""
+    from factloom.operators import graph
+
+    rows = [("hub", f"n{i}", 1 + i % 2, [f"c{i % 3}", f"c{i % 5}"], i / 100) for i in range(60)] + [("a", "b", 7, [], 0.9), ("a", "c", 2, None, 0.1)]
+    t = spark.createDataFrame(rows, "subject string, object string, occurrence_count int, source_chunk_ids array<string>, confidence double").withColumn("predicate", F.lit("p"))
+    nodes = graph.build_nodes(t)
+    assert "collect_list" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["node_id"]: (r["occurrence_count"], r["source_chunk_ids"], r["confidence"]) for r in nodes.collect()}
+    assert got["hub"] == (90, ["c0", "c1", "c2", "c3", "c4"], 0.59) and got["a"] == (9, [], 0.9) and got["n4"] == (1, ["c1", "c4"], 0.04)
+    old = nodes.select("node_id", "occurrence_count", "source_chunk_ids", "confidence").withColumn("aliases", F.when(F.col("node_id") == "hub", F.array(F.lit("h"), F.lit("H"))))
+    both = graph.merge_graph(old, old)
+    assert "collect_list" not in both._jdf.queryExecution().optimizedPlan().toString()
+    hub = both.filter("node_id = 'hub'").first()
+    assert (hub["occurrence_count"], hub["source_chunk_ids"], hub["confidence"], hub["aliases"]) == (180, ["c0", "c1", "c2", "c3", "c4"], 0.59, ["H", "h"])
