@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.maths import dot, norm
-from factloom.operators.dealt import pairs
+from factloom.operators.dealt import CELL
 
 
 def leader_clusters(entities: DataFrame, threshold: float = 0.85, by: str = "document_id") -> DataFrame:
@@ -78,9 +79,12 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float, small: int = 20
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     continue
-                sim = _unit(pdf["embedding"]) @ v.T
-                at = sim.argmax(1)
-                yield pd.DataFrame({"left_id": pdf["id"], "right_id": ids[at], "similarity": sim[np.arange(len(pdf)), at]})
+                own, at, best = _unit(pdf["embedding"]), np.empty(len(pdf), np.int64), np.empty(len(pdf))
+                for i, j in slices(len(pdf), len(v)):
+                    sim = own[i:j] @ v.T
+                    at[i:j] = sim.argmax(1)
+                    best[i:j] = sim[np.arange(j - i), at[i:j]]
+                yield pd.DataFrame({"left_id": pdf["id"], "right_id": ids[at], "similarity": best})
 
         found = left.select("id", "embedding").mapInPandas(match, f"left_id {left.schema['id'].dataType.simpleString()}, right_id {kind}, similarity double")
         best = found if best is None else best.unionByName(found)
@@ -88,8 +92,18 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float, small: int = 20
     return top.select("left_id", F.col("b.right_id").alias("right_id"), (-F.col("b.s")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+def slices(rows: int, others: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of ``rows`` whose products with ``others`` have about ``most`` values (8 MB), at least a row each."""
+    step = max(1, most // max(others, 1))
+    return ((i, min(i + step, rows)) for i in range(0, rows, step))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def _unit(column: pd.Series) -> np.ndarray:
-    v = np.array(column.tolist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    v = _matrix(column)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10)
 
 
@@ -105,8 +119,33 @@ def link(existing: DataFrame, incoming: DataFrame, threshold: float = 0.88, find
     return named.join(near, "canonical_name", "left").select("canonical_name", F.coalesce("target", "_t").alias("target"), F.coalesce("how", F.when(F.col("_t").isNotNull(), "embedding")).alias("how"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, block_col: str) -> DataFrame:
-    """(id_a, id_b, similarity) within blocks: an equi-join on the blocking key, large blocks dealt, then the exact cosine."""
-    own = rows.select("id", block_col, F.col("embedding").alias("v"), norm(F.col("embedding")).alias("n"))
-    both = pairs(own, [block_col], "id").withColumnsRenamed({"v_a": "va", "v_b": "vb", "n_a": "na", "n_b": "nb"})
-    return both.withColumn("similarity", dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
+def similar_pairs(rows: DataFrame, threshold: float, block_col: str, cell: int = CELL) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b, within blocks (block_col, not null): rows whose cosine reaches the threshold.
+
+    A block's rows are cut into cells; each two of its cells are a task's matrix product, taken by stretches. Exact, so its work is the square of a block.
+    Vectors of different sizes and those with a null in them are alike to none.
+    """
+    own = rows.filter(F.col(block_col).isNotNull() & F.col("embedding").isNotNull()).select("id", F.col(block_col).alias("b"), "embedding", F.size("embedding").alias("z"))
+    cells = own.groupBy("b", "z").agg(F.ceil(F.count("*") / cell).cast("int").alias("n"))
+    own = own.join(cells, ["b", "z"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    own = own.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o")}).select("b", "z", "i", "j", "own", "id", "embedding")
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        one = pdf["i"][0] == pdf["j"][0]
+        first, last = (pdf, pdf) if one else (pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]])
+        p, q = first["id"].to_numpy(), last["id"].to_numpy()
+        v, w = _matrix(first["embedding"]), _matrix(last["embedding"])
+        nv, nw = (np.maximum(np.linalg.norm(x, axis=1), 1e-10) for x in (v, w))
+        found = []
+        for i, j in slices(len(v), len(w)):
+            sim = (v[i:j] @ w.T) / (nv[i:j, None] * nw)
+            x, y = np.nonzero(sim >= threshold)
+            found.append((p[x + i], q[y], sim[x, y]))
+        a, b, s = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        kept = a < b if one else a != b
+        a, b, s = a[kept], b[kept], s[kept]
+        return pd.DataFrame({"id_a": np.where(a < b, a, b), "id_b": np.where(a < b, b, a), "similarity": s})
+
+    return own.groupBy("b", "z", "i", "j").applyInPandas(product, f"id_a {kind}, id_b {kind}, similarity double")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed
+from factloom.operators.entities import slices
 from factloom.operators.graph import undirected
 from factloom.shared import settle
 
@@ -60,10 +61,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None =
                 if not len(pdf) or not len(names):
                     continue
                 pdf = pdf.sort_values("id", ignore_index=True)
-                sim = q @ _unit(pdf["embedding"]).T
-                keep = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(sim, keep, 1)
-                yield pd.DataFrame({"query_id": np.repeat(names, keep.shape[1]), "id": pdf["id"].to_numpy()[keep.ravel()], "score": score.ravel()})
+                ids, v = pdf["id"].to_numpy(), _unit(pdf["embedding"])
+                for i, j in slices(len(q), len(v)):
+                    sim = q[i:j] @ v.T
+                    keep = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(names[i:j], keep.shape[1]), "id": ids[keep.ravel()], "score": np.take_along_axis(sim, keep, 1).ravel()})
 
         found = vectors.select("id", "embedding").mapInPandas(search, f"query_id {qid}, id {vid}, score double")
         out = found if out is None else out.unionByName(found)

@@ -47,3 +47,46 @@ def test_chunks_are_united_without_gathering_lists(spark):
     assert "collect_list" not in both._jdf.queryExecution().optimizedPlan().toString()
     hub = both.filter("node_id = 'hub'").first()
     assert (hub["occurrence_count"], hub["source_chunk_ids"], hub["confidence"], hub["aliases"]) == (180, ["c0", "c1", "c2", "c3", "c4"], 0.59, ["H", "h"])
+
+
+def _vectors(spark, n, seed, size=8):
+    import numpy as np
+
+    v = np.random.default_rng(seed).standard_normal((n, size)).astype("float32")
+    v[5:9] = v[4]
+    return v, spark.createDataFrame([(i, i % 2, v[i].tolist()) for i in range(n)], "id long, label int, embedding array<float>")
+
+
+def test_pairs_within_blocks_by_cells(spark):
+    """Cells of few rows and of all rows give what all pairs give; vectors that can't be compared are alike to none."""
+    import numpy as np
+
+    from factloom.operators import entities
+
+    v, rows = _vectors(spark, 150, 3)
+    odd = spark.createDataFrame([(900, 0, [1.0, 2.0]), (901, 0, None), (902, None, v[0].tolist()), (903, 0, [None, *v[0].tolist()[1:]])], rows.schema)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if a % 2 == b % 2 and u[a] @ u[b] >= 0.5}
+    plan = entities.similar_pairs(rows, 0.5, "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan
+    for cell in (20, 2048):
+        got = entities.similar_pairs(rows.union(odd), 0.5, "label", cell=cell).collect()
+        assert len(got) == len(want) and {(r["id_a"], r["id_b"]) for r in got} == want
+        assert all(abs(r["similarity"] - u[r["id_a"]] @ u[r["id_b"]]) < 1e-9 for r in got)
+
+
+def test_products_are_taken_by_stretches(spark):
+    """No product holds more than about a million values, and the best of all stretches are found."""
+    import numpy as np
+
+    from factloom.operators import entities, retrieval
+
+    assert max((j - i) * 20_000 for i, j in entities.slices(10_000, 20_000)) <= 1 << 20
+    assert [x for i, j in entities.slices(2500, 3000) for x in range(i, j)] == list(range(2500)) and list(entities.slices(3, 1 << 30)) == [(0, 1), (1, 2), (2, 3)]
+    v, rows = _vectors(spark, 2500, 4)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = entities.nearest(rows, rows.filter("id >= 100"), -1.0).collect()
+    best = (u @ u[100:].T).max(1)
+    assert len(near) == 2500 and all(abs(r["similarity"] - best[r["left_id"]]) < 1e-9 for r in near)
+    top = retrieval.top_k(rows.withColumnRenamed("id", "query_id"), rows, 3).toPandas().sort_values(["query_id", "rank"])["score"].to_numpy().reshape(-1, 3)
+    assert np.allclose(top, -np.sort(-(u @ u.T), axis=1)[:, :3])
