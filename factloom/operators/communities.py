@@ -192,18 +192,25 @@ def encompasses(covered: DataFrame, nodes: DataFrame, share: float = 0.5) -> Dat
     A node in m of a topic's n chunks stands in one of any n - m + 1 of them, so it is looked for in the rarest ones only; chunks that many
     topics or nodes have are dealt. Topics without chunks encompass nothing.
     """
-    topics = settle(covered.filter(F.size("chunks") > 0).select(F.col("component").alias("src"), F.array_distinct("chunks").alias("chunks")), "topics")
-    held = settle(nodes.select(F.col("node_id").alias("dst"), F.explode(F.array_distinct("source_chunk_ids")).alias("chunk")), "held")
-    rows = topics.select("src", F.size("chunks").alias("n"), F.explode("chunks").alias("chunk"))
-    rows = rows.join(held.groupBy("chunk").agg(F.count("*").alias("_held")), "chunk")
+    held = nodes.select(F.col("node_id").alias("dst"), F.explode("source_chunk_ids").alias("chunk"))
+    return encompassed(covered.select(F.col("component").alias("src"), F.explode("chunks").alias("chunk")), held, share)
+
+
+def encompassed(topics: DataFrame, held: DataFrame, share: float = 0.5) -> DataFrame:
+    """As ``encompasses``, of topics (src, chunk) and nodes (dst, chunk) that are a row a chunk: no topic's or node's chunks are gathered anywhere. Rows may repeat."""
+    topics = settle(topics.distinct(), "topics")
+    held = settle(held.filter("chunk is not null").distinct(), "held")
+    sizes = settle(topics.groupBy("src").agg(F.count("*").alias("n")), "sizes")
+    rows = topics.join(held.groupBy("chunk").agg(F.count("*").alias("_held")), "chunk").join(sizes, "src")
     # chunks that no node has are the rarest, and gone by this join; so the last places are kept, counted from the most common one
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("_held"), "chunk"))
     least = F.ceil(F.round(F.lit(share) * F.col("n"), 9))
     ask = settle(rows.withColumn("_at", place).filter(F.col("_at") >= least).select("src", "chunk"), "asked")
     found = settle(meet(ask, held, ["chunk"]).select("src", "dst").distinct(), "found")
-    both = found.join(topics, "src").join(nodes.select(F.col("node_id").alias("dst"), "source_chunk_ids"), "dst")
-    part = F.size(F.array_intersect("chunks", "source_chunk_ids")) / F.size("chunks")
-    return both.select("src", "dst", F.lit("encompasses").alias("relation_type"), part.alias("confidence")).filter(F.col("confidence") >= share)
+    # a found pair counts the chunks that both have: rows of the topics found, each met by its own node only
+    both = found.join(topics, "src").join(held, ["dst", "chunk"], "left_semi").groupBy("src", "dst").agg(F.count("*").alias("m"))
+    part = F.col("m") / F.col("n")
+    return both.join(sizes, "src").select("src", "dst", F.lit("encompasses").alias("relation_type"), part.alias("confidence")).filter(F.col("confidence") >= share)
 
 
 def integrate(nodes: DataFrame, members: DataFrame, covered: DataFrame) -> tuple[DataFrame, DataFrame]:

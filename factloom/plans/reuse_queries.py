@@ -118,6 +118,5 @@ SELECT src, dst, 'encompasses' AS relation_type, count(*) / n::DOUBLE AS confide
 def topic_encompasses(spark: SparkSession, d: str) -> DataFrame:
     """A customer's orders are a topic, blocks of eight order numbers chunks, priorities and states nodes."""
     o = table(spark, d, "orders").withColumn("chunk", F.expr("o_orderkey div 8"))
-    topics = o.groupBy(F.concat(F.lit("C"), "o_custkey").alias("component")).agg(F.collect_set("chunk").alias("chunks"))
-    nodes = o.select("chunk", F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("node_id")).groupBy("node_id").agg(F.collect_set("chunk").alias("source_chunk_ids"))
-    return communities.encompasses(topics, nodes)
+    topics = o.select(F.concat(F.lit("C"), "o_custkey").alias("src"), "chunk")
+    return communities.encompassed(topics, o.select(F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("dst"), "chunk"))

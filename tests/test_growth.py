@@ -90,3 +90,20 @@ def test_products_are_taken_by_stretches(spark):
     assert len(near) == 2500 and all(abs(r["similarity"] - best[r["left_id"]]) < 1e-9 for r in near)
     top = retrieval.top_k(rows.withColumnRenamed("id", "query_id"), rows, 3).toPandas().sort_values(["query_id", "rank"])["score"].to_numpy().reshape(-1, 3)
     assert np.allclose(top, -np.sort(-(u @ u.T), axis=1)[:, :3])
+
+
+def test_topics_by_rows_of_chunks(spark):
+    """What brute force gives, of rows that repeat, and no array of a node's chunks in the plan."""
+    import random
+
+    from factloom.operators import communities
+
+    r = random.Random(5)
+    topics = {f"t{i}": {r.randrange(40) for _ in range(r.randrange(1, 9))} for i in range(30)}
+    nodes = {f"n{i}": {r.randrange(40) for _ in range(r.choice([3, 15, 35]))} for i in range(12)}
+    frame = lambda sets, name: spark.createDataFrame([(k, c) for k, s in sets.items() for c in [*s, *s]], f"{name} string, chunk int")
+    df = communities.encompassed(frame(topics, "src"), frame(nodes, "dst"))
+    assert "array_intersect" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {(t, n): len(c & s) / len(c) for t, c in topics.items() for n, s in nodes.items() if 2 * len(c & s) >= len(c)}
+    got = df.collect()
+    assert len(got) == len(want) and {(x["src"], x["dst"]): x["confidence"] for x in got} == want
