@@ -25,6 +25,8 @@ from factloom.llm import textkit as T
 from factloom.shared import small_batches, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Bytes of text whose lattice is in memory at a time: about 250 bytes a byte.
+ENCODED = T.CHUNK // 8
 MARK, OWN_MARK = 0x2581, 0x110000
 SHIFT = 10.0
 _BITS = 18
@@ -298,7 +300,7 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             keys = _row_keys(T.id_array(b.column(0)))
             _, off = T.string_bytes(b.column(1))
-            for i, j in T.chunks(off, T.CHUNK // 2):
+            for i, j in T.chunks(off, ENCODED):
                 part = b.slice(i, j - i)
                 ids, cut = encode_texts(vocab.value, part.column(1).to_pylist(), keys[i:j], alpha, seed)
                 pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))

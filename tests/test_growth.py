@@ -107,3 +107,24 @@ def test_topics_by_rows_of_chunks(spark):
     want = {(t, n): len(c & s) / len(c) for t, c in topics.items() for n, s in nodes.items() if 2 * len(c & s) >= len(c)}
     got = df.collect()
     assert len(got) == len(want) and {(x["src"], x["dst"]): x["confidence"] for x in got} == want
+
+
+def test_lattices_in_memory_are_small():
+    """Half a megabyte of text at a time took over 100 MB of a worker, twice that on an executor with two."""
+    import tracemalloc
+
+    import numpy as np
+
+    from factloom.llm import pieces
+    from factloom.llm import textkit as T
+
+    vocab = pieces.Vocabulary(pieces.MODEL)
+    words = np.random.default_rng(1).integers(0, 20_000, 150_000)
+    texts = [" ".join(f"word{w} der{w % 97}ing" for w in words[i : i + 300]) for i in range(0, len(words), 300)]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    tracemalloc.start()
+    for i, j in T.chunks(off, pieces.ENCODED):
+        pieces.encode_texts(vocab, texts[i:j], pieces._row_keys(np.arange(i, j)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert off[-1] > 2 * T.CHUNK and peak < 80 << 20
