@@ -52,18 +52,20 @@ def near_hashes(left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
 
     Three bits touch three of six blocks at most, so such a pair agrees in three blocks, which are the key of one of twenty
     tables. A key holds 31 bits or more: among n unrelated hashes a table has about n * n / 2^31 pairs to look at. Equal hashes, as of
-    copies, are one hash here; null ones match nothing.
+    copies, are one hash here; null ones match nothing. Merged by sorting: a side is twenty times as large as the hashes that
+    its size is guessed by, so a broadcast would hold all of its keys on the driver.
     """
     if not 0 <= most <= 3:
         raise ValueError("three of six blocks find distances up to 3")
     cut = lambda df, tag: df.select(F.col("simhash").alias("h")).filter("h is not null").distinct().select(F.col("h").alias(f"h{tag}"), F.explode(_tables(F.col("h"))).alias("key"))
-    pairs = cut(left, "a").join(cut(right, "b"), "key").filter(hamming(F.col("ha"), F.col("hb")) <= most).select("ha", "hb").distinct()
+    pairs = cut(left, "a").hint("merge").join(cut(right, "b"), "key").filter(hamming(F.col("ha"), F.col("hb")) <= most).select("ha", "hb").distinct()
     return pairs.withColumn("distance", hamming(F.col("ha"), F.col("hb")))
 
 
 def near_matches(left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
     """(id_a, id_b, distance) of rows (id, simhash) whose hashes differ in at most ``most`` bits: all pairs of rows, so give one row a hash where copies are many."""
-    out = near_hashes(left, right, most).join(left.select(F.col("id").alias("id_a"), F.col("simhash").alias("ha")), "ha").join(right.select(F.col("id").alias("id_b"), F.col("simhash").alias("hb")), "hb")
+    side = lambda df, tag: df.select(F.col("id").alias(f"id_{tag}"), F.col("simhash").alias(f"h{tag}")).hint("merge")
+    out = near_hashes(left, right, most).join(side(left, "a"), "ha").join(side(right, "b"), "hb")
     return out.select("id_a", "id_b", "distance")
 
 

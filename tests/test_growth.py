@@ -128,3 +128,16 @@ def test_lattices_in_memory_are_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert off[-1] > 2 * T.CHUNK and peak < 80 << 20
+
+
+def test_keys_of_hashes_are_not_broadcast(spark):
+    """A side of the join is twenty rows a hash; the tables are small enough to be broadcast by what Spark guesses."""
+    from factloom.operators import dedup
+    from factloom.shared import settle
+
+    h = F.xxhash64("id")
+    rows = spark.range(500).select("id", h.alias("simhash")).union(spark.range(500).select(F.col("id") + 500, h.bitwiseXOR(F.lit(7))))
+    rows = settle(rows, "hashes")
+    out = dedup.near_matches(rows, rows).filter("id_a < id_b")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id_a"], r["id_b"], r["distance"]) for r in out.collect()} == {(i, i + 500, 3) for i in range(500)}
