@@ -35,6 +35,8 @@ from factloom.llm import textkit as T
 from factloom.shared import forget, settle, shared_dir, small_batches, spread
 
 WIDTH = 50
+#: Bytes of text hashed at once. A worker's hashes, sums and powers are some seventy times as large.
+CHUNK = 1 << 18
 _MARKS = "id long, tk long, n_words long, sha binary, prints array<long>, contents array<long>"
 
 
@@ -79,7 +81,7 @@ def _mark(width: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, raw, off in T.parts(b.column("text")):
+            for i, j, raw, off in T.parts(b.column("text"), CHUNK):
                 words = T.Words(raw, off)
                 h, h1 = words.hashes(), words.hashes(1)
                 data = raw.tobytes()
@@ -103,7 +105,7 @@ def _windows(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want = b.column("want")
-            for i, j, raw, off in T.parts(b.column("text")):
+            for i, j, raw, off in T.parts(b.column("text"), CHUNK):
                 words = T.Words(raw, off)
                 h, h1 = words.hashes(), words.hashes(1)
                 rows: list[tuple] = []
@@ -132,7 +134,7 @@ def _finish(width: int):
         for b in batches:
             rows: list[tuple] = []
             found = b.column("removed")
-            for i, j, raw, off in T.parts(b.column("text")):
+            for i, j, raw, off in T.parts(b.column("text"), CHUNK):
                 words = T.Words(raw, off)
                 h, h1 = words.hashes(), words.hashes(1)
                 data = raw.tobytes()

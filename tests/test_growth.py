@@ -141,3 +141,25 @@ def test_keys_of_hashes_are_not_broadcast(spark):
     out = dedup.near_matches(rows, rows).filter("id_a < id_b")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["id_a"], r["id_b"], r["distance"]) for r in out.collect()} == {(i, i + 500, 3) for i in range(500)}
+
+
+def test_windows_are_hashed_in_small_stretches_of_text():
+    """A worker of op2 holds arrays for a quarter of a MB of text at a time, and what it says of a document is the same."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from factloom.llm import textkit as T
+    from factloom.llm import window_index as W
+
+    texts = [" ".join(f"w{i * 7919 % 997 + k}" for i in range(400)) for k in range(1000)]
+    ids = pa.array(range(1000), pa.int64())
+    b = pa.record_batch([ids, ids, pa.array(texts)], names=["id", "tk", "text"])
+    assert sum(map(len, texts)) > 1 << 20
+    T._powers.clear()
+    tracemalloc.start()
+    whole = pa.Table.from_batches(W._mark(50)([b]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    each = pa.Table.from_batches([o for i in range(1000) for o in W._mark(50)([b.slice(i, 1)])])
+    assert whole.to_pylist() == each.to_pylist()
