@@ -44,6 +44,16 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], cell: int = CELL) -
     return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
 
 
+def blocks(rows: DataFrame, keys: list[str], cell: int = CELL) -> DataFrame:
+    """Rows whose key another row has, in cells (keys, _i, _j) of at most about two blocks of ``cell`` rows; ``_own`` is a row's block.
+
+    Each two rows of a key meet once: where _i = _j any two, else only those of different blocks.
+    """
+    sizes = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys, F.ceil(F.col("_n") / cell).cast("int").alias("_n")), "sizes")
+    tagged = rows.join(sizes, keys).withColumn("_own", _own(rows, "_n")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return tagged.withColumns({"_i": F.least("_own", "_o"), "_j": F.greatest("_own", "_o")}).drop("_n", "_o")
+
+
 def pairs(rows: DataFrame, keys: list[str], order: str, cell: int = CELL) -> DataFrame:
     """Each two rows that agree in ``keys`` once, columns with ``_a`` for the one with the smaller ``order`` (unique within a key) and ``_b`` for the other.
 

@@ -12,16 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.functions.maths import dot
-from factloom.operators.dealt import meet, pairs
+from factloom.operators.dealt import blocks, meet
 from factloom.operators.retrieval import _unit
 from factloom.shared import settle
 
 #: Tables of hyperplanes, hyperplanes of one, values of a fingerprint, of a band, and of those that must agree beyond it.
 TABLES, BITS, VALUES, BAND, AGREE = 16, 6, 192, 3, 30
+#: Chunks of a document that is compared row by row, and products (with some for each chunk that is sent) of one cell.
+LONG, WORK = 1024, 1 << 26
 _SEED = 20240229
 
 
@@ -76,21 +80,87 @@ def fingerprints(chunks: DataFrame) -> DataFrame:
     return best.select("document_id", F.array(*[f"m{i}" for i in range(VALUES)]).alias("fingerprint"))
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """(a, b), a < b: fingerprints (document_id, fingerprint) that agree in a band and in ``AGREE`` values at least. Full bands are dealt over cells."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("fingerprint", i * BAND + 1, BAND)).alias("key")))
-    rows = settle(prints.select(F.col("document_id").alias("id"), F.explode(bands).alias("x")).select("id", "x.*"), "bands")
-    met = settle(pairs(rows, ["band", "key"], "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "met")
-    side = lambda n: prints.select(F.col("document_id").alias(n), F.col("fingerprint").alias(f"f{n}"))
-    same = F.size(F.filter(F.arrays_zip("fa", "fb"), lambda v: v["fa"] == v["fb"]))
-    return met.join(side("a"), "a").join(side("b"), "b").filter(same >= AGREE).select("a", "b")
+def _agreeing(kind: pa.DataType):
+    """Rows (band, key, _i, _j, _own, id, print) sorted by cell -> (a, b): those of a cell that agree in ``AGREE`` values, in the first of the bands that they share."""
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = t.num_rows
+        band, key, i, j, own, ids = (t[c].to_numpy() for c in ("band", "key", "_i", "_j", "_own", "id"))
+        turn = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        bounds = np.r_[0, turn, n]
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        values = np.frombuffer(b"".join(t["print"].to_pylist()), np.uint16).reshape(n, VALUES)
+        rows, step, found, size = np.arange(n), 1, [], 0
+        while len(rows := rows[end[rows] > rows + step]):
+            # all rows that have one of their cell so many places further on
+            for at in range(0, len(rows), 4096):
+                x = rows[at : at + 4096]
+                x = x[(i[x] == j[x]) | (own[x] != own[x + step])]
+                same = values[x] == values[x + step]
+                k = np.flatnonzero(np.count_nonzero(same, axis=1) >= AGREE)
+                whole = same[k, 0::BAND]
+                for p in range(1, BAND):
+                    whole &= same[k, p::BAND]
+                x = x[k[~(whole & (np.arange(VALUES // BAND) < band[x[k], None])).any(1)]]
+                found.append((x, x + step))
+                size += len(x)
+            step += 1
+            if size > 100_000:
+                yield out(ids, found)
+                found, size = [], 0
+        if size:
+            yield out(ids, found)
+
+    def out(ids: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+        x, y = (ids[np.concatenate(side)] for side in zip(*found, strict=True))
+        less = x < y
+        return pa.record_batch([pa.array(np.where(less, x, y), kind), pa.array(np.where(less, y, x), kind)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = t.slice(t.num_rows - 1)
+            here = np.logical_and.reduce([t[c].to_numpy() == last[c][0].as_py() for c in ("band", "key", "_i", "_j")])
+            cut = int(np.argmax(here))
+            yield from solve(t.slice(0, cut)) if cut else ()
+            rest = t.slice(cut)
+        if rest is not None:
+            yield from solve(rest)
+
+    return run
 
 
-def similarity(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(a, b, similarity) for pairs of documents, by all their chunks (document_id, embedding), copies of a chunk once."""
-    unit = F.pandas_udf(lambda s: pd.Series(list(_unit(s))), "array<double>")
-    own = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", "embedding").distinct()
-    own = settle(own.select("document_id", F.xxhash64("embedding").alias("i"), unit("embedding").alias("v")), "units")
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: fingerprints (document_id, fingerprint) that agree in a band and in ``AGREE`` values at least, each pair once.
+
+    The last 16 bits of a value stand for it. Prints meet in the cells of their bands (``dealt.blocks``) and are compared there, so what is
+    shuffled are documents by their bands, and pairs only once they agree.
+    """
+    kind = prints.schema["document_id"].dataType
+    packed = F.pandas_udf(lambda s: pd.Series([np.asarray(v).astype(np.uint16).tobytes() for v in s], dtype=object), "binary")
+    low = F.transform("fingerprint", lambda v: v.bitwiseAND(F.lit(0xFFFF)))
+    known = settle(prints.select(F.col("document_id").alias("id"), packed("fingerprint").alias("print"), low.alias("low")), "packed")
+
+    def key(i: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for p in range(BAND):
+            out = F.shiftleft(out, 16).bitwiseOR(F.get("low", i * BAND + p))
+        return out
+
+    bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // BAND - 1)), lambda i: F.struct(i.alias("band"), key(i).alias("key")))
+    rows = settle(known.select("id", F.explode(bands).alias("x")).select("id", "x.*"), "bands")
+    cell = ["band", "key", "_i", "_j"]
+    met = settle(blocks(rows, ["band", "key"]), "met").join(known.select("id", "print"), "id").select(*cell, "_own", "id", "print")
+    names = kind.simpleString()
+    return met.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_agreeing(to_arrow_type(kind)), f"a {names}, b {names}")
+
+
+def _by_rows(found: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs found (a, b), a row for each two chunks (document_id, i, v): for documents of very many."""
     left = settle(found.join(own.select(F.col("document_id").alias("a"), F.col("i").alias("ia"), F.col("v").alias("va")), "a"), "left")
     both = meet(left, own.select(F.col("document_id").alias("b"), F.col("i").alias("ib"), F.col("v").alias("vb")), ["b"])
     near = settle(both.select("a", "b", "ia", "ib", dot(F.col("va"), F.col("vb")).alias("s")), "near")
@@ -98,6 +168,62 @@ def similarity(found: DataFrame, chunks: DataFrame) -> DataFrame:
     return best("ia").union(best("ib")).groupBy("a", "b").agg(F.avg("s").alias("similarity"))
 
 
+def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) and the chunks (document_id, v) of all their documents -> (a, b, similarity)."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": left["a"][:0], "b": left["b"][:0], "similarity": []})
+    code, names = pd.factorize(right["document_id"], sort=True)
+    order = np.argsort(code, kind="stable")
+    v = np.array(right["v"].tolist(), float)[order]
+    first = np.searchsorted(code[order], np.arange(len(names) + 1))
+    count = np.diff(first)
+    a, b = pd.Index(names).get_indexer(left["a"]), pd.Index(names).get_indexer(left["b"])
+    order = np.lexsort((b, a))
+    out = np.empty(len(left))
+    # a document with as many others at a time as have about 4,096 chunks
+    before = np.cumsum(count[b[order]]) - count[b[order]]
+    run = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (before[1:] // 4096 != before[:-1] // 4096)])
+    for s, e in zip(run, np.r_[run[1:], len(order)], strict=True):
+        x, others = a[order[s]], b[order[s:e]]
+        n = count[others]
+        start = np.cumsum(n) - n
+        sim = v[first[x] : first[x + 1]] @ v[np.repeat(first[others] - start, n) + np.arange(n.sum())].T
+        out[order[s:e]] = (np.maximum.reduceat(sim, start, axis=1).sum(0) + np.add.reduceat(sim.max(0), start)) / (count[x] + n)
+    return pd.DataFrame({"a": left["a"], "b": left["b"], "similarity": out})
+
+
+def similarity(found: DataFrame, chunks: DataFrame, long: int = LONG, work: int = WORK) -> DataFrame:
+    """(a, b, similarity) for pairs of documents, by all their chunks (document_id, embedding), copies of a chunk once.
+
+    Pairs whose first documents have the same least partner come into one cell, or more where they are very many, and a document's chunks go once
+    to a cell: groups of documents that are all alike are compared as products of matrices. ``long``: chunks beyond which a document's are compared row by row.
+    """
+    kind = found.schema["a"].dataType.simpleString()
+    unit = F.pandas_udf(lambda s: pd.Series(list(_unit(s))), "array<double>")
+    own = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", "embedding").distinct()
+    own = settle(own.select("document_id", F.xxhash64("embedding").alias("i"), unit("embedding").alias("v")), "units")
+    sizes = settle(own.groupBy("document_id").agg(F.count("*").alias("n")), "sizes")
+    of = lambda side: sizes.select(F.col("document_id").alias(side), F.col("n").alias(f"n{side}"))
+    least = found.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
+    effort = F.col("na") * F.col("nb") + 512 * (F.col("na") + F.col("nb"))
+    rated = found.join(of("a"), "a").join(of("b"), "b").join(least, "a", "left").select("a", "b", F.coalesce("lead", "a").alias("lead"), effort.alias("w"), (F.greatest("na", "nb") > long).alias("many"))
+    rated = settle(rated, "rated")
+    short = rated.filter("not many")
+    total = short.agg(F.sum("w")).first()[0] or 0
+    sides = short.groupBy("lead").agg(F.ceil(F.sqrt(F.sum("w") / work)).cast("int").alias("k"))
+    spot = F.when(F.col("k") > 1, F.xxhash64("lead")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(int(total // work) + 1)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    cell = ["k", "spot", "i", "j"]
+    met = settle(short.join(sides, "lead").select("k", spot.alias("spot"), place("a").alias("i"), place("b").alias("j"), "a", "b"), "cells")
+    to = [f"to_{c}" for c in cell]  # names of their own, as both sides come from one frame
+    asked = met.select(*cell, "a").union(met.select(*cell, "b")).distinct().toDF(*to, "document_id")
+    vectors = asked.join(own.select("document_id", "v"), "document_id")
+    out = met.groupBy(*cell).cogroup(vectors.groupBy(*to)).applyInPandas(_compare, f"a {kind}, b {kind}, similarity double")
+    if sizes.filter(F.col("n") > long).isEmpty():
+        return out
+    return out.union(_by_rows(rated.filter("many").select("a", "b"), own))
+
+
 def near_documents(chunks: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(a, b, similarity), a < b: classes of documents (``classes``) whose chunks (document_id, embedding) are alike at ``threshold`` or more.
 

@@ -74,3 +74,32 @@ def test_registered_query(spark, sf):
             vec[r["doc_id"]] = np.array(sorted(m))
     want, got = _exact(vec, 0.95), {(r["a"], r["b"]) for r in QUERIES["semantic_variants"](spark, sf).collect()}
     assert got <= set(want) and len(got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_prints_meet_in_cells_and_each_pair_comes_once(spark, monkeypatch, cell):
+    """Many documents that are nearly alike agree in most bands; no row is made for a pair and a band, nor a fingerprint sent to a pair."""
+    monkeypatch.setattr(dealt.blocks, "__defaults__", (cell,))
+    rng = np.random.default_rng(8)
+    m = np.tile(rng.integers(0, 1 << 31, semantic.VALUES), (50, 1))
+    for row in m:
+        at = rng.permutation(semantic.VALUES)[: rng.integers(0, 180)]
+        row[at] = rng.integers(0, 1 << 31, len(at))
+    found = semantic.candidates(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "document_id long, fingerprint array<long>"))
+    assert "arrays_zip" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["a"], r["b"]) for r in found.collect()]
+    low = m & 0xFFFF
+    same = lambda a, b: low[a] == low[b]
+    want = {(a, b) for a in range(50) for b in range(a + 1, 50) if same(a, b).sum() >= semantic.AGREE and same(a, b).reshape(-1, semantic.BAND).all(1).any()}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("long, work", [(1024, 1), (1024, 1 << 26), (3, 1 << 20)])
+def test_similarity_by_cells_of_any_size(spark, long, work):
+    rng = np.random.default_rng(9)
+    vec = {f"d{i}": rng.standard_normal((rng.integers(1, 6), 16)) for i in range(12)}
+    vec = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in vec.items()}
+    chunks = spark.createDataFrame([(k, x.tolist()) for k, v in vec.items() for x in v], "document_id string, embedding array<double>")
+    want = _exact(vec, -2)
+    got = {(r["a"], r["b"]): r["similarity"] for r in semantic.similarity(spark.createDataFrame(list(want), "a string, b string"), chunks, long, work).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
