@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -95,25 +96,35 @@ def format_of(path: Column) -> Column:
     return F.try_element_at(table, ext)
 
 
+def _held(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, where value is worked out once however often ``of`` names it: inside a lambda nothing else is shared."""
+    return F.transform(F.array(value), of)[0]
+
+
 def detect_language(text: Column) -> Column:
     """en, fr or de by stop words in the first 3000 characters; accents and contractions speak for French; ties en, fr, de."""
-    head = F.substring(text, 1, 3000)
-    low = F.lower(head)
-    seen = F.array_distinct(F.split(low, r"[^\p{L}\p{N}_]+"))  # one pass; a word list then costs one intersection
-    count = lambda words: F.size(F.array_intersect(seen, F.array(*map(F.lit, words))))
-    accents = F.length(F.regexp_replace(low, f"[^{fixed.FRENCH_LETTERS}]", ""))
-    contractions = F.regexp_count(head, F.lit(r"(?:(?<![\p{L}\p{N}_])[lLdDnNsS]'|qu'|j')"))
-    fr = count(fixed.FRENCH) + F.when(accents >= 2, accents * 2).otherwise(0) + contractions * 3
-    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate((("en", count(fixed.ENGLISH)), ("fr", fr), ("de", count(fixed.GERMAN))))]
-    return F.array_max(F.array(*ranked))["k"]
+
+    def ranked(head: Column, low: Column, seen: Column) -> Column:
+        count = lambda words: F.size(F.array_intersect(seen, F.array(*map(F.lit, words))))
+        accents = _held(F.regexp_count(low, F.lit(f"[{fixed.FRENCH_LETTERS}]")), lambda n: F.when(n >= 2, n * 2).otherwise(0))
+        # both patterns look for an apostrophe, and most texts have none
+        contractions = F.when(~F.contains(head, F.lit("'")), 0).otherwise(F.regexp_count(head, F.lit(r"(?:(?<![\p{L}\p{N}_])[lLdDnNsS]'|qu'|j')")))
+        fr = count(fixed.FRENCH) + accents + contractions * 3
+        each = (("en", count(fixed.ENGLISH)), ("fr", fr), ("de", count(fixed.GERMAN)))
+        return F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, n) in enumerate(each)]))["k"]
+
+    # one pass for the words; a word list then costs one intersection
+    words = lambda low: F.split(low, r"[^\p{L}\p{N}_]+")
+    return _held(F.substring(text, 1, 3000), lambda head: _held(F.lower(head), lambda low: _held(words(low), lambda seen: ranked(head, low, seen))))
 
 
 def chunk_languages(text: Column, least: int = 10) -> Column:
     """struct(primary, secondary array, multilingual): other languages of sentences of at least ``least`` words, sorted."""
-    sentences = F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) >= least)
-    primary = detect_language(text)
-    others = F.array_sort(F.array_distinct(F.filter(F.transform(sentences, detect_language), lambda k: k != primary)))
-    return F.struct(primary.alias("primary"), others.alias("secondary"), (F.size(others) > 0).alias("multilingual"))
+    enough = lambda s: s.rlike(rf"^\s*+(?:\S++\s++){{{least - 1}}}\S") if least > 0 else F.lit(True)
+    sentences = F.filter(F.split(text, r"[.!?]\s+"), enough)
+    others = lambda primary: F.array_sort(F.array_except(F.transform(sentences, detect_language), F.array(primary)))
+    whole = lambda primary, found: F.struct(primary.alias("primary"), found.alias("secondary"), (F.size(found) > 0).alias("multilingual"))
+    return _held(detect_language(text), lambda primary: _held(others(primary), lambda found: whole(primary, found)))
 
 
 def document_id(at: Column, unique: Column | None = None) -> Column:

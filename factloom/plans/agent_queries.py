@@ -278,7 +278,7 @@ def first_by_name(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_languages(spark: SparkSession, d: str) -> DataFrame:
     """Languages of each document with those of its longer sentences."""
-    return spread(table(spark, d, "documents")).select("doc_id", X.chunk_languages(F.col("text")).alias("l")).select("doc_id", "l.primary", "l.secondary", "l.multilingual")
+    return spread(table(spark, d, "documents")).select("doc_id", F.inline(F.array(X.chunk_languages(F.col("text")))))
 
 
 @query()

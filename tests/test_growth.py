@@ -163,3 +163,33 @@ def test_windows_are_hashed_in_small_stretches_of_text():
     assert peak < 40e6
     each = pa.Table.from_batches([o for i in range(1000) for o in W._mark(50)([b.slice(i, 1)])])
     assert whole.to_pylist() == each.to_pylist()
+
+
+def test_languages_of_sentences_look_at_the_text_once(spark, tmp_path):
+    """The first 3,000 characters of a document were gone through again for each of its sentences, and for each word list of each; what is said of odd texts is as in plain Python."""
+    import random
+    import re
+
+    from factloom.functions import fixed
+    from factloom.plans.agent_queries import chunk_languages
+
+    def told(text):
+        head = text[:3000]
+        low = head.lower()
+        seen = set(re.split(r"\W+", low))
+        accents = sum(c in fixed.FRENCH_LETTERS for c in low)
+        contractions = len(re.findall(r"(?:(?<!\w)[lLdDnNsS]'|qu'|j')", head))
+        n = {"en": len(seen & set(fixed.ENGLISH)), "fr": len(seen & set(fixed.FRENCH)) + (accents * 2 if accents >= 2 else 0) + contractions * 3, "de": len(seen & set(fixed.GERMAN))}
+        return max(n, key=n.get)
+
+    r = random.Random(1)
+    parts = ["les", "des", "une", "The", "and", "is", "der", "UND", "ein", "l'eau", "xl'", "d'", "qu'on", "Aj'", "été", "À", "a_b", "9", "...", "?!", "! ", ". ", ". ", ".\n", "'", "\t"]
+    texts = ["", " ", ". ", "The " + "and is. " * 900] + [r.choice([" ", "  "]).join(r.choice(parts) for _ in range(r.choice([3, 15, 60, 900]))) for _ in range(300)]
+    spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = chunk_languages(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("substring(text") == 1
+    got = {x["doc_id"]: (x["primary"], x["secondary"], x["multilingual"]) for x in out.collect()}
+    assert got.pop(len(texts)) == ("en", None, None) and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        others = {told(s) for s in re.split(r"[.!?][ \t\n]+", text) if len(s.split()) >= 10} - {told(text)}
+        assert got[i] == (told(text), sorted(others), bool(others)), text
