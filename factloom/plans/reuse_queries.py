@@ -40,6 +40,14 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("document_id", "position", (F.col("rank") + 1).alias("rank"), "hit.*").withColumn("relevance_score", F.round("relevance_score", 6))
 
 
+def _write_runs(files: DataFrame, at: str, each: int = 200) -> None:
+    """A file each of files (document_id, run_id, value), about ``each`` a task: making a file costs far more than its bytes, by which Spark would merge tasks. Tasks put their files in place themselves, not the driver one by one at the end."""
+    files = settle(files, "files")
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // each))
+    out = files.repartition(tasks, "document_id", "run_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy("document_id", "run_id").text(at)
+
+
 _MENTIONS = "SELECT seq // 80 AS doc, subject AS node_id, confidence FROM raw UNION ALL SELECT seq // 80, object, confidence FROM raw"
 
 
@@ -56,7 +64,7 @@ def graph_rebuild(spark: SparkSession, d: str) -> DataFrame:
     newer = listed(n, "nodes").join(listed(e, "links"), "document_id").select("document_id", F.lit("r2").alias("run_id"), F.to_json(F.struct("nodes", "links")).alias("value"))
     older = listed(n.withColumn("occurrence_count", F.lit(1000)), "nodes").select("document_id", F.lit("r1").alias("run_id"), F.to_json(F.struct("nodes")).alias("value"))
     at = folder(spark, "runs")
-    newer.union(older).repartition("document_id").write.partitionBy("document_id", "run_id").text(at)
+    _write_runs(newer.union(older), at)
     built = rebuild.Rebuild(spark, folder(spark, "rebuilt"), layout=r"document_id=([^/]+)/run_id=([^/]+)/")
     built.update(at, "*.txt")
     built.update(at, "*.txt")

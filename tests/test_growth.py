@@ -193,3 +193,19 @@ def test_languages_of_sentences_look_at_the_text_once(spark, tmp_path):
     for i, text in enumerate(texts):
         others = {told(s) for s in re.split(r"[.!?][ \t\n]+", text) if len(s.split()) >= 10} - {told(text)}
         assert got[i] == (told(text), sorted(others), bool(others)), text
+
+
+def test_files_of_runs_are_written_by_many_tasks(spark, sf):
+    """Tables of few bytes that become very many files: all of them were one task's work."""
+    from pathlib import Path
+
+    from factloom.plans.reuse_queries import graph_rebuild
+    from factloom.shared import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("factloom-runs-*"))
+    graph_rebuild(spark, sf)
+    (runs,) = set(shared.glob("factloom-runs-*")) - before
+    files = [f.relative_to(runs).parts for f in runs.rglob("*.txt")]
+    assert len(files) == len({f[:2] for f in files}) == 16 and {f[1] for f in files} == {"run_id=r1", "run_id=r2"}
+    assert len({f[2].split("-")[1] for f in files}) > 2
