@@ -9,7 +9,7 @@ from factloom.functions.text import cluster_name
 from factloom.operators import modularity_moves
 from factloom.operators.dealt import meet, pairs
 from factloom.operators.graph import undirected
-from factloom.shared import settle
+from factloom.shared import settle, sorted_join
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -21,10 +21,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     near = settle(undirected(edges), "near")
     labels = settle(near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
     for _ in range(rounds):
-        around = near.join(labels, near["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
-        nearest = labels.join(around, labels["node"] == around["u"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
+        around = near.join(sorted_join(labels), near["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
+        nearest = labels.join(sorted_join(around), labels["node"] == around["u"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
         jump = nearest.select(F.col("node").alias("j"), F.col("label").alias("jl"))
-        new = settle(nearest.join(jump, nearest["label"] == jump["j"]).select("node", F.least("label", "jl").alias("label"), "old"), "labels")
+        new = settle(nearest.join(sorted_join(jump), nearest["label"] == jump["j"]).select("node", F.least("label", "jl").alias("label"), "old"), "labels")
         if new.filter("label != old").limit(1).count() == 0:
             break
         labels = new.select("node", "label")
@@ -43,10 +43,10 @@ def label_propagation(edges: DataFrame, rounds: int = 60, tolerance: float = 0.0
     labels = settle(near.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
     n = labels.count()
     for i in range(rounds):
-        seen = near.join(labels, near["v"] == labels["node"]).select("u", "label").union(labels.select("node", "label"))
+        seen = near.join(sorted_join(labels), near["v"] == labels["node"]).select("u", "label").union(labels.select("node", "label"))
         best = seen.groupBy("u", "label").agg(F.count("*").alias("n")).groupBy("u").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
         turn = F.pmod(F.xxhash64("node", F.lit(i // 2)) + F.lit(i % 2), F.lit(2)) == 0
-        wish = labels.join(best.select(F.col("u").alias("node"), F.col("b.label").alias("wish")), "node")
+        wish = labels.join(sorted_join(best.select(F.col("u").alias("node"), F.col("b.label").alias("wish"))), "node")
         moved = settle(wish.select("node", F.when(turn, F.col("wish")).otherwise(F.col("label")).alias("label"), (F.col("wish") != F.col("label")).alias("open")), "labels")
         labels = moved.select("node", "label")
         if moved.filter("open").count() <= tolerance * n:

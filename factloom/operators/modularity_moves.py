@@ -5,7 +5,8 @@ rounds, and nodes move up it in one and down in the other, so two nodes never sw
 many nodes crowd into one community, is undone and tried again with half as many movers. Refinement starts each node of a community by
 itself and lets single nodes join a neighbouring part, but never a node that moves itself, so
 parts always hang together. Parts become the nodes of the next level, which start out in
-the communities found so far. State is settled every round; the driver sees a few numbers.
+the communities found so far. State is settled every round; the driver sees a few numbers, and tables of nodes are
+merged by sorting, as a round would else send them through the driver again (only the graphs' masses, a row each, may be broadcast).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.shared import forget, settle
+from factloom.shared import forget, settle, sorted_join
 
 _EPS = 1e-9
 _ID = ["g", "node"]
@@ -36,8 +37,8 @@ def _score(around: DataFrame, labels: DataFrame, mass: DataFrame, resolution: fl
 
 def _around(near: DataFrame, labels: DataFrame) -> DataFrame:
     """(g, node, c, w, own): the weight of each node's links into each community around it."""
-    met = near.filter("u != v").join(labels.select("g", F.col("node").alias("v"), "c"), ["g", "v"]).groupBy("g", F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
-    return settle(met.join(labels.select("g", "node", F.col("c").alias("own")), _ID), "around")
+    met = near.filter("u != v").join(sorted_join(labels.select("g", F.col("node").alias("v"), "c")), ["g", "v"]).groupBy("g", F.col("u").alias("node"), "c").agg(F.sum("w").alias("w"))
+    return settle(met.join(sorted_join(labels.select("g", "node", F.col("c").alias("own"))), _ID), "around")
 
 
 def _moves(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: float, tolerance: float, rounds: int) -> DataFrame:
@@ -47,11 +48,11 @@ def _moves(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: floa
     share, quiet = 0, 0
     for turn in range(rounds):
         tot = labels.groupBy("g", "c").agg(F.sum("k").alias("t"))
-        part = around.filter("c != own").join(tot, ["g", "c"]).join(labels.select("g", "node", "k"), _ID).join(mass, "g")
+        part = around.filter("c != own").join(sorted_join(tot), ["g", "c"]).join(sorted_join(labels.select("g", "node", "k")), _ID).join(mass, "g")
         gain = F.col("w") - resolution * F.col("k") * F.col("t") / F.col("m2")
         best = part.groupBy("g", "node").agg(F.min(F.struct((-gain).alias("loss"), F.col("c").alias("to"))).alias("b"))
         kept = around.filter("c = own").select("g", "node", F.col("w").alias("w_own"))
-        mine = labels.join(best, _ID).join(kept, _ID, "left").join(tot.select("g", "c", "t"), ["g", "c"]).join(mass, "g")
+        mine = labels.join(sorted_join(best), _ID).join(sorted_join(kept), _ID, "left").join(sorted_join(tot.select("g", "c", "t")), ["g", "c"]).join(mass, "g")
         stay = F.coalesce("w_own", F.lit(0.0)) - resolution * F.col("k") * (F.col("t") - F.col("k")) / F.col("m2")
         want = -F.col("b.loss") > stay + _EPS
         now = want & (_rank(F.col("c"), turn) < _rank(F.col("b.to"), turn)) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << share)) == 0)
@@ -61,7 +62,7 @@ def _moves(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: floa
             break
         if not moving:
             continue
-        moved = settle(labels.join(asked.filter("to is not null").select("g", "node", "to"), _ID, "left").select("g", "node", "k", "loop", F.coalesce("to", "c").alias("c")), "labels")
+        moved = settle(labels.join(sorted_join(asked.filter("to is not null").select("g", "node", "to")), _ID, "left").select("g", "node", "k", "loop", F.coalesce("to", "c").alias("c")), "labels")
         then = _around(near, moved)
         after = _score(then, moved, mass, resolution)
         if after < score:
@@ -79,19 +80,19 @@ def _moves(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: floa
 def _refine(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: float, rounds: int) -> DataFrame:
     """labels with s: the part of its community that a node belongs to."""
     ends = labels.select("g", "node", "c")
-    inner = near.filter("u != v").join(ends.toDF("g", "u", "c"), ["g", "u"]).join(ends.toDF("g", "v", "cv"), ["g", "v"]).filter("c = cv").select("g", "u", "v", "w")
+    inner = near.filter("u != v").join(sorted_join(ends.toDF("g", "u", "c")), ["g", "u"]).join(sorted_join(ends.toDF("g", "v", "cv")), ["g", "v"]).filter("c = cv").select("g", "u", "v", "w")
     inner = settle(inner, "inner")
     parts = labels.withColumn("s", F.col("node"))
     for turn in range(rounds):
         size = parts.groupBy("g", "s").agg(F.sum("k").alias("t"), F.count("*").alias("n"))
-        alone = parts.join(size.filter("n = 1").select("g", "s"), ["g", "s"], "left_semi").select("g", "node", "k")
-        met = inner.join(parts.select("g", F.col("node").alias("v"), "s"), ["g", "v"]).join(alone.select("g", F.col("node").alias("u")), ["g", "u"], "left_semi")
+        alone = parts.join(sorted_join(size.filter("n = 1").select("g", "s")), ["g", "s"], "left_semi").select("g", "node", "k")
+        met = inner.join(sorted_join(parts.select("g", F.col("node").alias("v"), "s")), ["g", "v"]).join(sorted_join(alone.select("g", F.col("node").alias("u"))), ["g", "u"], "left_semi")
         met = met.filter("s != u").groupBy("g", F.col("u").alias("node"), "s").agg(F.sum("w").alias("w"))
         gain = F.col("w") - resolution * F.col("k") * F.col("t") / F.col("m2")
-        best = met.join(size.select("g", "s", "t"), ["g", "s"]).join(alone, _ID).join(mass, "g").groupBy("g", "node").agg(F.min(F.struct((-gain).alias("loss"), F.col("s").alias("to"))).alias("b")).filter(-F.col("b.loss") > _EPS)
+        best = met.join(sorted_join(size.select("g", "s", "t")), ["g", "s"]).join(sorted_join(alone), _ID).join(mass, "g").groupBy("g", "node").agg(F.min(F.struct((-gain).alias("loss"), F.col("s").alias("to"))).alias("b")).filter(-F.col("b.loss") > _EPS)
         wish = settle(best.select("g", "node", F.col("b.to").alias("to")), "wishes")
         # of two single nodes the lower one in this round's order may move; nobody joins a node that moves itself
-        theirs = lambda df, *more: df.select("g", F.col("node").alias("to"), *more)
+        theirs = lambda df, *more: sorted_join(df.select("g", F.col("node").alias("to"), *more))
         lower = F.xxhash64("node", F.lit(turn)) < F.xxhash64("to", F.lit(turn))
         may = wish.join(theirs(wish, F.lit(True).alias("wishing")), ["g", "to"], "left").select("g", "node", "to", (F.col("wishing").isNull() | lower).alias("may"))
         now = F.col("may") & ~F.coalesce("leaving", F.lit(False))
@@ -100,7 +101,7 @@ def _refine(near: DataFrame, labels: DataFrame, mass: DataFrame, resolution: flo
         if not wanting:
             break
         if moving:
-            parts = settle(parts.join(asked.filter("to is not null").select("g", "node", "to"), _ID, "left").select("g", "node", "k", "loop", "c", F.coalesce("to", "s").alias("s")), "parts")
+            parts = settle(parts.join(sorted_join(asked.filter("to is not null").select("g", "node", "to")), _ID, "left").select("g", "node", "k", "loop", "c", F.coalesce("to", "s").alias("s")), "parts")
     return parts
 
 
@@ -123,17 +124,17 @@ def communities(edges: DataFrame, by: str | None = None, resolution: float = 1.0
         parts = settle(_refine(near, labels, mass, resolution, rounds), "parts")
         n, groups, merged = parts.agg(F.count("*"), F.count_distinct("g", "c"), F.count_distinct("g", "s")).first()
         down = parts.select("g", "node", "s", "c")
-        member = down if member is None else settle(member.select("g", F.col("node").alias("x"), F.col("s").alias("node")).join(down, _ID).select("g", F.col("x").alias("node"), "s", "c"), "member")
+        member = down if member is None else settle(member.select("g", F.col("node").alias("x"), F.col("s").alias("node")).join(sorted_join(down), _ID).select("g", F.col("x").alias("node"), "s", "c"), "member")
         if merged == n or groups == n:
             break
         to = parts.select("g", "node", "s")
-        near = near.join(to.toDF("g", "u", "su"), ["g", "u"]).join(to.toDF("g", "v", "sv"), ["g", "v"]).groupBy("g", F.col("su").alias("u"), F.col("sv").alias("v")).agg(F.sum("w").alias("w"))
+        near = near.join(sorted_join(to.toDF("g", "u", "su")), ["g", "u"]).join(sorted_join(to.toDF("g", "v", "sv")), ["g", "v"]).groupBy("g", F.col("su").alias("u"), F.col("sv").alias("v")).agg(F.sum("w").alias("w"))
         near = settle(near, "near")
         start = parts.groupBy("g", F.col("s").alias("node")).agg(F.min("c").alias("c"))
-        labels = settle(nodes(near).join(start, _ID), "labels")
+        labels = settle(nodes(near).join(sorted_join(start), _ID), "labels")
     # moves of whole parts may leave a group in pieces: each piece is a group, and modularity only gains by that
     ends = member.select("g", "node", "c")
-    kept = first.join(ends.toDF("g", "u", "c"), ["g", "u"]).join(ends.toDF("g", "v", "cv"), ["g", "v"]).filter("c = cv").select("g", "u", "v")
+    kept = first.join(sorted_join(ends.toDF("g", "u", "c")), ["g", "u"]).join(sorted_join(ends.toDF("g", "v", "cv")), ["g", "v"]).filter("c = cv").select("g", "u", "v")
     out = _pieces(kept, ends)
     name = [F.col("g").alias(by)] if by else []
     return out.select(*name, "node", "component")
@@ -144,10 +145,10 @@ def _pieces(inner: DataFrame, ends: DataFrame, rounds: int = 60) -> DataFrame:
     inner = settle(inner, "kept")
     labels = settle(ends.select("g", "node", F.col("node").alias("label")), "pieces")
     for _ in range(rounds):
-        around = inner.join(labels.select("g", F.col("node").alias("v"), "label"), ["g", "v"]).groupBy("g", F.col("u").alias("node")).agg(F.min("label").alias("m"))
-        least = labels.join(around, _ID, "left").select("g", "node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
+        around = inner.join(sorted_join(labels.select("g", F.col("node").alias("v"), "label")), ["g", "v"]).groupBy("g", F.col("u").alias("node")).agg(F.min("label").alias("m"))
+        least = labels.join(sorted_join(around), _ID, "left").select("g", "node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         jump = least.select("g", F.col("node").alias("label"), F.col("label").alias("further"))
-        new = settle(least.join(jump, ["g", "label"]).select("g", "node", F.least("label", "further").alias("label"), "old"), "pieces")
+        new = settle(least.join(sorted_join(jump), ["g", "label"]).select("g", "node", F.least("label", "further").alias("label"), "old"), "pieces")
         if new.filter("label != old").isEmpty():
             break
         labels = new.select("g", "node", "label")

@@ -50,6 +50,11 @@ def settle(df: DataFrame, name: str = "part") -> DataFrame:
     return out
 
 
+def sorted_join(side: DataFrame) -> DataFrame:
+    """A side of a join that is merged by sorting, never broadcast: for tables that grow with the input and are joined in every round."""
+    return side.hint("merge")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one for files that aren't tables; ``forget()`` deletes it, too."""
     path = f"{shared_dir(spark)}/factloom-{name}-{uuid.uuid4().hex}"

@@ -209,3 +209,28 @@ def test_files_of_runs_are_written_by_many_tasks(spark, sf):
     files = [f.relative_to(runs).parts for f in runs.rglob("*.txt")]
     assert len(files) == len({f[:2] for f in files}) == 16 and {f[1] for f in files} == {"run_id=r1", "run_id=r2"}
     assert len({f[2].split("-")[1] for f in files}) > 2
+
+
+def test_rounds_of_communities_broadcast_no_table_of_nodes(spark, monkeypatch):
+    """Tables of nodes went through the driver at each join of each round while they were small enough to be broadcast."""
+    import re
+
+    from factloom.operators import communities, modularity_moves
+    from factloom.shared import settle
+
+    edges = settle(spark.range(300).select(F.col("id").cast("string").alias("src"), (F.col("id") % 5 + 5000).cast("string").alias("dst")), "edges")
+    plans = []
+
+    def told(df, name="part"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, name)
+
+    for module in (communities, modularity_moves):
+        monkeypatch.setattr(module, "settle", told)
+    groups = modularity_moves.communities(edges, rounds=2, levels=1)
+    label = communities.label_propagation(edges)
+    # a graph's mass is one row, its key the graph
+    keys = [k for plan in plans for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)]
+    assert len(plans) > 10 and [k for k in keys if not re.fullmatch(r"g#\d+L?", k)] == []
+    for rows in (groups.collect(), label.collect()):
+        assert len(rows) == 305 and {r["node"] for r in rows} == {str(i) for i in [*range(300), *range(5000, 5005)]}
