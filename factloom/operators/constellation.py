@@ -19,7 +19,8 @@ def anchor(title: Column, content: Column) -> Column:
     """16 hex digits of a section: its title, first and last sentence, in lower case; the separator is no character of a sentence."""
     plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
     text = plain(content)
-    first, last = F.regexp_extract(text, r"^[^.!?]*[.!?]*", 0), F.regexp_extract(text, r"[^.!?]*[.!?]*$", 0)
+    # the last sentence is looked for from the end: from the start, each character of a sentence before it was tried to its end
+    first, last = F.regexp_extract(text, r"^[^.!?]*+[.!?]*+", 0), F.regexp_extract(text, r"(?s)^(?:.*[.!?](?=[^.!?]))?(.*)\z", 1)
     return F.substring(F.sha2(F.concat_ws("\n", plain(title), F.trim(first), F.trim(last)).cast("binary"), 256), 1, 16)
 
 

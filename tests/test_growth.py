@@ -234,3 +234,28 @@ def test_rounds_of_communities_broadcast_no_table_of_nodes(spark, monkeypatch):
     assert len(plans) > 10 and [k for k in keys if not re.fullmatch(r"g#\d+L?", k)] == []
     for rows in (groups.collect(), label.collect()):
         assert len(rows) == 305 and {r["node"] for r in rows} == {str(i) for i in [*range(300), *range(5000, 5005)]}
+
+
+def test_last_sentence_is_found_from_the_end(spark):
+    """Every character of a sentence before the last one was tried to that sentence's end: the square of its length."""
+    import hashlib
+    import random
+    import re
+    import time
+
+    from factloom.operators.constellation import anchor
+
+    digits = lambda first, last: hashlib.sha256("\n".join(["", first.strip(" "), last.strip(" ")]).encode()).hexdigest()[:16]
+
+    def told(text):
+        text = re.sub(r"[ \t\n\r\f\v]+", " ", text).strip(" ").lower()
+        return digits(re.match(r"[^.!?]*[.!?]*", text)[0], re.search(r"[^.!?]*[.!?]*\Z", text)[0])
+
+    r = random.Random(2)
+    texts = ["", ".", "?! ", "a", "a.", ".a", ". a", "a. b", "a. b!?", "a...b", "..a..b.."] + ["".join(r.choice("aB .!?\né") for _ in range(r.randrange(1, 30))) for _ in range(300)]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", anchor(F.lit(""), F.col("t")).alias("a"))
+    assert {x["i"]: x["a"] for x in frame(texts).collect()} == {i: told(t) for i, t in enumerate(texts)}
+    long = "word " * 50_000 + ". The end."
+    began = time.monotonic()
+    (row,) = frame([long]).collect()
+    assert time.monotonic() - began < 5 and row["a"] == digits("word " * 50_000 + ".", "the end.")
