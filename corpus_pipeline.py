@@ -14,7 +14,7 @@ from factloom.llm import quality
 from factloom.llm.decontaminate import drop_leaks
 from factloom.llm.exact_dedup import drop_exact_duplicates
 from factloom.llm.minhash import drop_near_duplicates
-from factloom.llm.pieces import decode, sample_encode
+from factloom.llm.pieces import encode_decoded
 from factloom.llm.toxicity import keep_scored
 from factloom.shared import settle, table
 
@@ -42,8 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, pieces (one sampled segmentation, drawn by doc_id), n_pieces, the decoded text, lang, source, n_chars."""
     keep = tuple(c for c in ("lang", "source", "n_chars") if c in docs.columns)
-    encoded = sample_encode(docs, keep=keep).withColumn("n_pieces", F.size("pieces"))
-    return decode(encoded, keep=(*keep, "pieces", "n_pieces"))
+    return encode_decoded(docs, keep=keep).select("doc_id", "text", *keep, "pieces", F.size("pieces").alias("n_pieces"))
 
 
 STAGES = [

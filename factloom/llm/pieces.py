@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,6 +282,44 @@ def _row_keys(ids: np.ndarray) -> np.ndarray:
     return T.mix(ids.astype(np.int64).view(T.U))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """(id, text, kept columns) of rows with an id, and the names of the kept ones in it."""
+    inner = [f"k{i}" for i in range(len(keep))]  # kept columns may have any name
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)]), inner
+
+
+def _encoder(vocab: Broadcast, alpha: float, seed: int, inner: list[str]):
+    """Rows (id, text, kept ones) -> (id, pieces, kept ones)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = _row_keys(T.id_array(b.column(0)))
+            _, off = T.string_bytes(b.column(1))
+            for i, j in T.chunks(off, ENCODED):
+                part = b.slice(i, j - i)
+                ids, cut = encode_texts(vocab.value, part.column(1).to_pylist(), keys[i:j], alpha, seed)
+                pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
+                yield pa.record_batch([part.column(0), pieces, *part.columns[2:]], names=["id", "pieces", *inner])
+
+    return run
+
+
+def _decoder(vocab: Broadcast, inner: list[str]):
+    """Rows (id, pieces, kept ones) -> (id, text, kept ones)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                lists = part.column(1)
+                off = lists.offsets.to_numpy().astype(np.int64)
+                ids = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+                texts = [t.decode(errors="replace") for t in decode_ids(vocab.value, ids, off - off[0])]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *inner])
+
+    return run
+
+
 def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
     """Rows (id, pieces array<int>, keep...): one sampled segmentation of each text, drawn by the row's id.
 
@@ -292,21 +331,10 @@ def sample_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # a vocabulary: a fixed size
     if "pieces" in keep or id_col in keep:
         raise ValueError("pieces and the id are in the result anyway; name the column otherwise")
-    inner = [f"k{i}" for i in range(len(keep))]  # kept columns may have any name
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)])
+    rows, inner = _rows(docs, id_col, text_col, keep)
     schema = ", ".join(["id long", "pieces array<int>", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner)])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = _row_keys(T.id_array(b.column(0)))
-            _, off = T.string_bytes(b.column(1))
-            for i, j in T.chunks(off, ENCODED):
-                part = b.slice(i, j - i)
-                ids, cut = encode_texts(vocab.value, part.column(1).to_pylist(), keys[i:j], alpha, seed)
-                pieces = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids))
-                yield pa.record_batch([part.column(0), pieces, *part.columns[2:]], names=["id", "pieces", *inner])
-
-    return spread(rows).mapInArrow(run, schema).toDF(id_col, "pieces", *keep)
+    return spread(rows).mapInArrow(_encoder(vocab, alpha, seed, inner), schema).toDF(id_col, "pieces", *keep)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
@@ -322,24 +350,31 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(pieces_col), F.array().cast("array<int>")).alias("pieces"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)])
     schema = ", ".join(["id long", "text string", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner)])
 
+    return spread(rows).mapInArrow(_decoder(vocab, inner), schema).toDF(id_col, "text", *keep)
+
+
+def encode_decoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
+    """Rows (id, text, pieces, keep...): ``decode`` of what ``sample_encode`` gives, with its pieces, in one pass.
+
+    One after the other in a plan they hold two Python workers a task, and executors keep them for all later work.
+    """
+    small_batches(docs.sparkSession)
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    if {"pieces", "text", id_col} & set(keep):
+        raise ValueError("pieces, text and the id are in the result anyway; name the column otherwise")
+    rows, inner = _rows(docs, id_col, text_col, keep)
+    schema = ", ".join(["id long", "text string", "pieces array<int>", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in inner)])
+    encoder, decoder = _encoder(vocab, alpha, seed, inner), _decoder(vocab, ["pieces", *inner])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                lists = part.column(1)
-                off = lists.offsets.to_numpy().astype(np.int64)
-                ids = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)[off[0] : off[-1]]
-                texts = [t.decode(errors="replace") for t in decode_ids(vocab.value, ids, off - off[0])]
-                yield pa.record_batch([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], names=["id", "text", *inner])
+        return decoder(pa.record_batch([*b.columns[:2], *b.columns[1:]], names=["id", "of", *b.schema.names[1:]]) for b in encoder(batches))
 
-    return spread(rows).mapInArrow(run, schema).toDF(id_col, "text", *keep)
+    return spread(rows).mapInArrow(run, schema).toDF(id_col, "text", "pieces", *keep)
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0, model: str = MODEL) -> DataFrame:
     """(id, n_pieces, pieces_sha256, text_sha256 of the decoded text, lossless) for each document."""
     marked = docs.withColumn("source_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    encoded = sample_encode(marked, id_col, text_col, alpha, seed, ("source_sha",), model)
-    encoded = encoded.withColumns({"n_pieces": F.size("pieces").cast("long"), "pieces_sha256": F.sha2(F.array_join("pieces", " ").cast("binary"), 256)})
-    decoded = decode(encoded, id_col, "pieces", ("source_sha", "n_pieces", "pieces_sha256"), model)
+    both = encode_decoded(marked, id_col, text_col, alpha, seed, ("source_sha",), model)
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    return decoded.select(id_col, "n_pieces", "pieces_sha256", sha.alias("text_sha256"), (sha == F.col("source_sha")).alias("lossless"))
+    return both.select(id_col, F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", " ").cast("binary"), 256).alias("pieces_sha256"), sha.alias("text_sha256"), (sha == F.col("source_sha")).alias("lossless"))

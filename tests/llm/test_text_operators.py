@@ -402,6 +402,21 @@ def vocab():
     return pieces.Vocabulary()
 
 
+def test_one_worker_a_task_encodes_and_decodes(spark, odd_docs):
+    """Two Python steps in one plan hold two workers a task, and executors keep all four of them; what comes out is as in two steps."""
+    import corpus_pipeline
+
+    kept = odd_docs.withColumnRenamed("n", "n_chars")
+    both = corpus_pipeline.sentencepiece(spark, kept, "")
+    for df in (both, pieces.round_trip(spark, odd_docs)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    encoded = pieces.sample_encode(odd_docs, keep=("n",)).withColumn("n_pieces", F.size("pieces"))
+    want = pieces.decode(encoded, keep=("n", "pieces", "n_pieces")).withColumnRenamed("n", "n_chars")
+    assert both.columns == want.columns and sorted(map(repr, both.collect())) == sorted(map(repr, want.collect()))
+    with pytest.raises(ValueError):
+        pieces.encode_decoded(odd_docs.withColumnRenamed("n", "pieces"), keep=("pieces",))
+
+
 def test_round_trip_and_reproducible(spark, odd_docs, no_docs):
     got = pieces.round_trip(spark, odd_docs)
     assert got.filter("lossless").count() == odd_docs.count()
