@@ -168,18 +168,32 @@ def prune(results: DataFrame, level: str, k: int | None = None) -> DataFrame:
     return results.filter(F.col("score") >= fixed.PRUNE[level]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= (k or fixed.TOP_K[level]))
 
 
-def needs_chunks(queries: DataFrame, entity_results: DataFrame, below: float = 0.6) -> DataFrame:
+def needs_chunks(queries: DataFrame, entity_results: DataFrame, below: float = 0.6, order: str | None = None) -> DataFrame:
     """Queries whose entity scores average under the limit, or that have none.
 
     Scores are added as decimals, so a mean that is the limit itself is not under it, in whatever order rows come. A query with a
-    score that is no such number (NaN, 1e20 or more) has its mean by doubles.
+    score that is no such number (NaN, 1e20 or more) has its mean by doubles. With ``order`` (a column of entity_results, unique in a query)
+    it is the mean of doubles added one after the other in that order, as an engine has it that reads rows so; only where rounding can decide, rows are put in order for it.
     """
     exact = F.col("score").try_cast("decimal(38,18)")
-    sums = entity_results.groupBy("query_id").agg(F.sum(exact).alias("_t"), F.count(exact).alias("_m"), F.count("score").alias("_n"), F.avg("score").alias("_avg"))
+    sums = entity_results.groupBy("query_id").agg(F.sum(exact).alias("_t"), F.count(exact).alias("_m"), F.count("score").alias("_n"), F.avg("score").alias("_avg"), F.sum(F.abs("score")).alias("_size"))
     fits = (F.col("_m") == F.col("_n")) & F.col("_t").isNotNull()
     mean = F.when(fits, F.col("_t").cast("double") / F.col("_n")).otherwise(F.col("_avg"))
-    under = F.when(fits, F.col("_t") < F.lit(Decimal(str(below))) * F.col("_n")).otherwise(F.coalesce("_avg", F.lit(0.0)) < below)
-    return queries.select("query_id").join(sums.select("query_id", mean.alias("mean_score"), under.alias("_under")), "query_id", "left").select("query_id", "mean_score", F.coalesce("_under", F.lit(0.0 < below)).alias("fallback"))
+    limit = F.lit(Decimal(str(below))) * F.col("_n")
+    under = F.when(fits, F.col("_t") < limit).otherwise(F.coalesce("_avg", F.lit(0.0)) < below)
+    if order is None:
+        known = sums.select("query_id", mean.alias("mean_score"), under.alias("_under"))
+    else:
+        # adding n doubles errs by less than n halves of the last place of their sizes' sum
+        sums = settle(sums, "sums")
+        open_ = (F.col("_n") > 0) & ~F.coalesce(fits & (F.abs(F.col("_t") - limit).cast("double") > F.col("_n") * 2.0**-50 * (F.col("_size") + F.abs(limit).cast("double"))), F.lit(False))
+        w = Window.partitionBy("query_id").orderBy(order, "score")
+        rows = entity_results.filter("score is not null").join(sums.filter(open_).select("query_id", "_n"), "query_id")
+        added = rows.select("query_id", "_n", F.row_number().over(w).alias("_r"), (F.sum(F.col("score").cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("_n")).alias("_mean")).filter("_r = _n")
+        both = sums.join(added.select("query_id", "_mean"), "query_id", "left")
+        in_order = F.col("_mean").isNotNull()
+        known = both.select("query_id", F.when(in_order, F.col("_mean")).otherwise(mean).alias("mean_score"), F.when(in_order, F.col("_mean") < below).otherwise(under).alias("_under"))
+    return queries.select("query_id").join(known, "query_id", "left").select("query_id", "mean_score", F.coalesce("_under", F.lit(0.0 < below)).alias("fallback"))
 
 
 def fit_budget(results: DataFrame, tokens: int = fixed.CONTEXT_TOKENS) -> DataFrame:

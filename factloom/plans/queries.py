@@ -553,8 +553,8 @@ def entity_retrieval(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH e AS (SELECT o_custkey AS query_id, (o_orderkey % 100) / 100.0 AS s FROM orders), m AS (SELECT query_id, avg(s) AS m FROM e GROUP BY query_id) SELECT c_custkey AS query_id, round(m, 6) AS mean_score, coalesce(m, 0) < 0.6 AS fallback FROM customer LEFT JOIN m ON query_id = c_custkey")
 def chunk_fallback(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
-    e = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), ((F.col("o_orderkey") % 100) / 100).alias("score"))
-    return retrieval.needs_chunks(q, e).withColumn("mean_score", F.round("mean_score", 6))
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), ((F.col("o_orderkey") % 100) / 100).alias("score"), "o_orderkey")
+    return retrieval.needs_chunks(q, e, order="o_orderkey").withColumn("mean_score", F.round("mean_score", 6))
 
 
 _BUDGET = "t AS (SELECT conv_id AS query_id, turn AS ord, CASE turn % 3 WHEN 0 THEN 'community_summary' WHEN 1 THEN 'entity_profile' ELSE 'chunk' END AS source_type, text AS content, sum(length(text)) OVER w AS z FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), o AS (SELECT *, z - length(content) AS a, sum((z > 800)::INT) OVER (PARTITION BY query_id ORDER BY ord) AS over FROM t), fit AS (SELECT query_id, ord, source_type, CASE WHEN over = 0 THEN content ELSE substr(content, 1, (800 - a)::INT) || '...' END AS content FROM o WHERE over = 0 OR (over = 1 AND 800 - a > 100))"

@@ -15,6 +15,28 @@ def test_a_mean_at_the_limit_is_not_under_it(spark):
     assert got == {"at": False, "under": True, "over": False, "none": True, "odd": False, "absent": True}
 
 
+def test_a_mean_at_the_limit_is_that_of_doubles_in_their_order(spark, tmp_path):
+    """Customers whose orders average 0.6, in orders of their own, against the SQL over rows in that order."""
+    import itertools
+
+    import duckdb
+
+    from factloom.registry import QUERIES, SQL
+
+    hundredths = list(itertools.islice(itertools.permutations([58, 59, 84, 70, 57, 35, 57]), 0, 5040, 97))
+    orders = [(100 * (7 * c + i) + h, c) for c, row in enumerate(hundredths) for i, h in enumerate(row)]
+    orders += [(1_000_000, 900), (1_000_061, 901)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c,) for c in [*range(len(hundredths)), 900, 901, 902]], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(SQL["chunk_fallback"]).fetchall()}
+    assert {want[c][1] for c in range(len(hundredths))} == {True, False} and [want[c][1] for c in (900, 901, 902)] == [True, False, True]
+    assert {r["query_id"]: (r["mean_score"], r["fallback"]) for r in QUERIES["chunk_fallback"](spark, str(tmp_path)).collect()} == want
+
+
 def test_facts_of_one_row_group_are_dealt_out(spark, sf, tmp_path):
     """However many rows a file has in one piece, a task gets only so many bytes of it."""
     from factloom.plans import inputs as I
