@@ -1,7 +1,8 @@
 """Semantic fingerprints: documents whose chunks mean the same, though their words differ.
 
-A chunk's embedding falls into one cell of each of several tables of random hyperplanes; a document is the set of its cells, and its
-fingerprint the MinHash of that set. Documents that agree in a band of it, and then in enough of it, are compared by their chunks: the similarity of two is
+In each of many random directions a document stands for the chunk that lies furthest out, and that one for its cell of a table of random
+hyperplanes; these cells are the document's fingerprint. It doesn't fill up as documents grow: long ones have no more values in common by chance than short ones. Documents that agree in
+a band of it, and then in enough of it, are compared by their chunks: the similarity of two is
 the mean, over the chunks of both, of the cosine with the nearest chunk of the other. Documents of equal embedding sets are one
 class, of which one is compared.
 """
@@ -22,48 +23,41 @@ from factloom.operators.dealt import blocks, meet
 from factloom.operators.retrieval import _unit
 from factloom.shared import settle
 
-#: Tables of hyperplanes, hyperplanes of one, values of a fingerprint, of a band, and of those that must agree beyond it.
-TABLES, BITS, VALUES, BAND, AGREE = 16, 6, 192, 3, 30
+#: Hyperplanes of a table, tables (a direction and a value of a fingerprint each), values of a band, and of those that must agree beyond it.
+BITS, VALUES, BAND, AGREE = 7, 192, 3, 30
 #: Chunks of a document that is compared row by row, and products (with some for each chunk that is sent) of one cell.
-LONG, WORK = 1024, 1 << 26
+LONG, WORK = 1024, 1 << 24
 _SEED = 20240229
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit finalizer: every bit of the input changes half of the output's."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def cells(vectors: np.ndarray, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
-    """One cell of each table a vector: table number and signs. Tables depend on nothing but the vectors' size."""
-    planes = np.random.default_rng(_SEED).standard_normal((vectors.shape[1], tables * bits))
-    signs = (vectors @ planes > 0).reshape(len(vectors), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+def cells(vectors: np.ndarray, values: int = VALUES, bits: int = BITS) -> np.ndarray:
+    """For each vector and table how far out it lies in the table's direction (at length one, in 2**-24) and its cell (signs). Tables depend on nothing but the vectors' size."""
+    tables = np.random.default_rng(_SEED).standard_normal((vectors.shape[1], values * (bits + 1)))
+    out = np.empty((len(vectors), values, 2), np.int64)
+    for at in range(0, len(vectors), 512):
+        v = vectors[at : at + 512]
+        x = (v @ tables).reshape(-1, bits + 1, values)
+        out[at : at + 512, :, 0] = np.rint(x[:, 0] / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-10) * 2.0**24)
+        out[at : at + 512, :, 1] = sum((x[:, i + 1] > 0).astype(np.int64) << i for i in range(bits))
+    return out
 
 
-def minhash(cell: np.ndarray, values: int = VALUES) -> np.ndarray:
-    """The least of each of ``values`` hashes over each row's cells, 31 bits."""
-    salts = _mixed(np.arange(1, values + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = np.empty((len(cell), values), np.int64)
-    for at in range(0, len(cell), 256):
-        hashed = _mixed(cell[at : at + 256, :, None].astype(np.uint64) + salts[None, None, :])
-        out[at : at + 256] = (hashed >> np.uint64(33)).min(1).astype(np.int64)
-    return out
+def minhash(cell: np.ndarray) -> np.ndarray:
+    """Values of which the least over a document's vectors is that of the one furthest out; its cell is the last 16 bits."""
+    return -cell[..., 0] << 16 | cell[..., 1]
 
 
 def classes(chunks: DataFrame) -> DataFrame:
     """(document_id, class_id): documents with equal sets of embeddings (document_id, embedding) are one class, named by its least id. Null and empty embeddings don't count."""
-    each = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", F.sha2(F.to_json(F.struct("embedding")), 256).alias("h")).distinct()
-    # a set is known by its size and two sums of hashes, so no list of a document's chunks is gathered
-    part = lambda a: F.sum(F.conv(F.substring("h", a, 15), 16, 10).cast("decimal(38,0)"))
-    sets = each.groupBy("document_id").agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    each = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", F.xxhash64("embedding").alias("h"), F.xxhash64(F.lit(_SEED), "embedding").alias("g")).distinct()
+    # a set is known by its size and two sums of independent hashes, so no list of a document's chunks is gathered
+    part = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
+    sets = each.groupBy("document_id").agg(F.count("*").alias("n"), part("h").alias("a"), part("g").alias("b"))
     return sets.join(sets.groupBy("n", "a", "b").agg(F.min("document_id").alias("class_id")), ["n", "a", "b"]).select("document_id", "class_id")
 
 
 def fingerprints(chunks: DataFrame) -> DataFrame:
-    """(document_id, fingerprint): MinHash values of the cells of its chunks (document_id, embedding). Minima are taken a batch at a time, then by the shuffle."""
+    """(document_id, fingerprint): the least values (``minhash``) of its chunks (document_id, embedding). Minima are taken a batch at a time, then by the shuffle."""
     kind = chunks.schema["document_id"].dataType.simpleString()
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +66,8 @@ def fingerprints(chunks: DataFrame) -> DataFrame:
                 order = pdf["document_id"].argsort(kind="stable").to_numpy()
                 ids = pdf["document_id"].to_numpy()[order]
                 first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                least = np.minimum.reduceat(minhash(cells(_unit(pdf["embedding"].iloc[order]))), first, axis=0)
+                v = np.array(pdf["embedding"].iloc[order].tolist(), float)
+                least = np.minimum.reduceat(np.concatenate([minhash(cells(v[at : at + 512])) for at in range(0, len(v), 512)]), first, axis=0)
                 yield pd.DataFrame({"document_id": ids[first], "m": list(least)})
 
     parts = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", "embedding").mapInPandas(signed, f"document_id {kind}, m array<long>")
@@ -159,8 +154,11 @@ def candidates(prints: DataFrame) -> DataFrame:
     return met.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_agreeing(to_arrow_type(kind)), f"a {names}, b {names}")
 
 
-def _by_rows(found: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs found (a, b), a row for each two chunks (document_id, i, v): for documents of very many."""
+def _by_rows(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs found (a, b), a row for each two different chunks (document_id, i, embedding): for documents of very many."""
+    unit = F.pandas_udf(lambda s: pd.Series(list(_unit(s))), "array<double>")
+    asked = found.select(F.explode(F.array("a", "b")).alias("document_id")).distinct()
+    own = settle(chunks.join(asked, "document_id", "left_semi").select("document_id", "i", unit("embedding").alias("v")), "long")
     left = settle(found.join(own.select(F.col("document_id").alias("a"), F.col("i").alias("ia"), F.col("v").alias("va")), "a"), "left")
     both = meet(left, own.select(F.col("document_id").alias("b"), F.col("i").alias("ib"), F.col("v").alias("vb")), ["b"])
     near = settle(both.select("a", "b", "ia", "ib", dot(F.col("va"), F.col("vb")).alias("s")), "near")
@@ -168,28 +166,78 @@ def _by_rows(found: DataFrame, own: DataFrame) -> DataFrame:
     return best("ia").union(best("ib")).groupBy("a", "b").agg(F.avg("s").alias("similarity"))
 
 
+class _Held:
+    """The chunks of a cell's documents: each different vector once, a document's by their numbers."""
+
+    def __init__(self, right: pd.DataFrame):
+        code, self.names = pd.factorize(right["document_id"], sort=True)
+        order = np.argsort(code, kind="stable")
+        v = np.frombuffer(b"".join(right["v"]), float).reshape(len(right), -1)[order]
+        _, kept, self.at = np.unique(right["chunk"].to_numpy()[order], return_index=True, return_inverse=True)
+        self.v = v[kept]
+        if not np.array_equal(self.v[self.at], v):  # two vectors of one hash
+            self.v, self.at = v, np.arange(len(v))
+        self.first = np.searchsorted(code[order], np.arange(len(self.names) + 1))
+        self.count = np.diff(self.first)
+
+    def chunks(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the vectors of docs, one document's after the other's, and where each starts."""
+        n = self.count[docs]
+        start = np.cumsum(n) - n
+        return self.at[np.repeat(self.first[docs] - start, n) + np.arange(n.sum())], start
+
+    def sums(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """For each two documents the sum, over the chunks of the column's, of the cosine with the nearest of the row's. Equal chunks are multiplied once."""
+        at, start = self.chunks(rows)
+        different, at = np.unique(at, return_inverse=True)
+        ends = np.r_[start[1:], len(at)]
+        out = np.empty((len(rows), len(columns)))
+        before = np.cumsum(self.count[columns]) - self.count[columns]
+        wide = max((1 << 21) // max(len(different), len(rows)), 64)
+        cut = np.flatnonzero(np.r_[True, before[1:] // wide != before[:-1] // wide])
+        for s, e in zip(cut, np.r_[cut[1:], len(columns)], strict=True):
+            of, begin = self.chunks(columns[s:e])
+            of, place = np.unique(of, return_inverse=True)
+            cos = self.v[different] @ self.v[of].T
+            best = np.empty((len(rows), len(of)))
+            for r, (x, y) in enumerate(zip(start, ends, strict=True)):
+                cos[at[x:y]].max(0, out=best[r])
+            out[:, s:e] = np.add.reduceat(best[:, place], begin, axis=1)
+        return out
+
+    def one_by_one(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Similarities of pairs sorted by a: a document with as many others at a time as have about 4,096 chunks."""
+        out = np.empty(len(a))
+        before = np.cumsum(self.count[b]) - self.count[b]
+        run = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (before[1:] // 4096 != before[:-1] // 4096)])
+        for s, e in zip(run, np.r_[run[1:], len(a)], strict=True):
+            at, start = self.chunks(b[s:e])
+            sim = self.v[self.chunks(a[s : s + 1])[0]] @ self.v[at].T
+            out[s:e] = np.maximum.reduceat(sim, start, axis=1).sum(0) + np.add.reduceat(sim.max(0), start)
+        return out
+
+
 def _compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) and the chunks (document_id, v) of all their documents -> (a, b, similarity)."""
+    """Pairs (lead, a, b) and the chunks (document_id, chunk, v: a hash and the bytes) of all their documents -> (a, b, similarity)."""
     if not len(left) or not len(right):
         return pd.DataFrame({"a": left["a"][:0], "b": left["b"][:0], "similarity": []})
-    code, names = pd.factorize(right["document_id"], sort=True)
-    order = np.argsort(code, kind="stable")
-    v = np.array(right["v"].tolist(), float)[order]
-    first = np.searchsorted(code[order], np.arange(len(names) + 1))
-    count = np.diff(first)
-    a, b = pd.Index(names).get_indexer(left["a"]), pd.Index(names).get_indexer(left["b"])
-    order = np.lexsort((b, a))
+    held = _Held(right)
+    a, b = (pd.Index(held.names).get_indexer(left[side]) for side in "ab")
+    lead = pd.factorize(left["lead"])[0]
+    order = np.lexsort((b, a, lead))
+    bounds = np.flatnonzero(np.r_[True, lead[order][1:] != lead[order][:-1], True])
     out = np.empty(len(left))
-    # a document with as many others at a time as have about 4,096 chunks
-    before = np.cumsum(count[b[order]]) - count[b[order]]
-    run = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (before[1:] // 4096 != before[:-1] // 4096)])
-    for s, e in zip(run, np.r_[run[1:], len(order)], strict=True):
-        x, others = a[order[s]], b[order[s:e]]
-        n = count[others]
-        start = np.cumsum(n) - n
-        sim = v[first[x] : first[x + 1]] @ v[np.repeat(first[others] - start, n) + np.arange(n.sum())].T
-        out[order[s:e]] = (np.maximum.reduceat(sim, start, axis=1).sum(0) + np.add.reduceat(sim.max(0), start)) / (count[x] + n)
-    return pd.DataFrame({"a": left["a"], "b": left["b"], "similarity": out})
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        of = order[s:e]
+        x, y = a[of], b[of]
+        rows, i = np.unique(x, return_inverse=True)
+        columns, j = np.unique(y, return_inverse=True)
+        # most of all the pairs that there can be: each document against all of the other side at once
+        if len(rows) > 1 and len(columns) > 1 and len(rows) * len(columns) <= 4 * len(of):
+            out[of] = held.sums(rows, columns)[i, j] + held.sums(columns, rows)[j, i]
+        else:
+            out[of] = held.one_by_one(x, y)
+    return pd.DataFrame({"a": left["a"], "b": left["b"], "similarity": out / (held.count[a] + held.count[b])})
 
 
 def similarity(found: DataFrame, chunks: DataFrame, long: int = LONG, work: int = WORK) -> DataFrame:
@@ -199,35 +247,37 @@ def similarity(found: DataFrame, chunks: DataFrame, long: int = LONG, work: int
     to a cell: groups of documents that are all alike are compared as products of matrices. ``long``: chunks beyond which a document's are compared row by row.
     """
     kind = found.schema["a"].dataType.simpleString()
-    unit = F.pandas_udf(lambda s: pd.Series(list(_unit(s))), "array<double>")
-    own = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", "embedding").distinct()
-    own = settle(own.select("document_id", F.xxhash64("embedding").alias("i"), unit("embedding").alias("v")), "units")
+    packed = F.pandas_udf(lambda s: pd.Series([x.tobytes() for x in _unit(s)], dtype=object), "binary")
+    each = chunks.filter("document_id is not null and size(embedding) > 0").select("document_id", F.xxhash64("embedding").alias("i"), "embedding").distinct()
+    own = settle(each.select("document_id", "i", packed("embedding").alias("v")), "units")
     sizes = settle(own.groupBy("document_id").agg(F.count("*").alias("n")), "sizes")
     of = lambda side: sizes.select(F.col("document_id").alias(side), F.col("n").alias(f"n{side}"))
     least = found.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
-    effort = F.col("na") * F.col("nb") + 512 * (F.col("na") + F.col("nb"))
-    rated = found.join(of("a"), "a").join(of("b"), "b").join(least, "a", "left").select("a", "b", F.coalesce("lead", "a").alias("lead"), effort.alias("w"), (F.greatest("na", "nb") > long).alias("many"))
+    rated = found.join(of("a"), "a").join(of("b"), "b").join(least, "a", "left").select("a", "b", F.coalesce("lead", "a").alias("lead"), "na", "nb", (F.greatest("na", "nb") > long).alias("many"))
     rated = settle(rated, "rated")
     short = rated.filter("not many")
-    total = short.agg(F.sum("w")).first()[0] or 0
-    sides = short.groupBy("lead").agg(F.ceil(F.sqrt(F.sum("w") / work)).cast("int").alias("k"))
+    # products of a group, and what it costs to send its documents' chunks
+    sent = sum(F.approx_count_distinct(side) * F.avg(f"n{side}") for side in "ab") * 512
+    groups = settle(short.groupBy("lead").agg(F.sum(F.col("na") * F.col("nb") + 8 * (F.col("na") + F.col("nb"))).alias("w"), sent.alias("sent")), "groups")
+    total = groups.agg(F.sum(F.col("w") + F.col("sent"))).first()[0] or 0
+    sides = groups.select("lead", F.ceil(F.greatest(F.sqrt(F.col("w") / work), F.col("sent") / work)).cast("int").alias("k"))
     spot = F.when(F.col("k") > 1, F.xxhash64("lead")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(int(total // work) + 1)))
     place = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
     cell = ["k", "spot", "i", "j"]
-    met = settle(short.join(sides, "lead").select("k", spot.alias("spot"), place("a").alias("i"), place("b").alias("j"), "a", "b"), "cells")
+    met = settle(short.join(sides, "lead").select("k", spot.alias("spot"), place("a").alias("i"), place("b").alias("j"), "lead", "a", "b"), "cells")
     to = [f"to_{c}" for c in cell]  # names of their own, as both sides come from one frame
     asked = met.select(*cell, "a").union(met.select(*cell, "b")).distinct().toDF(*to, "document_id")
-    vectors = asked.join(own.select("document_id", "v"), "document_id")
+    vectors = asked.join(own.select("document_id", F.col("i").alias("chunk"), "v"), "document_id")
     out = met.groupBy(*cell).cogroup(vectors.groupBy(*to)).applyInPandas(_compare, f"a {kind}, b {kind}, similarity double")
     if sizes.filter(F.col("n") > long).isEmpty():
         return out
-    return out.union(_by_rows(rated.filter("many").select("a", "b"), own))
+    return out.union(_by_rows(rated.filter("many").select("a", "b"), each))
 
 
 def near_documents(chunks: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(a, b, similarity), a < b: classes of documents (``classes``) whose chunks (document_id, embedding) are alike at ``threshold`` or more.
 
-    Approximate: for two documents whose chunks all have a partner at a cosine of 0.95 the 64 bands find about 95 %, for nearer ones more. What is returned is verified by the embeddings themselves. Documents
+    Approximate: for two documents whose chunks all have a partner at a cosine of 0.95 the 64 bands find about 97 %, for nearer ones more. What is returned is verified by the embeddings themselves. Documents
     without an embedding have no partner.
     """
     chunks = chunks.select("document_id", "embedding")

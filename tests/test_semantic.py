@@ -103,3 +103,30 @@ def test_similarity_by_cells_of_any_size(spark, long, work):
     want = _exact(vec, -2)
     got = {(r["a"], r["b"]): r["similarity"] for r in semantic.similarity(spark.createDataFrame(list(want), "a string, b string"), chunks, long, work).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_long_documents_agree_no_more_by_chance(spark):
+    """Long documents filled all cells of their tables, so that any two of them agreed in a band and were compared chunk by chunk; copies with small changes still meet."""
+    rng = np.random.default_rng(5)
+    docs = [rng.standard_normal((150, 64)) for _ in range(30)]
+    docs += [d / np.linalg.norm(d, axis=1, keepdims=True) + 0.25 * rng.standard_normal(d.shape) / 8 for d in docs]
+    rows = [(i, v.tolist()) for i, d in enumerate(docs) for v in d]
+    prints = semantic.fingerprints(spark.createDataFrame(rows, "document_id long, embedding array<double>"))
+    got = {(r["a"], r["b"]) for r in semantic.candidates(prints).collect()}
+    true = {(i, i + 30) for i in range(30)}
+    assert len(got & true) >= 27 and len(got - true) <= 20
+
+
+def test_groups_and_stars_are_compared_alike(spark):
+    """A cell's documents as one product, and pair by pair, with chunks that many share and one hash for two vectors."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    shared = unit(rng.standard_normal((5, 16)))
+    vec = {i: np.vstack([shared[rng.permutation(5)[: rng.integers(1, 5)]], unit(rng.standard_normal((rng.integers(1, 4), 16)))]) for i in range(40)}
+    right = pd.DataFrame([(i, hash(v.tobytes()) % (2**62), v.tobytes()) for i, m in vec.items() for v in m], columns=["document_id", "chunk", "v"])
+    want = _exact(vec, -2)
+    for pairs in (list(want), [(0, i) for i in range(1, 40)], [(i, 39) for i in range(39)], [p for p in want if sum(p) % 5 == 0]):
+        left = pd.DataFrame([(a % 3, a, b) for a, b in pairs], columns=["lead", "a", "b"])
+        for told in (right, right.assign(chunk=0)):
+            got = semantic._compare(left, told)
+            assert list(zip(got["a"], got["b"], strict=True)) == pairs and all(abs(s - want[p]) < 1e-9 for p, s in zip(pairs, got["similarity"], strict=True))
