@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +46,33 @@ def chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _write_runs(files: DataFrame, at: str, each: int = 200) -> None:
-    """A file each of files (document_id, run_id, value), about ``each`` a task: making a file costs far more than its bytes, by which Spark would merge tasks. Tasks put their files in place themselves, not the driver one by one at the end."""
+    """A file each of files (document_id, run_id, value), about ``each`` a task: making a file costs far more than its bytes, by which Spark would merge tasks.
+
+    Tasks make them by pyarrow's file systems: Hadoop's local one starts a process for the permissions of each file, checksum and folder, and Spark's writer makes
+    each of them in a folder of its own first. Where pyarrow doesn't know the store Spark writes. A repeated task makes the same files again.
+    """
     files = settle(files, "files")
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // each))
-    out = files.repartition(tasks, "document_id", "run_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    out.partitionBy("document_id", "run_id").text(at)
+    dealt = files.select("document_id", "run_id", "value").repartition(tasks, "document_id", "run_id")
+    try:
+        pa.fs.FileSystem.from_uri(at)
+    except (pa.ArrowException, OSError):  # a scheme it doesn't know, a library it lacks
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("document_id", "run_id").text(at)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(at)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for document, run, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where = f"{root}/document_id={document}/run_id={run}"
+                fs.create_dir(where, recursive=True)
+                with fs.open_output_stream(f"{where}/part-{part:05d}-{n}.txt", compression=None) as f:
+                    f.write(value.encode() + b"\n")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
+
+    dealt.mapInArrow(write, "files long").agg(F.sum("files")).first()
 
 
 _MENTIONS = "SELECT seq // 80 AS doc, subject AS node_id, confidence FROM raw UNION ALL SELECT seq // 80, object, confidence FROM raw"

@@ -8,6 +8,9 @@ will touch; a run that was killed is repeated from there, and the outcome is as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,22 @@ GRAPH = (
 NODE, EDGE = ["node_id"], ["src", "relation_type", "dst"]
 
 
+#: Tasks that list folders, for each core.
+LISTERS = 4
+
+
+@contextmanager
+def _few_listers(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by few tasks: Spark starts one for each (10,000 at most), which costs far more than a folder of one file."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTERS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class _Parts(Table):
     """Rows by document; all rows of a document are replaced together."""
 
@@ -57,7 +76,8 @@ class Rebuild:
 
     def scan(self, root: str, name: str = "graph.json") -> DataFrame:
         """(document_id, run_id, path, length, modified): each document's newest run, by name. Contents aren't read."""
-        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+        with _few_listers(self.spark):
+            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
         at = lambda i: F.regexp_extract("path", self.layout, i)
         rows = listed.select(at(1).alias("document_id"), F.struct(at(2).alias("run_id"), "path", "length", F.col("modificationTime").alias("modified")).alias("f"))
         return rows.filter("document_id != ''").groupBy("document_id").agg(F.max("f").alias("f")).select("document_id", "f.*")
@@ -74,7 +94,9 @@ class Rebuild:
             if not paths:
                 self._finish()
                 return done
-            read = self.spark.read.format("binaryFile").load(paths).select("path", F.from_json(F.decode("content", "UTF-8"), GRAPH).alias("g"))
+            with _few_listers(self.spark):
+                opened = self.spark.read.format("binaryFile").load(paths)
+            read = opened.select("path", F.from_json(F.decode("content", "UTF-8"), GRAPH).alias("g"))
             read = settle(found.join(read, "path"), "read")
             empty = F.col("g").isNull() | (F.col("g.nodes").isNull() & F.col("g.links").isNull())
             files = read.select("document_id", "run_id", "path", "length", "modified", F.when(empty, "no graph").alias("error"))

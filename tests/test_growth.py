@@ -233,6 +233,50 @@ def test_files_of_runs_are_written_by_many_tasks(spark, sf):
     assert len({f[2].split("-")[1] for f in files}) > 2
 
 
+def test_files_of_runs_are_made_without_spark_s_writer(spark, tmp_path, monkeypatch):
+    """Each file, its checksum and its folders cost a process of their own; where pyarrow can't write, Spark does, to the same folders."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from factloom.plans import reuse_queries
+
+    def refuses(uri):
+        raise pa.ArrowInvalid(uri)
+
+    rows = [(f"d{i}", f"r{i % 2}", f'{{"é": {i}}}') for i in range(30)]
+    files = spark.createDataFrame(rows, "document_id string, run_id string, value string")
+    want = {(f"document_id={d}", f"run_id={r}"): v + "\n" for d, r, v in rows}
+    told = lambda at: {f.relative_to(at).parts[:2]: f.read_text("utf-8") for f in at.rglob("*.txt")}
+    reuse_queries._write_runs(files, f"file://{tmp_path}/a", 5)
+    assert told(tmp_path / "a") == want and not list((tmp_path / "a").rglob("*.crc"))
+    monkeypatch.setattr(reuse_queries, "pa", SimpleNamespace(ArrowException=pa.ArrowException, fs=SimpleNamespace(FileSystem=SimpleNamespace(from_uri=refuses))))
+    reuse_queries._write_runs(files, f"file://{tmp_path}/b", 5)
+    assert told(tmp_path / "b") == want
+
+
+def test_folders_of_runs_are_listed_by_few_tasks(spark, tmp_path):
+    """A task was started for each folder, and again for each file that is read."""
+    from factloom.sources import rebuild
+
+    for i in range(200):
+        at = tmp_path / f"d{i}/runs/r1/04_synthesis"
+        at.mkdir(parents=True)
+        (at / "graph.json").write_text(f'{{"nodes": [{{"id": "n{i % 7}"}}]}}')
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, most = spark.conf.get(key), rebuild.LISTERS * spark.sparkContext.defaultParallelism
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        built = rebuild.Rebuild(spark, f"file://{tmp_path}/built", buckets=2)
+        assert built.update(f"file://{tmp_path}") == {"files": 200, "errors": 0}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    track = spark.sparkContext.statusTracker()
+    tasks = [track.getStageInfo(s).numTasks for j in track.getJobIdsForGroup("listing") for s in track.getJobInfo(j).stageIds if track.getStageInfo(s)]
+    assert len(tasks) > 5 and max(tasks) <= most and spark.conf.get(key) == before
+    assert {r["node_id"]: r["corroboration"] for r in built.graph.nodes.read().collect()} == {f"n{k}": len(range(k, 200, 7)) for k in range(7)}
+
+
 def test_rounds_of_communities_broadcast_no_table_of_nodes(spark, monkeypatch):
     """Tables of nodes went through the driver at each join of each round while they were small enough to be broadcast."""
     import re
